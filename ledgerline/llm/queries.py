@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, packing
+from ledgerline.llm import bpe, exact_dedup, license_scan, packing, repetition
 from ledgerline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,48 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _template_rows() -> str:
+    return ", ".join(f"({k}, '{t.label}', [{', '.join(repr(w) for w in t.words)}])" for k, t in enumerate(license_scan.TEMPLATES))
+
+
+OP3_SQL = f"""
+WITH templates(template, label, own) AS (VALUES {_template_rows()}),
+texts AS (SELECT doc_id, text, lower(coalesce(text, '')) AS low FROM documents),
+docs AS (SELECT doc_id, text, low, list_filter(regexp_split_to_array(low, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM texts),
+places AS (
+  SELECT doc_id, text, low, words,
+         list_filter(range(1, len(words)), lambda i: words[i] = 'mit' AND words[i + 1] = 'license') AS mit,
+         list_filter(range(1, len(words)), lambda i: words[i] = 'apache' AND words[i + 1] = 'license') AS apache,
+         list_filter(range(1, len(words)), lambda i: words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license') AS gpl
+  FROM docs),
+lines AS (SELECT doc_id, text, unnest(string_split(low, chr(10))) AS line FROM docs),
+matches AS (
+  SELECT doc_id, text, list(DISTINCT label) AS found, max(overlap / len(own)) AS best
+  FROM (SELECT l.doc_id, l.text, t.label, t.own,
+               len(list_intersect(t.own, regexp_split_to_array(l.line, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))) AS overlap
+        FROM lines l, templates t) WHERE overlap >= {license_scan.THRESHOLD} * len(own) - 1e-9
+  GROUP BY doc_id, text),
+labelled AS (
+  SELECT p.*, list_filter(['apache', 'gpl', 'mit'], lambda x: len(CASE x WHEN 'mit' THEN mit WHEN 'apache' THEN apache ELSE gpl END) > 0) AS base,
+         coalesce(m.found, []) AS found, m.best
+  FROM places p LEFT JOIN matches m ON p.doc_id IS NOT DISTINCT FROM m.doc_id AND p.text IS NOT DISTINCT FROM m.text)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(mit) + len(apache) + len(gpl))::BIGINT AS n_base,
+       list_min(mit || apache || gpl)::BIGINT - 1 AS first_word, list_max(mit || apache || gpl)::BIGINT - 1 AS last_word,
+       array_to_string(base, ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(base || found)), ',') AS labels,
+       CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM labelled
+"""
+
+
+def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -38,8 +80,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op8_repetition": op8_repetition,
     "op9_bpe": op9_bpe,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_license_scan": OP3_SQL,
 }
