@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, license_scan, packing, repetition
+from ledgerline.llm import bpe, exact_dedup, language_id, license_scan, packing, quality_ranker, repetition, url_rules, warc_revisit
 from ledgerline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -69,6 +69,84 @@ FROM labelled
 """
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Two captures of every page: its response, and a revisit.
+
+    Revisits come an hour and more after, those of every seventh page before. Those of every
+    fifth page bring the tag of another version.
+    """
+    p = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    at = F.lit(1_700_000_000) + (p % 1000) * 60
+    digest = F.sha2(F.coalesce("html", F.lit("")), 256)
+    date = F.concat(F.lit("day "), (p % 28 + 1).cast("string"))
+    response = pages.select((p * 2).alias("record_id"), "url", at.alias("captured_at"), F.lit(False).alias("is_revisit"), tag.alias("etag"), date.alias("last_modified"), digest.alias("payload_digest"), F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Server"), F.lit("a")).alias("headers"))
+    own = F.when(p % 5 == 0, F.concat(F.lit('"'), p.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("W/"), tag))
+    later = at + F.when(p % 7 == 0, F.lit(-30)).otherwise(3600 + (p % 11) * 7200)
+    revisit = pages.select((p * 2 + 1).alias("record_id"), "url", later.alias("captured_at"), F.lit(True).alias("is_revisit"), own.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("payload_digest"), F.create_map(F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Server"), F.lit("b"), F.lit("Date"), date).alias("headers"))
+    return response.unionByName(revisit)
+
+
+def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisit.resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select("record_id", "canonical", "response_id", "outcome", F.when(F.col("headers").isNotNull(), F.array_join(pairs, ";")).alias("headers"), "payload_digest")
+
+
+OP4_SQL = f"""
+WITH parts AS (
+  SELECT page_id, url, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+asked AS (
+  SELECT page_id, html, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.|:(80|443)$', '', 'g') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT list_contains({list(warc_revisit.TRACKING)!r}, split_part(x, '=', 1)))) AS query FROM parts),
+urls AS (
+  SELECT page_id, nullif(host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END, '') AS canonical,
+         '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, sha256(coalesce(html, '')) AS digest,
+         1700000000 + (page_id % 1000) * 60 AS at_s FROM asked),
+responses AS (SELECT page_id * 2 AS id, canonical, at_s, tag, digest FROM urls),
+revisits AS (
+  SELECT page_id, page_id * 2 + 1 AS id, canonical,
+         at_s + CASE WHEN page_id % 7 = 0 THEN -30 ELSE 3600 + (page_id % 11) * 7200 END AS at_s,
+         CASE WHEN page_id % 5 = 0 THEN '"' || page_id || '"' ELSE tag END AS tag FROM urls),
+found AS (
+  SELECT v.page_id, v.id, v.canonical, v.tag,
+         (SELECT max({{'at_s': r.at_s, 'id': r.id}}).id FROM responses r WHERE r.canonical = v.canonical AND r.at_s < v.at_s) AS response
+  FROM revisits v),
+joined AS (SELECT f.*, r.tag AS their_tag, r.digest, f.tag = r.tag AS same FROM found f LEFT JOIN responses r ON r.id = f.response)
+SELECT id AS record_id, canonical, CASE WHEN same THEN response END AS response_id,
+       CASE WHEN response IS NULL THEN 'no earlier response' WHEN NOT same THEN 'other entity tag' ELSE 'resolved' END AS outcome,
+       CASE WHEN same THEN 'cache-control=max-age=600;content-type=text/html;date=day ' || (page_id % 28 + 1) || ';etag=' || their_tag || ';server=a' END AS headers,
+       CASE WHEN same THEN digest END AS payload_digest
+FROM joined
+"""
+
+
+def op5_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranker.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+_OP7_SITES = ", ".join(f"('{r.name}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.verdict}')" for r in url_rules.SITES)
+OP7_SQL = f"""
+WITH rules(name, host, path, verdict) AS (VALUES {_OP7_SITES}),
+after AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM after),
+split AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
+judged AS (
+  SELECT s.*, (SELECT arg_max(r.name, length(r.name)) FROM rules r WHERE (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)) AS rule
+  FROM split s)
+SELECT page_id, j.host, j.path, rule,
+       coalesce(r.verdict, CASE WHEN regexp_matches(lower(j.host || j.path), '(^|[^0-9a-z])({"|".join(url_rules.UNWANTED)})([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN rules r ON r.name = j.rule
+"""
+
+
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -77,14 +155,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_warc_revisit": op4_warc_revisit,
+    "op5_quality_ranker": op5_quality_ranker,
+    "op7_url_rules": op7_url_rules,
     "op8_repetition": op8_repetition,
     "op9_bpe": op9_bpe,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op3_license_scan": OP3_SQL,
+    "op4_warc_revisit": OP4_SQL,
+    "op7_url_rules": OP7_SQL,
 }
