@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ledgerline.llm.common import fold
 from ledgerline.shipping import shipped
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; one pass, no shuffle."""
     names = docs.columns
     at = names.index("text")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches):
         for batch in batches:

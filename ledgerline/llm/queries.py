@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, language_id, license_scan, packing, quality_ranker, repetition, url_rules, warc_revisit
+import corpus_pipeline
+from ledgerline.llm import bpe, exact_dedup, language_id, license_scan, ngram_join, packing, quality_ranker, repetition, url_rules, warc_revisit
 from ledgerline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -127,6 +128,10 @@ def op5_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -160,11 +165,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_warc_revisit": op4_warc_revisit,
     "op5_quality_ranker": op5_quality_ranker,
+    "op6_ngram_join": op6_ngram_join,
     "op7_url_rules": op7_url_rules,
     "op8_repetition": op8_repetition,
     "op9_bpe": op9_bpe,
