@@ -1,11 +1,13 @@
-"""Operator 9: byte-pair encoding and decoding with a contiguous rank array.
+"""Operator 9: byte-pair encoding and decoding with contiguous rank arrays.
 
 A short word is held as its part boundaries and the ranks of the pairs of adjacent
 parts. The lowest rank is searched by a scan, its inner boundary deleted and the two
-neighbouring ranks looked up again, until no pair has a rank. Words longer than
-``SHORT`` parts, where repeated scans would be quadratic, use a heap over the same
-arrays. Encoded words are remembered up to ``CACHE_WORDS`` of them, then forgotten
-all at once, so a worker's memory is bounded whatever the corpus.
+neighbouring ranks looked up again, until no pair has a rank. That is done for all new
+words of a run of texts at once, a row of the arrays each, in numpy. Words of more than
+``SHORT`` bytes, where repeated scans would be quadratic, use a heap.
+
+Runs without white space are remembered once encoded, at most ``REMEMBERED`` of them and
+those of the texts at hand, so a worker's memory is bounded whatever the corpus.
 
 Defined results: null and empty texts have no ids and decode to an empty text; a text
 that repeats, in one row or several, gets the same result each time; other columns are
@@ -19,7 +21,7 @@ import heapq
 import json
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -31,11 +33,15 @@ from tokenizers.normalizers import NFC, Lowercase
 from tokenizers.normalizers import Sequence as Normalisers
 from tokenizers.pre_tokenizers import Split
 
+from ledgerline.llm.common import MIX_1, chunks
 from ledgerline.shipping import shipped
 
-SHORT = 256
-CACHE_WORDS = 300_000
-NEVER = 1 << 62
+SHORT = 48
+REMEMBERED = 1_000_000
+#: Words merged together, and characters of the texts whose words are.
+BLOCK = 8192
+CHUNK = 4 << 20
+NEVER = np.int32(2**31 - 1)
 #: White space as the vocabulary's normaliser takes it (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -76,16 +82,33 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-class _Remembered(dict):
-    def __init__(self, find):
-        super().__init__()
-        self.find = find
-
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = self.find(word)
-        return found
+class _Pairs:
+    """Ranks of pairs of ids, looked up for whole arrays: a hash table with open addressing."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        self.bits = max(4, len(pairs).bit_length() + 3)
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, NEVER, dtype=np.int32)
+        for rank, (a, b) in enumerate(pairs):
+            key = a << 32 | b
+            k = (key * int(MIX_1) & 2**64 - 1) >> (64 - self.bits)
+            while self.keys[k] >= 0:
+                k = (k + 1) & (1 << self.bits) - 1
+            self.keys[k], self.ranks[k] = key, rank
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        k = (key.astype(np.uint64) * MIX_1 >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[k]
+        out = np.where(held == key, self.ranks[k], NEVER)
+        open_ = np.nonzero((held != key) & (held >= 0))
+        while len(open_[0]):
+            k[open_] = (k[open_] + 1) & (1 << self.bits) - 1
+            held, wanted = self.keys[k[open_]], key[open_]
+            found = held == wanted
+            out[tuple(x[found] for x in open_)] = self.ranks[k[open_][found]]
+            open_ = tuple(x[(held >= 0) & ~found] for x in open_)
+        return out
 
 
 class WordBpe:
@@ -95,102 +118,147 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.end = model["end_of_word_suffix"]
-        self.tokens = {i: t for t, i in self.vocab.items()}
+        vocab: dict[str, int] = model["vocab"]
+        self.tokens = {i: t for t, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        pairs = [(vocab[a], vocab[b]) for a, b in model["merges"]]
+        self.rank_of = {x: rank for rank, x in enumerate(pairs)}
+        self.ranks_of = _Pairs(pairs)
+        #: The id that the pair of each rank becomes.
+        self.merged = np.array([vocab[a + b] for a, b in model["merges"]] or [0], dtype=np.int64)
+        self.inner = np.array([vocab[x] for x in _byte_letters()], dtype=np.int64)
+        self.last = np.array([vocab[x + model["end_of_word_suffix"]] for x in _byte_letters()], dtype=np.int64)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.letters = _byte_letters()
-        self.words = word_pattern().findall
-        self.normalise = Normalisers([NFC(), Lowercase()]).normalize_str
-        self.ids_of = _Remembered(lambda run: np.array(self.encode_run(run), dtype="<u4").tobytes())
-        self.tokens_of = _Remembered(lambda run: self.decode(self.encode_run(run)).encode())
-
-    def encode_run(self, run: str) -> list[int]:
-        return [i for word in self.words(self.normalise(run)) for i in self.encode_word(word)]
-
-    def encode_word(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        letters[-1] += self.end
-        parts = [self.vocab[x] for x in letters]
-        return self._merge_short(parts) if len(parts) <= SHORT else self._merge_long(parts)
-
-    def _rank(self, parts: list[int], bounds: list[int], i: int) -> int:
-        if i + 2 >= len(bounds):
-            return NEVER
-        return self.ranks.get((parts[bounds[i]], parts[bounds[i + 1]]), (NEVER,))[0]
-
-    def _merge_short(self, parts: list[int]) -> list[int]:
-        """``parts[b]`` is the id of the part that starts at boundary ``b``; the last boundary is the end."""
-        bounds = list(range(len(parts) + 1))
-        ranks = [self._rank(parts, bounds, i) for i in range(len(parts))]
-        while ranks:
-            lowest = min(ranks)
-            if lowest == NEVER:
-                break
-            i = ranks.index(lowest)
-            left, right = bounds[i], bounds[i + 1]
-            parts[left] = self.ranks[parts[left], parts[right]][1]
-            del bounds[i + 1], ranks[i + 1]
-            ranks[i] = self._rank(parts, bounds, i)
-            if i:
-                ranks[i - 1] = self._rank(parts, bounds, i - 1)
-        return [parts[b] for b in bounds[:-1]]
-
-    def _merge_long(self, parts: list[int]) -> list[int]:
+        self.words = re.compile(word_pattern().pattern + "|\n").findall
+        self.normaliser = Normalisers([NFC(), Lowercase()]).normalize_str
+        self.now: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+
+    def normalise(self, text: str) -> str:
+        """NFC and lower case letter by letter, in the library's Unicode version."""
+        return text.lower() if text.isascii() else self.normaliser(text)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        out: list[bytes] = [b""] * len(raw)
+        order = np.argsort(sizes, kind="stable")
+        short = order[: np.searchsorted(sizes[order], SHORT, side="right")]
+        for block in np.split(short, range(BLOCK, len(short), BLOCK)):
+            for i, ids in zip(block.tolist(), self._merge_short([raw[i] for i in block.tolist()], sizes[block]), strict=True):
+                out[i] = ids
+        for i in order[len(short) :].tolist():
+            out[i] = self._merge_long(raw[i])
+        return out
+
+    def _letters(self, raw: bytes) -> np.ndarray:
+        """The ids of a word's bytes, the last one's with the word's end."""
+        codes = np.frombuffer(raw, dtype=np.uint8)
+        ids = self.inner[codes]
+        ids[-1] = self.last[codes[-1]]
+        return ids
+
+    def _merge_short(self, raw: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        """Rows of ``parts`` are the ids between the boundaries left; ``ranks[:, i]`` is the rank of parts i and i + 1."""
+        if not raw:
+            return []
+        n, width = len(raw), int(sizes[-1])
+        codes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        row, stops = np.repeat(np.arange(n), sizes), np.cumsum(sizes)
+        parts = np.full((n, width), -1, dtype=np.int64)
+        parts[row, np.arange(len(codes)) - np.repeat(stops - sizes, sizes)] = self.inner[codes]
+        parts[np.arange(n), sizes - 1] = self.last[codes[stops - 1]]
+        done, left, at = np.full((n, width), -1, dtype=np.int64), sizes.copy(), np.arange(n)
+        ranks = np.where(parts[:, 1:] >= 0, self.ranks_of(parts[:, :-1], parts[:, 1:]), NEVER)
+        while ranks.shape[1]:
+            i = ranks.argmin(axis=1)
+            lowest = ranks[np.arange(len(i)), i]
+            go = lowest < NEVER
+            if not go.all():
+                done[at[~go], : parts.shape[1]] = parts[~go]
+                parts, ranks, at, i, lowest = parts[go], ranks[go], at[go], i[go], lowest[go]
+            rows = np.arange(len(i))
+            parts[rows, i] = self.merged[lowest]
+            # The boundary after part i goes, and with it part i + 1 and rank i.
+            place = np.arange(parts.shape[1] - 1)
+            parts = np.take_along_axis(parts, place + (place > i[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, place[:-1] + (place[:-1] >= i[:, None]), axis=1)
+            left[at] -= 1
+            for change in (i, i - 1):
+                some = np.flatnonzero((change >= 0) & (change + 1 < left[at]))
+                k = change[some]
+                ranks[some, k] = self.ranks_of(parts[some, k], parts[some, k + 1])
+        done[at, : parts.shape[1]] = parts
+        flat = done[np.arange(width) < left[:, None]].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(left)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _merge_long(self, raw: bytes) -> bytes:
+        parts, rank_of = self._letters(raw).tolist(), self.rank_of
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (found := self.ranks.get((parts[i], parts[i + 1])))]
+        heap = [(found, i, parts[i], parts[i + 1]) for i in range(n - 1) if (found := rank_of.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue  # one of the two was merged meanwhile
-            parts[i], parts[j] = self.ranks[a, b][1], -1
+            parts[i], parts[j] = int(self.merged[rank]), -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (found := self.ranks.get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (found[0], x, parts[x], parts[y]))
-        return [x for x in parts if x >= 0]
-
-    def _pieces(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
-        """Special tokens' ids, and the runs without white space between them."""
-        if "<|" not in text:
-            yield None, runs(text)
+                if x >= 0 and y < n and (found := rank_of.get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (found, x, parts[x], parts[y]))
+        return np.array([x for x in parts if x >= 0], dtype="<u4").tobytes()
+
+    def _learn(self, seen: set[str]) -> None:
+        """Have the ids of all these runs in ``now``."""
+        if len(self.now) + len(seen) > REMEMBERED // 2:
+            self.elder, self.now = self.now, {}
+        new = seen.difference(self.now)
+        known = new.intersection(self.elder)
+        self.now.update({run: self.elder[run] for run in known})
+        new = list(new - known)
+        if not new:
             return
-        for piece in self.split_special.split(text):
-            if piece in self.special:
-                yield self.special[piece], []
-            elif piece:
-                yield None, runs(piece)
+        # Line feeds, which no run has, part the runs; normalisation changes nothing across them.
+        words = self.words(self.normalise("\n".join(new) + "\n"))
+        distinct = list(set(words) - {"\n"})
+        ids_of = dict(zip(distinct, self.encode_words(distinct), strict=True))
+        own, k = [], 0
+        for word in words:
+            if word == "\n":
+                self.now[new[k]] = b"".join(own)
+                own, k = [], k + 1
+            else:
+                own.append(ids_of[word])
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(b"".join(map(self.ids_of.__getitem__, found)) if special is None else special.to_bytes(4, "little") for special, found in self._pieces(text or ""))
+    def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [self._pieces(t or "") for t in texts]
+        self._learn(set().union(*(found for pieces in split for _, found in pieces)))
+        now = self.now.__getitem__
+        return [b"".join([b"".join(map(now, found)) if special is None else special.to_bytes(4, "little") for special, found in pieces]) for pieces in split]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), dtype="<u4")
-
-    def encode_and_decode(self, text: str | None) -> tuple[bytes, bytes]:
-        """The ids' bytes, and what :meth:`decode` makes of them in UTF-8, from one pass over the words."""
-        ids, told = [], []
-        for special, found in self._pieces(text or ""):
-            if special is None:
-                ids += map(self.ids_of.__getitem__, found)
-                told += map(self.tokens_of.__getitem__, found)
-            else:
-                ids.append(special.to_bytes(4, "little"))
-                told.append(self.tokens[special].encode())
-        return b"".join(ids), b" ".join(told)
+        return np.frombuffer(self.encode_batch([text])[0], dtype="<u4")
+
+    def _pieces(self, text: str) -> list[tuple[int | None, list[str]]]:
+        """Special tokens' ids, and the runs without white space between them."""
+        if "<|" not in text:
+            return [(None, runs(text))]
+        return [(self.special.get(piece), [] if piece in self.special else runs(piece)) for piece in self.split_special.split(text)]
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """The tokens with a blank between each two, as a vocabulary without a decoder has it, in UTF-8."""
+        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I"))).encode("utf-8", "surrogatepass")
 
     def decode(self, ids) -> str:
-        """The tokens with a blank between each two, as a vocabulary without a decoder has it."""
-        return " ".join(self.tokens[int(i)] for i in ids)
+        return self.decode_bytes(np.asarray(ids, dtype="<u4").tobytes()).decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
@@ -204,8 +272,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", doc_i
     def run(batches):
         bpe = encoder(vocabulary)
         for batch in batches:
-            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            for start, texts in chunks((x.as_py() or "" for x in batch.column(1)), CHUNK):
+                ids = bpe.encode_batch(texts)
+                lists = pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), lists, pa.array([bpe.decode_bytes(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return shipped(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<long>, decoded string")
 
@@ -216,12 +286,9 @@ def encode_digests(docs: DataFrame, vocabulary: str, text: str = "text", doc_id:
     def run(batches):
         bpe = encoder(vocabulary)
         for batch in batches:
-            counts, ids_sha, told_sha = [], [], []
-            for value in batch.column(1):
-                ids, told = bpe.encode_and_decode(value.as_py())
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                told_sha.append(hashlib.sha256(told).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(told_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for start, texts in chunks((x.as_py() or "" for x in batch.column(1)), CHUNK):
+                ids = bpe.encode_batch(texts)
+                columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return shipped(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

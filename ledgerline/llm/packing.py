@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import encoder
+from ledgerline.llm.bpe import CHUNK, encoder
+from ledgerline.llm.common import chunks
 from ledgerline.shipping import shipped
 
 SEQUENCE = 4096
@@ -116,10 +117,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, block
 
         found: list[tuple] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = bpe.encode_bytes(text.as_py()) + end
-                found += rows(packer.add((doc_id.as_py(), ids), len(ids) // 4))
-                if len(found) >= 4096:
+            for begin, texts in chunks((x.as_py() or "" for x in batch.column(1)), CHUNK):
+                for doc_id, ids in zip(batch.column(0).slice(begin, len(texts)).to_pylist(), bpe.encode_batch(texts), strict=True):
+                    found += rows(packer.add((doc_id, ids + end), len(ids) // 4 + 1))
+                if found:
                     yield batch_of(found)
                     found = []
         found += rows(packer.finish())
