@@ -1,6 +1,516 @@
-"""The registry of queries over the driver's tables, each with independent SQL."""
+"""The registry of queries over the driver's tables, each with independent SQL.
+
+The evidence graph is mapped onto the star schema: an order is a document, a customer a
+project, its nation a component, its region a deployment unit; a line item is a relation
+of its order to a supplier, with the part as relation and the line as evidence; return flag
+and line status are category and variant; orders in status P are unconfirmed, so gaps.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.functions import identity, predicates
+from ledgerline.operators import fixpoint, index, lift, measures, retain
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- dependencies ---------------------------------------------------------------------------
+
+
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item with both ends of each scope."""
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    buyers = customer.join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("c_nation"), F.col("r_name").alias("c_region"))
+    sellers = supplier.join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("s_nation"), F.col("r_name").alias("s_region"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+LINES_SQL = """
+WITH lines AS (
+  SELECT l.*, o.o_custkey, o.o_orderstatus <> 'P' AS is_confirmed, cn.n_name AS c_nation, cr.r_name AS c_region,
+         sn.n_name AS s_nation, sr.r_name AS s_region
+  FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey),
+contributions AS (
+  SELECT 'document' AS scope, l_orderkey::VARCHAR AS source, l_suppkey::VARCHAR AS target, * FROM lines UNION ALL
+  SELECT 'project', o_custkey::VARCHAR, l_suppkey::VARCHAR, * FROM lines UNION ALL
+  SELECT 'component', c_nation, s_nation, * FROM lines UNION ALL
+  SELECT 'deploymentunit', c_region, s_region, * FROM lines),
+dependencies AS (
+  SELECT scope, source, target, l_returnflag AS category, count(*) AS occurrence_count,
+         string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS variants,
+         count(DISTINCT l_partkey) AS relation_count, count(DISTINCT l_orderkey || ':' || l_linenumber) AS evidence_count
+  FROM contributions WHERE is_confirmed GROUP BY ALL)
+"""
+
+SCOPE_ENDS = {"document": ("l_orderkey", "l_suppkey"), "project": ("o_custkey", "l_suppkey"), "component": ("c_nation", "s_nation"), "deploymentunit": ("c_region", "s_region")}
+
+
+def line_contributions(spark: SparkSession, sf_dir: str, scopes: tuple[str, ...] = tuple(SCOPE_ENDS)) -> DataFrame:
+    """Scope lifting in one pass over the joined rows: each row is unfolded into its scopes."""
+    ends = F.array(*[F.struct(F.lit(s).alias("scope"), F.col(SCOPE_ENDS[s][0]).cast("string").alias("source"), F.col(SCOPE_ENDS[s][1]).cast("string").alias("target")) for s in scopes])
+    rows = line_rows(spark, sf_dir).select(F.explode(ends).alias("ends"), F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("variant"), F.col("l_partkey").alias("relation"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("evidence"), (F.col("o_orderstatus") != "P").alias("is_confirmed"))
+    return rows.select(F.lit("all").alias("solution_key"), "ends.*", "category", "variant", "relation", "evidence", "is_confirmed")
+
+
+def line_dependencies(spark: SparkSession, sf_dir: str, scopes: tuple[str, ...] = ("component", "deploymentunit")) -> DataFrame:
+    return lift.aggregate(line_contributions(spark, sf_dir, scopes), keep_members=False)
+
+
+@query(LINES_SQL + "SELECT source, target, category, occurrence_count, variants, relation_count, evidence_count FROM dependencies WHERE scope = 'component'")
+def dep_component(spark, sf_dir):
+    return line_dependencies(spark, sf_dir, ("component",)).select("source", "target", "category", "occurrence_count", F.array_join("variants", ",").alias("variants"), "relation_count", "evidence_count")
+
+
+@query(LINES_SQL + "SELECT scope, source, target, category, occurrence_count FROM dependencies")
+def dep_all_scopes(spark, sf_dir):
+    rows = line_contributions(spark, sf_dir).where("is_confirmed")
+    return rows.groupBy("scope", "source", "target", "category").agg(F.count("*").alias("occurrence_count"))
+
+
+FANS_SQL = """, ends AS (
+  SELECT scope, source AS entity, target AS fan_out_to, NULL AS fan_in_from, source <> target AS crosses FROM dependencies WHERE scope IN ('component', 'deploymentunit') UNION ALL
+  SELECT scope, target, NULL, source, false FROM dependencies WHERE scope IN ('component', 'deploymentunit')),
+fans AS (
+  SELECT scope, entity, count(DISTINCT fan_in_from) AS fan_in, count(DISTINCT fan_out_to) AS fan_out,
+         count(*) FILTER (crosses AND scope = 'component') AS cross_component_edges FROM ends GROUP BY ALL)
+"""
+
+
+def line_fans(spark, sf_dir) -> DataFrame:
+    return measures.fan(line_dependencies(spark, sf_dir))
+
+
+@query(LINES_SQL + FANS_SQL + "SELECT * FROM fans")
+def fan_in_out(spark, sf_dir):
+    return line_fans(spark, sf_dir).drop("solution_key")
+
+
+@query(LINES_SQL + FANS_SQL + "SELECT scope, entity, fan_in, fan_out FROM fans ORDER BY fan_in DESC, scope, entity LIMIT 5")
+def top_fan_in(spark, sf_dir):
+    return measures.top_fan_in(line_fans(spark, sf_dir)).select("scope", "entity", "fan_in", "fan_out")
+
+
+@query("""
+SELECT c_custkey, n_name AS component, count(DISTINCT o_orderkey) AS documents,
+       coalesce(string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus), '') AS statuses
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def membership(spark, sf_dir):
+    own = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct("o_orderkey").alias("documents"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
+    customer = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("component"))
+    return customer.join(own, "c_custkey", "left").select("c_custkey", "component", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("statuses", F.lit("")).alias("statuses"))
+
+
+@query("""
+SELECT o_orderkey, coalesce(p.projects, '') AS projects FROM orders LEFT JOIN (
+  SELECT c_custkey, string_agg(DISTINCT 'project:' || c_custkey, ',') AS projects FROM customer WHERE c_acctbal >= 0 GROUP BY 1) p ON o_custkey = c_custkey""")
+def project_by_document(spark, sf_dir):
+    """Customers in debt own no document, so theirs have no project."""
+    owners = read(spark, sf_dir, "customer").where("c_acctbal >= 0").groupBy("c_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("project:"), F.col("c_custkey").cast("string")))).alias("projects"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return orders.join(owners, "c_custkey", "left").select("o_orderkey", F.array_join(F.coalesce("projects", F.array().cast("array<string>")), ",").alias("projects"))
+
+
+@query("""
+SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS confirmed, count(*) FILTER (o_orderstatus = 'P' AND left(o_orderpriority, 1) IN ('1', '2')) AS gaps_candidate,
+       count(*) FILTER (o_orderstatus = 'P' AND left(o_orderpriority, 1) = '3') AS gaps_unknown, count(*) FILTER (o_orderstatus = 'P' AND left(o_orderpriority, 1) NOT IN ('1', '2', '3')) AS gaps_openfrontier
+FROM orders GROUP BY 1""")
+def confirmed_vs_gap(spark, sf_dir):
+    first = F.substring("o_orderpriority", 1, 1)
+    gap = F.col("o_orderstatus") == "P"
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(~gap).alias("confirmed"), F.count_if(gap & first.isin("1", "2")).alias("gaps_candidate"), F.count_if(gap & (first == "3")).alias("gaps_unknown"), F.count_if(gap & ~first.isin("1", "2", "3")).alias("gaps_openfrontier"))
+
+
+@query("""
+SELECT 'gap:' || o_orderkey AS key, count(DISTINCT l_suppkey) AS affected_retained
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+WHERE o_orderstatus = 'P' AND s_acctbal > 5000 GROUP BY o_orderkey""")
+def relevant_gaps(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").cast("string").alias("entity"))
+    gaps = lines.join(orders, "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.collect_set("entity").alias("affected_keys")).select(F.lit("all").alias("solution_key"), F.concat(F.lit("gap:"), F.col("o_orderkey").cast("string")).alias("key"), "affected_keys")
+    keys = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.lit("all").alias("solution_key"), F.col("s_suppkey").cast("string").alias("key"))
+    return retain.relevant_gaps(gaps, keys).select("key", "affected_retained")
+
+
+# --- a sparse graph: each nation's dearest supplier nation -----------------------------------
+
+DEAREST_SQL = LINES_SQL + """, prices AS (SELECT c_nation, s_nation, max(l_extendedprice) AS price FROM lines WHERE c_nation <> s_nation GROUP BY ALL),
+edges AS (SELECT c_nation AS source, s_nation AS target FROM prices QUALIFY row_number() OVER (PARTITION BY c_nation ORDER BY price DESC, s_nation) = 1)
+"""
+# A recursive term must come first in DuckDB's WITH.
+RECURSIVE = DEAREST_SQL.replace("WITH lines", "WITH RECURSIVE lines")
+
+
+def dearest_edges(spark, sf_dir) -> DataFrame:
+    prices = line_rows(spark, sf_dir).where("c_nation != s_nation").groupBy(F.col("c_nation").alias("source"), F.col("s_nation").alias("target")).agg(F.max("l_extendedprice").alias("price"))
+    best = retain.keep_first(prices, ["source"], [-F.col("price"), F.col("target")])
+    return fixpoint.checkpointed(best.select("source", "target"))
+
+
+def dearest_dependencies(spark, sf_dir) -> DataFrame:
+    return dearest_edges(spark, sf_dir).select(F.lit("all").alias("solution_key"), F.lit("component").alias("scope"), "source", "target", F.lit("A").alias("category"), F.lit("direct").alias("nature"))
+
+
+def european(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("node"))
+
+
+CLOSURE_SQL = """, reached AS (SELECT n_name AS node FROM nation WHERE n_regionkey = 1 UNION SELECT target FROM reached JOIN edges ON node = source)
+"""
+
+
+@query(RECURSIVE + CLOSURE_SQL + "SELECT node FROM reached")
+def retention_closure(spark, sf_dir):
+    return fixpoint.reachable(european(spark, sf_dir), dearest_edges(spark, sf_dir))
+
+
+@query(RECURSIVE + CLOSURE_SQL + ", supported AS (SELECT DISTINCT source, target FROM edges WHERE source IN (FROM reached) OR target IN (FROM reached)) SELECT source, target, target IN (FROM reached) AS target_retained FROM supported")
+def incoming_support(spark, sf_dir):
+    edges = dearest_edges(spark, sf_dir)
+    reached = fixpoint.reachable(european(spark, sf_dir), edges)
+    outgoing = edges.join(reached.withColumnRenamed("node", "source"), "source", "left_semi")
+    incoming = edges.join(reached.withColumnRenamed("node", "target"), "target", "left_semi")
+    both = outgoing.unionByName(incoming).dropDuplicates(["source", "target"])
+    return both.join(reached.select(F.col("node").alias("target"), F.lit(True).alias("there")), "target", "left").select("source", "target", F.coalesce("there", F.lit(False)).alias("target_retained"))
+
+
+IMPACT_SQL = """, walks AS (SELECT target AS entity, source AS dependent, 1 AS depth FROM edges UNION
+  SELECT entity, source, depth + 1 FROM walks JOIN edges ON target = dependent WHERE depth < 30),
+impact AS (SELECT entity, dependent, min(depth) AS depth FROM walks WHERE entity <> dependent GROUP BY ALL)
+"""
+
+
+@query(RECURSIVE + IMPACT_SQL + "SELECT entity, dependent, depth FROM impact")
+def reverse_impact(spark, sf_dir):
+    return measures.reverse_impact(dearest_dependencies(spark, sf_dir)).select("entity", "dependent", "depth")
+
+
+@query(RECURSIVE + IMPACT_SQL + "SELECT entity, dependent, depth FROM impact")
+def reverse_impact_doubling(spark, sf_dir):
+    turned = dearest_edges(spark, sf_dir).select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return fixpoint.depths_by_doubling(turned).where("source != target").select(F.col("source").alias("entity"), F.col("target").alias("dependent"), "depth")
+
+
+CYCLES_SQL = """, both_ways AS (SELECT a.entity, a.dependent FROM impact a JOIN impact b ON a.entity = b.dependent AND a.dependent = b.entity),
+members AS (SELECT entity, least(entity, min(dependent)) AS first FROM both_ways GROUP BY entity),
+cycles AS (SELECT first, 'cycle:component:' || string_agg(entity, ',' ORDER BY entity) AS cycle, count(*) AS size FROM members GROUP BY first)
+"""
+
+
+@query(RECURSIVE + IMPACT_SQL + CYCLES_SQL + "SELECT cycle, size FROM cycles")
+def cycles(spark, sf_dir):
+    return measures.cycles(dearest_dependencies(spark, sf_dir)).select("cycle", F.size("members").cast("long").alias("size"))
+
+
+@query(RECURSIVE + IMPACT_SQL + CYCLES_SQL + """, nodes AS (SELECT source AS entity FROM edges UNION SELECT target FROM edges)
+SELECT n.entity, (SELECT count(*) FROM edges WHERE target = n.entity) AS fan_in, (SELECT count(*) FROM edges WHERE source = n.entity) AS fan_out,
+       (SELECT count(*) FROM edges WHERE source = n.entity AND source <> target) AS cross_component_edges,
+       coalesce((SELECT string_agg(cycle, ',') FROM cycles JOIN members ON members.first = cycles.first WHERE members.entity = n.entity), '') AS cycles,
+       coalesce((SELECT string_agg(depth || ':' || dependent, ',' ORDER BY depth, dependent) FROM impact WHERE impact.entity = n.entity), '') AS reverse_impact,
+       coalesce((SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = n.entity AND o_orderstatus = 'P'), 0) AS gaps_unknown
+FROM nodes n""")
+def measures_full(spark, sf_dir):
+    dependencies = dearest_dependencies(spark, sf_dir)
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customer = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    gaps = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    gaps = gaps.select(F.lit("all").alias("solution_key"), F.col("o_orderkey").cast("string").alias("key"), F.lit("Unknown").alias("kind"), F.array("n_name").alias("affected_keys"))
+    rows = measures.assemble(measures.fan(dependencies), measures.cycles(dependencies), measures.reverse_impact(dependencies), measures.gap_counts(gaps))
+    told = F.array_join(F.transform("reverse_impact", lambda x: F.concat_ws(":", x["depth"], x["dependent"])), ",")
+    return rows.select("entity", "fan_in", "fan_out", "cross_component_edges", F.array_join("cycles", ",").alias("cycles"), told.alias("reverse_impact"), "gaps_unknown")
+
+
+# --- rows: dedup, conflicts, integrity -------------------------------------------------------
+
+
+@query("SELECT user_id, bool_and(event_type = 'error') AS only_errors, count(*) AS events FROM events GROUP BY 1")
+def all_test_only(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type") == "error").alias("only_errors"), F.count("*").alias("events"))
+
+
+@query("SELECT sha256(text) AS digest, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def shape_conflict(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("digest"), "source")
+    return docs.groupBy("digest").agg(F.count_distinct("source").alias("sources")).where("sources > 1")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS digest, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
+def keep_first(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "doc_id", "source")
+    return retain.keep_first(docs, ["digest"], [F.col("doc_id")])
+
+
+@query("SELECT (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)) AS broken_parts, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS broken_orders")
+def integrity_anti(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
+    parts = read(spark, sf_dir, "part").where("p_size > 1").select(F.col("p_partkey").alias("l_partkey"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    broken = lines.join(parts, "l_partkey", "left_anti").agg(F.count("*").alias("broken_parts"))
+    return broken.crossJoin(lines.join(orders, "l_orderkey", "left_anti").agg(F.count("*").alias("broken_orders")))
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR l.quality = 1 GROUP BY 1")
+def semi_or_anti(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    return retain.semi_or_unknown(docs, labels.where("quality = 1"), labels, "doc_id").distinct()
+
+
+# --- identity, indexes and shards ------------------------------------------------------------
+
+
+@query("""
+SELECT s_suppkey, 'ent_' || lpad(lower(to_base(('0x' || substr(sha256('entity:' || s_name), 1, 10))::BIGINT, 32)), 8, '0')
+       || lpad(lower(to_base(('0x' || substr(sha256('entity:' || s_name), 11, 10))::BIGINT, 32)), 8, '0') AS public_id FROM supplier""")
+def public_ids(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", identity.public_id("ent", F.concat(F.lit("entity:"), F.col("s_name"))).alias("public_id"))
+
+
+HANDLES_SQL = "SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1 AS ordinal, lower(to_base(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1, 36)) AS handle FROM (SELECT DISTINCT c_nationkey, c_name FROM customer)"
+
+
+@query(HANDLES_SQL)
+def local_handles(spark, sf_dir):
+    return index.dictionary(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_name")
+
+
+def _ordered_dependencies(spark, sf_dir) -> DataFrame:
+    rows = line_dependencies(spark, sf_dir, ("component",)).select("solution_key", "source", "target", "category", "occurrence_count")
+    return index.ordinals(rows, ["solution_key"], ["source", "target", "category"])
+
+
+ORDERED_SQL = LINES_SQL + ", ordered AS (SELECT *, row_number() OVER (ORDER BY source, target, category) - 1 AS ordinal FROM dependencies WHERE scope = 'component')\n"
+
+
+def _index(spark, sf_dir, key: str) -> DataFrame:
+    found = index.inverted(_ordered_dependencies(spark, sf_dir), key, ["solution_key"])
+    return found.select(F.col(key).alias("key"), F.array_join(found["ordinals"].cast("array<string>"), ",").alias("ordinals"), F.array_join("categories", ",").alias("categories"))
+
+
+def _index_sql(key: str) -> str:
+    return ORDERED_SQL + f"SELECT {key} AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM ordered GROUP BY 1"
+
+
+@query(_index_sql("source"))
+def nav_outgoing(spark, sf_dir):
+    return _index(spark, sf_dir, "source")
+
+
+@query(_index_sql("target"))
+def nav_incoming(spark, sf_dir):
+    return _index(spark, sf_dir, "target")
+
+
+@query(ORDERED_SQL + "SELECT source AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals FROM ordered WHERE category = 'R' GROUP BY 1")
+def nav_category(spark, sf_dir):
+    found = index.inverted(_ordered_dependencies(spark, sf_dir).where("category = 'R'"), "source", ["solution_key"])
+    return found.select(F.col("source").alias("key"), F.array_join(found["ordinals"].cast("array<string>"), ",").alias("ordinals"))
+
+
+@query(LINES_SQL + "SELECT source, target, category, occurrence_count FROM dependencies WHERE scope = 'component'")
+def encode_decode_roundtrip(spark, sf_dir):
+    rows = _ordered_dependencies(spark, sf_dir).drop("ordinal")
+    words = index.dictionary(rows.select("solution_key", F.col("source").alias("key")).unionByName(rows.select("solution_key", F.col("target").alias("key"))), ["solution_key"], "key")
+    for way in (index.encoded, index.decoded):
+        for column in ("source", "target"):
+            rows = way(rows, words, ["solution_key"], column)
+    return rows.select("source", "target", "category", "occurrence_count")
+
+
+SHARDS_SQL = """
+WITH RECURSIVE records AS (SELECT 'documents' AS family, doc_id, least(strlen(coalesce(text, '')), 98304)::BIGINT AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+packed AS (
+  SELECT family, doc_id, size, r, size AS used, 0::BIGINT AS shard FROM records WHERE r = 1 UNION ALL
+  SELECT n.family, n.doc_id, n.size, n.r, CASE WHEN p.used + n.size > 65536 THEN n.size ELSE p.used + n.size END, p.shard + (p.used + n.size > 65536)::BIGINT
+  FROM packed p JOIN records n ON n.r = p.r + 1),
+ranges AS (SELECT family, shard, count(*) AS records, sum(size)::BIGINT AS bytes, min(r) - 1 AS first FROM packed GROUP BY ALL)
+"""
+
+
+def _packed(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id", F.least(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(index.SHARD_CEILING)).alias("size"))
+    return index.pack_shards(docs, "family", "doc_id", "size")
+
+
+@query(SHARDS_SQL + "SELECT doc_id, size, shard FROM packed")
+def shard_pack(spark, sf_dir):
+    return _packed(spark, sf_dir).select("doc_id", "size", "shard")
+
+
+@query(SHARDS_SQL + "SELECT shard, records, bytes, first FROM ranges")
+def shard_ranges(spark, sf_dir):
+    return index.shard_ranges(_packed(spark, sf_dir), "family").select("shard", "records", "bytes", "first")
+
+
+@query(SHARDS_SQL + "SELECT r - 1 AS ordinal, shard FROM packed WHERE (r - 1) % 7 = 0")
+def shard_lookup(spark, sf_dir):
+    ranges = index.shard_ranges(_packed(spark, sf_dir), "family")
+    asked = index.ordinals(read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id"), ["family"], ["doc_id"]).where("ordinal % 7 = 0")
+    return index.shard_of(asked, ranges, "family").select("ordinal", "shard")
+
+
+@query("SELECT 0::BIGINT AS unsorted, 0::BIGINT AS broken")
+def sorted_check(spark, sf_dir):
+    """Both counts are of defects, which the packer and the dictionary must not make."""
+    handles = local_handles(spark, sf_dir)
+    unsorted = index.unsorted_rows(handles, ["c_nationkey"], "ordinal", "c_name").agg(F.count("*").alias("unsorted"))
+    broken = index.broken_ranges(index.shard_ranges(_packed(spark, sf_dir), "family"), "family").agg(F.count("*").alias("broken"))
+    return unsorted.crossJoin(broken)
+
+
+# --- predicates ------------------------------------------------------------------------------
+
+PATHS = {".cs": 0, "/x.csproj": 1, "/appsettings.Dev.json": 2, ".html": 3}
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    """A path for each page: its URL's own, with an ending by its id."""
+    ending = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("page_id") % len(PATHS) + 1).cast("int"))
+    middle = F.when(F.col("page_id") % 9 == 0, "/Tests").when(F.col("page_id") % 9 == 1, "/App.UnitTests").otherwise("")
+    own = F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1)
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("src"), middle, F.lit("/"), own, ending).alias("path"))
+
+
+PATHS_SQL = f"""
+WITH paths AS (SELECT page_id, 'src' || CASE page_id % 9 WHEN 0 THEN '/Tests' WHEN 1 THEN '/App.UnitTests' ELSE '' END || '/' || regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1)
+  || {list(PATHS)!r}[(page_id % {len(PATHS)} + 1)::INT] AS path FROM pages), named AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM paths)
+"""
+
+
+@query(PATHS_SQL + """SELECT page_id, CASE WHEN lower(name) LIKE '%.cs' THEN 'CSharpSource' WHEN lower(name) LIKE '%.csproj' THEN 'ProjectFile'
+ WHEN lower(name) LIKE 'appsettings%.json' THEN 'Configuration' ELSE 'Unsupported' END AS kind FROM named""")
+def classify_path(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", predicates.source_kind(F.col("path")).alias("kind"))
+
+
+@query(PATHS_SQL + "SELECT page_id, regexp_matches(lower(path), '(^|/)(test|tests|testes|[^/]*\\.(tests|unittests|integrationtests|testes))(/|$)') AS is_test FROM named")
+def test_path(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", predicates.is_test_path(F.col("path")).alias("is_test"))
+
+
+@query("SELECT doc_id, coalesce(text <> '' AND NOT regexp_matches(text, '[\\r\\n\\t]|^\\s|\\s$|  '), false) AS canonical FROM documents")
+def canonical_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", predicates.is_canonical_text(F.col("text")).alias("canonical"))
+
+
+@query(PATHS_SQL + "SELECT page_id, NOT regexp_matches(path, '(^|/)(\\.|\\.\\.|)(/|$)|^[A-Za-z]:|\\\\') AS is_safe FROM named")
+def safe_path(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", predicates.is_safe_relative(F.col("path")).alias("is_safe"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(password|secret|token|apikey|api_key)\\s*[:=]') THEN 'secret' WHEN starts_with(text, '/') OR starts_with(text, '\\\\') THEN 'absolute-path'
+ WHEN contains(text, '..') OR contains(text, '\\') THEN 'path-escape' ELSE 'retained' END AS disposition FROM documents""")
+def secret_disposition(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", predicates.disposition(F.col("text")).alias("disposition"))
+
+
+# --- artifacts -------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_digest, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents")
+def content_digest(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("content_digest"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+@query("SELECT page_id, href, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL")
+def link_edges(spark, sf_dir):
+    links = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return links.groupBy("page_id", "href").agg(F.count("*").alias("links"))
+
+
+COST_SQL = """WITH reads AS (SELECT DISTINCT source, sha256(coalesce(text, '')) AS path, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents),
+costs AS (SELECT source AS journey, count(*) AS reads, sum(bytes)::BIGINT AS bytes, ceil(sum(bytes) / 4.0)::BIGINT AS tokens FROM reads GROUP BY 1)
+"""
+
+
+@query(COST_SQL + "SELECT * FROM costs")
+def journey_cost(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    reads = read(spark, sf_dir, "documents").select(F.col("source").alias("journey"), F.sha2(text, 256).alias("path"), F.octet_length(text).cast("long").alias("bytes")).dropDuplicates(["journey", "path"])
+    return reads.groupBy("journey").agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes")).withColumn("tokens", predicates.tokens_of_bytes(F.col("bytes")))
+
+
+@query(COST_SQL + """, ceilings(name, reads, tokens) AS (VALUES ('src0', 20, 12000), ('src1', 100, 25000), ('src2', 1000, 900000)),
+applied AS (SELECT c.*, coalesce(l.reads, 60) AS most_reads, least(coalesce(l.tokens, 40000), 200000) AS most_tokens, coalesce(l.name, 'default') AS ceiling FROM costs c LEFT JOIN ceilings l ON journey = name)
+SELECT journey, ceiling, CASE WHEN tokens = 0 THEN 'NotApplicable' WHEN reads > most_reads THEN 'Failed:reads' WHEN tokens > most_tokens THEN 'Failed:tokens' ELSE 'Certified' END AS status FROM applied""")
+def budget_status(spark, sf_dir):
+    ceilings = spark.createDataFrame([("src0", 20, 12000), ("src1", 100, 25000), ("src2", 1000, 900000)], "journey string, own_reads int, own_tokens int")
+    rows = journey_cost(spark, sf_dir).join(ceilings, "journey", "left")
+    reads, tokens = F.coalesce("own_reads", F.lit(60)), F.least(F.coalesce("own_tokens", F.lit(40000)), F.lit(200000))
+    status = F.when(F.col("tokens") == 0, "NotApplicable").when(F.col("reads") > reads, "Failed:reads").when(F.col("tokens") > tokens, "Failed:tokens").otherwise("Certified")
+    return rows.select("journey", F.when(F.col("own_reads").isNull(), "default").otherwise(F.col("journey")).alias("ceiling"), status.alias("status"))
+
+
+@query("SELECT coalesce(source, 'total') AS family, count(*) AS artifacts, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY GROUPING SETS ((source), ())")
+def family_rollup(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return rows.rollup("source").agg(F.count("*").alias("artifacts"), F.sum("bytes").alias("bytes")).select(F.coalesce("source", F.lit("total")).alias("family"), "artifacts", "bytes")
+
+
+@query("""WITH parts AS (SELECT doc_id // 1000 AS part, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1)
+SELECT sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS package_digest, count(*) AS parts FROM parts""")
+def package_digest(spark, sf_dir):
+    """Two levels, so that no task joins more than a thousand lines and the last one a line per thousand."""
+    lines = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.concat_ws(":", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("line"))
+
+    def digest(order: str) -> DataFrame:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n"), 256)
+
+    parts = lines.groupBy("part").agg(digest("doc_id").alias("digest")).select("part", F.concat_ws(":", "part", "digest").alias("line"))
+    return parts.agg(digest("part").alias("package_digest"), F.count("*").alias("parts"))
+
+
+@query(LINES_SQL + """, own AS (SELECT source AS entity, '- to [' || target || '](' || target || '.md): ' || category || ' x' || occurrence_count AS line FROM dependencies WHERE scope = 'deploymentunit'),
+others AS (SELECT target AS entity, '- from [' || source || '](' || source || '.md): ' || category || ' x' || occurrence_count AS line FROM dependencies WHERE scope = 'deploymentunit')
+SELECT r_name AS entity, '# ' || r_name || chr(10) || chr(10) || '## Outgoing' || chr(10) || coalesce((SELECT string_agg(line, chr(10) ORDER BY line) FROM own WHERE entity = r_name), '') || chr(10) || chr(10)
+ || '## Incoming' || chr(10) || coalesce((SELECT string_agg(line, chr(10) ORDER BY line) FROM others WHERE entity = r_name), '') || chr(10) AS page FROM region""")
+def markdown_pages(spark, sf_dir):
+    rows = line_dependencies(spark, sf_dir, ("deploymentunit",))
+
+    def lines(own: str, other: str, word: str) -> DataFrame:
+        name = predicates.escaped_markdown(F.col(other))
+        line = F.concat(F.lit(f"- {word} ["), name, F.lit("]("), F.col(other), F.lit(".md): "), "category", F.lit(" x"), F.col("occurrence_count").cast("string"))
+        return rows.groupBy(F.col(own).alias("entity")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias(word))
+
+    pages = read(spark, sf_dir, "region").select(F.col("r_name").alias("entity")).join(lines("source", "target", "to"), "entity", "left").join(lines("target", "source", "from"), "entity", "left")
+    page = F.concat(F.lit("# "), "entity", F.lit("\n\n## Outgoing\n"), F.coalesce("to", F.lit("")), F.lit("\n\n## Incoming\n"), F.coalesce("from", F.lit("")), F.lit("\n"))
+    return pages.select("entity", page.alias("page"))
+
+
+@query()
+def extract_symbols(spark, sf_dir):
+    """Capitalised words of conversations as declared symbols, with their first quoted text."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = rows.select("conv_id", "turn", F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1)))).alias("place", "symbol"), predicates.first_literal(F.col("text")).alias("literal"))
+    return found.select("conv_id", "turn", "place", "symbol", "literal")
