@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame
 
 _done: set[str] = set()
 
+#: Rows and bytes of the batches that go to Python workers, where the session has Spark's own defaults: texts are long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
 
 def shipped(df: DataFrame) -> DataFrame:
     """``df``, after handing the package to Spark's own file server, once per application."""
+    for key, (usual, own) in BATCHES.items():
+        if df.sparkSession.conf.get(key, usual) == usual:
+            df.sparkSession.conf.set(key, own)
     context = df.sparkSession.sparkContext
     if context.applicationId not in _done:
         here = Path(__file__).resolve().parent
