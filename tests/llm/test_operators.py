@@ -1,0 +1,458 @@
+"""Each operator against a brute-force version, and on odd rows: nulls, empty and long texts, ties, repeats, no rows, other columns."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import compare
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+from ledgerline.llm import bpe, components, exact_dedup, language_id, license_scan, ngram_join, packing, quality_ranker, queries, repetition, url_rules, warc_revisit
+
+SF = "/root/testdata/sf0.001"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The small table's documents, with rows of every odd kind."""
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [
+        (10_001, None, None, None, None), (10_002, "", "en", "x", 0), (10_003, " \t\n ", "en", "x", 4), (10_004, "a", "en", "x", 1), (10_005, "a b", "en", "x", 3), (10_006, "A b", "en", "x", 3), (10_007, "1 2 3 ...", "en", "x", 9),
+        (10_008, "word " * 30_000, "en", "x", 150_000), (10_009, "x" * 50_000, "en", "x", 50_000), (10_010, "same text here\n" * 4, "en", "x", 60), (10_011, "same text here\n" * 4, "en", "x", 60), (10_011, "same text here\n" * 4, "en", "x", 60),
+        (None, "same text here\n" * 4, "en", "x", 60), (None, "no id at all, only words", None, "x", 24), (10_012, "Released under the MIT License, mit license MIT LICENSE", "en", "x", 50), (10_013, "It's <|endoftext|>naïve ΑΣ 日本 İ\x1c\x85b", "fr", "x", 20), (10_014, "# * $ % & | < >" * 9, "en", "x", 99),
+    ]
+    return own.unionByName(spark.createDataFrame(odd, SCHEMA)).repartition(3, "doc_id").cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def with_clashes(df):
+    """Columns whose names the operators use themselves."""
+    return df.withColumns({c: F.lit("?") for c in ("digest", "salt", "score", "rank", "a", "b", "member", "keep_id", "low", "line", "ids", "n", "features", "rejected", "own_digest", "component_id", "fold")})
+
+
+# --- queries with SQL ---
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    compare.assert_same(queries.QUERIES[name](spark, SF), compare.connection(SF), queries.ORACLE_SQL[name])
+
+
+def test_every_operator_has_a_query():
+    names = entry.queries()
+    assert "pipeline" in names
+    assert all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 11))
+
+
+# --- 1 and 9: tokens ---
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def test_ids_and_decoded_text_equal_the_library(docs, rows, library):
+    expected = Counter()
+    for doc_id, text in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        told = library.decode(ids, skip_special_tokens=False)
+        expected[doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(told.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, bpe.encode_digests(with_clashes(docs), VOCABULARY).collect())) == expected
+
+
+def test_random_text_encodes_as_the_library_does(library):
+    own, rnd = bpe.encoder(VOCABULARY), random.Random(3)
+    texts = ["".join(chr(rnd.choice((rnd.randrange(32, 127), rnd.randrange(0x20, 0x2FFF), rnd.randrange(0x1F000, 0x1FAFF)))) for _ in range(60)) for _ in range(300)]
+    texts += ["ab" * 500, "aaaa" * 100 + " b", "x'll'RE 'd'", "<|startoftext|><|endoftext|> <|endoftext"]
+    for text in texts:
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert own.decode(own.encode(text)) == library.decode(own.encode(text).tolist(), skip_special_tokens=False)
+
+
+def test_forgetting_runs_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    own = bpe.WordBpe(VOCABULARY)
+    for text in ("one two three four five six " * 3, "seven eight nine ten eleven twelve one two", "a b c d e f g h i j k l m n o p q r s t u v"):
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_with_their_ids(docs, rows, library):
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in bpe.encode_documents(docs, VOCABULARY).collect())
+    assert got == Counter((d, tuple(library.encode(t, add_special_tokens=False).ids)) for d, t in rows)
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_pieces_cover_documents_and_sequences(docs, rows, library, block):
+    pieces = packing.pack_documents(with_clashes(docs), VOCABULARY, block=block).collect()
+    whole = Counter()
+    for doc_id, text in rows:
+        whole[doc_id] += len(library.encode(text, add_special_tokens=False).ids) + 1
+    found = defaultdict(int)
+    for p in pieces:
+        found[p["doc_id"]] += p["length"]
+    assert dict(found) == dict(whole)
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p["sequence_id"]].append((p["offset"], p["length"], p["sequence_tokens"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length, _ in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at == parts[0][2] <= 4096 and at & (at - 1) == 0
+
+
+def test_pieces_hold_the_documents_ids(spark, library):
+    df = spark.createDataFrame([(i, f"some words of number {i} " * (i * 40 + 1)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    by_doc = defaultdict(list)
+    for p in packing.pack_documents(df, VOCABULARY, keep_ids=True).collect():
+        assert zlib.crc32(struct.pack(f"<{p['length']}I", *p["ids"])) == p["ids_crc32"]
+        by_doc[p["doc_id"]].append((p["start"], p["ids"], p["doc_tokens"]))
+    for r in df.collect():
+        ids = library.encode(r["text"], add_special_tokens=False).ids + [2]
+        assert [i for _, own, _ in sorted(by_doc[r["doc_id"]]) for i in own] == ids
+        assert {n for *_, n in by_doc[r["doc_id"]]} == {len(ids)}
+
+
+def test_costs_are_balanced():
+    rnd = random.Random(1)
+    packer = packing.Packer()
+    pieces = [p for k in range(3000) for p in packer.add(k, rnd.randrange(1, 2000))] + list(packer.finish())
+    cost = defaultdict(float)
+    for _, _, n, sequence, _, size in pieces:
+        if size == 4096:
+            cost[sequence] += n + n * n / 4096
+    values = sorted(cost.values())
+    assert values[-1] / values[0] < 1.6
+
+
+def test_packing_nothing(nothing):
+    assert packing.pack_documents(nothing, VOCABULARY).isEmpty()
+    with pytest.raises(ValueError):
+        packing.Packer(1000)
+
+
+# --- 2 ---
+
+
+@pytest.mark.parametrize("digest,hot,salts", [(exact_dedup.sha256, 512, 64), (lambda c: F.length(c) % 7, 8, 3), (lambda c: F.lit("one"), 4, 5)])
+def test_dedup_compares_texts_whatever_the_digest(docs, rows, digest, hot, salts):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[text].append(doc_id)
+    largest = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    expected = Counter((d, largest[t], len(groups[t])) for d, t in rows)
+    got = exact_dedup.duplicates(with_clashes(docs), digest, hot, salts).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == expected
+    assert sum(r["kept"] for r in got) == len(groups)
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+def test_dropping_leaves_one_row_for_each_text(docs, rows):
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted({t for _, t in rows})
+
+
+def test_dedup_of_nothing(nothing):
+    assert exact_dedup.duplicates(nothing).isEmpty()
+    assert exact_dedup.drop_duplicates(nothing).isEmpty()
+
+
+# --- 3 ---
+
+
+def brute_licenses(text):
+    low = text.translate(LOWER)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places, base = [], set()
+    for phrase, label in license_scan.PHRASES:
+        p = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += at
+        base |= {label} if at else set()
+    labels, best = set(base), 1.0 if base else 0.0
+    for line in low.split("\n"):
+        held = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+        for t in license_scan.TEMPLATES:
+            share = len(held & set(t.words)) / len(t.words)
+            if share >= license_scan.THRESHOLD:
+                labels.add(t.label)
+                best = max(best, share)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best
+
+
+def test_licenses_equal_brute_force(spark, docs):
+    rnd = random.Random(5)
+    pool = sorted({w for t in license_scan.TEMPLATES for w in t.words} | {"zebra", "apache", "mit", "license", "general", "public"})
+    texts = ["\n".join(" ".join(rnd.choices(pool, k=rnd.randrange(30))) for _ in range(4)) for _ in range(150)] + [t.text.upper() + "!" for t in license_scan.TEMPLATES] + ["mit license mit license", "mit-license,MIT\nLicense", "mitlicense", None, ""]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(20_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = license_scan.scan_licenses(with_clashes(df)).drop("n_matches").collect()
+    expected = Counter((r["doc_id"], *brute_licenses(r["text"] or "")) for r in df.collect())
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) for r in got) == expected
+
+
+def test_licenses_of_nothing(nothing):
+    assert license_scan.scan_licenses(nothing).isEmpty()
+
+
+# --- 4 ---
+
+
+def test_revisits_take_the_latest_earlier_response(spark):
+    rnd = random.Random(2)
+    urls = ["http://A.example/x", "https://www.a.example:443/x/#f", "http://b.example/?b=2&a=1&utm_source=z", "http://b.example/?a=1&b=2", None, ""]
+    caps = [(i, rnd.choice(urls), rnd.choice([None, rnd.randrange(40)]) if rnd.random() < 0.1 else rnd.randrange(40), rnd.random() < 0.5, rnd.choice([None, '"1"', 'W/"1"', '"2"']), rnd.choice([None, "d1", "d2"]), None, {"ETag": "x", "Server": "a", "DATE": str(i)} if rnd.random() < 0.8 else None) for i in range(400)]
+    caps += [caps[0], (None, urls[0], 39, True, None, None, None, None)]
+    df = spark.createDataFrame(caps, warc_revisit.CAPTURES)
+    names = {urls[0]: "a.example/x", urls[1]: "a.example/x", urls[2]: "b.example?a=1&b=2", urls[3]: "b.example?a=1&b=2", None: None, "": None}
+    expected = []
+    for i, url, t, revisit, tag, date, _, _ in caps:
+        if not revisit:
+            continue
+        before = [(c[2], c[0]) for c in caps if not c[3] and names[c[1]] and names[c[1]] == names[url] and c[2] is not None and t is not None and c[2] < t]
+        found = next(c for c in caps if c[0] == max(before)[1]) if before else None
+        same_tag = None if found is None or tag is None or found[4] is None else tag.removeprefix("W/") == found[4].removeprefix("W/")
+        same_date = None if found is None or date is None or found[5] is None else date == found[5]
+        outcome = "no earlier response" if found is None else "other entity tag" if same_tag is False else "other modification date" if same_date is False else "no common validator" if same_tag is None and same_date is None else "resolved"
+        expected.append((i, names[url], found[0] if outcome == "resolved" else None, outcome))
+    got = warc_revisit.resolve_revisits(df, bucket=7)
+    assert Counter(map(tuple, got.select("record_id", "canonical", "response_id", "outcome").collect())) == Counter(expected)
+    assert warc_revisit.resolve_revisits(df.limit(0)).isEmpty()
+
+
+def test_only_permitted_headers_are_merged(spark):
+    df = spark.createDataFrame([({"ETag": "1", "Content-Type": "a", "content-length": "5", "Etag": "0"}, {"etag": "2", "Content-Length": "0", "Date": "d", "Connection": "close"})], "r map<string,string>, v map<string,string>")
+    merged = df.select(warc_revisit.merged_headers(F.col("r"), F.col("v")).alias("m")).first()["m"]
+    assert merged == {"etag": "2", "content-type": "a", "content-length": "5", "date": "d"}
+
+
+# --- 5 ---
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op5_quality_ranker(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    r = got.where("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("right"), F.count("*").alias("n")).first()
+    assert r["n"] > 50 and r["right"] > 0.95
+    assert got.where("score < 0 or score > 1 or score is null").isEmpty()
+    assert got.where("predicted != cast(score >= 0.3 as int)").isEmpty()
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got.collect())
+
+
+def test_quality_of_odd_rows(spark, docs, nothing):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    odd = labels.unionByName(spark.createDataFrame([(None, 1, 0), (10_004, None, 0), (10_005, 0, 0), (10_005, 1, 0)], "doc_id long, quality int, toxic int").select([F.col(c).cast(labels.schema[c].dataType) for c in labels.columns]))
+    assert quality_ranker.ranked(with_clashes(docs), odd).count() == docs.count()
+    assert quality_ranker.ranked(nothing, labels).isEmpty()
+    unknown = quality_ranker.ranked(docs, labels.limit(0))
+    assert {r["score"] for r in unknown.select("score").distinct().collect()} == {0.5}
+
+
+def test_ranks_order_pairs_and_the_quantile_cuts():
+    rnd = np.random.default_rng(0)
+    good, bad = rnd.normal(1, 1, (300, 4)), rnd.normal(-1, 1, (100, 4))
+    model = quality_ranker.fit(good, bad, 0.25)
+    both = np.concatenate((good, bad))
+    assert abs((model.scores(both) < 0.3).mean() - 0.25) < 0.02
+    assert (model.ranks(good)[:, None] > model.ranks(bad)[None, :]).mean() > 0.95
+
+
+# --- 6 ---
+
+
+def brute_components(rows, shingle, percent):
+    sets = []
+    for _, text in rows:
+        w = WORD.findall(text.translate(LOWER))
+        sets.append(frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * (n := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - n):
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        least[root(i)].append(doc_id)
+    return Counter((doc_id, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None)) for i, (doc_id, _) in enumerate(rows))
+
+
+def near_copies(seed, n=150):
+    rnd = random.Random(seed)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(rnd.choice((4, 30, 60, 120)))] for _ in range(6)]
+    passage = [f"p{i}" for i in range(25)]
+    out = []
+    for i in range(n):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.choice((0, 0, 1, 1, 2, 4))):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10_000)}"
+        if rnd.random() < 0.3:
+            words = passage + words
+        out.append((i, rnd.choice((" ", "\n", "\t ")).join(words)))
+    return out
+
+
+@pytest.mark.parametrize("seed,shingle,percent,light", [(0, 3, 90, 64), (1, 3, 90, 2), (2, 5, 80, 4), (3, 1, 60, 3)])
+def test_groups_equal_brute_force(spark, monkeypatch, seed, shingle, percent, light):
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 600)
+    rows = near_copies(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, ngram_join.similar_groups(df, shingle, percent, light).collect())) == brute_components(rows, shingle, percent)
+
+
+def test_groups_of_odd_rows(docs, rows, nothing):
+    assert Counter(map(tuple, ngram_join.similar_groups(with_clashes(docs)).collect())) == brute_components(rows, 3, 90)
+    assert ngram_join.similar_groups(nothing).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_connected_components(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [(rnd.randrange(-60, 60), rnd.randrange(-60, 60)) for _ in range(50)] + [(1000 + i, 1001 + i) for i in range(40)] + [(None, 1), (5, 5), (-(2**63), 2**63 - 1)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(pairs, "x long, y long"), "x", "y").collect()}
+    assert got == {x: root(x) for x in list(parent)}
+
+
+# --- 7 ---
+
+
+def test_only_candidates_run_and_verdicts_equal_all_rules():
+    rules = [*url_rules.SITES, *url_rules.PATTERNS, url_rules.site_rule("block", "io"), url_rules.Rule("any", "block", r".*\?never", ())]
+    index = url_rules.RuleIndex(rules, {"com": 1000, "en": 900, "example": 800, "net": 5})
+    rnd = random.Random(4)
+    hosts = ["example.com", "a.example.com", "badexample.com", "x.net", "example.net", "casino.org", "mycasino.org", "x.io", "io", "", "com", "EXAMPLE.com"]
+    urls = [f"http://{rnd.choice(hosts)}{rnd.choice(('/', ':80/', ''))}{rnd.choice(('en/7', 'en/', 'de/8x', 'de/', 'es/', 'Casino/x', 'poker-night'))}{rnd.choice(('?q=casino', '#f', ''))}" for _ in range(400)] + [None, "", "nothing", "://", "a://b://c"]
+    ran = 0
+    for url in urls:
+        host, path = url_rules.host_and_path(url)
+        site, verdict, _, n = index.judge(host, path)
+        ran += n
+        fits = [r for r in url_rules.SITES if (host == (h := r.name.partition("/")[0]) or host.endswith("." + h)) and path.startswith("/" + r.name.partition("/")[2])]
+        best = max(fits, key=lambda r: len(r.name), default=None)
+        if host == "io" or host.endswith(".io"):
+            assert site == "io"
+            continue
+        assert site == (best and best.name)
+        words = re.split("[^0-9a-z]+", (host + path).lower())
+        assert verdict == (best.verdict if best else "block" if set(words) & set(url_rules.UNWANTED) else "allow"), url
+    assert ran < len(urls) * len(rules) / 3
+
+
+def test_odd_urls(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (None, "HTTP://Ä.Com/a?b"), (5, "http://h"), (5, "http://h")], "page_id long, url string").withColumn("rule", F.lit(1))
+    got = sorted(((r["page_id"] or 0), r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.filter_urls(df).collect())
+    assert got == [(0, "Ä.com", "/a", None, "allow"), (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (5, "h", "", None, "allow"), (5, "h", "", None, "allow")]
+    assert url_rules.filter_urls(df.limit(0)).isEmpty()
+    assert url_rules.filter_urls(df, []).count() == 6
+
+
+# --- 8 ---
+
+
+def brute_repetition(text):
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered), failed
+
+
+def test_repetition_equals_brute_force(spark, docs):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab \n\té\x0b\x85") for _ in range(rnd.randrange(90))) for _ in range(300)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(20_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = repetition.repetition_rules(with_clashes(df)).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter((r["doc_id"], *[r[c] for c in names]) for r in got) == Counter((r["doc_id"], *brute_repetition(r["text"] or "")) for r in df.collect())
+    assert not any(r["kept"] for r in got if r["base_failed"])
+
+
+def test_shares_are_of_characters():
+    found = repetition.measure(["aa bb cc aa bb dd\nline of text\nline of text"])
+    assert found["share_2"][0] == pytest.approx((8 + 20) / 32)
+    assert found["dup_line_share"][0] == pytest.approx(10 / 32)
+
+
+def test_repetition_of_nothing(nothing):
+    assert repetition.repetition_rules(nothing).isEmpty()
+    with pytest.raises(ValueError):
+        repetition.repetition_rules(nothing, {4: 0.1})
+
+
+# --- 10 ---
+
+
+def test_language_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op10_language_id(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    assert got.where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1) for x in got.collect())
+
+
+def test_language_of_odd_rows(docs, rows, nothing):
+    got = language_id.predictions(with_clashes(docs)).collect()
+    assert len(got) == len(rows)
+    letters = {d: any(c.isalpha() for c in t) for d, t in rows}
+    known = {"de", "en", "es", "fr"}
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["lang_pred"] in known) if letters[r["doc_id"]] else (r["lang_pred"] == "und" and r["rejected"] and r["score"] == 0)
+        assert 0 <= r["score"] <= 1
+    assert language_id.predictions(nothing).isEmpty()
+    assert {r["lang_pred"] for r in language_id.predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_far_vectors_are_rejected():
+    texts = {"en": ["the cat and the dog", "the house and the tree"], "de": ["der hund und die katze", "das haus und der baum"]}
+    counts = np.array([language_id.counted(t) for own in texts.values() for t in own], dtype=float)
+    model = language_id.fit(counts, [k for k, own in texts.items() for _ in own], clusters=2)
+    assert model.predict("the dog and the house")[0] == "en"
+    assert model.predict("жук")[2]
+    assert not model.predict("der baum und die katze")[2]
