@@ -253,7 +253,7 @@ def _blocks(heavy: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT, light: int = LIGHT) -> DataFrame:
     """Pairs (x, y) of linked classes: all between classes that share a rare prefix member, else a spanning forest."""
-    postings = _postings(docs, counts, shingle, percent)
+    postings = checkpointed(_postings(docs, counts, shingle, percent))
     shared = postings.groupBy("member").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least != most").select("member")
     kept = checkpointed(postings.join(shared, "member", "left_semi").dropDuplicates(["member", "a"]))
     sizes = kept.groupBy("member").agg(F.count("*").alias("classes"))
