@@ -37,11 +37,13 @@ from ledgerline.llm.common import MIX_1, chunks
 from ledgerline.shipping import shipped
 
 SHORT = 48
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Words merged together, and characters of the texts whose words are.
 BLOCK = 8192
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 NEVER = np.int32(2**31 - 1)
+#: Stands in no row of ids, aligned or not, as an id's upper half is 0.
+MARK = b"\xff" * 4
 #: White space as the vocabulary's normaliser takes it (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -49,8 +51,9 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 @lru_cache(maxsize=1)
 def _letters_and_numbers() -> tuple[str, str]:
     """Bodies of character classes for the Unicode categories L and N, in the Unicode version of the tokenizers library."""
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
-    runs_of = ([m[0] for m in Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(every)] for kind in "LN")
+    planes = [(a, min(a + 0x2000, sys.maxunicode + 1)) for a in range(0, sys.maxunicode + 1, 0x2000) if not 0xD800 <= a < 0xE000]
+    every = ["".join(map(chr, (c for c in range(a, b) if not 0xD800 <= c < 0xE000))) for a, b in planes]
+    runs_of = ([m[0] for part in every for m in Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(part)] for kind in "LN")
     letters, numbers = ("".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in found) for found in runs_of)
     return letters, numbers
 
@@ -229,13 +232,8 @@ class WordBpe:
         words = self.words(self.normalise("\n".join(new) + "\n"))
         distinct = list(set(words) - {"\n"})
         ids_of = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        own, k = [], 0
-        for word in words:
-            if word == "\n":
-                self.now[new[k]] = b"".join(own)
-                own, k = [], k + 1
-            else:
-                own.append(ids_of[word])
+        ids_of["\n"] = MARK
+        self.now.update(zip(new, b"".join(map(ids_of.__getitem__, words)).split(MARK), strict=False))
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
