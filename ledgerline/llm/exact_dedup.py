@@ -43,9 +43,8 @@ def text_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ho
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("digest", digest(F.col("text")))
     counts = rows.groupBy("digest").agg(F.count("*").alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total"))
     # Fewer than `hot` digests can each have more than a `hot`-th of the rows.
-    hot_digests = checkpointed(counts.crossJoin(F.broadcast(total)).where(F.col("rows") * hot > F.col("total")).where("rows > 1").select("digest"))
+    hot_digests = checkpointed(counts.where((F.col("rows") * hot > docs.count()) & (F.col("rows") > 1)).select("digest"))
     rows = rows.join(F.broadcast(hot_digests.withColumn("is_hot", F.lit(True))), "digest", "left")
     rows = rows.withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")).select("doc_id", "text", "digest", "salt", F.coalesce("is_hot", F.lit(False)).alias("is_hot"))
     salted = rows.groupBy("digest", "salt", "is_hot", "text").agg(F.max("doc_id").alias("salt_id"), F.count("*").alias("n"))
