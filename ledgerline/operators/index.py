@@ -9,20 +9,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.identity import local_handle
+from ledgerline.operators.fixpoint import checkpointed
+from ledgerline.shipping import shipped
 
 SHARD_BYTES = 64 * 1024
 EVIDENCE_SHARD_BYTES = 32 * 1024
 SHARD_CEILING = 96 * 1024
+MOST_ROUNDS = 100
+NOTHING_OPEN = (-1, 0)
 
 
-def ordinals(df: DataFrame, by: list[str], order: list, name: str = "ordinal") -> DataFrame:
-    """Places from 0 in each group's canonical order."""
+def ordinals(df: DataFrame, by: list[str], order: list[str | Column], name: str = "ordinal") -> DataFrame:
+    """Places from 0 in each group's canonical order; a group is sorted in one task, so for groups that fit one."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 
-def dictionary(keys: DataFrame, by: list[str], key: str) -> DataFrame:
+def spread_ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """As :func:`ordinals`, for groups of any size: ordered ranges are counted, and numbered each from its own begin."""
+    ranged = checkpointed(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    begins = counts.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_begin"))
+    return ordinals(ranged, [*by, "_range"], order, "_nth").join(begins, [*by, "_range"]).withColumn(name, F.col("_begin") + F.col("_nth")).select(*df.columns, name)
+
+
+def dictionary(keys: DataFrame, by: list[str], key: str, spread: bool = False) -> DataFrame:
     """Distinct keys with their ordinal and local handle."""
-    return ordinals(keys.select(*by, key).distinct(), by, [key]).withColumn("handle", local_handle(F.col("ordinal")))
+    return (spread_ordinals if spread else ordinals)(keys.select(*by, key).distinct(), by, [key]).withColumn("handle", local_handle(F.col("ordinal")))
 
 
 def encoded(df: DataFrame, words: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -45,29 +58,66 @@ def inverted(rows: DataFrame, key: str, by: list[str], ordinal: str = "ordinal",
 def pack_shards(records: DataFrame, family: str, key: str, size: str, target: int = SHARD_BYTES, ceiling: int = SHARD_CEILING) -> DataFrame:
     """Every record with the shard it goes to: in key order, a new shard begins where the target would be passed.
 
-    The order is total and each shard's begin depends on the one before, so a family is one
-    stream: it is read in order by one task, batch by batch, holding one number. Families go
-    side by side. A record over the ceiling is an error.
+    A shard's begin depends on all records before it, yet a family is packed by many tasks: the
+    table is cut into ordered chunks, each is packed from a guess of what the chunk before
+    leaves open, and chunks whose guess was wrong are packed again. As soon as two
+    packings of a chunk begin a shard at the same record they go on alike, so what a chunk
+    leaves open hardly depends on its guess and two or three rounds settle it. The driver
+    sees one row per chunk and family. A record over the ceiling is an error.
     """
-    rows = records.select(family, key, F.col(size).cast("long").alias("_size"))
-    schema = rows.drop("_size").schema.add("size", "long").add("shard", "long")
+    rows = shipped(records).select(family, key, F.col(size).cast("long").alias("size"))
+    # The chunks must be the same in every round, so they are kept.
+    rows = checkpointed(rows.repartitionByRange(F.col(family), F.col(key)).sortWithinPartitions(family, key).withColumn("chunk", F.spark_partition_id()))
+    entries: dict[tuple, tuple[int, int]] = {}  # (chunk, family): bytes and number of the shard that is open before it
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for names, chunk, used, shards in _packed(batches, entries, family, key, target, ceiling, None):
+            yield pd.DataFrame({"chunk": [chunk], "family": [names], "used": [used], "begun": [shards]})
+
+    kind = dict(rows.dtypes)[family]
+    for _ in range(MOST_ROUNDS):
+        told = sorted(rows.mapInPandas(ends, f"chunk int, family {kind}, used long, begun long").collect(), key=lambda r: r["chunk"])
+        found, open_ = {}, {}
+        for r in told:
+            before = open_.get(r["family"], NOTHING_OPEN)
+            found[r["chunk"], r["family"]] = before
+            open_[r["family"]] = (r["used"], before[1] + r["begun"])
+        if found == entries or all(found[k][0] == entries.get(k, NOTHING_OPEN)[0] for k in found):
+            break
+        entries = found
+    else:
+        raise RuntimeError("shards have not settled")
+    entries = found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, shard, used = None, 0, 0
-        for batch in batches:
-            shards = []
-            for name, own, record in zip(batch[family], batch["_size"], batch[key], strict=True):
-                if own > ceiling:
-                    raise ValueError(f"oversized-record: {record}")
-                if name != current:
-                    current, shard, used = name, 0, 0
-                elif used + own > target:
-                    shard, used = shard + 1, 0
-                used += own
-                shards.append(shard)
-            yield pd.DataFrame({family: batch[family], key: batch[key], "size": batch["_size"], "shard": shards})
-
-    return rows.repartition(family).sortWithinPartitions(family, key).mapInPandas(run, schema)
+        yield from _packed(batches, entries, family, key, target, ceiling, [family, key, "size"])
+
+    return rows.mapInPandas(run, rows.drop("chunk").schema.add("shard", "long"))
+
+
+def _packed(batches: Iterator[pd.DataFrame], entries: dict, family: str, key: str, target: int, ceiling: int, columns: list[str] | None) -> Iterator:
+    """Pack a chunk's records; yields its rows with their shards, or (``columns`` None) what each family leaves open and has begun."""
+    current = chunk = None
+    used = shard = first = 0
+    for batch in batches:
+        shards = []
+        for own_chunk, name, own, record in zip(batch["chunk"], batch[family], batch["size"], batch[key], strict=True):
+            if own > ceiling:
+                raise ValueError(f"oversized-record: {record}")
+            if chunk is None or name != current:
+                if columns is None and chunk is not None:
+                    yield current, chunk, used, shard - first
+                current, chunk = name, own_chunk
+                used, first = entries.get((chunk, name), NOTHING_OPEN)
+                shard = first  # the shard that is open where the chunk begins
+            if used >= 0 and used + own > target:
+                shard, used = shard + 1, 0
+            used = max(used, 0) + own
+            shards.append(shard)
+        if columns is not None:
+            yield batch[columns].assign(shard=shards)
+    if columns is None and chunk is not None:
+        yield current, chunk, used, shard - first
 
 
 def shard_ranges(packed: DataFrame, family: str) -> DataFrame:
@@ -77,12 +127,12 @@ def shard_ranges(packed: DataFrame, family: str) -> DataFrame:
     return shards.withColumn("first", F.coalesce(F.sum("records").over(before), F.lit(0)))
 
 
-def shard_of(ordinal_rows: DataFrame, ranges: DataFrame, family: str) -> DataFrame:
-    """Range join of ordinals to the shard that holds them: the ranges have no holes, so the last begin not after it."""
-    marks = ranges.select(family, F.col("first").alias("ordinal"), F.col("shard").alias("begins"), F.lit(0).alias("is_row"))
-    rows = ordinal_rows.select(family, "ordinal", F.lit(None).cast("long").alias("begins"), F.lit(1).alias("is_row"))
-    latest = Window.partitionBy(family).orderBy("ordinal", "is_row").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.unionByName(rows).withColumn("shard", F.last("begins", ignorenulls=True).over(latest)).where("is_row = 1").select(family, "ordinal", "shard")
+def shard_of(ordinal_rows: DataFrame, ranges: DataFrame, family: str, bucket: int = 4096) -> DataFrame:
+    """Range join of ordinals to the shard that holds them, as an equi-join on buckets of ordinals."""
+    last = F.col("first") + F.col("records") - 1
+    spans = ranges.where("records > 0").select(family, "shard", "first", last.alias("last"), F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor(last / bucket))).alias("bucket"))
+    rows = ordinal_rows.select(family, "ordinal", F.floor(F.col("ordinal") / bucket).alias("bucket"))
+    return rows.join(spans, [family, "bucket"]).where("ordinal between first and last").select(family, "ordinal", "shard")
 
 
 def unsorted_rows(df: DataFrame, by: list[str], order: str, value: Column | str) -> DataFrame:

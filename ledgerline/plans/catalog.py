@@ -9,6 +9,7 @@ and line status are category and variant; orders in status P are unconfirmed, so
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,13 +271,18 @@ def keep_first(spark, sf_dir):
     return retain.keep_first(docs, ["digest"], [F.col("doc_id")])
 
 
+def _counts(**found: DataFrame) -> DataFrame:
+    """One row with the rows of each table."""
+    marks = [df.select(F.lit(name).alias("what")) for name, df in found.items()]
+    return reduce(DataFrame.unionByName, marks).agg(*[F.count_if(F.col("what") == name).alias(name) for name in found])
+
+
 @query("SELECT (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)) AS broken_parts, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS broken_orders")
 def integrity_anti(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
     parts = read(spark, sf_dir, "part").where("p_size > 1").select(F.col("p_partkey").alias("l_partkey"))
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    broken = lines.join(parts, "l_partkey", "left_anti").agg(F.count("*").alias("broken_parts"))
-    return broken.crossJoin(lines.join(orders, "l_orderkey", "left_anti").agg(F.count("*").alias("broken_orders")))
+    return _counts(broken_parts=lines.join(parts, "l_partkey", "left_anti"), broken_orders=lines.join(orders, "l_orderkey", "left_anti"))
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR l.quality = 1 GROUP BY 1")
@@ -301,7 +307,7 @@ HANDLES_SQL = "SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nat
 
 @query(HANDLES_SQL)
 def local_handles(spark, sf_dir):
-    return index.dictionary(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_name")
+    return index.dictionary(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_name", spread=True)
 
 
 def _ordered_dependencies(spark, sf_dir) -> DataFrame:
@@ -375,7 +381,7 @@ def shard_ranges(spark, sf_dir):
 @query(SHARDS_SQL + "SELECT r - 1 AS ordinal, shard FROM packed WHERE (r - 1) % 7 = 0")
 def shard_lookup(spark, sf_dir):
     ranges = index.shard_ranges(_packed(spark, sf_dir), "family")
-    asked = index.ordinals(read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id"), ["family"], ["doc_id"]).where("ordinal % 7 = 0")
+    asked = index.spread_ordinals(read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id"), ["family"], ["doc_id"]).where("ordinal % 7 = 0")
     return index.shard_of(asked, ranges, "family").select("ordinal", "shard")
 
 
@@ -383,9 +389,7 @@ def shard_lookup(spark, sf_dir):
 def sorted_check(spark, sf_dir):
     """Both counts are of defects, which the packer and the dictionary must not make."""
     handles = local_handles(spark, sf_dir)
-    unsorted = index.unsorted_rows(handles, ["c_nationkey"], "ordinal", "c_name").agg(F.count("*").alias("unsorted"))
-    broken = index.broken_ranges(index.shard_ranges(_packed(spark, sf_dir), "family"), "family").agg(F.count("*").alias("broken"))
-    return unsorted.crossJoin(broken)
+    return _counts(unsorted=index.unsorted_rows(handles, ["c_nationkey"], "ordinal", "c_name"), broken=index.broken_ranges(index.shard_ranges(_packed(spark, sf_dir), "family"), "family"))
 
 
 # --- predicates ------------------------------------------------------------------------------

@@ -298,6 +298,12 @@ def _fields(schema: str) -> list[str]:
     return [*out, own]
 
 
+def locate(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """The entry of one key in an index: path, ordinals and categories."""
+    found = records_of(rows, f"indexes/{name}", "key string, ordinals array<bigint>, categories array<string>")
+    return found.where(F.col("key") == key).select("path", "ordinals", "categories")
+
+
 # --- validation and certification ---
 
 

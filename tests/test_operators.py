@@ -229,3 +229,27 @@ def test_empty_graph(spark):
     assert measures.fan(nothing).isEmpty()
     assert measures.cycles(nothing).isEmpty()
     assert measures.reverse_impact(nothing).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunked_packing_equals_one_stream(spark, seed):
+    rnd = random.Random(seed)
+    records = [(f"f{i % 2}", f"k{i:05d}", rnd.choice((0, 5, 30, 60, 99, 140))) for i in range(600)]
+    expected = {}
+    for family in ("f0", "f1"):
+        used = shard = count = 0
+        for _, key, size in sorted(r for r in records if r[0] == family):
+            if count and used + size > 100:
+                shard, used, count = shard + 1, 0, 0
+            used, count = used + size, count + 1
+            expected[family, key] = shard
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(records, "family string, key string, size long")
+        packed = index.pack_shards(df, "family", "key", "size", 100, 150)
+        assert packed.select(F.spark_partition_id()).distinct().count() > 5
+        assert {(r["family"], r["key"]): r["shard"] for r in packed.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -40,6 +40,13 @@ def test_dependencies_come_back_as_they_were(spark, published):
         package.records_of(package.read(spark, str(folder)), "dependencies", "ordinal bigint").collect()
 
 
+def test_an_index_leads_to_the_dependency(spark, published):
+    model, folder, _ = published
+    entry = package.locate(package.read(spark, str(folder)), "outgoing", "c1").first()
+    assert [r["target"] for r in model.dependencies.where(F.col("ordinal").isin(entry["ordinals"])).collect()] == ["c2"]
+    assert entry["categories"] == ["internal-invocation"]
+
+
 def test_pages_link_only_to_pages(spark, published):
     _, folder, _ = published
     rows = package.read(spark, str(folder)).where("family = 'Markdown'").collect()
