@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The columns of ``documents``, which filtering stages pass on.
@@ -24,12 +25,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where
     that is unset and the context has none (tests on one machine) is a temporary one used.
     """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-"))
-    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder: compressed, unlike a checkpoint, for what is large.
+
+    The table stays there after the application, as that folder's scratch files do.
+    """
+    checkpoint_folder(df.sparkSession)
+    base = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base}/ledgerline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def sampled(df: DataFrame, group: str, sizes: dict, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, those with the smallest hash of their doc_id; ``sizes`` has the groups' rows.
+
+    Rows whose hash can't be among them are dropped where they are read, so that what meets in
+    a task is about ``most`` rows of each group, whatever the table's size.
+    """
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    limits = [(k, min(1.0, 1.5 * most / n)) for k, n in sizes.items() if n]
+    if not limits:
+        return df.limit(0)
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits for x in pair]), F.col(group))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_share", "doc_id"))
+    return df.withColumn("_share", share).where(F.col("_share") <= limit).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_share", "_rank")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import MIX_1, Words, checkpointed, chunks, mixed
+from ledgerline.llm.common import MIX_1, Words, checkpointed, chunks, mixed, stored
 from ledgerline.llm.components import connected_components
 from ledgerline.shipping import shipped
 
@@ -123,7 +123,7 @@ def _summed_cells(packed: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros((max(1, (1 << bits) // width), width), dtype=np.int64)
     # Two levels, so that a block's sum doesn't wait for one task to read all of its parts.
-    salted = packed.withColumn("salt", (F.rand(1) * 16).cast("int"))
+    salted = packed.withColumn("salt", F.spark_partition_id() % 16)
     for r in salted.repartition("block", "salt").select("block", "cells").mapInArrow(run, "block int, cells binary").repartition("block").mapInArrow(run, "block int, cells binary").collect():
         out[r["block"]] += np.frombuffer(zlib.decompress(bytes(r["cells"])), "<i8")
     return out.reshape(-1)
@@ -253,7 +253,7 @@ def _blocks(heavy: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT, light: int = LIGHT) -> DataFrame:
     """Pairs (x, y) of linked classes: all between classes that share a rare prefix member, else a spanning forest."""
-    postings = checkpointed(_postings(docs, counts, shingle, percent))
+    postings = stored(_postings(docs, counts, shingle, percent))
     shared = postings.groupBy("member").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least != most").select("member")
     kept = checkpointed(postings.join(shared, "member", "left_semi").dropDuplicates(["member", "a"]))
     sizes = kept.groupBy("member").agg(F.count("*").alias("classes"))
