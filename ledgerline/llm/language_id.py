@@ -25,11 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ledgerline.llm.common import fold
+from ledgerline.llm.common import fold, sampled
 from ledgerline.shipping import shipped
 
 SIZE = 4096
@@ -129,8 +129,7 @@ def train(docs: DataFrame, where: Column) -> CentroidModel:
     if not sizes:
         return fit(np.zeros((0, SIZE)), [])
     most = min(PER_LANGUAGE, SAMPLE // len(sizes))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id").distinct()
+    ids = sampled(known.select("doc_id", "lang"), "lang", {r["lang"]: r["n"] for r in sizes}, most).select("doc_id").distinct()
 
     def run(batches):
         for batch in batches:
