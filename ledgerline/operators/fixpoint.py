@@ -102,6 +102,7 @@ def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     plain = edges.select(*by, "source", "target").distinct()
     loops = plain.where("source = target").select(*by, F.col("source").alias("node"), F.col("source").alias("component"))
     rest = checkpointed(plain.where("source != target"))
+    kind = dict(plain.dtypes)["source"]
     found = None
     for _ in range(MOST_ROUNDS):
         rest = _trimmed(rest, by)
@@ -110,12 +111,11 @@ def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         nodes = rest.select(*by, F.col("source").alias("node")).unionByName(rest.select(*by, F.col("target").alias("node"))).distinct()
         colours = checkpointed(nodes.withColumn("colour", F.col("node")))
         while True:
-            spread = rest.join(colours.withColumnRenamed("node", "source"), [*by, "source"]).select(*by, F.col("target").alias("node"), "colour")
-            new = checkpointed(colours.unionByName(spread).groupBy(*key).agg(F.min("colour").alias("colour")))
-            changed = new.join(colours.withColumnRenamed("colour", "old"), key).where("colour != old")
-            done = changed.isEmpty()
-            colours = new
-            if done:
+            spread = rest.join(colours.withColumnRenamed("node", "source"), [*by, "source"]).select(*by, F.col("target").alias("node"), "colour", F.lit(None).cast(kind).alias("own"))
+            both = colours.withColumn("own", F.col("colour")).unionByName(spread)
+            new = checkpointed(both.groupBy(*key).agg(F.min("colour").alias("colour"), F.max("own").alias("own")))
+            colours = new.select(*key, "colour")
+            if new.where("colour != own").isEmpty():
                 break
         coloured = rest.join(colours.select(*by, F.col("node").alias("source"), F.col("colour").alias("from")), [*by, "source"]).join(colours.select(*by, F.col("node").alias("target"), F.col("colour").alias("to")), [*by, "target"])
         backward = coloured.where(F.col("from") == F.col("to")).select(*by, F.col("target").alias("source"), F.col("source").alias("target"))
