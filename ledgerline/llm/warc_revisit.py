@@ -79,7 +79,10 @@ def resolve_revisits(captures: DataFrame, bucket: int = BUCKET, permitted: tuple
     rows = captures.select("record_id", "captured_at", "is_revisit", "etag", "last_modified", "payload_digest", "headers", canonical_url(F.col("url")).alias("canonical"))
     asked = rows.where("is_revisit").join(latest_earlier(rows, bucket), ["canonical", "captured_at"], "left")
     answers = rows.where("not is_revisit and record_id is not null").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), *[F.col(c).alias(f"their_{c}") for c in ("etag", "last_modified", "payload_digest", "headers")])
-    both = asked.join(answers, "response_id", "left")
+    # Revisits without an answer would all meet at the null key; a salt deals them out. Zero
+    # is written so that the optimiser does not take it for a constant and the key away.
+    asked = asked.withColumn("salt", F.when(F.col("response_id").isNull(), F.pmod(F.xxhash64("record_id", "captured_at"), F.lit(4096))).otherwise(F.lit(0)))
+    both = asked.join(answers.withColumn("salt", F.pmod("response_id", F.lit(1))), ["response_id", "salt"], "left")
 
     def weak(tag: str) -> Column:
         return F.regexp_replace(tag, "^W/", "")
