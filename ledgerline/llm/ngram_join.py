@@ -5,7 +5,8 @@ over the whole table of fixed size (2**SKETCH_BITS cells), ties by their hash. O
 are linked, the first ``n - a + m`` members in that order (n members, a the overlap
 needed) share at least m. Each set picks its own m: the one with the lowest estimated cost,
 longer postings against fewer candidates. A pair needs as many shared prefix members as
-the smaller of its two m before it is verified on the whole sets.
+the smaller of its two m, and as many as its two sizes ask for beyond what can stand behind
+the prefixes (:func:`needed_matches`), before it is verified on the whole sets.
 
 1. One pass makes each text's set digest and the sketch; equal sets are one class from here on.
 2. A second pass writes the prefixes; members that one class alone has are dropped.
@@ -30,7 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import MIX_1, Words, checkpointed, chunks, mixed, stored
@@ -94,6 +95,18 @@ def prefix(members: np.ndarray, levels: np.ndarray, frequent: np.ndarray, percen
     return members[order[: base + ell]], ell
 
 
+def needed_matches(percent: int = PERCENT) -> Column:
+    """Prefix members that a pair of sets (n_x, matches_x, n_y, matches_y) must share to be linked.
+
+    At least the smaller of the two ``matches``. And of the set whose prefix ends earlier in
+    the order, prefix members that the other has are all in the other's prefix, so the whole
+    overlap is at most the shared ones and what stands behind that prefix.
+    """
+    overlap = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
+    behind = [F.ceil(percent * F.col(f"n_{k}") / F.lit(100)) - F.col(f"matches_{k}") for k in "xy"]
+    return F.greatest(F.least("matches_x", "matches_y"), overlap - F.greatest(*behind))
+
+
 def set_digest(members: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit numbers that stand for the set."""
     n = np.uint64(len(members))
@@ -260,8 +273,8 @@ def links(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE, percent:
     rare = kept.join(sizes.where(F.col("classes") <= light), "member")
     one, two = (rare.select("member", *[F.col(c).alias(f"{c}_{k}") for c in ("a", "n", "matches")]) for k in "xy")
     compatible = (F.col("a_x") < F.col("a_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    pairs = one.join(two, "member").where(compatible).groupBy("a_x", "a_y").agg(F.count("*").alias("both"), F.min("n_x").alias("n_x"), F.min("n_y").alias("n_y"), F.min(F.least("matches_x", "matches_y")).alias("matches"))
-    pairs = checkpointed(pairs.where(F.col("both") >= F.col("matches")).select("a_x", "a_y", "n_x", "n_y"))
+    pairs = one.join(two, "member").where(compatible).groupBy("a_x", "a_y").agg(F.count("*").alias("both"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "matches_x", "matches_y")])
+    pairs = checkpointed(pairs.where(F.col("both") >= needed_matches(percent)).select("a_x", "a_y", "n_x", "n_y"))
     heavy = checkpointed(kept.join(sizes.where(F.col("classes") > light), "member", "left_semi").select("member", "a", "n"))
     wanted = pairs.select(F.col("a_x").alias("a")).unionByName(pairs.select(F.col("a_y").alias("a"))).unionByName(heavy.select("a")).distinct()
     members = checkpointed(_members(docs, checkpointed(wanted), shingle))
