@@ -385,6 +385,14 @@ def shard_lookup(spark, sf_dir):
     return index.shard_of(asked, ranges, "family").select("ordinal", "shard")
 
 
+@query(SHARDS_SQL + "SELECT r - 1 AS ordinal, shard FROM packed")
+def shard_lookup_all(spark, sf_dir):
+    """As shard_lookup, of every document."""
+    ranges = index.shard_ranges(_packed(spark, sf_dir), "family")
+    asked = index.spread_ordinals(read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id"), ["family"], ["doc_id"])
+    return index.shard_of(asked, ranges, "family").select("ordinal", "shard")
+
+
 @query("SELECT 0::BIGINT AS unsorted, 0::BIGINT AS broken")
 def sorted_check(spark, sf_dir):
     """Both counts are of defects, which the packer and the dictionary must not make."""

@@ -33,3 +33,9 @@ def test_entry(spark):
 
 def test_oracles_have_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_ordinal_is_looked_up(spark):
+    packed = catalog.QUERIES["shard_pack"](spark, SF).orderBy("doc_id").collect()
+    rows = catalog.QUERIES["shard_lookup_all"](spark, SF).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["shard"]) for r in rows] == [(i, r["shard"]) for i, r in enumerate(packed)]
