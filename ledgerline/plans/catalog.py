@@ -121,6 +121,39 @@ def top_fan_in(spark, sf_dir):
     return measures.top_fan_in(line_fans(spark, sf_dir)).select("scope", "entity", "fan_in", "fan_out")
 
 
+ALL_FANS_SQL = """, named AS (
+  SELECT scope, CASE scope WHEN 'document' THEN 'order:' || source WHEN 'project' THEN 'customer:' || source ELSE source END AS source,
+         CASE WHEN scope IN ('document', 'project') THEN 'supplier:' || target ELSE target END AS target FROM dependencies),
+ends AS (
+  SELECT scope, source AS entity, target AS fan_out_to, NULL AS fan_in_from, source <> target AS crosses FROM named UNION ALL
+  SELECT scope, target, NULL, source, false FROM named),
+fans AS (
+  SELECT scope, entity, count(DISTINCT fan_in_from) AS fan_in, count(DISTINCT fan_out_to) AS fan_out,
+         count(*) FILTER (crosses AND scope = 'component') AS cross_component_edges FROM ends GROUP BY ALL)
+"""
+
+
+def all_line_fans(spark, sf_dir) -> DataFrame:
+    """Fans of all four scopes. Ends of the two large ones are named by their kind, as keys of orders, customers and suppliers are equal numbers."""
+    scope, source, target = F.col("scope"), F.col("source"), F.col("target")
+    rows = line_dependencies(spark, sf_dir, tuple(SCOPE_ENDS))
+    sources = F.when(scope == "document", F.concat(F.lit("order:"), source)).when(scope == "project", F.concat(F.lit("customer:"), source)).otherwise(source)
+    targets = F.when(scope.isin("document", "project"), F.concat(F.lit("supplier:"), target)).otherwise(target)
+    return measures.fan(rows.withColumns({"source": sources, "target": targets}))
+
+
+@query(LINES_SQL + ALL_FANS_SQL + "SELECT * FROM fans")
+def fan_in_out_all(spark, sf_dir):
+    """As fan_in_out, of every scope."""
+    return all_line_fans(spark, sf_dir).drop("solution_key")
+
+
+@query(LINES_SQL + ALL_FANS_SQL + "SELECT scope, entity, fan_in, fan_out FROM fans ORDER BY fan_in DESC, scope, entity LIMIT 5")
+def top_fan_in_all(spark, sf_dir):
+    """As top_fan_in, over every scope."""
+    return measures.top_fan_in(all_line_fans(spark, sf_dir)).select("scope", "entity", "fan_in", "fan_out")
+
+
 @query("""
 SELECT c_custkey, n_name AS component, count(DISTINCT o_orderkey) AS documents,
        coalesce(string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus), '') AS statuses
