@@ -9,6 +9,10 @@ filter); blocks with under ``a`` template words are left out (length filter), an
 hits after which too few words remain in either (positional filter). What passes is
 verified on the whole sets, so the result is exact.
 
+With ``wrapped``, a run of as many adjacent words as the template has is a block too, wherever
+its lines end. A text's own words go through the same filters, as a run's are among them; of
+what passes, every run that begins with one of the template's words is verified.
+
 Phrases are found apart from that: every place in a text where a phrase's words stand
 consecutively.
 
@@ -45,7 +49,11 @@ class Template:
 
     @property
     def words(self) -> list[str]:
-        return sorted({w for w in "".join(c if c.isalnum() else " " for c in self.text.lower()).split()})
+        return sorted(set(self.sequence))
+
+    @property
+    def sequence(self) -> list[str]:
+        return "".join(c if c.isalnum() else " " for c in self.text.lower()).split()
 
 
 #: Short notices by which works state their licence (fixed values, public texts).
@@ -66,8 +74,8 @@ def lowered(text: Column) -> Column:
     return F.lower(text)
 
 
-def contained_templates(docs: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, block (its line from 0), label, template (its number) and containment of every match."""
+def contained_templates(docs: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """doc_id, text_hash, block (its line from 0, -1 for the best run of words), label, template (its number) and containment of every match."""
     templates = list(templates)
     words = [t.words for t in templates]
     vocabulary = sorted({w for t in words for w in t})
@@ -86,8 +94,8 @@ def contained_templates(docs: DataFrame, templates: Iterable[Template] = TEMPLAT
     for number, own in enumerate(words):
         own = sorted(own, key=place.__getitem__)
         needed = max(1, math.ceil(round(threshold * len(own), 9)))
-        index += [(w, i, number, templates[number].label, own, needed) for i, w in enumerate(own[: len(own) - needed + 1])]
-    prefixes = docs.sparkSession.createDataFrame(index, "word string, i int, template int, label string, own array<string>, needed int")
+        index += [(w, i, number, templates[number].label, own, needed, len(templates[number].sequence)) for i, w in enumerate(own[: len(own) - needed + 1])]
+    prefixes = docs.sparkSession.createDataFrame(index, "word string, i int, template int, label string, own array<string>, needed int, length int")
     if len(templates) <= BROADCAST_TEMPLATES:
         prefixes = F.broadcast(prefixes)
     least = min((x[5] for x in index), default=1)
@@ -96,9 +104,27 @@ def contained_templates(docs: DataFrame, templates: Iterable[Template] = TEMPLAT
     pairs = hits.join(prefixes, "word").where((F.size("held") >= F.col("needed")) & (left >= F.col("needed")))
     overlap = F.size(F.array_intersect("own", "held"))
     found = pairs.where(overlap >= F.col("needed")).select("doc_id", "text_hash", "block", "label", "template", (overlap / F.size("own")).alias("containment"))
+    if wrapped and index:
+        first = F.array(*[F.lit(w) for w in sorted({x[0] for x in index})])
+        texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lowered(whole_text()).alias("low"))
+        texts = texts.withColumn("held", F.array_intersect(F.array(*map(F.lit, order)), F.split("low", NOT_WORD))).where(F.size("held") >= least)
+        hits = texts.select("*", F.explode(F.array_intersect(first, "held")).alias("word")).withColumn("j", F.array_position("held", F.col("word")) - 1)
+        pairs = hits.join(prefixes, "word").where((F.size("held") >= F.col("needed")) & (left >= F.col("needed")) & (overlap >= F.col("needed")))
+        runs = pairs.select("doc_id", "text_hash", F.lit(-1).alias("block"), "label", "template", "needed", F.size("own").alias("n"), most_in_a_run().alias("most")).where("most >= needed")
+        found = found.unionByName(runs.select("doc_id", "text_hash", "block", "label", "template", (F.col("most") / F.col("n")).alias("containment")))
     return found.distinct()
 
 
+def most_in_a_run() -> Column:
+    """The most words of ``own`` in ``length`` adjacent words of ``low``; the words are bound by a lambda, so that they are split once."""
+
+    def most(words: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains("own", F.get(words, i - 1)))
+        return F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect("own", F.slice(words, i, F.col("length"))))))
+
+    return F.transform(F.array(F.array_remove(F.split("low", NOT_WORD), "")), most)[0]
+
+
 def phrase_places(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES) -> DataFrame:
     """doc_id, text_hash, n_words, n_base, first_word, last_word and base_found (labels) of every row."""
     phrases = list(phrases)
@@ -123,13 +149,13 @@ def phrase_places(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES)
     return rows.select("doc_id", "text_hash", "n_words", sum(places[1:], places[0]).cast("long").alias("n_base"), least(*firsts).alias("first_word"), most(*lasts).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base_found"))
 
 
-def scan_licenses(docs: DataFrame, templates: Iterable[Template] = TEMPLATES, phrases: Iterable[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Iterable[Template] = TEMPLATES, phrases: Iterable[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """Labels of every row: those of its phrases and those of the templates that its blocks contain.
 
     score: the largest containment of a matched template, 1 where a phrase was found, else 0.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    matched = contained_templates(docs, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count("*").alias("n_matches"))
+    matched = contained_templates(docs, templates, threshold, wrapped).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count("*").alias("n_matches"))
     base = phrase_places(docs, phrases)
     same = base["doc_id"].eqNullSafe(matched["doc_id"]) & (base["text_hash"] == matched["text_hash"])
     rows = base.join(matched, same, "left").select(base["*"], F.coalesce("found", F.array().cast("array<string>")).alias("found"), "best", F.coalesce("n_matches", F.lit(0)).alias("n_matches"))

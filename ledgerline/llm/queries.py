@@ -33,7 +33,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), wrapped=True).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def _template_rows() -> str:

@@ -214,6 +214,33 @@ def test_licenses_equal_brute_force(spark, docs):
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) for r in got) == expected
 
 
+def brute_wrapped(text):
+    """Labels and score with runs of words beside lines."""
+    *_, labels, best = brute_licenses(text)
+    words, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER)), {x for x in labels.split(",") if x}
+    for t in license_scan.TEMPLATES:
+        for i in range(len(words)):
+            share = len(set(words[i : i + len(t.sequence)]) & set(t.words)) / len(t.words)
+            if share >= license_scan.THRESHOLD:
+                labels.add(t.label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_wrapped_notices(spark, tmp_path):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    far = "Released\n" + "other words\n" * 9 + "under the MIT\n" + "other words\n" * 9 + "License"
+    rnd = random.Random(6)
+    pool = sorted({w for t in license_scan.TEMPLATES for w in t.words} | {"zebra", "other"})
+    texts = [bsd, mpl, far, None, ""] + [re.sub(" ", lambda m: rnd.choice(" \n"), rnd.choice(license_scan.TEMPLATES).text + " " + " ".join(rnd.choices(pool, k=rnd.randrange(20)))) for _ in range(40)]
+    texts += ["\n".join(" ".join(rnd.choices(pool[:15], k=rnd.randrange(8))) for _ in range(12)) for _ in range(40)] + ["\n".join(t.text.split()) for t in license_scan.TEMPLATES]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in queries.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect()}
+    assert (got[0][0], got[1][0], got[2][0]) == ("bsd", "mpl", "")
+    assert got == {i: brute_wrapped(t or "") for i, t in enumerate(texts)}
+
+
 def test_licenses_of_nothing(nothing):
     assert license_scan.scan_licenses(nothing).isEmpty()
 
