@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,52 +103,65 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 
 
 class Words:
-    """The words of a run of texts as arrays: hash, owner, byte and code point lengths.
+    """The words of a run of texts as arrays: number, owner, byte and code point lengths.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. The texts are joined by line feeds, so no word
-    spans two of them. A word's hash is a polynomial over its bytes, mixed.
+    spans two of them. Equal words, and only they, have equal numbers (``ids``) within the run.
     """
 
-    __slots__ = ("bytes", "code_points", "counts", "first", "hashes", "owner", "starts", "stops", "text_starts")
+    __slots__ = ("_halves", "bytes", "code_points", "counts", "distinct", "first", "ids", "owner", "starts", "stops", "text_starts")
 
     def __init__(self, texts: list[str], lower: bool = False):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        whole = b"\n".join(raw) + b"\n"
         if lower:
-            data = _LOWER[data]
+            whole = whole.lower()  # A-Z alone, as of all bytes
+        data = np.frombuffer(whole, dtype=np.uint8)
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
         self.text_starts = np.concatenate(([0], np.cumsum(lengths)))
         self.bytes = data
         edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data])).view(np.int8)))
         self.starts, self.stops = edges[0::2], edges[1::2]
-        lens = self.stops - self.starts
         self.owner = np.searchsorted(self.text_starts, self.starts, side="right") - 1
         self.counts = np.bincount(self.owner, minlength=len(texts))
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
-        if not len(lens):
-            self.hashes = np.zeros(0, dtype=np.uint64)
-            self.code_points = np.zeros(0, dtype=np.int64)
-            return
-        inside = np.repeat(self.starts, lens)
-        before = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        place = np.arange(int(lens.sum())) - np.repeat(before, lens)
-        letters = data[inside + place]
-        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(lens.max()), MIX_1, dtype=np.uint64))))
-        self.hashes = mixed(np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * powers[place], before) + lens.astype(np.uint64))
-        self.code_points = np.add.reduceat(((letters & 0xC0) != 0x80).astype(np.int64), before)
+        found = whole.split()  # at the same six characters
+        number = {w: i for i, w in enumerate(dict.fromkeys(found))}
+        self.ids = np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found))
+        self.distinct = list(number)
+        self.code_points = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in self.distinct), dtype=np.int64, count=len(number))[self.ids]
+        self._halves: tuple[np.ndarray, np.ndarray] | None = None
+
+    @property
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each word's 128-bit hash (XXH3 of its bytes): the same in every run."""
+        if self._halves is None:
+            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.distinct)), dtype="<u8").reshape(-1, 2)
+            self._halves = both[self.ids, 0], both[self.ids, 1]
+        return self._halves
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Start positions (in words) and hashes of all runs of ``n`` words within one text."""
-        total = len(self.hashes) - n + 1
+        total = len(self.ids) - n + 1
         if total <= 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         at = np.flatnonzero(self.owner[:total] == self.owner[n - 1 :])
-        h = np.zeros(len(at), dtype=np.uint64)
+        return at, sequence_hashes(*self.hashes, at, n)
+
+    def same_windows(self, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+        """Whether the ``n`` words from x are those from y, and of the same text."""
+        same = self.owner[x] == self.owner[y]
         for k in range(n):
-            h = h * MIX_1 + self.hashes[at + k]
-        return at, mixed(h)
+            same &= self.ids[x + k] == self.ids[y + k]
+        return same
+
+
+def sequence_hashes(low: np.ndarray, high: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words from each position, of both halves of their hashes, mixed after every word."""
+    h = np.full(len(at), n, dtype=np.uint64)
+    for k in range(n):
+        h = mixed(h ^ low[at + k]) * MIX_1 + high[at + k]
+    return mixed(h)

@@ -41,11 +41,8 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_share double"
 
 
-def _repeated(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of hashes with their texts: which are found twice or more in one text, and which of these aren't the first."""
-    if not len(hashes):
-        return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
-    keys = mixed(hashes + owner.astype(np.uint64) * MIX_1)
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys: which are found twice or more, and which of these aren't the first."""
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
     more, again = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
@@ -54,17 +51,35 @@ def _repeated(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     return more, again
 
 
-def _covered(words: Words, n: int) -> np.ndarray:
-    """Which words stand inside a repeated window of n words."""
+def repeated_windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every window of n words, and whether its text has the same words in another one.
+
+    Windows meet by their rolling hash and are confirmed on the words; where one hash stands
+    for different words, all windows are numbered by their words instead.
+    """
     at, hashes = words.windows(n)
-    more, _ = _repeated(words.owner[at], hashes)
-    edges = np.zeros(len(words.hashes) + 1, dtype=np.int32)
-    np.add.at(edges, at[more], 1)
-    np.add.at(edges, at[more] + n, -1)
+    keys = mixed(hashes + words.owner[at].astype(np.uint64) * MIX_1)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    x, y = order[1:][same], order[:-1][same]
+    if words.same_windows(at[x], at[y], n).all():
+        more = np.zeros(len(at), dtype=bool)
+        more[x] = more[y] = True
+        return at, more
+    rows = np.column_stack([words.owner[at], *[words.ids[at + k] for k in range(n)]])
+    return at, _repeated(np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1))[0]
+
+
+def covered(words: Words, n: int) -> np.ndarray:
+    """Which words stand inside a repeated window of n words."""
+    at, more = repeated_windows(words, n)
+    edges = np.zeros(len(words.ids) + 1, dtype=np.int32)
+    edges[at[more]] += 1
+    edges[at[more] + n] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
-def _lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeated_lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines that have a word: owner, whether equal to an earlier line of the text, first and last word (exclusive)."""
     data = words.bytes
     ends = np.flatnonzero(data == 0x0A)
@@ -73,9 +88,9 @@ def _lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     some = first < last
     starts, ends, first, last = starts[some], ends[some], first[some], last[some]
     owner = words.owner[first]
-    raw = data.tobytes()
-    hashes = np.fromiter((hash(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.int64, count=len(starts)).astype(np.uint64)
-    _, again = _repeated(owner, hashes)
+    raw, number = data.tobytes(), {}
+    lines = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.int64, count=len(starts))
+    _, again = _repeated(owner * (len(number) + 1) + lines)
     return owner, again, first, last
 
 
@@ -91,13 +106,13 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     out["n_symbols"] = np.fromiter((len(SYMBOLS.findall(t)) for t in texts), dtype=np.int64, count=n)
     whole = np.maximum(out["word_chars"], 1)
     for k in sorted({WINDOW, *LIMITS}):
-        covered = _covered(words, k)
+        inside = covered(words, k)
         if k == WINDOW:
-            out["n_repeat_words"] = by_text(covered)
-        out[f"share_{k}"] = by_text(chars * covered) / whole
-    owner, again, first, last = _lines(words)
+            out["n_repeat_words"] = by_text(inside)
+        out[f"share_{k}"] = by_text(chars * inside) / whole
+    owner, again, first, last = repeated_lines(words)
     out["n_dup_lines"] = np.bincount(owner[again], minlength=n).astype(np.int64)
-    edges = np.zeros(len(words.hashes) + 1, dtype=np.int32)
+    edges = np.zeros(len(words.ids) + 1, dtype=np.int32)
     edges[first[again]] += 1
     np.add.at(edges, last[again], -1)
     out["dup_line_share"] = by_text(chars * (np.cumsum(edges[:-1]) > 0)) / whole

@@ -65,7 +65,8 @@ def test_words_are_those_of_the_pattern(texts):
     assert found.counts.tolist() == [len(x) for x in expected]
     assert found.code_points.tolist() == [len(w) for x in expected for w in x]
     names = [w for x in expected for w in x]
-    assert len(set(found.hashes.tolist())) == len(set(names))
+    assert len(set(zip(*[x.tolist() for x in found.hashes], strict=True))) == len(set(names))
+    assert [found.distinct[i].decode() for i in found.ids] == names
 
 
 @settings(max_examples=150, deadline=None)
@@ -83,8 +84,8 @@ SETS = st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=25), min_size=2
 @given(SETS, st.sampled_from([50, 80, 90]), st.integers(0, 2**32))
 def test_linked_sets_share_enough_prefix_members(sets, percent, seed):
     rnd = np.random.default_rng(seed)
-    levels = rnd.integers(0, 4, 1 << ngram_join.SKETCH_BITS).astype(np.uint8)
-    frequent = rnd.random(1 << ngram_join.SKETCH_BITS).astype(np.float32) * 50
+    levels = rnd.integers(0, 4, 1 << 20).astype(np.uint8)
+    frequent = rnd.random(1 << 20).astype(np.float32) * 50
     spread = [np.unique(common.mixed(np.array(sorted(s), dtype=np.uint64))) for s in sets]
     prefixes = [ngram_join.prefix(s, levels, frequent, percent) for s in spread]
     for i in range(len(sets)):
@@ -97,10 +98,23 @@ def test_linked_sets_share_enough_prefix_members(sets, percent, seed):
                 assert shared >= max(min(prefixes[i][1], prefixes[j][1]), overlap - behind)
 
 
-@settings(max_examples=100, deadline=None)
-@given(SETS, st.sampled_from([50, 80, 90]))
-def test_forest_connects_what_is_linked(sets, percent):
-    def roots(pairs):
+@settings(max_examples=150, deadline=None)
+@given(SETS, st.sampled_from([50, 80, 90, 100]), st.integers(0, 12), st.booleans())
+def test_blocks_find_every_link_of_theirs_once(sets, percent, cut, is_one):
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    before = [np.array(sorted(x for x in s if x < 3), dtype=np.uint64) for s in sets]
+    cut = min(cut, len(sets))
+    sides = [(arrays[:cut], before[:cut]), (arrays[cut:], before[cut:])]
+    whole = (arrays, before)
+    found = list(ngram_join.block_links(*((whole, None) if is_one else sides), percent))
+    pairs = [(i, j if is_one else j + cut) for i, own in found for j in own.tolist()]
+    expected = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if (j < i if is_one else i < cut <= j) and not {x for x in sets[i] & sets[j] if x < 3} and 100 * (n := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - n)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+    rows = np.arange(1, len(sets) + 1)
+    forest, counts = ngram_join.forest_and_counts(iter(found), rows, 0 if is_one else cut)
+    assert counts.tolist() == [sum(int(rows[j]) for i, j in expected if i == k) + sum(int(rows[i]) for i, j in expected if j == k) for k in range(len(sets))]
+
+    def roots(edges):
         parent = list(range(len(sets)))
 
         def root(i):
@@ -108,14 +122,11 @@ def test_forest_connects_what_is_linked(sets, percent):
                 i = parent[i]
             return i
 
-        for a, b in pairs:
-            parent[root(a)] = root(b)
+        for x, y in edges:
+            parent[root(x)] = root(y)
         return [min(k for k in range(len(sets)) if root(k) == root(i)) for i in range(len(sets))]
 
-    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (n := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - n)]
-    forest = ngram_join.forest_of_links(list(range(len(sets))), [np.array(sorted(s)) for s in sets], percent)
-    assert roots(forest) == roots(linked)
-    assert set(forest) <= set(linked)
+    assert roots(forest) == roots(expected) and {tuple(map(int, p)) for p in forest} <= expected
 
 
 @settings(max_examples=100, deadline=None)

@@ -316,7 +316,7 @@ def brute_components(rows, shingle, percent):
     for _, text in rows:
         w = WORD.findall(text.translate(LOWER))
         sets.append(frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)] if w else []))
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), Counter()
 
     def root(i):
         while parent[i] != i:
@@ -327,10 +327,11 @@ def brute_components(rows, shingle, percent):
         for j in range(i):
             if sets[i] and sets[j] and 100 * (n := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - n):
                 parent[root(i)] = root(j)
+                links.update((i, j))
     least = defaultdict(list)
     for i, (doc_id, _) in enumerate(rows):
         least[root(i)].append(doc_id)
-    return Counter((doc_id, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None)) for i, (doc_id, _) in enumerate(rows))
+    return Counter((doc_id, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None), links[i]) for i, (doc_id, _) in enumerate(rows))
 
 
 def near_copies(seed, n=150):
@@ -351,6 +352,7 @@ def near_copies(seed, n=150):
 @pytest.mark.parametrize("seed,shingle,percent,light", [(0, 3, 90, 64), (1, 3, 90, 2), (2, 5, 80, 4), (3, 1, 60, 3)])
 def test_groups_equal_brute_force(spark, monkeypatch, seed, shingle, percent, light):
     monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 600)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 9)
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert Counter(map(tuple, ngram_join.similar_groups(df, shingle, percent, light).collect())) == brute_components(rows, shingle, percent)
@@ -361,6 +363,39 @@ def test_groups_of_odd_rows(docs, rows, nothing):
     assert ngram_join.similar_groups(nothing).isEmpty()
 
 
+def alternating(k):
+    """Two words of 2**k letters that polynomials modulo 2**64 don't tell apart."""
+    one = "a"
+    for _ in range(k):
+        one += one.translate({97: 98, 98: 97})
+    return one, one.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_words_that_simple_hashes_confuse(spark, k):
+    x, y = alternating(k)
+    repeated = f"{x} one two three four {y} one two three four five six"
+    assert repetition.measure([repeated])["n_repeat_words"][0] == brute_repetition(repeated)[4] == 0
+    rows = [(1, f"{x} {y} {x}"), (2, f"{y} {x} {y}"), (3, f"{x} {x} {x}"), (4, f"{x} {y}"), (5, f"{y} {x}"), (6, x), (7, y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, ngram_join.similar_groups(df).collect()))
+    assert got == brute_components(rows, 3, 90) == Counter((d, 1, d, 0) for d, _ in rows)
+
+
+@pytest.mark.parametrize("percent,light", [(90, 64), (80, 3)])
+def test_groups_of_whole_table_equal_brute_force(spark, percent, light):
+    """The documents of the middle table: brute force over pairs that share a shingle."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, ngram_join.similar_groups(df, 3, percent, light).collect())) == brute_components(rows, 3, percent)
+
+
+def test_equal_hashes_of_windows_are_confirmed(monkeypatch):
+    monkeypatch.setattr("ledgerline.llm.common.sequence_hashes", lambda low, high, at, n: np.zeros(len(at), dtype=np.uint64))
+    for text in ("a b c d e f g h i j", "a b c d e x a b c d e", "a a a a a a a"):
+        assert repetition.measure([text])["n_repeat_words"][0] == brute_repetition(text)[4]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_connected_components(spark, seed):
     rnd = random.Random(seed)
