@@ -1,61 +1,202 @@
 """Fixpoints over edge tables: closures, minimum depths and strongly connected components.
 
-Rounds are driver loops over DataFrames; each cuts its lineage with a reliable checkpoint
-(``spark.checkpoint.dir``), and only counts come back. Nothing is collected.
+Two ways, chosen by a count of the edges and equal in their results. A graph of at most
+``IN_ONE_TASK`` edges is solved group by group, each in one task, whose memory that bound
+limits. A larger one takes rounds of joins; each cuts its lineage with a reliable
+checkpoint, and only counts come back to the driver. Nothing is collected. Nulls are no
+nodes.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.shipping import shipped
+from ledgerline.storage import checkpointed
+
 MOST_ROUNDS = 1000
+#: Edges and seeds of a graph that is solved without rounds, and edges of one whose whole closure is.
+IN_ONE_TASK = 1_000_000
+CLOSURE_IN_ONE_TASK = 5_000
+#: Tasks that share the sources of such a closure.
+SHARES = 16
+#: Frontiers that are kept apart before they are written as one.
+PARTS = 16
+#: Rounds of taking out nodes that have no edge in or out.
+TRIMS = 8
+
+
+class _Parts:
+    """A growing table as a list of written parts, so that a round writes only what is new."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > PARTS:
+            self.parts = [checkpointed(self.whole())]
+
+    def whole(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+class _Graph:
+    """Nodes as numbers and their successors, from two Arrow columns."""
+
+    def __init__(self, source: pa.ChunkedArray, target: pa.ChunkedArray):
+        both = pa.chunked_array([*source.chunks, *target.chunks], source.type).combine_chunks()
+        coded = both.dictionary_encode()
+        self.names = coded.dictionary
+        ids = coded.indices.to_numpy().astype(np.int64)
+        self.source, self.target = ids[: len(source)], ids[len(source) :]
+        order = np.argsort(self.source, kind="stable")
+        self.next = self.target[order]
+        self.first = np.searchsorted(self.source[order], np.arange(len(self.names) + 1))
 
+    def after(self, nodes: np.ndarray) -> np.ndarray:
+        """The successors of all of these nodes."""
+        lengths = self.first[nodes + 1] - self.first[nodes]
+        at = np.repeat(self.first[nodes] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+        return self.next[at]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-"))
-    return df.checkpoint()
+    def depths(self, start: np.ndarray) -> np.ndarray:
+        """The least number of steps to each node from any of ``start`` (0 for these); -1 where there is no way."""
+        depth = np.full(len(self.names), -1, dtype=np.int32)
+        depth[start] = 0
+        frontier, n = np.unique(start), 0
+        while len(frontier):
+            n += 1
+            frontier = np.unique(self.after(frontier))
+            frontier = frontier[depth[frontier] < 0]
+            depth[frontier] = n
+        return depth
 
+    def components(self) -> np.ndarray:
+        """The number of each node's strongly connected component (Tarjan's, without recursion)."""
+        n, first, after = len(self.names), self.first.tolist(), self.next.tolist()
+        index, low, own = [-1] * n, [0] * n, [-1] * n
+        stack, count, found = [], 0, 0
+        for start in range(n):
+            if index[start] >= 0:
+                continue
+            work = [(start, first[start])]
+            index[start] = low[start] = count
+            count += 1
+            stack.append(start)
+            while work:
+                node, at = work.pop()
+                if at < first[node + 1]:
+                    work.append((node, at + 1))
+                    to = after[at]
+                    if index[to] < 0:
+                        index[to] = low[to] = count
+                        count += 1
+                        stack.append(to)
+                        work.append((to, first[to]))
+                    elif own[to] < 0:
+                        low[node] = min(low[node], index[to])
+                    continue
+                if low[node] == index[node]:
+                    while True:
+                        member = stack.pop()
+                        own[member] = found
+                        if member == node:
+                            break
+                    found += 1
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+        return np.array(own, dtype=np.int64)
 
-def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+
+def _in_one_task(edges: DataFrame, by: tuple[str, ...], solve: Callable[[pa.Table, _Graph], dict], columns: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``solve`` on each group's edges; it returns the result's columns beside ``by``."""
+    kinds = dict(edges.dtypes)
+    rows = edges if by or keys else edges.withColumn("_all", F.lit(0))
+    groups = (*by, *keys) or ("_all",)
+
+    def run(table: pa.Table) -> pa.Table:
+        real = table.filter(pc.is_valid(table.column("source")))
+        out = solve(table, _Graph(real.column("source"), real.column("target")))
+        n = len(next(iter(out.values())))
+        return pa.table({**{c: pa.repeat(table.column(c)[0], n) for c in by}, **out})
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in {**{c: kinds[c] for c in by}, **columns}.items())
+    return shipped(rows).groupBy(*groups).applyInArrow(run, schema)
+
+
+def _plain(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return checkpointed(edges.select(*by, "source", "target").where("source is not null and target is not null").distinct())
+
+
+def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = (), in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """Nodes (``by`` columns and ``node``) reached from ``seeds`` along ``edges`` (``by``, source, target), seeds included.
 
-    Semi-naive: each round follows the edges of the nodes new in the round before.
+    In rounds it is semi-naive: each follows the edges of the nodes new in the round before.
     """
     key = [*by, "node"]
-    seen = frontier = checkpointed(seeds.select(*key).distinct())
+    start = checkpointed(seeds.select(*key).where("node is not null").distinct())
+    plain = _plain(edges, by)
+    if plain.count() + start.count() <= in_one_task:
+        kind = dict(plain.dtypes)["source"]
+
+        def walk(table: pa.Table, graph: _Graph) -> dict:
+            first = table.filter(pc.is_null(table.column("source"))).column("target").combine_chunks()
+            known = pc.index_in(first, value_set=graph.names)
+            there = graph.depths(known.drop_null().to_numpy().astype(np.int64)) >= 0
+            return {"node": pa.concat_arrays([graph.names.filter(pa.array(there)), first.filter(pc.is_null(known))])}
+
+        return checkpointed(_in_one_task(plain.unionByName(start.select(*by, F.lit(None).cast(kind).alias("source"), F.col("node").cast(kind).alias("target"))), by, walk, {"node": kind}))
+    steps = plain.select(*by, F.col("source").alias("node"), F.col("target").alias("next"))
+    seen, frontier = _Parts(start), start
     for _ in range(MOST_ROUNDS):
-        steps = edges.select(*by, F.col("source").alias("node"), F.col("target").alias("next"))
-        frontier = checkpointed(frontier.join(steps, key).select(*by, F.col("next").alias("node")).distinct().join(seen, key, "left_anti"))
+        frontier = checkpointed(frontier.join(steps, key).select(*by, F.col("next").alias("node")).distinct().join(seen.whole(), key, "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(frontier))
-    raise RuntimeError("closure has not settled")
+            return seen.whole()
+        seen.add(frontier)
+    raise RuntimeError(f"the closure has not settled after {MOST_ROUNDS} rounds")
 
 
-def depths(edges: DataFrame, by: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+def depths(edges: DataFrame, by: tuple[str, ...] = (), most: int | None = None, in_one_task: int = CLOSURE_IN_ONE_TASK) -> DataFrame:
     """(``by``, source, target, depth): the least number of edges from source to target, at least one.
 
-    Breadth-first from all sources at once, so the result is the whole closure: for sparse graphs,
-    or with ``most`` rounds.
+    Breadth-first from all sources, so the result is the whole closure: for sparse graphs, or with
+    ``most`` rounds. A graph of few edges is copied to some tasks, which share its sources.
     """
     key = [*by, "source", "target"]
-    plain = checkpointed(edges.select(*key).distinct())
-    seen = frontier = checkpointed(plain.withColumn("depth", F.lit(1)))
-    depth = 1
+    plain = _plain(edges, by)
+    if plain.count() <= in_one_task:
+        kind = dict(plain.dtypes)["source"]
+        shares = plain.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+
+        def walk(table: pa.Table, graph: _Graph) -> dict:
+            share = table.column("_share")[0].as_py()
+            found = []
+            for node in np.unique(graph.source)[share::SHARES].tolist():
+                depth = graph.depths(np.unique(graph.after(np.array([node])))) + 1
+                there = np.flatnonzero((depth > 0) & (depth <= (most or len(depth))))
+                found.append((np.full(len(there), node), there, depth[there]))
+            one, two, depth = (np.concatenate([f[i] for f in found] or [np.zeros(0, dtype=np.int64)]) for i in range(3))
+            return {"source": graph.names.take(pa.array(one)), "target": graph.names.take(pa.array(two)), "depth": pa.array(depth, pa.int32())}
+
+        return checkpointed(_in_one_task(shares, by, walk, {"source": kind, "target": kind, "depth": "int"}, ("_share",)))
+    frontier = checkpointed(plain.withColumn("depth", F.lit(1)))
+    seen, depth = _Parts(frontier), 1
+    step = plain.select(*by, F.col("source").alias("target"), F.col("target").alias("next"))
     while most is None or depth < most:
         depth += 1
-        step = plain.select(*by, F.col("source").alias("target"), F.col("target").alias("next"))
-        frontier = checkpointed(frontier.join(step, [*by, "target"]).select(*by, "source", F.col("next").alias("target")).distinct().join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = checkpointed(frontier.join(step, [*by, "target"]).select(*by, "source", F.col("next").alias("target")).distinct().join(seen.whole(), key, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.whole()
 
 
 def depths_by_doubling(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -75,60 +216,87 @@ def depths_by_doubling(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Edges between nodes that have an edge in and one out, again and again; cycles keep all of theirs."""
+    """Edges without some that are on no cycle: those of nodes with no edge in or out, taken out again and again.
+
+    A few rounds take most of them; what they leave of long tails is told apart by colour.
+    """
     key = [*by, "node"]
     before = None
-    for _ in range(MOST_ROUNDS):
+    for _ in range(TRIMS):
         n = edges.count()
         if n == before or not n:
-            return edges
+            break
         before = n
         ins = edges.select(*by, F.col("target").alias("node")).distinct()
         outs = edges.select(*by, F.col("source").alias("node")).distinct()
         alive = ins.join(outs, key, "left_semi")
         edges = edges.join(alive.withColumnRenamed("node", "source"), [*by, "source"], "left_semi").join(alive.withColumnRenamed("node", "target"), [*by, "target"], "left_semi")
         edges = checkpointed(edges)
-    raise RuntimeError("trimming has not settled")
+    return edges
+
+
+def _components_in_one_task(plain: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(``by``, node, component) of the nodes on cycles."""
+    kind = dict(plain.dtypes)["source"]
+
+    def solve(table: pa.Table, graph: _Graph) -> dict:
+        own = graph.components()
+        size = np.bincount(own, minlength=1)
+        loops = np.zeros(len(own), dtype=bool)
+        loops[graph.source[graph.source == graph.target]] = True
+        kept = np.flatnonzero((size[own] > 1) | loops)
+        nodes = graph.names.take(pa.array(kept))
+        least = pa.table({"of": pa.array(own[kept]), "node": nodes}).group_by("of").aggregate([("node", "min")])
+        named = least.column("node_min").take(pc.index_in(pa.array(own[kept]), value_set=least.column("of").combine_chunks()))
+        return {"node": nodes, "component": named.combine_chunks()}
+
+    return checkpointed(_in_one_task(plain, by, solve, {"node": kind, "component": kind}))
 
 
-def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def strong_components(edges: DataFrame, by: tuple[str, ...] = (), in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(``by``, node, component): nodes of cycles, the component named by its least node; a lone node only with a loop.
 
-    Colouring: the least node that reaches each node spreads forward; the nodes of a colour
-    that reach its least node backward are its component. Found components are taken out
-    and the rest goes on. Each step moves one row per node or edge; no closure is built.
+    Colouring: every node has a random priority; the first one that reaches a node spreads
+    forward to it as its colour, and the nodes of a colour that reach that one backward are
+    its component. Found components are taken out, edges between colours with them, and the
+    rest goes on with new priorities until it fits one task. So a chain of components falls
+    into ever shorter pieces: the rounds grow with its logarithm. An error where they don't settle.
     """
     key = [*by, "node"]
-    plain = edges.select(*by, "source", "target").distinct()
-    loops = plain.where("source = target").select(*by, F.col("source").alias("node"), F.col("source").alias("component"))
-    rest = checkpointed(plain.where("source != target"))
-    kind = dict(plain.dtypes)["source"]
+    rest = plain = _plain(edges, by)
     found = None
-    for _ in range(MOST_ROUNDS):
-        rest = _trimmed(rest, by)
-        if rest.isEmpty():
+    for turn in range(MOST_ROUNDS):
+        if turn or plain.count() > in_one_task:
+            rest = _trimmed(rest.where("source != target"), by)
+        if rest.count() <= in_one_task:
+            last = _components_in_one_task(rest, by)
+            found = last if found is None else found.unionByName(last)
             break
+        kind = dict(rest.dtypes)["source"]
         nodes = rest.select(*by, F.col("source").alias("node")).unionByName(rest.select(*by, F.col("target").alias("node"))).distinct()
-        colours = checkpointed(nodes.withColumn("colour", F.col("node")))
-        while True:
-            spread = rest.join(colours.withColumnRenamed("node", "source"), [*by, "source"]).select(*by, F.col("target").alias("node"), "colour", F.lit(None).cast(kind).alias("own"))
+        priority = F.concat(F.lpad(F.hex(F.xxhash64("node", F.lit(turn))), 16, "0"), F.lit(":"), F.col("node").cast("string"))
+        first = checkpointed(nodes.withColumn("colour", priority))
+        colours = first
+        for _ in range(MOST_ROUNDS):
+            spread = rest.join(colours.withColumnRenamed("node", "source"), [*by, "source"]).select(*by, F.col("target").alias("node"), "colour", F.lit(None).cast("string").alias("own"))
             both = colours.withColumn("own", F.col("colour")).unionByName(spread)
             new = checkpointed(both.groupBy(*key).agg(F.min("colour").alias("colour"), F.max("own").alias("own")))
             colours = new.select(*key, "colour")
             if new.where("colour != own").isEmpty():
                 break
+        else:
+            raise RuntimeError(f"colours have not settled after {MOST_ROUNDS} rounds")
         coloured = rest.join(colours.select(*by, F.col("node").alias("source"), F.col("colour").alias("from")), [*by, "source"]).join(colours.select(*by, F.col("node").alias("target"), F.col("colour").alias("to")), [*by, "target"])
-        backward = coloured.where(F.col("from") == F.col("to")).select(*by, F.col("target").alias("source"), F.col("source").alias("target"))
-        roots = colours.where("node = colour").select(*key)
-        # Within one colour only, as the edges between colours are left out.
-        own = reachable(roots, backward, by).join(colours, key).select(*key, F.col("colour").alias("component"))
-        own = checkpointed(own)
-        found = own if found is None else found.unionByName(own)
-        taken = own.select(*key)
-        rest = checkpointed(rest.join(taken.withColumnRenamed("node", "source"), [*by, "source"], "left_anti").join(taken.withColumnRenamed("node", "target"), [*by, "target"], "left_anti"))
-    if found is None:
-        return loops
-    # A component of one node that trimming could not see stays only with its loop.
-    several = found.groupBy(*by, "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    kept = found.join(several, [*by, "component"], "left_semi").select(*key, "component")
-    return kept.unionByName(loops.join(kept.select(*key), key, "left_anti"))
+        # Within one colour only: no component has two.
+        inner = checkpointed(coloured.where(F.col("from") == F.col("to")).select(*by, "source", "target"))
+        roots = first.join(colours, [*key, "colour"], "left_semi").select(*key)
+        own = reachable(roots, inner.select(*by, F.col("target").alias("source"), F.col("source").alias("target")), by, in_one_task).join(colours, key)
+        named = own.groupBy(*by, "colour").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+        own = checkpointed(own.join(named, [*by, "colour"]).select(*key, "component", "n"))
+        several = own.where("n > 1").select(*key, F.col("component").cast(kind).alias("component"))
+        found = several if found is None else found.unionByName(several)
+        rest = checkpointed(inner.join(own.select(*by, F.col("node").alias("source")), [*by, "source"], "left_anti").join(own.select(*by, F.col("node").alias("target")), [*by, "target"], "left_anti"))
+    else:
+        raise RuntimeError(f"components have not settled after {MOST_ROUNDS} rounds")
+    loops = plain.where("source = target").select(*by, F.col("source").alias("node"), F.col("source").alias("component"))
+    return found.unionByName(loops.join(found.select(*key), key, "left_anti"))

@@ -121,6 +121,63 @@ def test_doubling_equals_breadth_first(spark):
     assert index.same_rows(fixpoint.depths(e), fixpoint.depths_by_doubling(e))
 
 
+def brute_depths(pairs):
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    out = {}
+    for start in after:
+        frontier, n = after[start], 1
+        while frontier:
+            for x in frontier:
+                out[start, x] = n
+            frontier, n = {y for x in frontier for y in after.get(x, ()) if (start, y) not in out}, n + 1
+    return out
+
+
+@pytest.mark.parametrize("in_one_task", [0, 10**6])
+def test_both_ways_of_fixpoints_equal_brute_force(spark, in_one_task):
+    rnd = random.Random(8)
+    graphs = {s: {(f"n{rnd.randrange(8)}", f"n{rnd.randrange(8)}") for _ in range(11)} for s in ("one", "two")}
+    rows = [(s, a, b) for s, pairs in graphs.items() for a, b in pairs] + [("one", None, "n1"), ("one", "n1", None)]
+    df = spark.createDataFrame(rows, "s string, source string, target string")
+    starts = [("one", "n0"), ("two", "n3"), ("two", "alone"), ("three", "n1"), ("one", None)]
+    got = {tuple(r) for r in fixpoint.reachable(spark.createDataFrame(starts, "s string, node string"), df, ("s",), in_one_task).collect()}
+    paths = {s: brute_depths(pairs) for s, pairs in graphs.items()}
+    assert got == {(s, n) for s, n in starts if n} | {(s, b) for s, n in starts for (a, b) in paths.get(s, ()) if a == n}
+    for most in (None, 2):
+        found = fixpoint.depths(df, ("s",), most, in_one_task).collect()
+        assert len(found) == len({tuple(r)[:3] for r in found})
+        assert {tuple(r) for r in found} == {(s, a, b, d) for s, own in paths.items() for (a, b), d in own.items() if most is None or d <= most}
+    sets = {}
+    for r in fixpoint.strong_components(df, ("s",), in_one_task).collect():
+        sets.setdefault((r["s"], r["component"]), set()).add(r["node"])
+    assert {(s, frozenset(m)) for (s, c), m in sets.items()} == {(s, m) for s, pairs in graphs.items() for m in brute_components(pairs)}
+    assert all(c == min(m) for (_, c), m in sets.items())
+    without = df.drop("s").where("source is not null")
+    assert fixpoint.depths(without, in_one_task=in_one_task).count() == len(brute_depths({(a, b) for _, a, b in rows if a and b}))
+    assert fixpoint.strong_components(without.limit(0), in_one_task=in_one_task).isEmpty()
+
+
+def chain(n):
+    """Two-node cycles, each leading to the next, with names in the chain's order."""
+    return [(f"n{i:05d}", f"n{j:05d}") for k in range(n) for i, j in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k), (2 * k + 1, 2 * k + 2)) if j < 2 * n]
+
+
+def test_a_long_chain_of_cycles(spark):
+    got = fixpoint.strong_components(spark.createDataFrame(chain(1500), "source string, target string"))
+    assert {tuple(r) for r in got.collect()} == {(f"n{i:05d}", f"n{i - i % 2:05d}") for i in range(3000)}
+
+
+def test_rounds_on_a_chain_of_cycles(spark, monkeypatch):
+    df = spark.createDataFrame(chain(7), "source string, target string")
+    got = fixpoint.strong_components(df, in_one_task=8)
+    assert {tuple(r) for r in got.collect()} == {(f"n{i:05d}", f"n{i - i % 2:05d}") for i in range(14)}
+    monkeypatch.setattr(fixpoint, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="have not settled"):
+        fixpoint.strong_components(df, in_one_task=0)
+
+
 # --- retention and lifting on one small graph ---
 
 
