@@ -6,12 +6,15 @@ neighbouring ranks looked up again, until no pair has a rank. That is done for a
 words of a run of texts at once, a row of the arrays each, in numpy. Words of more than
 ``SHORT`` bytes, where repeated scans would be quadratic, use a heap.
 
-Runs without white space are remembered once encoded, at most ``REMEMBERED`` of them and
-those of the texts at hand, so a worker's memory is bounded whatever the corpus.
+Runs without white space are remembered once encoded, in two generations of which the elder
+is forgotten when the younger has half of ``REMEMBERED`` runs or of ``REMEMBERED_BYTES``
+bytes. So a worker holds those and what the texts at hand have, whatever the corpus: also
+one of unspaced texts, whose runs are whole texts.
 
 Defined results: null and empty texts have no ids and decode to an empty text; a text
-that repeats, in one row or several, gets the same result each time; other columns are
-not read. Strings of the special tokens in a text are those tokens.
+that repeats, in one row or several, gets the same result each time; a null doc_id is
+encoded like any other and stays null; an empty table gives an empty result; other
+columns are not read. Strings of the special tokens in a text are those tokens.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import sys
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +41,15 @@ from ledgerline.llm.common import MIX_1, chunks
 from ledgerline.shipping import shipped
 
 SHORT = 48
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
+#: Characters of the runs, four bytes each, and bytes of their ids.
+REMEMBERED_BYTES = 96 << 20
 #: Words merged together, and characters of the texts whose words are.
 BLOCK = 8192
 CHUNK = 2 << 20
 NEVER = np.int32(2**31 - 1)
-#: Stands in no row of ids, aligned or not, as an id's upper half is 0.
-MARK = b"\xff" * 4
+#: No id: ends a run's ids where those of many are joined.
+MARK = 2**32 - 1
 #: White space as the vocabulary's normaliser takes it (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -114,6 +120,40 @@ class _Pairs:
         return out
 
 
+class _Remembered(dict):
+    """Runs and their numbers, given when a run is first asked for; and the ids of each number, put in by :meth:`append`."""
+
+    def __init__(self):
+        self.added: list[str] = []
+        self.bytes = self.filled = self.known = 0
+        self.flat = np.zeros(1 << 16, dtype="<u4")
+        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def __missing__(self, run: str) -> int:
+        k = self[run] = len(self)
+        self.added.append(run)
+        return k
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None) -> None:
+        """The ids of the next numbers: places in ``ids``, one after the other unless ``starts`` says where."""
+        if self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.filled], ids, np.zeros(self.filled + len(ids), dtype="<u4")))
+        else:
+            self.flat[self.filled : self.filled + len(ids)] = ids
+        if self.known + len(sizes) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros(len(x) + len(sizes), dtype=np.int64))) for x in (self.starts, self.sizes))
+        own = slice(self.known, self.known + len(sizes))
+        self.sizes[own] = sizes
+        self.starts[own] = self.filled + (np.cumsum(sizes) - sizes if starts is None else starts)
+        self.filled, self.known = self.filled + len(ids), self.known + len(sizes)
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these numbers in one row, and how many each has."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file with word ends."""
 
@@ -135,8 +175,7 @@ class WordBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = re.compile(word_pattern().pattern + "|\n").findall
         self.normaliser = Normalisers([NFC(), Lowercase()]).normalize_str
-        self.now: dict[str, bytes] = {}
-        self.elder: dict[str, bytes] = {}
+        self.now, self.elder = self._young(), self._young()
 
     def normalise(self, text: str) -> str:
         """NFC and lower case letter by letter, in the library's Unicode version."""
@@ -218,38 +257,67 @@ class WordBpe:
                     heapq.heappush(heap, (found, x, parts[x], parts[y]))
         return np.array([x for x in parts if x >= 0], dtype="<u4").tobytes()
 
-    def _learn(self, seen: set[str]) -> None:
-        """Have the ids of all these runs in ``now``."""
-        if len(self.now) + len(seen) > REMEMBERED // 2:
-            self.elder, self.now = self.now, {}
-        new = seen.difference(self.now)
-        known = new.intersection(self.elder)
-        self.now.update({run: self.elder[run] for run in known})
-        new = list(new - known)
-        if not new:
+    def _young(self) -> _Remembered:
+        """A generation that knows the special tokens alone, behind a blank, which no run has."""
+        out = _Remembered()
+        for special, i in self.special.items():
+            out[" " + special]
+            out.append(np.array([i], dtype="<u4"), np.array([1]))
+        out.added.clear()
+        return out
+
+    def _learn(self) -> None:
+        """Have the ids of the runs that ``now`` has numbered but doesn't know yet, in the order of their numbers."""
+        now, elder = self.now, self.elder
+        added, now.added = now.added, []
+        if not added:
             return
+        places = list(map(elder.get, added))
+        new = [run for run, k in zip(added, places, strict=True) if k is None]
+        known = np.array([k for k in places if k is not None], dtype=np.int64)
+        fresh, sizes = self._encoded(new) if new else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+        old, old_sizes = elder.ids_of(known)
+        # Both kinds in one row each, then dealt to their numbers.
+        is_new = np.fromiter((k is None for k in places), dtype=bool, count=len(places))
+        starts, lengths = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
+        lengths[is_new], lengths[~is_new] = sizes, old_sizes
+        starts[is_new], starts[~is_new] = np.cumsum(sizes) - sizes, len(fresh) + np.cumsum(old_sizes) - old_sizes
+        now.append(np.concatenate((fresh, old)), lengths, starts)
+        now.bytes += 4 * sum(map(len, added)) + 4 * int(lengths.sum())
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these runs in one row, and how many each has."""
         # Line feeds, which no run has, part the runs; normalisation changes nothing across them.
         words = self.words(self.normalise("\n".join(new) + "\n"))
         distinct = list(set(words) - {"\n"})
         ids_of = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        ids_of["\n"] = MARK
-        self.now.update(zip(new, b"".join(map(ids_of.__getitem__, words)).split(MARK), strict=False))
+        ids_of["\n"] = MARK.to_bytes(4, "little")
+        ids = np.frombuffer(b"".join(map(ids_of.__getitem__, words)), dtype="<u4")
+        ends = np.flatnonzero(ids == MARK)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._pieces(t or "") for t in texts]
-        self._learn(set().union(*(found for pieces in split for _, found in pieces)))
-        now = self.now.__getitem__
-        return [b"".join([b"".join(map(now, found)) if special is None else special.to_bytes(4, "little") for special, found in pieces]) for pieces in split]
+        if len(self.now) > REMEMBERED // 2 or self.now.bytes > REMEMBERED_BYTES // 2:
+            self.elder, self.now = self.now, self._young()
+        pieces = [self._pieces(t or "") for t in texts]
+        counts = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        numbers = np.fromiter(map(self.now.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(counts.sum()))
+        self._learn()
+        ids, sizes = self.now.ids_of(numbers)
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        ends = (4 * before[np.cumsum(counts)]).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_batch([text])[0], dtype="<u4")
 
-    def _pieces(self, text: str) -> list[tuple[int | None, list[str]]]:
-        """Special tokens' ids, and the runs without white space between them."""
+    def _pieces(self, text: str) -> list[str]:
+        """Runs without white space, and the special tokens between them, each behind a blank."""
         if "<|" not in text:
-            return [(None, runs(text))]
-        return [(self.special.get(piece), [] if piece in self.special else runs(piece)) for piece in self.split_special.split(text)]
+            return runs(text)
+        return [x for piece in self.split_special.split(text) for x in ([" " + piece] if piece in self.special else runs(piece))]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """The tokens with a blank between each two, as a vocabulary without a decoder has it, in UTF-8."""
