@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.storage import checkpointed as checkpointed
+from ledgerline.storage import scratch_folder
+
+
 #: The columns of ``documents``, which filtering stages pass on.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,38 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset and the context has none (tests on one machine) is a temporary one used.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def checkpoint_folder(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-"))
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder: compressed, unlike a checkpoint, for what is large.
 
     The table stays there after the application, as that folder's scratch files do.
     """
-    checkpoint_folder(df.sparkSession)
-    base = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{base}/ledgerline-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/ledgerline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def sampled(df: DataFrame, group: str, sizes: dict, most: int) -> DataFrame:
-    """At most ``most`` rows of each group, those with the smallest hash of their doc_id; ``sizes`` has the groups' rows.
+    """doc_id and group of at most ``most`` documents of each group, those with the smallest hash of their doc_id, once each.
 
-    Rows whose hash can't be among them are dropped where they are read, so that what meets in
+    ``sizes`` has about the number of each group's documents. Rows whose hash can't be among them are dropped where they are read, so that what meets in
     a task is about ``most`` rows of each group, whatever the table's size.
     """
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
@@ -60,7 +45,8 @@ def sampled(df: DataFrame, group: str, sizes: dict, most: int) -> DataFrame:
         return df.limit(0)
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits for x in pair]), F.col(group))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_share", "doc_id"))
-    return df.withColumn("_share", share).where(F.col("_share") <= limit).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_share", "_rank")
+    few = df.select("doc_id", group).withColumn("_share", share).where(F.col("_share") <= limit).dropDuplicates(["doc_id", group])
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", group)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -73,7 +59,7 @@ def whole_text(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def chunks(texts: Iterable[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: Iterable[str], most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Runs of consecutive texts of about ``most`` characters, each with its first index.
 
     A longer text is a run of its own, so that arrays over a run stay in the CPU's caches
@@ -106,13 +92,13 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Words:
-    """The words of a run of texts as arrays: number, owner, byte and code point lengths.
+    """The words of a run of texts as arrays: number, owner and place.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. The texts are joined by line feeds, so no word
     spans two of them. Equal words, and only they, have equal numbers (``ids``) within the run.
     """
 
-    __slots__ = ("_halves", "bytes", "code_points", "counts", "distinct", "first", "ids", "owner", "starts", "stops", "text_starts")
+    __slots__ = ("_halves", "bytes", "counts", "distinct", "first", "ids", "owner", "starts", "stops", "text_starts")
 
     def __init__(self, texts: list[str], lower: bool = False):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -132,9 +118,14 @@ class Words:
         number = {w: i for i, w in enumerate(dict.fromkeys(found))}
         self.ids = np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found))
         self.distinct = list(number)
-        self.code_points = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in self.distinct), dtype=np.int64, count=len(number))[self.ids]
         self._halves: tuple[np.ndarray, np.ndarray] | None = None
 
+    @property
+    def code_points(self) -> np.ndarray:
+        """Those of each word: its bytes that don't continue another's."""
+        begun = np.concatenate(([0], np.cumsum((self.bytes & 0xC0) != 0x80)))
+        return begun[self.stops] - begun[self.starts]
+
     @property
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """The two halves of each word's 128-bit hash (XXH3 of its bytes): the same in every run."""
