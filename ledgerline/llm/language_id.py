@@ -3,8 +3,9 @@
 A text is the vector of its hashed letter n-grams (1 to 3, words bounded by blanks), weighted
 ``log(1 + tf) * idf`` and normalised. Each language's training vectors are clustered
 (spherical k-means) into ``CLUSTERS`` centroids; a text gets the language of the centroid with
-the largest cosine, and is rejected where that is under the language's least accepted
-cosine: a share of the least of its training texts, so a matter of distance alone.
+the largest cosine (of equal ones the first in the languages' order), and is rejected where
+that is under the language's least accepted cosine: a share of a low quantile of its
+training texts' cosines, so a matter of distance alone that odd texts don't move.
 
 The model is fitted on at most ``PER_LANGUAGE`` texts of a language and ``SAMPLE`` in all, those
 with the smallest hash of their id; vectors have ``SIZE`` numbers whatever a text's length,
@@ -12,14 +13,17 @@ so what the driver gets is bounded. All texts are read whole.
 
 Defined results: ``und`` with score 0, rejected, for a null or empty text and one without a letter;
 also for all texts where there is nothing to learn from. Rows with a null doc_id or lang are
-not learned from; repeated rows get the same result; an empty table gives an empty
-result; other columns are not read.
+not learned from, nor those of a lang that is not among the ``MOST_LANGUAGES`` most frequent
+ones (ties by name); of rows that share an id and lang the one with the least counts is;
+repeated rows get the same result; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,8 +42,8 @@ SAMPLE = 8000
 MOST_LANGUAGES = 400
 CLUSTERS = 3
 ROUNDS = 10
-#: Least accepted cosine: this share of the least among a language's training texts.
-REJECT_UNDER = 0.5
+#: Least accepted cosine: this share of that quantile of a language's training texts.
+REJECT_UNDER, REJECT_QUANTILE = 0.4, 0.05
 UNDETERMINED = "und"
 
 
@@ -116,35 +120,40 @@ def fit(counts: np.ndarray, languages: list[str], clusters: int = CLUSTERS, roun
         centres = _clusters(own, clusters, rounds)
         centroids.append(centres)
         owner += [i] * len(centres)
-        least.append(reject_under * float(np.max(own @ centres.T, axis=1).min()))
+        least.append(reject_under * float(np.quantile(np.max(own @ centres.T, axis=1), REJECT_QUANTILE)))
     return CentroidModel(names, idf, np.concatenate(centroids) if centroids else np.zeros((0, SIZE)), np.array(owner, dtype=int), np.array(least))
 
 
 def train(docs: DataFrame, where: Column) -> CentroidModel:
     """Fit on a bounded sample of the rows of ``docs`` that ``where`` admits."""
     known = docs.where(where & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # Of different ids, so that one that repeats doesn't thin out its language's sample.
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return fit(np.zeros((0, SIZE)), [])
     most = min(PER_LANGUAGE, SAMPLE // len(sizes))
-    ids = sampled(known.select("doc_id", "lang"), "lang", {r["lang"]: r["n"] for r in sizes}, most).select("doc_id").distinct()
+    ids = sampled(known, "lang", {r["lang"]: r["n"] for r in sizes}, most)
 
     def run(batches):
+        # As many as the sample has ids, at most: of rows that repeat an id the least counts stay.
+        held: dict[tuple[int, str], bytes] = {}
         for batch in batches:
-            found = [(lang.as_py(), c) for text, lang in zip(batch.column(0), batch.column(1), strict=True) if (c := counted(text.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1].astype("<i4").tobytes() for x in found], pa.binary())], ["lang", "counts"])
-
-    # At most SAMPLE ids, each with SIZE numbers.
-    sample = shipped(docs).where(where).join(F.broadcast(ids), "doc_id").where("lang is not null").select("text", "lang").mapInArrow(run, "lang string, counts binary")
-    rows = sorted((r["lang"], bytes(r["counts"])) for r in sample.collect())
+            for doc_id, text, lang in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if (found := counted(text.as_py())) is not None:
+                    own = zlib.compress(found.astype("<i4").tobytes(), 1)
+                    held[doc_id, lang] = min(own, held.get((doc_id, lang), own))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.binary())], ["doc_id", "lang", "counts"])
+
+    # At most SAMPLE rows, each with SIZE numbers.
+    rows = shipped(docs).where(where).join(F.broadcast(ids), ["doc_id", "lang"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(run, "doc_id long, lang string, counts binary")
+    rows = sorted((r["lang"], zlib.decompress(bytes(r["counts"]))) for r in rows.groupBy("doc_id", "lang").agg(F.min("counts").alias("counts")).collect())
     counts = np.array([np.frombuffer(c, dtype="<i4") for _, c in rows], dtype=np.float64).reshape(len(rows), SIZE)
     return fit(counts, [lang for lang, _ in rows])
 
 
 def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; one pass, no shuffle."""
+    """``docs`` with lang_pred, score and rejected, in place of columns that have their names; one pass, no shuffle."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     names = docs.columns
     at = names.index("text")
     schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
