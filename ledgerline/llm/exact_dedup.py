@@ -78,8 +78,9 @@ def _by_text(rows: DataFrame, groups: DataFrame, shared: DataFrame) -> DataFrame
 
 
 def drop_duplicates(docs: DataFrame, hot: int = HOT, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that stay, with their columns, whatever these are called."""
     kept = duplicates(docs, sha256, hot, salts).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    rows = docs.withColumn("own_digest", sha256(whole_text()))
-    same = (F.col("own_digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "own_digest"]).drop("own_digest")
+    # The row goes as one column beside the two keys, so no name of its own can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), sha256(whole_text(docs["text"])).alias("own_digest"))
+    same = (F.col("own_digest") == F.col("kept_digest")) & F.col("own_id").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_digest"]).select("row.*")

@@ -70,8 +70,8 @@ TEMPLATES = (
 
 
 def lowered(text: Column) -> Column:
-    """A-Z in lower case. Other letters change too, but never from or to one of a phrase's or template's letters."""
-    return F.lower(text)
+    """A-Z in lower case. Other letters may change too, but none becomes one of ``a-z``: the two that would are put by two that don't."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u212b")), F.lit("\u0130"), F.lit("\u00cd")))
 
 
 def contained_templates(docs: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:

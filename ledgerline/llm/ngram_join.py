@@ -54,6 +54,7 @@ PRIOR = 0.05
 LIGHT = 64
 BLOCK_MEMBERS = 1 << 19
 BLOCK_CLASSES = 1024
+HOT = 512
 #: Largest filter of the classes whose members are fetched: 32 MB, whatever the table's size.
 FILTER_BITS = 28
 _CELLS = 14
@@ -421,7 +422,11 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     linked = checkpointed(classes.join(roots, ["a", "b"]).select("a", "b", "root", "least", "n_links"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(smallest, "root").select("a", "b", "component_id", "n_links")
-    named = classes.join(of_linked, ["a", "b"], "left").select("a", "b", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
-    with_members = sets.where("n > 0").join(named, ["a", "b"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+    named = checkpointed(classes.join(of_linked, ["a", "b"], "left").select("a", "b", "rows", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
+    # Fewer than HOT classes can each have more than a HOT-th of the rows; theirs don't meet at one key.
+    hot = F.col("rows") * HOT > docs.count()
+    rows = sets.where("n > 0").join(F.broadcast(named.where(hot).drop("rows")), ["a", "b"], "left")
+    others = rows.where("n_links is null").select("doc_id", "n", "a", "b").join(named.where(~hot).drop("rows"), ["a", "b"])
+    with_members = rows.where("n_links is not null").unionByName(others).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     none = F.lit(0).cast("long")
     return with_members.unionByName(sets.where("n = 0").select("doc_id", none.alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links")))

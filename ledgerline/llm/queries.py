@@ -9,7 +9,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from ledgerline.llm import bpe, exact_dedup, language_id, license_scan, ngram_join, packing, quality_ranker, repetition, url_rules, warc_revisit
 from ledgerline.llm.common import table
 
@@ -74,7 +73,9 @@ def page_captures(pages: DataFrame) -> DataFrame:
     """Two captures of every page: its response, and a revisit.
 
     Revisits come an hour and more after, those of every seventh page before. Those of every
-    fifth page bring the tag of another version.
+    fifth page bring the tag of another version, of every third the response's date and of
+    every thirteenth another one, of every fourth its digest and of every eleventh another;
+    those of every eighth have no tag, and names of headers in capitals.
     """
     p = F.col("page_id")
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
@@ -84,7 +85,9 @@ def page_captures(pages: DataFrame) -> DataFrame:
     response = pages.select((p * 2).alias("record_id"), "url", at.alias("captured_at"), F.lit(False).alias("is_revisit"), tag.alias("etag"), date.alias("last_modified"), digest.alias("payload_digest"), F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Server"), F.lit("a")).alias("headers"))
     own = F.when(p % 5 == 0, F.concat(F.lit('"'), p.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("W/"), tag))
     later = at + F.when(p % 7 == 0, F.lit(-30)).otherwise(3600 + (p % 11) * 7200)
-    revisit = pages.select((p * 2 + 1).alias("record_id"), "url", later.alias("captured_at"), F.lit(True).alias("is_revisit"), own.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("payload_digest"), F.create_map(F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Server"), F.lit("b"), F.lit("Date"), date).alias("headers"))
+    own, own_date, own_digest = F.when(p % 8 != 0, own), F.when(p % 13 == 0, F.lit("day 0")).when(p % 3 == 0, date), F.when(p % 11 == 0, F.lit("other")).when(p % 4 == 0, digest)
+    headers = F.when(p % 8 == 0, F.create_map(F.lit("CACHE-CONTROL"), F.lit("max-age=600"), F.lit("EXPIRES"), date)).otherwise(F.create_map(F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Server"), F.lit("b"), F.lit("Date"), date))
+    revisit = pages.select((p * 2 + 1).alias("record_id"), "url", later.alias("captured_at"), F.lit(True).alias("is_revisit"), own.alias("etag"), own_date.alias("last_modified"), own_digest.alias("payload_digest"), headers.alias("headers"))
     return response.unionByName(revisit)
 
 
@@ -106,20 +109,26 @@ urls AS (
   SELECT page_id, nullif(host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END, '') AS canonical,
          '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, sha256(coalesce(html, '')) AS digest,
          1700000000 + (page_id % 1000) * 60 AS at_s FROM asked),
-responses AS (SELECT page_id * 2 AS id, canonical, at_s, tag, digest FROM urls),
+responses AS (SELECT page_id * 2 AS id, canonical, at_s, tag, digest, 'day ' || (page_id % 28 + 1) AS day FROM urls),
 revisits AS (
   SELECT page_id, page_id * 2 + 1 AS id, canonical,
          at_s + CASE WHEN page_id % 7 = 0 THEN -30 ELSE 3600 + (page_id % 11) * 7200 END AS at_s,
-         CASE WHEN page_id % 5 = 0 THEN '"' || page_id || '"' ELSE tag END AS tag FROM urls),
+         CASE WHEN page_id % 8 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"' || page_id || '"' ELSE tag END AS tag,
+         CASE WHEN page_id % 13 = 0 THEN 'day 0' WHEN page_id % 3 = 0 THEN 'day ' || (page_id % 28 + 1) END AS day,
+         CASE WHEN page_id % 11 = 0 THEN 'other' WHEN page_id % 4 = 0 THEN digest END AS digest FROM urls),
 found AS (
-  SELECT v.page_id, v.id, v.canonical, v.tag,
+  SELECT v.*,
          (SELECT max({{'at_s': r.at_s, 'id': r.id}}).id FROM responses r WHERE r.canonical = v.canonical AND r.at_s < v.at_s) AS response
   FROM revisits v),
-joined AS (SELECT f.*, r.tag AS their_tag, r.digest, f.tag = r.tag AS same FROM found f LEFT JOIN responses r ON r.id = f.response)
-SELECT id AS record_id, canonical, CASE WHEN same THEN response END AS response_id,
-       CASE WHEN response IS NULL THEN 'no earlier response' WHEN NOT same THEN 'other entity tag' ELSE 'resolved' END AS outcome,
-       CASE WHEN same THEN 'cache-control=max-age=600;content-type=text/html;date=day ' || (page_id % 28 + 1) || ';etag=' || their_tag || ';server=a' END AS headers,
-       CASE WHEN same THEN digest END AS payload_digest
+joined AS (
+  SELECT f.page_id, f.id, f.canonical, f.response, r.tag AS their_tag, r.digest AS their_digest,
+         CASE WHEN r.id IS NULL THEN 'no earlier response' WHEN f.tag <> r.tag THEN 'other entity tag' WHEN f.day <> r.day THEN 'other modification date' WHEN f.digest <> r.digest THEN 'other payload'
+              WHEN f.tag IS NULL AND f.day IS NULL AND f.digest IS NULL THEN 'no common validator' ELSE 'resolved' END AS outcome
+  FROM found f LEFT JOIN responses r ON r.id = f.response)
+SELECT id AS record_id, canonical, CASE WHEN outcome = 'resolved' THEN response END AS response_id, outcome,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=600;content-type=text/html;' || CASE WHEN page_id % 8 = 0 THEN 'etag=' || their_tag || ';expires=day ' || (page_id % 28 + 1)
+            ELSE 'date=day ' || (page_id % 28 + 1) || ';etag=' || their_tag END || ';server=a' END AS headers,
+       CASE WHEN outcome = 'resolved' THEN their_digest END AS payload_digest
 FROM joined
 """
 
@@ -132,6 +141,29 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+#: Words are numbered, so that sets of three are compared as numbers.
+OP6_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format(_LOW)} AS words FROM documents),
+members AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_distinct([array_to_string(words[i : i + 2], ' ') for i in range(1, len(words) - 1)]) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS member
+  FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY 1),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM members a JOIN members b ON a.member = b.member AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared h JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * h.n >= {ngram_join.PERCENT} * (a.n + b.n - h.n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, y FROM reached r JOIN both_ways ON x = r.other)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, (SELECT min(other) FROM reached r WHERE r.doc_id = d.doc_id) AS component_id,
+       (SELECT count(*) FROM both_ways WHERE x = d.doc_id) AS n_links
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -156,6 +188,32 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+_SHARES = sorted({*repetition.LIMITS, repetition.WINDOW})
+OP8_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+lines AS (
+  SELECT doc_id, i, {_WORDS.format("line")} AS own, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+repeated_lines AS (SELECT doc_id, count(*) FILTER (again) AS n, coalesce(sum(list_sum([length(w) for w in own])) FILTER (again), 0) AS chars FROM lines GROUP BY 1),
+sizes(k) AS (VALUES {", ".join(f"({k})" for k in _SHARES)}),
+grams AS (SELECT doc_id, k, [array_to_string(words[i : i + k - 1], ' ') for i in range(1, len(words) - k + 2)] AS all_of FROM docs, sizes),
+placed AS (SELECT doc_id, k, unnest(all_of) AS gram, generate_subscripts(all_of, 1) AS pos FROM grams),
+windows AS (SELECT p.doc_id, p.k, pos FROM placed p JOIN (SELECT doc_id, k, gram FROM placed GROUP BY ALL HAVING count(*) > 1) m ON p.doc_id = m.doc_id AND p.k = m.k AND p.gram = m.gram),
+covered AS (SELECT DISTINCT doc_id, k, unnest(range(pos, pos + k)) AS pos FROM windows),
+sized AS (SELECT doc_id, unnest([length(w) for w in words]) AS chars, generate_subscripts(words, 1) AS pos FROM docs),
+counted AS (SELECT c.doc_id, k, count(*) AS n, sum(chars) AS chars FROM covered c JOIN sized s ON s.doc_id = c.doc_id AND s.pos = c.pos GROUP BY ALL),
+base AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum([length(w) for w in words]), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce((SELECT n FROM counted c WHERE c.doc_id = d.doc_id AND k = {repetition.WINDOW}), 0)::BIGINT AS n_repeat_words,
+         coalesce(l.chars, 0) / greatest(coalesce(list_sum([length(w) for w in words]), 0), 1) AS dup_line_share,
+         {", ".join(f"coalesce((SELECT chars FROM counted c WHERE c.doc_id = d.doc_id AND k = {k}), 0) / greatest(coalesce(list_sum([length(w) for w in words]), 0), 1) AS share_{k}" for k in sorted(repetition.LIMITS))}
+  FROM docs d LEFT JOIN repeated_lines l ON l.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.MOST_REPEATED} * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND dup_line_share <= {repetition.LINE_LIMIT} AND n_symbols <= {repetition.SYMBOL_LIMIT} * word_chars AND {" AND ".join(f"share_{k} <= {v}" for k, v in repetition.LIMITS.items())} AS kept
+FROM judged
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -165,7 +223,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
@@ -181,5 +238,7 @@ ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op3_license_scan": OP3_SQL,
     "op4_warc_revisit": OP4_SQL,
+    "op6_ngram_join": OP6_SQL,
     "op7_url_rules": OP7_SQL,
+    "op8_repetition": OP8_SQL,
 }

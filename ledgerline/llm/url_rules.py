@@ -11,7 +11,7 @@ that fits decides) and patterns, which decide where no site rule does.
 The index goes to every task, so a rule list is limited to ``MOST_RULES``; a longer one is
 refused. Defined results: a null url, or one without ``://``, has an empty host and path and
 is allowed unless a pattern fits the empty string; repeated rows get the same result; a null
-page_id is judged like any other; an empty table gives an empty result; other columns
+page_id is judged like any other; a very long url is judged whole; an empty table gives an empty result; other columns
 are not read.
 """
 

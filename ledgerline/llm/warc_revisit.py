@@ -13,7 +13,8 @@ response's with those of the revisit put over them that a not-modified answer ma
 update. Payloads are not moved; the result refers to the response's record.
 
 Defined results: equal seconds are not earlier; of several responses in one second the one
-with the largest record id counts; a null or empty url, or a null time, has no earlier
+with the largest record id counts, and of several with one record id the one with the
+largest content (validators, then headers); a null or empty url, or a null time, has no earlier
 response; a null record id stays null; repeated rows are resolved alike; an empty table gives
 an empty result; other columns are not read.
 """
@@ -29,6 +30,7 @@ PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expire
 TRACKING = ("fbclid", "gclid", "ref", "sessionid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 BUCKET = 3600
 
+ANSWER = ("etag", "last_modified", "payload_digest", "headers")
 #: The columns of captures that are read.
 CAPTURES = "record_id long, url string, captured_at long, is_revisit boolean, etag string, last_modified string, payload_digest string, headers map<string,string>"
 
@@ -78,7 +80,8 @@ def resolve_revisits(captures: DataFrame, bucket: int = BUCKET, permitted: tuple
     """record_id, canonical, response_id, outcome, headers and payload_digest of every revisit."""
     rows = captures.select("record_id", "captured_at", "is_revisit", "etag", "last_modified", "payload_digest", "headers", canonical_url(F.col("url")).alias("canonical"))
     asked = rows.where("is_revisit").join(latest_earlier(rows, bucket), ["canonical", "captured_at"], "left")
-    answers = rows.where("not is_revisit and record_id is not null").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), *[F.col(c).alias(f"their_{c}") for c in ("etag", "last_modified", "payload_digest", "headers")])
+    answers = rows.where("not is_revisit and record_id is not null").select(F.col("record_id").alias("response_id"), F.struct(*[F.col(c).alias(f"their_{c}") for c in ANSWER]).alias("answer"), F.struct(*ANSWER[:3], F.array_sort(F.map_entries("headers"))).alias("order"))
+    answers = answers.groupBy("response_id").agg(F.max_by("answer", "order").alias("answer")).select("response_id", "answer.*")
     # Revisits without an answer would all meet at the null key; a salt deals them out. Zero
     # is written so that the optimiser does not take it for a constant and the key away.
     asked = asked.withColumn("salt", F.when(F.col("response_id").isNull(), F.pmod(F.xxhash64("record_id", "captured_at"), F.lit(4096))).otherwise(F.lit(0)))

@@ -98,6 +98,20 @@ def test_forgetting_runs_changes_nothing(library, monkeypatch):
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_what_is_remembered_is_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 1 << 20)
+    own, rnd = bpe.WordBpe(VOCABULARY), random.Random(9)
+    for _ in range(12):
+        text = "".join(rnd.choices("0123456789abcdef,日本", k=200_000))
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.now.bytes + own.elder.bytes < 2 * (1 << 20) + 2 * 8 * 200_000
+
+
+def test_encoding_of_nothing(nothing):
+    assert bpe.encode_digests(nothing, VOCABULARY).isEmpty()
+    assert bpe.encode_documents(nothing, VOCABULARY).isEmpty()
+
+
 def test_documents_with_their_ids(docs, rows, library):
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in bpe.encode_documents(docs, VOCABULARY).collect())
     assert got == Counter((d, tuple(library.encode(t, add_special_tokens=False).ids)) for d, t in rows)
@@ -170,6 +184,16 @@ def test_dedup_compares_texts_whatever_the_digest(docs, rows, digest, hot, salts
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_dropping_keeps_columns_of_any_name(spark, docs, rows):
+    names = {"own_digest": "?", "kept_id": 1, "kept_digest": "?", "own_id": 2, "row": "?"}
+    df = docs.withColumns({k: F.lit(v) for k, v in names.items()})
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(r["text"] or "" for r in got) == sorted({t for _, t in rows})
+    assert all(r[k] == v for r in got for k, v in names.items())
+
+
 def test_dropping_leaves_one_row_for_each_text(docs, rows):
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns
@@ -207,7 +231,7 @@ def brute_licenses(text):
 def test_licenses_equal_brute_force(spark, docs):
     rnd = random.Random(5)
     pool = sorted({w for t in license_scan.TEMPLATES for w in t.words} | {"zebra", "apache", "mit", "license", "general", "public"})
-    texts = ["\n".join(" ".join(rnd.choices(pool, k=rnd.randrange(30))) for _ in range(4)) for _ in range(150)] + [t.text.upper() + "!" for t in license_scan.TEMPLATES] + ["mit license mit license", "mit-license,MIT\nLicense", "mitlicense", None, ""]
+    texts = ["\n".join(" ".join(rnd.choices(pool, k=rnd.randrange(30))) for _ in range(4)) for _ in range(150)] + [t.text.upper() + "!" for t in license_scan.TEMPLATES] + ["mit license mit license", "mit-license,MIT\nLicense", "mitlicense", None, "", "M\u0130T license, Mozilla Public L\u0130cense", "B\u212a mit \u212aLicense \u212a"]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(20_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     got = license_scan.scan_licenses(with_clashes(df)).drop("n_matches").collect()
     expected = Counter((r["doc_id"], *brute_licenses(r["text"] or "")) for r in df.collect())
@@ -270,6 +294,13 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert warc_revisit.resolve_revisits(df.limit(0)).isEmpty()
 
 
+def test_equal_record_ids_take_the_largest_content(spark):
+    rows = [(1, "http://a/", 5, False, tag, None, None, {"x": x}) for tag, x in (('"1"', "a"), ('"2"', "a"), ('"2"', "b"))] + [(9, "http://a/", 8, True, '"2"', None, None, {"Date": "d"})]
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, warc_revisit.CAPTURES).withColumns({c: F.lit("?") for c in ("canonical", "bucket", "response_id", "outcome", "salt", "answer", "their_etag")})
+        assert [(r["record_id"], r["outcome"], r["headers"]) for r in warc_revisit.resolve_revisits(df).collect()] == [(9, "resolved", {"x": "b", "date": "d"})]
+
+
 def test_only_permitted_headers_are_merged(spark):
     df = spark.createDataFrame([({"ETag": "1", "Content-Type": "a", "content-length": "5", "Etag": "0"}, {"etag": "2", "Content-Length": "0", "Date": "d", "Connection": "close"})], "r map<string,string>, v map<string,string>")
     merged = df.select(warc_revisit.merged_headers(F.col("r"), F.col("v")).alias("m")).first()["m"]
@@ -299,6 +330,76 @@ def test_quality_of_odd_rows(spark, docs, nothing):
     assert {r["score"] for r in unknown.select("score").distinct().collect()} == {0.5}
 
 
+def plain_features(text):
+    """As quality_ranker.FEATURES, one by one."""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, chars = max(len(words), 1), max(sum(map(len, words)), 1)
+
+    def repeated(k):
+        at = Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+        return len({j for i in range(len(words) - k + 1) if at[tuple(words[i : i + k])] > 1 for j in range(i, i + k)}) / n
+
+    def share(signs):
+        return sum(c in signs for c in text) / chars
+
+    symbols = share("#*$%&|<>{}[]\\^~_=+@`")
+    five = repeated(5)
+    return [
+        np.log1p(len(words)), sum(map(len, words)) / n, np.log1p(len(lines)), repeated(3), five, (len(lines) - len(set(lines))) / max(len(lines), 1), len(set(words)) / n, sum(len(w) == 1 for w in words) / n, sum(len(w) > 20 for w in words) / n,
+        share(".,;:!?'\"()-"), share("0123456789"), min(symbols, 1), min(symbols * 20, 1), min(five * 3, 1), min(symbols, 1) ** 2,
+    ]
+
+
+def test_features_equal_plain_ones(rows):
+    texts = [t for _, t in rows]
+    assert np.allclose(quality_ranker.features(texts), [plain_features(t) for t in texts], atol=1e-12)
+
+
+def test_scores_equal_a_plain_fit(spark):
+    """The whole query again: same sample, pairs and threshold, the loss minimised by plain gradient steps."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in texts}
+    good, bad = (np.array([plain_features(texts[d]) for d in sorted(labels) if labels[d] == q]) for q in (1, 0))
+    both = np.concatenate((good, bad))
+    mean, spread = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6)
+
+    def scaled(x):
+        return np.clip((x - mean) / spread, -8, 8)
+
+    differences = (scaled(good)[:, None, :] - scaled(bad)[None, :, :]).reshape(-1, good.shape[1])
+    w = np.zeros(good.shape[1])
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))
+        w -= 0.2 * (-(differences * p[:, None]).mean(axis=0) + quality_ranker.PENALTY * w)
+    ranks = np.sort(scaled(both) @ w)
+    k = len(bad) - 1
+    cut = (ranks[k] + ranks[k + 1]) / 2
+    expected = {d: 1 / (1 + np.exp(-np.clip(scaled(np.array([plain_features(t)])) @ w - cut + np.log(0.3 / 0.7), -30, 30)))[0] for d, t in texts.items()}
+    got = {r["doc_id"]: r["score"] for r in queries.op5_quality_ranker(spark, sf).collect()}
+    assert max(abs(got[d] - expected[d]) for d in texts) < 0.02
+    near = {d for d in texts if abs(expected[d] - 0.3) < 0.02}
+    assert all((got[d] >= 0.3) == (expected[d] >= 0.3) for d in set(texts) - near)
+
+
+def test_training_on_an_id_that_repeats(spark):
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same words here "), (F.col("id") % 3).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = many.unionByName(spark.createDataFrame([(8, "der hund und die katze", "de"), (9, "# # $ $", "de")], "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(7, 1), (8, 1), (9, 0), (7, 1)], "doc_id long, quality int")
+    one = quality_ranker.train(docs.where("doc_id != 7").unionByName(many.limit(3)), labels, F.lit(True))
+    assert np.allclose(quality_ranker.train(docs, labels, F.lit(True)).weights, one.weights)
+    model = language_id.train(docs, F.lit(True))
+    assert model.languages == ["de", "en"] and (model.owner == 1).sum() == 1
+
+
+def test_models_replace_columns_of_their_names(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scored = quality_ranker.score(with_clashes(docs), quality_ranker.train(docs, labels, F.lit(True)))
+    told = language_id.identify(with_clashes(docs).withColumn("lang_pred", F.lit("?")), language_id.train(docs, F.lit(True)))
+    assert scored.where("score >= 0").count() == told.where("score >= 0 and rejected is not null and lang_pred != '?'").count() == docs.count()
+    assert scored.columns.count("score") == told.columns.count("score") == told.columns.count("rejected") == 1
+
+
 def test_ranks_order_pairs_and_the_quantile_cuts():
     rnd = np.random.default_rng(0)
     good, bad = rnd.normal(1, 1, (300, 4)), rnd.normal(-1, 1, (100, 4))
@@ -511,6 +612,81 @@ def test_language_of_odd_rows(docs, rows, nothing):
     assert {r["lang_pred"] for r in language_id.predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Counts of the hashed grams, one character after the other."""
+    if not text or not any(c for c in text.lower() if __import__("unicodedata").category(c)[0] == "L"):
+        return None
+    kept, was = [32], False
+    for c in text.lower():
+        letter = __import__("unicodedata").category(c)[0] == "L"
+        if letter or was:
+            kept.append(ord(c) if letter else 32)
+        was = letter
+    kept.append(32)
+    a, b, c, m = int(language_id._A), int(language_id._B), int(language_id._C), 2**32 - 1
+    grams = [x * a & m for x in kept[1:-1]] + [((x * a + y) * b) & m for x, y in zip(kept, kept[1:])]
+    grams += [(((x * a + y) * b & m) + z) * c & m for x, y, z in zip(kept, kept[1:], kept[2:])]
+    out = [0] * language_id.SIZE
+    for g in grams:
+        out[((g ^ g >> 15) * b & m) >> 20] += 1
+    return out
+
+
+def test_predictions_equal_plain_ones(spark):
+    """The whole query again in plain steps: counts, weights, clusters, cosines and cuts."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    counts = {d: plain_grams(t) for d, t, _ in rows}
+    known = [(lang, counts[d]) for d, _, lang in rows if lang is not None and zlib.crc32(str(d).encode()) % 3 != 1 and counts[d] is not None]
+    n, size = len(known), language_id.SIZE
+    held = [sum(c[k] > 0 for _, c in known) for k in range(size)]
+    idf = [np.log((1 + n) / (1 + h)) + 1 for h in held]
+
+    def vector(c):
+        v = [np.log1p(x) * w for x, w in zip(c, idf, strict=True)]
+        length = sum(x * x for x in v) ** 0.5
+        return np.array(v) / length
+
+    centres, cuts = [], {}
+    for lang in sorted({x for x, _ in known}):
+        own = [vector(c) for x, c in known if x == lang]
+        mine = [sum(own) / len(own)]
+        mine = [mine[0] / np.linalg.norm(mine[0])]
+        while len(mine) < min(3, len(own)):
+            mine.append(min(own, key=lambda v: max(float(v @ c) for c in mine)))
+        for _ in range(language_id.ROUNDS):
+            groups = defaultdict(list)
+            for v in own:
+                groups[max(range(len(mine)), key=lambda i: float(v @ mine[i]))].append(v)
+            mine = [(m := sum(groups[i]) / len(groups[i])) / np.linalg.norm(m) if groups[i] else mine[i] for i in range(len(mine))]
+        centres += [(lang, c) for c in mine]
+        cuts[lang] = 0.4 * float(np.quantile([max(float(v @ c) for c in mine) for v in own], 0.05))
+    got = {r["doc_id"]: r for r in queries.op10_language_id(spark, SF).collect()}
+    for d, _, _ in rows:
+        if counts[d] is None:
+            assert got[d]["lang_pred"] == "und"
+            continue
+        v = vector(counts[d])
+        best = max(((float(v @ c), lang) for lang, c in centres), key=lambda x: x[0])
+        assert got[d]["score"] == pytest.approx(min(1, max(0, best[0])), abs=1e-9)
+        assert got[d]["lang_pred"] == best[1] and got[d]["rejected"] == (best[0] < cuts[best[1]])
+
+
+def test_other_languages_and_random_letters_are_rejected(spark):
+    sf, rnd = "/root/testdata/sf0.01", random.Random(1)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs, F.lit(True))
+    far = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Wszyscy ludzie rodzą się wolni i równi w swej godności i prawach", "жук"]
+    far += ["".join(rnd.choice("bcdfghjklmnpqrstvwxz ") for _ in range(200)) for _ in range(20)]
+    assert all(model.predict(t)[2] for t in far)
+    assert language_id.identify(docs.where("lang is not null and length(text) > 20"), model).where("rejected").isEmpty()
+
+
+def test_rare_languages_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    df = spark.createDataFrame([(i, f"text {i} abc", lang) for i, lang in enumerate(["en", "en", "de", "de", "xx"])], "doc_id long, text string, lang string")
+    assert language_id.train(df, F.lit(True)).languages == ["de", "en"]
+
+
 def test_far_vectors_are_rejected():
     texts = {"en": ["the cat and the dog", "the house and the tree"], "de": ["der hund und die katze", "das haus und der baum"]}
     counts = np.array([language_id.counted(t) for own in texts.values() for t in own], dtype=float)
