@@ -7,7 +7,6 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import exact_dedup, language_id, ngram_join, packing, quality_ranker
 from ledgerline.llm.common import DOCUMENT_COLUMNS, fold, table
+from ledgerline.storage import scratch_folder
 
 #: Near duplicates: word shingles and Jaccard similarity in percent.
 SHINGLE, SIMILARITY = 5, 80
@@ -29,19 +29,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least the ranker's cut; those that it scores below go."""
+    """Documents that score at least the ranker's cut; those that it scores below go.
+
+    Null texts count as empty ones. Rows that repeat go or stay together. Where no label is
+    known all stay; no row gives none.
+    """
     docs = docs.select(*DOCUMENT_COLUMNS)
     model = quality_ranker.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
     return quality_ranker.score(docs, model).where(F.col("score") >= model.cut).select(*DOCUMENT_COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id; null counts as empty, a null id as below all, and of rows that repeat one stays."""
     return exact_dedup.drop_duplicates(docs.select(*DOCUMENT_COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; documents without a word or an id stay."""
+    """Of each group of near copies the document with the smallest id; documents without a word or an id stay, and so do all rows of an id that stays."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     groups = ngram_join.similar_groups(docs, shingle=SHINGLE, percent=SIMILARITY)
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
@@ -49,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that were kept."""
+    """The pieces of all documents that were kept: a null text is the end token alone, rows that repeat are packed each, a null id stays null, no row gives no piece."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -67,8 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from the documents of ``sf_dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")

@@ -10,6 +10,7 @@ EXCLUDED_FOLDERS = (".git", ".vs", "bin", "obj")
 #: Path segments of tests, whole or at a segment's end (fixed values).
 TEST_SEGMENTS = ("test", "tests", "testes")
 TEST_ENDINGS = (".tests", ".unittests", ".integrationtests", ".testes")
+#: What names a secret, and calls that are remote (fixed values).
 SECRET = r"(?i)(password|secret|token|apikey|api_key)\s*[:=]"
 REDACTED = "[REDACTED]"
 HTTP_METHODS = ("GetAsync", "PostAsync", "PostAsJsonAsync", "PutAsync", "DeleteAsync")
@@ -31,6 +32,14 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def relative_link(page: Column, target: Column) -> Column:
+    """``target`` as seen from ``page``'s folder: up to the nearest folder of both, then down."""
+    one, two = F.split(folder(page), "/"), F.split(target, "/")
+    one = F.when(folder(page) == "", F.array().cast("array<string>")).otherwise(one)
+    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(one), F.lit(1))), lambda i: (i <= F.size(one)) & (i < F.size(two)) & (F.slice(one, 1, i) == F.slice(two, 1, i))))
+    return F.concat(F.repeat(F.lit("../"), F.size(one) - same), F.array_join(F.slice(two, same + 1, F.size(two)), "/"))
+
+
 def source_kind(path: Column) -> Column:
     name, kind = F.lower(file_name(path)), F.lower(extension(path))
     return F.when(kind == ".cs", "CSharpSource").when(kind == ".csproj", "ProjectFile").when(name.startswith("appsettings") & name.endswith(".json"), "Configuration").otherwise("Unsupported")

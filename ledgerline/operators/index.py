@@ -24,17 +24,19 @@ def ordinals(df: DataFrame, by: list[str], order: list[str | Column], name: str
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 
-def spread_ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+def spread_ordinals(df: DataFrame, by: list[str], order: list[str | Column], name: str = "ordinal") -> DataFrame:
     """As :func:`ordinals`, for groups of any size: ordered ranges are counted, and numbered each from its own begin."""
-    ranged = checkpointed(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    keys = {f"_by_{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    order = list(keys)
+    ranged = checkpointed(df.withColumns(keys).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     begins = counts.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_begin"))
     return ordinals(ranged, [*by, "_range"], order, "_nth").join(begins, [*by, "_range"]).withColumn(name, F.col("_begin") + F.col("_nth")).select(*df.columns, name)
 
 
-def dictionary(keys: DataFrame, by: list[str], key: str, spread: bool = False) -> DataFrame:
-    """Distinct keys with their ordinal and local handle."""
+def dictionary(keys: DataFrame, by: list[str], key: str, spread: bool = True) -> DataFrame:
+    """Distinct keys with their ordinal and local handle; without ``spread`` for groups that fit one task."""
     return (spread_ordinals if spread else ordinals)(keys.select(*by, key).distinct(), by, [key]).withColumn("handle", local_handle(F.col("ordinal")))
 
 
@@ -55,7 +57,7 @@ def inverted(rows: DataFrame, key: str, by: list[str], ordinal: str = "ordinal",
     return rows.groupBy(*by, key).agg(F.array_sort(F.collect_set(ordinal)).alias("ordinals"), F.array_sort(F.collect_set(category)).alias("categories"))
 
 
-def pack_shards(records: DataFrame, family: str, key: str, size: str, target: int = SHARD_BYTES, ceiling: int = SHARD_CEILING) -> DataFrame:
+def pack_shards(records: DataFrame, family: str, key: str, size: str, target: int = SHARD_BYTES, ceiling: int | None = SHARD_CEILING) -> DataFrame:
     """Every record with the shard it goes to: in key order, a new shard begins where the target would be passed.
 
     A shard's begin depends on all records before it, yet a family is packed by many tasks: the
@@ -63,7 +65,8 @@ def pack_shards(records: DataFrame, family: str, key: str, size: str, target: in
     leaves open, and chunks whose guess was wrong are packed again. As soon as two
     packings of a chunk begin a shard at the same record they go on alike, so what a chunk
     leaves open hardly depends on its guess and two or three rounds settle it. The driver
-    sees one row per chunk and family. A record over the ceiling is an error.
+    sees one row per chunk and family. A record over the ceiling is an error; where there is
+    none (None), one over the target has a shard of its own.
     """
     rows = shipped(records).select(family, key, F.col(size).cast("long").alias("size"))
     # The chunks must be the same in every round, so they are kept.
@@ -95,14 +98,14 @@ def pack_shards(records: DataFrame, family: str, key: str, size: str, target: in
     return rows.mapInPandas(run, rows.drop("chunk").schema.add("shard", "long"))
 
 
-def _packed(batches: Iterator[pd.DataFrame], entries: dict, family: str, key: str, target: int, ceiling: int, columns: list[str] | None) -> Iterator:
+def _packed(batches: Iterator[pd.DataFrame], entries: dict, family: str, key: str, target: int, ceiling: int | None, columns: list[str] | None) -> Iterator:
     """Pack a chunk's records; yields its rows with their shards, or (``columns`` None) what each family leaves open and has begun."""
     current = chunk = None
     used = shard = first = 0
     for batch in batches:
         shards = []
         for own_chunk, name, own, record in zip(batch["chunk"], batch[family], batch["size"], batch[key], strict=True):
-            if own > ceiling:
+            if ceiling is not None and own > ceiling:
                 raise ValueError(f"oversized-record: {record}")
             if chunk is None or name != current:
                 if columns is None and chunk is not None:
@@ -120,11 +123,15 @@ def _packed(batches: Iterator[pd.DataFrame], entries: dict, family: str, key: st
         yield current, chunk, used, shard - first
 
 
-def shard_ranges(packed: DataFrame, family: str) -> DataFrame:
-    """Each shard's records, bytes, and first ordinal."""
-    shards = packed.groupBy(family, "shard").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
-    before = Window.partitionBy(family).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("first", F.coalesce(F.sum("records").over(before), F.lit(0)))
+def shard_ranges(packed: DataFrame, family: str, block: int = 4096) -> DataFrame:
+    """Each shard's records, bytes, and first ordinal; summed up within blocks of shards, and over the blocks."""
+    shards = packed.groupBy(family, "shard").agg(F.count("*").alias("records"), F.sum("size").alias("bytes")).withColumn("_block", F.floor(F.col("shard") / block))
+
+    def before(value: str, order: str, *by: str) -> Column:
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    blocks = shards.groupBy(family, "_block").agg(F.sum("records").alias("_n")).select(family, "_block", before("_n", "_block", family).alias("_begin"))
+    return shards.join(blocks, [family, "_block"]).withColumn("first", F.col("_begin") + before("records", "shard", family, "_block")).drop("_block", "_begin")
 
 
 def shard_of(ordinal_rows: DataFrame, ranges: DataFrame, family: str, bucket: int = 4096) -> DataFrame:

@@ -3,23 +3,26 @@
 A package is a table of artifacts (path, family, payload, records, digest). Bulk families
 are packed in key order into shards of bounded size, so no row gathers more than a shard.
 It is stored as Parquet under ``generations/<digest>`` of a folder that all executors
-share; the pointer file that names the generation is replaced last, so readers
-see the old package or the new one. The digest covers the stored content and is
-checked when it is read.
+share; the pointer file that names the generation is replaced last, by an overwriting
+rename, so readers see the old package or the new one. The digest covers the stored
+content and is checked when it is read. A manifest per solution names its folders, with
+their shards and records, and the index that each journey enters by.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import identity, predicates
-from ledgerline.model import CATEGORIES, ROOT_KINDS, SCOPES, FactualGraph, ordinal
+from ledgerline.model import CATEGORIES, GAP_KINDS, ROOT_KINDS, SCOPES, SPAN, VARIANT, FactualGraph, ordinal
 from ledgerline.operators import fixpoint, index, lift, measures, retain
 
 POINTER = "manifest.json"
@@ -28,9 +31,16 @@ CEILINGS = (("eshop", 1500, 64 << 20), ("pitstop", 750, 25 << 20))
 DEFAULT_CEILING = (1500, 96 << 20)
 #: Most reads and tokens of each journey (fixed values).
 JOURNEYS = {"locate": (8, 12_000), "follow-flow": (32, 125_000), "reverse-impact": (32, 125_000), "evidence": (12, 25_000)}
+#: Most reads of ``locate`` where the root is a component (fixed value).
+COMPONENT_READS = 5
 #: The index that each journey enters by (fixed values).
 ENTRY_INDEX = {"locate": "roots", "follow-flow": "outgoing", "reverse-impact": "incoming", "evidence": "evidence"}
+INDEXES = ("outgoing", "incoming", "contracts", "persistence", "runtime", "roots", "documents", "measures", "evidence")
 RUNTIME = ("http", "grpc", "messaging")
+#: Lines that one task joins for a digest.
+DIGEST_LINES = 4096
+#: Seconds after which a lock that its writer hasn't renewed may be taken over.
+STALE_LOCK = 6 * 3600
 
 
 @dataclass(frozen=True)
@@ -46,7 +56,7 @@ def build_model(graph: FactualGraph, include_tests: bool = False) -> Model:
     kept = retain.retained(graph, include_tests)
     members = lift.membership(kept.entities, kept.occurrences, include_tests)
     rows = lift.aggregate(lift.contributions(kept.relations, kept.evidence, members, lift.project_by_document(graph.occurrences, include_tests)))
-    rows = fixpoint.checkpointed(index.ordinals(rows, ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]))
+    rows = fixpoint.checkpointed(index.spread_ordinals(rows, ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]))
     found = measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(kept.gaps, members))
     return Model(kept, rows, fixpoint.checkpointed(found))
 
@@ -78,20 +88,21 @@ def index_rows(model: Model) -> DataFrame:
     rows = model.dependencies
     parts = {"outgoing": ("source", None), "incoming": ("target", None), "contracts": ("target", ("contract", "messaging")), "persistence": ("target", ("persistence",)), "runtime": ("source", RUNTIME)}
     found = [index.inverted(rows if only is None else rows.where(F.col("category").isin(*only)), key, ["solution_key"]).select("solution_key", F.lit(name).alias("index"), F.col(key).alias("key"), "ordinals", "categories") for name, (key, only) in parts.items()]
-    none = F.array().cast("array<string>")
-    roots = index.ordinals(model.graph.entities.where(F.col("kind").isin(*ROOT_KINDS)), ["solution_key"], ["key"])
-    found.append(roots.select("solution_key", F.lit("roots").alias("index"), "key", F.array("ordinal").alias("ordinals"), none.alias("categories")))
+    # The others number their keys, all in one go.
     reach = model.measures.groupBy("solution_key", F.col("entity").alias("key")).agg(F.bool_or(F.size("reverse_impact") > 0).alias("reached"))
-    found.append(index.ordinals(reach, ["solution_key"], ["key"]).select("solution_key", F.lit("measures").alias("index"), "key", F.array("ordinal").alias("ordinals"), F.when(F.col("reached"), F.array(F.lit("reachable"))).otherwise(none).alias("categories")))
-    proof = index.ordinals(model.graph.evidence.select("solution_key", "key").distinct(), ["solution_key"], ["key"])
-    found.append(proof.select("solution_key", F.lit("evidence").alias("index"), "key", F.array("ordinal").alias("ordinals"), none.alias("categories")))
+    plain = {
+        "roots": model.graph.entities.where(F.col("kind").isin(*ROOT_KINDS)).select("solution_key", "key"),
+        "documents": rows.where("scope = 'document'").select("solution_key", F.explode(F.array("source", "target")).alias("key")).distinct(),
+        "evidence": model.graph.evidence.select("solution_key", "key").distinct(),
+    }
+    none = F.array().cast("array<string>")
+    keys = [df.select("solution_key", F.lit(name).alias("index"), "key", none.alias("categories")) for name, df in plain.items()]
+    keys.append(reach.select("solution_key", F.lit("measures").alias("index"), "key", F.when(F.col("reached"), F.array(F.lit("reachable"))).otherwise(none).alias("categories")))
+    placed = index.spread_ordinals(reduce(DataFrame.unionByName, keys), ["solution_key", "index"], ["key"])
+    found.append(placed.select("solution_key", "index", "key", F.array("ordinal").alias("ordinals"), "categories"))
     return reduce(DataFrame.unionByName, found)
 
 
-def _relative(path: Column, depth: int = 1) -> Column:
-    return F.concat(F.lit("../" * depth), path)
-
-
 def page_path(key: Column) -> Column:
     return F.concat(F.lit("pages/"), identity.public_id("ent", key), F.lit(".md"))
 
@@ -108,18 +119,26 @@ def pages(model: Model) -> DataFrame:
 
     def lines(own: str, other: str, title: str) -> DataFrame:
         rows = model.dependencies.select("solution_key", F.col(own).alias("key"), F.col(other).alias("other"), "category", "occurrence_count").join(linked, ["solution_key", "other"], "left")
-        shown = F.when(F.col("page").isNotNull(), F.concat(F.lit("["), "other_name", F.lit("]("), _relative(F.col("page")), F.lit(")"))).otherwise(predicates.escaped_markdown(predicates.published(F.substring_index("other", ":", -1))))
+        shown = F.when(F.col("page").isNotNull(), F.concat(F.lit("["), "other_name", F.lit("]("), predicates.relative_link(page_path(F.col("key")), F.col("page")), F.lit(")"))).otherwise(predicates.escaped_markdown(predicates.published(F.substring_index("other", ":", -1))))
         line = F.concat(F.lit("- "), shown, F.lit(" "), "category", F.lit(" x"), F.col("occurrence_count").cast("string"))
         return rows.groupBy("solution_key", "key").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias(title))
 
+    # Who is reached backward, nearest first; and gaps by kind.
+    impact = model.measures.select("solution_key", F.col("entity").alias("key"), F.explode("reverse_impact").alias("r")).select("solution_key", "key", F.col("r.depth").alias("depth"), F.col("r.dependent").alias("other")).join(linked, ["solution_key", "other"], "left")
+    shown = F.when(F.col("page").isNotNull(), F.concat(F.lit("["), "other_name", F.lit("]("), predicates.relative_link(page_path(F.col("key")), F.col("page")), F.lit(")"))).otherwise(predicates.escaped_markdown(predicates.published(F.substring_index("other", ":", -1))))
+    impact = impact.groupBy("solution_key", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "other", F.concat(F.lit("- "), F.col("depth").cast("string"), F.lit(" "), shown).alias("line")))), lambda x: x["line"]), "\n").alias("impact"))
+    gaps = model.measures.groupBy("solution_key", F.col("entity").alias("key")).agg(*[F.max(f"gaps_{k.lower()}").alias(k) for k in GAP_KINDS])
+    gaps = gaps.select("solution_key", "key", F.concat_ws("\n", *[F.when(F.col(k) > 0, F.concat(F.lit(f"- {k} "), F.col(k).cast("string"))) for k in GAP_KINDS]).alias("gaps")).where("gaps != ''")
     told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.lit("-"), "scope", F.concat(F.lit("fan-in="), F.col("fan_in").cast("string")), F.concat(F.lit("fan-out="), F.col("fan_out").cast("string")), F.concat(F.lit("cycles="), F.size("cycles").cast("string")), F.concat(F.lit("impact="), F.size("reverse_impact").cast("string")), F.concat(F.lit("gaps="), (F.col("gaps_candidate") + F.col("gaps_unknown") + F.col("gaps_openfrontier")).cast("string"))))), "\n").alias("measured")
     facts = model.measures.groupBy("solution_key", F.col("entity").alias("key")).agg(told)
-    out = subjects.join(lines("source", "target", "outgoing"), ["solution_key", "key"], "left").join(lines("target", "source", "incoming"), ["solution_key", "key"], "left").join(facts, ["solution_key", "key"], "left")
+    out = subjects
+    for part in (lines("source", "target", "outgoing"), lines("target", "source", "incoming"), facts, impact, gaps):
+        out = out.join(part, ["solution_key", "key"], "left")
 
     def section(title: str, column: str) -> Column:
         return F.concat(F.lit(f"\n## {title}\n\n"), F.coalesce(column, F.lit("none")), F.lit("\n"))
 
-    page = F.concat(F.lit("# "), "name", F.lit("\n"), section("Outgoing", "outgoing"), section("Incoming", "incoming"), section("Measures", "measured"))
+    page = F.concat(F.lit("# "), "name", F.lit("\n"), section("Outgoing", "outgoing"), section("Incoming", "incoming"), section("Measures", "measured"), section("Impact", "impact"), section("Gaps", "gaps"))
     return out.select("solution_key", page_path(F.col("key")).alias("path"), F.lit("Markdown").alias("family"), page.alias("payload"), F.lit(1).cast("long").alias("records"))
 
 
@@ -128,32 +147,84 @@ def summaries(model: Model) -> DataFrame:
     counts = model.graph.entities.groupBy("solution_key").agg(F.count("*").alias("entities")).join(model.dependencies.groupBy("solution_key").agg(F.count("*").alias("dependencies")), "solution_key", "left")
     key = F.struct((-F.col("fan_in")).alias("order"), "entity", "fan_in")
     top = model.measures.where("scope = 'component'").select("solution_key", key.alias("row"))
-    best = index.ordinals(top, ["solution_key"], ["row"]).where("ordinal < 5").groupBy("solution_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.concat(F.lit("- ["), predicates.escaped_markdown(F.substring_index(r["entity"], ":", -1)), F.lit("]("), page_path(r["entity"]), F.lit(") fan-in="), r["fan_in"].cast("string"))), "\n").alias("top"))
+    best = index.ordinals(top, ["solution_key"], ["row"]).where("ordinal < 5").groupBy("solution_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.concat(F.lit("- ["), predicates.escaped_markdown(F.substring_index(r["entity"], ":", -1)), F.lit("](../"), page_path(r["entity"]), F.lit(") fan-in="), r["fan_in"].cast("string"))), "\n").alias("top"))
     page = F.concat(F.lit("# Summary\n\n- entities: "), F.col("entities").cast("string"), F.lit("\n- dependencies: "), F.coalesce("dependencies", F.lit(0)).cast("string"), F.lit("\n\n## Most used\n\n"), F.coalesce("top", F.lit("none")), F.lit("\n"))
     return counts.join(best, "solution_key", "left").select("solution_key", F.concat(F.lit("summary/"), solution_id(F.col("solution_key")), F.lit(".md")).alias("path"), F.lit("Markdown").alias("family"), page.alias("payload"), F.lit(1).cast("long").alias("records"))
 
 
 def artifacts(model: Model) -> DataFrame:
     """All artifacts of a package with their digests and sizes."""
-    g, d, m = model.graph, model.dependencies, model.measures
+    g, m = model.graph, model.measures
     key = F.col("key")
     variants = g.evidence.select("solution_key", identity.variant_key(F.col("variant")).alias("key")).distinct()
-    tables = [
-        _records(index.dictionary(df.select("solution_key", "key"), ["solution_key"], "key"), "Table", f"tables/{name}", key, F.struct("handle", "key"))
-        for name, df in (("entities", _universe(g, d)), ("variants", variants), ("relations", g.relations), ("evidence", g.evidence))
-    ]
+    tables = {"entities": _universe(g, model.dependencies), "variants": variants, "relations": g.relations, "evidence": g.evidence}
+    words = index.dictionary(reduce(DataFrame.unionByName, [df.select("solution_key", F.lit(name).alias("table"), "key") for name, df in tables.items()]), ["solution_key", "table"], "key")
+    navigation = index_rows(model)
     records = [
-        *tables,
+        *[_records(words.where(F.col("table") == name), "Table", f"tables/{name}", key, F.struct("handle", "key")) for name in tables],
         _records(g.relations, "Graph", "graph", key, F.struct("key", "source_key", "target_key", "category", "evidence_keys")),
-        _records(d, "Dependencies", "dependencies", F.format_string("%012d", "ordinal"), F.struct("ordinal", "scope", "source", "target", "category", "nature", "occurrence_count", "variants", "relations", "evidence")),
+        _records(encoded_dependencies(model, words.where("table = 'entities'").drop("table")), "Dependencies", "dependencies", F.format_string("%012d", "ordinal"), F.struct("ordinal", "scope", "source", "target", "category", "nature", "occurrence_count", "variants", "relations", "evidence")),
         _records(m, "Measures", "measures", F.concat_ws("\x01", "scope", "entity"), F.struct("scope", "entity", "fan_in", "fan_out", "cross_component_edges", "cycles", "reverse_impact", "gaps_candidate", "gaps_unknown", "gaps_openfrontier")),
         _records(g.evidence, "Evidence", "evidence", key, F.struct("key", "document_key", "variant", "span", "content_digest"), index.EVIDENCE_SHARD_BYTES),
-        *[_records(index_rows(model).where(F.col("index") == i), "Index", f"indexes/{i}", key, F.struct("key", "ordinals", "categories")) for i in ("outgoing", "incoming", "contracts", "persistence", "runtime", "roots", "measures", "evidence")],
+        *[_records(navigation.where(F.col("index") == i), "Index", f"indexes/{i}", key, F.struct("key", "ordinals", "categories")) for i in INDEXES],
     ]
-    rows = _shards(reduce(DataFrame.unionByName, records)).unionByName(pages(model)).unionByName(summaries(model))
+    shards = fixpoint.checkpointed(_shards(reduce(DataFrame.unionByName, records)))
+    return described(shards.unionByName(manifests(g, shards)).unionByName(pages(model)).unionByName(summaries(model)))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Artifact rows with the digest and the bytes of their payload."""
     return rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
 
 
+def encoded_dependencies(model: Model, words: DataFrame) -> DataFrame:
+    """Dependencies with the handles of the entity table (solution_key, key, handle) for both ends."""
+    words = words.select("solution_key", "key", "handle")
+    rows = model.dependencies
+    for column in ("source", "target"):
+        rows = index.encoded(rows, words, ["solution_key"], column)
+    return rows
+
+
+def manifests(graph: FactualGraph, shards: DataFrame) -> DataFrame:
+    """A manifest per solution: every index, also one without an entry, and the other folders, with shards and records; the journeys' entries."""
+    counts = shards.select("solution_key", F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.when(F.col("path").rlike("^(indexes|tables)/"), F.split_part("path", F.lit("/"), F.lit(2)))).alias("folder"), "records")
+    counts = counts.groupBy("solution_key", "folder").agg(F.count("*").alias("shards"), F.sum("records").alias("records"))
+    wanted = graph.entities.select("solution_key").distinct().select("solution_key", F.explode(F.array(*[F.lit(f"indexes/{i}") for i in INDEXES])).alias("folder"))
+    folders = wanted.join(counts, ["solution_key", "folder"], "full").select("solution_key", "folder", F.coalesce("shards", F.lit(0)).alias("shards"), F.coalesce("records", F.lit(0)).alias("records"))
+    listed = folders.groupBy("solution_key").agg(F.array_sort(F.collect_list(F.struct("folder", "shards", "records"))).alias("folders"))
+    sid = solution_id(F.col("solution_key"))
+    entries = F.array(*[F.struct(F.lit(j).alias("journey"), F.lit(f"indexes/{i}").alias("entry")) for j, i in ENTRY_INDEX.items()])
+    payload = F.to_json(F.struct(sid.alias("id"), F.col("solution_key").alias("key"), "folders", entries.alias("journeys")))
+    return listed.select("solution_key", F.concat(F.lit("solutions/"), sid, F.lit("/manifest.json")).alias("path"), F.lit("Manifest").alias("family"), payload.alias("payload"), F.lit(1).cast("long").alias("records"))
+
+
+MANIFEST = "id string, key string, folders array<struct<folder:string,shards:bigint,records:bigint>>, journeys array<struct<journey:string,entry:string>>"
+
+
+def declared(rows: DataFrame) -> DataFrame:
+    """solution_key, folder, shards and records, as the manifests say."""
+    told = rows.where("family = 'Manifest'").select("solution_key", F.from_json("payload", MANIFEST, {"mode": "FAILFAST"}).alias("m"))
+    return told.select("solution_key", F.explode("m.folders").alias("f")).select("solution_key", "f.*")
+
+
+def read_declared(rows: DataFrame) -> DataFrame:
+    """The JSON artifacts that a manifest declares, by the path of each; one that isn't there is an error."""
+    told = declared(rows).where("shards > 0").select("solution_key", "folder", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    told = told.select(F.concat(F.col("folder"), F.lit("/"), solution_id(F.col("solution_key")), F.format_string("/%06d.json", "shard")).alias("path"))
+    missing = F.raise_error(F.concat(F.lit("artifact-missing: "), "path")).cast("string")
+    return told.join(rows, "path", "left").withColumn("payload", F.coalesce("payload", missing)).select(rows.columns)
+
+
+def entry_of(rows: DataFrame) -> DataFrame:
+    """solution_key, journey and entry (a folder) of every journey: an error unless a solution has exactly one manifest, and it exactly one folder of each index."""
+    told = rows.where("family = 'Manifest'").select("solution_key", F.from_json("payload", MANIFEST, {"mode": "FAILFAST"}).alias("m"))
+    n = F.aggregate(F.array(*[F.lit(f"indexes/{i}") for i in INDEXES]), F.lit(True), lambda ok, i: ok & (F.size(F.filter("m.folders", lambda f: f["folder"] == i)) == 1))
+    several = told.groupBy("solution_key").agg(F.count("*").alias("manifests"), F.first("m").alias("m"))
+    checked = several.withColumn("m", F.when((F.col("manifests") == 1) & n, F.col("m")).otherwise(F.raise_error(F.concat(F.lit("not-exactly-one-index: "), "solution_key")).cast(told.schema["m"].dataType)))
+    return checked.select("solution_key", F.explode("m.journeys").alias("j")).select("solution_key", "j.*")
+
+
 def _universe(g: FactualGraph, d: DataFrame) -> DataFrame:
     """All keys that any artifact refers to as an entity."""
     parts = [g.entities.select("solution_key", "key"), g.relations.select("solution_key", F.explode(F.array("source_key", "target_key")).alias("key")), d.select("solution_key", F.explode(F.array("source", "target")).alias("key")), g.sources.select("solution_key", "key")]
@@ -164,15 +235,39 @@ def _universe(g: FactualGraph, d: DataFrame) -> DataFrame:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("family").agg(F.count("*").alias("artifacts"), F.sum("bytes").alias("bytes"))
+    """Artifacts and bytes of every family, and of all of them (family ``total``)."""
+    sums = rows.rollup("family").agg(F.count("*").alias("artifacts"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.grouping("family").alias("whole"))
+    return sums.select(F.when(F.col("whole") == 1, "total").otherwise(F.col("family")).alias("family"), "artifacts", "bytes")
+
+
+def solution_totals(rows: DataFrame) -> DataFrame:
+    """Artifacts and bytes of every solution, found by the id in the path; what has none is left out."""
+    sid = F.regexp_extract("path", "(sol_[0-9a-v]{16})", 1)
+    return rows.select(sid.alias("solution_id"), "bytes").where("solution_id != ''").groupBy("solution_id").agg(F.count("*").alias("artifacts"), F.sum("bytes").alias("bytes"))
+
+
+def digest_rows(rows: DataFrame, most: int = DIGEST_LINES) -> DataFrame:
+    """One row: SHA-256 over the ``path:digest`` lines in the order of their paths, and how many there are.
+
+    More lines than ``most`` are hashed in runs of that many, and the runs' digests (``number:digest``)
+    in their place, until they are few: no task joins more.
+    """
+    lines = rows.select(F.col("path").alias("key"), F.concat_ws(":", "path", "digest").alias("line"))
+    n = count = lines.count()
+
+    def hashed() -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n"), 256)
+
+    while n > most:
+        placed = index.spread_ordinals(lines.withColumn("all", F.lit(0)), ["all"], ["key", "line"])
+        runs = placed.withColumn("run", F.floor(F.col("ordinal") / most)).groupBy("run").agg(hashed().alias("digest"))
+        lines = runs.select(F.col("run").alias("key"), F.concat_ws(":", "run", "digest").alias("line"))
+        n = -(-n // most)
+    return lines.agg(hashed().alias("package_digest")).select("package_digest", F.lit(count).cast("long").alias("artifacts"))
 
 
 def package_digest(rows: DataFrame) -> str:
-    """SHA-256 over the sorted ``path:digest`` lines, in two levels by the path's own hash so that no task joins all."""
-    part = F.substring(F.sha2("path", 256), 1, 3)
-    lines = rows.select(part.alias("part"), F.concat_ws(":", "path", "digest").alias("line"))
-    level = lines.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
-    return level.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "digest"))), "\n"), 256)).first()[0]
+    return digest_rows(rows).first()[0]
 
 
 def budget(names: list[str]) -> tuple[int, int, list[str]]:
@@ -193,8 +288,8 @@ class PackageError(ValueError):
 
 def check_budget(rows: DataFrame, names: list[str]) -> None:
     most, most_bytes, applied = budget(names)
-    by_family = totals(rows).orderBy("family").collect()
-    count, size = sum(r["artifacts"] for r in by_family), sum(r["bytes"] or 0 for r in by_family)
+    *by_family, whole = totals(rows).orderBy(F.col("family") == "total", "family").collect()
+    count, size = whole["artifacts"], whole["bytes"]
     if count > most or size > most_bytes:
         told = ", ".join(f"{r['family']}={r['artifacts']}/{r['bytes']}" for r in by_family)
         raise PackageError("package-budget-exceeded", "budget", f"{count} artifacts and {size} bytes over {most} and {most_bytes} ({', '.join(applied)}): {told}")
@@ -216,21 +311,58 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(Path(path), False)
-    if not fs.rename(beside, Path(path)):
-        raise PackageError("pointer-not-replaced", "commit", path)
+    # A rename that overwrites: at no moment is there no file.
+    jvm = spark.sparkContext._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(Path(path)), options)
+
+
+def _locked(spark: SparkSession, base: str, stale: float = STALE_LOCK) -> str:
+    """Take the folder's lock; one whose writer has been silent for ``stale`` seconds is taken over. Returns the owner's name."""
+    fs, Path = _fs(spark, base)
+    lock, owner = f"{base}/.lock", uuid.uuid4().hex
+    for _ in range(2):
+        try:
+            out = fs.create(Path(lock), False)
+            out.write(bytearray(json.dumps({"owner": owner, "time": int(time.time())}).encode()))
+            out.close()
+            return owner
+        except Py4JJavaError:
+            if not fs.exists(Path(lock)):
+                continue
+            if time.time() - fs.getFileStatus(Path(lock)).getModificationTime() / 1000 < stale:
+                break
+            # Of several writers that find it stale one alone can move it away.
+            if fs.rename(Path(lock), Path(f"{lock}.{owner}")):
+                fs.delete(Path(f"{lock}.{owner}"), False)
+    raise PackageError("package-locked", "commit", f"{lock} exists")
+
+
+def _holds(spark: SparkSession, base: str, owner: str) -> bool:
+    fs, Path = _fs(spark, base)
+    if not fs.exists(Path(f"{base}/.lock")):
+        return False
+    held = fs.open(Path(f"{base}/.lock"))
+    try:
+        return owner in spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    finally:
+        held.close()
 
 
 def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | None = None) -> str:
     """Store, read back, validate and certify a generation, then point to it; older ones go. Returns its digest.
 
-    One writer at a time: the lock file is created exclusively and removed at the end.
+    The budget is checked early on the artifacts, and again on all that will be committed. One
+    writer at a time: the lock file is created exclusively, looked at again before the pointer
+    is replaced, and removed at the end. A generation that is there already, with the content that
+    its name says, stays as it is.
     """
     base = folder.rstrip("/")
     fs, Path = _fs(spark, base)
     fs.mkdirs(Path(base))
-    if not fs.createNewFile(Path(f"{base}/.lock")):
-        raise PackageError("package-locked", "commit", f"{base}/.lock exists")
+    owner = _locked(spark, base)
     staged = f"{base}/staging-{uuid.uuid4().hex}"
     try:
         artifacts(model).write.parquet(f"{staged}/artifacts")
@@ -239,25 +371,57 @@ def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | N
         digest = package_digest(rows)
         if failure := first_failure(rows, model):
             raise failure
-        certify(rows, model).write.parquet(f"{staged}/certification")
+        certify(rows).write.parquet(f"{staged}/certification")
+        certified = spark.read.parquet(f"{staged}/certification")
+        if failed := certified.where("status = 'Failed'").orderBy("solution_key", "journey").take(1):
+            raise PackageError("journey-certification", "certification", f"{failed[0]['journey']}: {failed[0]['reason']}")
+        pointer = json.dumps({"generation": digest, "path": f"generations/{digest}"}, sort_keys=True)
+        sizes = certification_artifacts(certified).select("family", "bytes").unionByName(rows.select("family", "bytes"))
+        check_budget(sizes.unionByName(spark.createDataFrame([("Manifest", len(pointer))], "family string, bytes long")), names or [])
         target = f"{base}/generations/{digest}"
         fs.mkdirs(Path(f"{base}/generations"))
-        fs.delete(Path(target), True)
-        if not fs.rename(Path(staged), Path(target)):
-            raise PackageError("generation-not-moved", "commit", target)
-        _write_text(spark, f"{base}/{POINTER}", json.dumps({"generation": digest, "path": f"generations/{digest}"}, sort_keys=True))
+        if not _has_digest(spark, target, digest):
+            fs.delete(Path(target), True)
+            if not fs.rename(Path(staged), Path(target)):
+                raise PackageError("generation-not-moved", "commit", target)
+        if not _holds(spark, base, owner):
+            raise PackageError("lock-lost", "commit", f"{base}/.lock is another writer's")
+        _write_text(spark, f"{base}/{POINTER}", pointer)
         for status in fs.listStatus(Path(f"{base}/generations")):
             if status.getPath().getName() != digest:
                 fs.delete(status.getPath(), True)
         return digest
     finally:
         fs.delete(Path(staged), True)
-        fs.delete(Path(f"{base}/.lock"), False)
+        if _holds(spark, base, owner):
+            fs.delete(Path(f"{base}/.lock"), False)
+
+
+def _has_digest(spark: SparkSession, generation: str, digest: str) -> bool:
+    """Whether the folder holds the artifacts that its digest names, and their certification."""
+    fs, Path = _fs(spark, generation)
+    if not fs.exists(Path(f"{generation}/artifacts/_SUCCESS")) or not fs.exists(Path(f"{generation}/certification/_SUCCESS")):
+        return False
+    return package_digest(described(spark.read.parquet(f"{generation}/artifacts"))) == digest
+
+
+def certification_artifacts(certified: DataFrame) -> DataFrame:
+    """A certification file per solution, in the form of artifact rows."""
+    journeys = F.array_sort(F.collect_list(F.struct("journey", "status", "reason", "reads", "bytes", "tokens")))
+    rows = certified.groupBy("solution_key", "solution_id").agg(F.to_json(journeys).alias("payload"))
+    return described(rows.select("solution_key", F.concat(F.lit("certification/"), "solution_id", F.lit(".json")).alias("path"), F.lit("Certification").alias("family"), "payload", F.lit(len(JOURNEYS)).cast("long").alias("records")))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The artifacts that the pointer names; an error where the digest isn't that of the content."""
     base = folder.rstrip("/")
+    fs, Path = _fs(spark, base)
+    if not fs.exists(Path(f"{base}/{POINTER}")) and fs.exists(Path(f"{base}/artifacts/_SUCCESS")):
+        # A generation by itself, whose name is its digest.
+        rows = spark.read.parquet(f"{base}/artifacts")
+        if package_digest(described(rows)) != base.rpartition("/")[2]:
+            raise PackageError("digest-mismatch", "open", "the content is not what was published")
+        return rows
     try:
         pointer = json.loads(spark.read.text(f"{base}/{POINTER}", wholetext=True).first()[0])
     except Exception as e:
@@ -265,12 +429,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     if set(pointer) != {"generation", "path"} or not pointer["path"].startswith("generations/") or ".." in pointer["path"]:
         raise PackageError("pointer-invalid", "open", json.dumps(pointer))
     rows = spark.read.parquet(f"{base}/{pointer['path']}/artifacts")
-    if package_digest(rows.withColumn("digest", F.sha2("payload", 256))) != pointer["generation"]:
+    if package_digest(described(rows)) != pointer["generation"]:
         raise PackageError("digest-mismatch", "open", "the content is not what was published")
     return rows
 
 
 def read_artifact(rows: DataFrame, path: str) -> str:
+    """The payload at a path, which may not leave the package."""
+    if path.startswith("/") or "\\" in path or ":" in path or not {"", ".", ".."}.isdisjoint(path.split("/")):
+        raise PackageError("unsafe-path", "read", path, path)
     found = rows.where(F.col("path") == path).select("payload").take(1)
     if not found:
         raise PackageError("artifact-missing", "read", path, path)
@@ -315,8 +482,11 @@ def first_failure(rows: DataFrame, model: Model | None = None) -> PackageError |
         ("unsafe-path", "safety", rows.where(F.contains("payload", F.lit("C:/")) | ~predicates.is_safe_relative(F.col("path")))),
         ("duplicate-path", "integrity", rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")),
         ("shard-gap", "layout", _shard_gaps(rows)),
-        ("record-count", "layout", rows.where(F.col("path").endswith(".json") & (F.size(F.from_json("payload", "array<string>")) != F.col("records")))),
-        ("table-order", "layout", _unsorted_tables(rows)),
+        ("record-count", "layout", rows.where(F.col("path").endswith(".json") & (F.col("family") != "Manifest") & (F.size(F.from_json("payload", "array<string>")) != F.col("records")))),
+        ("undeclared", "layout", _undeclared(rows)),
+        ("table-order", "content", _unsorted_tables(rows)),
+        ("duplicate-key", "content", records_of(rows, "tables", "handle string, key string").groupBy("solution_key", F.split_part("path", F.lit("/"), F.lit(2)).alias("table"), "key").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1")),
+        ("unretained-evidence", "content", _unretained(rows)),
     ]
     if model is not None:
         own = index_rows(model).select(F.col("index").alias("i"), "solution_key", "key", "ordinals", "categories")
@@ -325,16 +495,56 @@ def first_failure(rows: DataFrame, model: Model | None = None) -> PackageError |
         made = pages(model).unionByName(summaries(model)).select("path", F.sha2("payload", 256).alias("digest"))
         held = rows.where("family = 'Markdown'").select("path", "digest")
         checks += [("page-mismatch", "rehydrate", made.exceptAll(held)), ("page-mismatch", "rehydrate", held.exceptAll(made))]
-    for code, stage, bad in checks:
-        if found := bad.take(1):
-            row = found[0].asDict()
-            return PackageError(code, stage, str(row.get("path") or row.get("key")), row.get("path"))
+        for code, made, held in (
+            ("dependency-mismatch", model.dependencies, dependencies_of(rows)),
+            ("measure-mismatch", model.measures, records_of(rows, "measures", MEASURE)),
+            ("relation-mismatch", model.graph.relations, records_of(rows, "graph", RELATION)),
+            ("evidence-mismatch", model.graph.evidence, records_of(rows, "evidence", f"key string, document_key string, variant {VARIANT}, span {SPAN}, content_digest string")),
+        ):
+            names = [c for c in held.columns if c not in ("path", "place")]
+            made, held = made.select(*names), held.select(*names)
+            checks += [(code, "rehydrate", made.exceptAll(held)), (code, "rehydrate", held.exceptAll(made))]
+    # Checks of one stage are one job; a later stage may take for granted what the ones before have seen.
+    stages = list(dict.fromkeys(stage for _, stage, _ in checks))
+    for stage in stages:
+        own = [(i, bad) for i, (_, s, bad) in enumerate(checks) if s == stage]
+        rows_of = [bad.select(F.lit(i).alias("i"), (F.col("path") if "path" in bad.columns else F.lit(None).cast("string")).alias("path"), (F.col("key") if "key" in bad.columns else F.lit(None).cast("string")).alias("key")) for i, bad in own]
+        if found := reduce(DataFrame.unionByName, rows_of).orderBy("i", "path", "key").take(1):
+            return PackageError(checks[found[0]["i"]][0], stage, str(found[0]["path"] or found[0]["key"]), found[0]["path"])
     return None
 
 
+DEPENDENCY = "ordinal bigint, scope string, source string, target string, category string, nature string, occurrence_count bigint, variants array<string>, relations array<string>, evidence array<string>"
+MEASURE = "scope string, entity string, fan_in bigint, fan_out bigint, cross_component_edges bigint, cycles array<string>, reverse_impact array<struct<depth:int,dependent:string>>, gaps_candidate bigint, gaps_unknown bigint, gaps_openfrontier bigint"
+RELATION = "key string, source_key string, target_key string, category string, evidence_keys array<string>"
+
+
+def dependencies_of(rows: DataFrame) -> DataFrame:
+    """The stored dependencies with their ends decoded by the entity table."""
+    words = records_of(rows, "tables/entities", "handle string, key string").select("solution_key", "key", "handle")
+    out = records_of(rows, "dependencies", DEPENDENCY)
+    for column in ("source", "target"):
+        out = index.decoded(out, words, ["solution_key"], column)
+    return out
+
+
+def _unretained(rows: DataFrame) -> DataFrame:
+    """Dependencies that cite evidence which the package doesn't hold."""
+    cited = records_of(rows, "dependencies", DEPENDENCY).select("solution_key", "path", F.explode("evidence").alias("key"))
+    return cited.join(records_of(rows, "evidence", f"key string, document_key string, variant {VARIANT}, span {SPAN}, content_digest string").select("solution_key", "key"), ["solution_key", "key"], "left_anti")
+
+
+def _undeclared(rows: DataFrame) -> DataFrame:
+    """Folders whose shards or records aren't as many as the manifest says."""
+    own = rows.where(F.col("path").endswith(".json") & (F.col("family") != "Manifest")).select("solution_key", F.regexp_replace("path", "/sol_[^/]*/[^/]*$", "").alias("folder"), "records")
+    own = own.groupBy("solution_key", "folder").agg(F.count("*").alias("own_shards"), F.sum("records").alias("own_records"))
+    both = own.join(declared(rows), ["solution_key", "folder"], "full")
+    return both.where(~(F.coalesce("own_shards", F.lit(0)).eqNullSafe(F.col("shards")) & F.coalesce("own_records", F.lit(0)).eqNullSafe(F.col("records")))).select(F.col("folder").alias("path"))
+
+
 def _shard_gaps(rows: DataFrame) -> DataFrame:
     """Folders whose shards aren't numbered from 0 without a hole."""
-    shards = rows.where(F.col("path").endswith(".json")).select(predicates.folder(F.col("path")).alias("path"), predicates.stem(F.col("path")).cast("long").alias("n"))
+    shards = rows.where(F.col("path").endswith(".json") & (F.col("family") != "Manifest")).select(predicates.folder(F.col("path")).alias("path"), predicates.stem(F.col("path")).cast("long").alias("n"))
     return shards.groupBy("path").agg(F.count("*").alias("shards"), F.max("n").alias("last")).where("shards != last + 1")
 
 
@@ -343,22 +553,83 @@ def _unsorted_tables(rows: DataFrame) -> DataFrame:
     return index.unsorted_rows(table.withColumn("at", F.struct("path", "place")), ["stream"], "at", "key")
 
 
-def certify(rows: DataFrame, model: Model) -> DataFrame:
-    """solution_key, journey, status, reads, bytes and tokens: each journey read by the shards it needs, the meter set back between."""
-    first = model.graph.entities.where(F.col("kind").isin(*ROOT_KINDS)).groupBy("solution_key").agg(F.min("key").alias("root"))
+def journey_costs(opened: DataFrame, by: tuple[str, ...] = ("journey",)) -> DataFrame:
+    """reads, bytes and tokens of each journey from the artifacts (path, bytes) it opens; one opened again costs nothing."""
+    once = opened.dropDuplicates([*by, "path"])
+    return once.groupBy(*by).agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes")).withColumn("tokens", predicates.tokens_of_bytes(F.col("bytes")))
+
+
+def within_budget(reads: Column, tokens: Column, most_reads: Column, most_tokens: Column) -> tuple[Column, Column]:
+    """Status and reason: reads are judged before tokens."""
+    told = F.when(reads > most_reads, F.concat(F.lit("reads-exceeded:"), reads.cast("string"), F.lit(">"), most_reads.cast("string"))).when(tokens > most_tokens, F.concat(F.lit("tokens-exceeded:"), tokens.cast("string"), F.lit(">"), most_tokens.cast("string")))
+    return F.when(told.isNotNull(), "Failed").otherwise("Certified"), told
+
+
+def _navigation(rows: DataFrame) -> DataFrame:
+    """Of each solution what its indexes say: entries, categories, and whether they lead anywhere; one row."""
+    entries = records_of(rows, "indexes", "key string, ordinals array<bigint>, categories array<string>").withColumn("i", F.split_part("path", F.lit("/"), F.lit(2)))
+
+    def where(name: str, *more: Column) -> Column:
+        found = F.col("i") == name
+        for m in more:
+            found = found & m
+        return found
+
+    def has(*categories: str) -> Column:
+        return F.arrays_overlap("categories", F.array(*map(F.lit, categories)))
+
+    leads = F.size("ordinals") > 0
+    causal = ("http", "grpc", "messaging", "contract")
+    flags = {
+        "roots": where("roots"), "proofs": where("evidence"), "measured": where("measures"), "reached": where("measures", has("reachable")),
+        "causal": where("outgoing", has(*causal)), "out_contract": where("outgoing", has("contract")), "out_persistence": where("outgoing", has("persistence")), "out_external": where("outgoing", has(*RUNTIME)),
+        "contract_leads": where("contracts", has("contract"), leads), "persistence_leads": where("persistence", has("persistence"), leads), "impact": where("incoming", has(*causal, "persistence")),
+    }
+    first = F.min(F.when(F.col("i") == "roots", F.col("key"))).alias("root")
+    return entries.groupBy("solution_key").agg(first, *[F.bool_or(c).alias(k) for k, c in flags.items()])
+
+
+def certify(rows: DataFrame) -> DataFrame:
+    """solution_key, solution_id, journey, status, reason, reads, bytes and tokens of the four journeys of every solution.
+
+    Each is told from the artifacts that it opens: its solution's manifest, the shards of the
+    indexes it reads, and where it ends (the first root's page; the shard that holds the first
+    piece of evidence). Of a flow's ends one that the dependencies have and the index doesn't
+    lead to fails before one that they lack makes the journey inapplicable.
+    """
     sid = solution_id(F.col("solution_key"))
-    by_journey = []
-    for journey, entry in ENTRY_INDEX.items():
-        needed = [f"indexes/{entry}"] + {"locate": ["tables/entities"], "follow-flow": ["dependencies"], "reverse-impact": ["dependencies", "measures"], "evidence": ["evidence"]}[journey]
-        reads = reduce(DataFrame.unionByName, [rows.where(F.col("path").startswith(n + "/")).select("solution_key", "path", "bytes", F.lit(journey).alias("journey"), F.lit(k).alias("step")) for k, n in enumerate(needed)])
-        # One shard of each step: the first that holds what is asked for is no larger than any.
-        by_journey.append(reads.groupBy("solution_key", "journey", "step").agg(F.max_by("bytes", "bytes").alias("bytes"), F.max_by("path", "bytes").alias("path")))
-    meter = reduce(DataFrame.unionByName, by_journey).dropDuplicates(["solution_key", "journey", "path"])
-    cost = meter.groupBy("solution_key", "journey").agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes")).withColumn("tokens", predicates.tokens_of_bytes(F.col("bytes")))
-    runtime = model.dependencies.where(F.col("category").isin(*RUNTIME)).select("solution_key").distinct().withColumn("has_runtime", F.lit(True))
-    most_reads = F.create_map(*[F.lit(x) for j, (r, _) in JOURNEYS.items() for x in (j, r)])
-    most_tokens = F.create_map(*[F.lit(x) for j, (_, t) in JOURNEYS.items() for x in (j, t)])
-    wanted = first.select("solution_key", F.explode(F.array(*map(F.lit, JOURNEYS))).alias("journey"))
-    out = wanted.join(cost, ["solution_key", "journey"], "left").join(runtime, "solution_key", "left")
-    status = F.when((F.col("journey") == "follow-flow") & F.col("has_runtime").isNull(), "NotApplicable").when(F.col("reads").isNull(), "NotApplicable").when(F.col("reads") > F.element_at(most_reads, F.col("journey")), "Failed").when(F.col("tokens") > F.element_at(most_tokens, F.col("journey")), "Failed").otherwise("Certified")
-    return out.select("solution_key", sid.alias("solution_id"), "journey", status.alias("status"), F.coalesce("reads", F.lit(0)).alias("reads"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    told = rows.where("family = 'Manifest'").select("solution_key").join(_navigation(rows), "solution_key", "left")
+    entries = entry_of(rows)
+    folder = F.regexp_replace("path", "/sol_[^/]*/[^/]*$", "")
+    more = {"follow-flow": ("indexes/contracts", "indexes/persistence"), "reverse-impact": ("indexes/measures",)}
+    others = F.create_map(*[x for j in JOURNEYS for x in (F.lit(j), F.array(*map(F.lit, more.get(j, ()))).cast("array<string>"))])
+    wanted = entries.select("solution_key", "journey", F.explode(F.concat(F.array("entry"), F.element_at(others, F.col("journey")))).alias("folder"))
+    shards = rows.where(F.col("path").endswith(".json")).select("solution_key", folder.alias("folder"), "path", "bytes")
+    is_first = F.col("path").endswith("/000000.json")
+    # A walk through the graph reads whole indexes; the other two the shard that begins them.
+    indexes = wanted.join(shards, ["solution_key", "folder"]).where(F.col("journey").isin("follow-flow", "reverse-impact") | is_first).select("solution_key", "journey", "path", "bytes")
+    whole = rows.where("family = 'Manifest'").select("solution_key", F.explode(F.array(*map(F.lit, JOURNEYS))).alias("journey"), "path", "bytes")
+    page = told.where("root is not null").select("solution_key", F.lit("locate").alias("journey"), page_path(F.col("root")).alias("path")).join(rows.select("path", "bytes"), "path").select("solution_key", "journey", "path", "bytes")
+    proof = shards.where((F.col("folder") == "evidence") & is_first).select("solution_key", F.lit("evidence").alias("journey"), "path", "bytes")
+    costs = journey_costs(reduce(DataFrame.unionByName, (whole, indexes, page, proof)), ("solution_key", "journey"))
+    ends = page.unionByName(proof).select("solution_key", "journey", F.lit(True).alias("ends")).distinct()
+    out = entries.select("solution_key", "journey").join(costs, ["solution_key", "journey"]).join(ends, ["solution_key", "journey"], "left").join(told, "solution_key")
+
+    def flag(name: str) -> Column:
+        return F.coalesce(name, F.lit(False))
+
+    def listed(**named: Column) -> Column:
+        return F.concat_ws(",", *[F.when(c, k.replace("_", "-")) for k, c in named.items()])
+
+    lost = listed(contracts=flag("out_contract") & ~flag("contract_leads"), persistence=flag("out_persistence") & ~flag("persistence_leads"))
+    absent = listed(contracts=~flag("out_contract"), persistence=~flag("out_persistence"), external_effects=~flag("out_external"))
+    journey = F.col("journey")
+    nothing = F.when((journey == "locate") & ~flag("roots"), "no-root").when((journey == "follow-flow") & ~flag("causal"), "no-causal-root").when((journey == "reverse-impact") & ~(flag("impact") & flag("measured")), "no-impact-root").when((journey == "evidence") & ~flag("proofs"), "no-evidence-index")
+    missing = F.when((journey == "follow-flow") & (lost != ""), lost).when((journey == "reverse-impact") & ~flag("reached"), "reachable-set").when((journey == "locate") & ~flag("ends"), "page").when((journey == "evidence") & ~flag("ends"), "evidence-shard")
+    limits = [F.element_at(F.create_map(*[F.lit(x) for j, own in JOURNEYS.items() for x in (j, own[i])]), journey) for i in range(2)]
+    reads = F.when((journey == "locate") & F.contains("root", F.lit(":component:")), F.lit(COMPONENT_READS)).otherwise(limits[0])
+    status, reason = within_budget(F.col("reads"), F.col("tokens"), reads, limits[1])
+    is_absent = (journey == "follow-flow") & (absent != "")
+    status = F.when(nothing.isNotNull(), "NotApplicable").when(missing.isNotNull(), "Failed").when(is_absent, "NotApplicable").otherwise(status)
+    reason = F.when(nothing.isNotNull(), nothing).when(missing.isNotNull(), F.concat(F.lit("missing-terminal:"), missing)).when(is_absent, F.concat(F.lit("absent-terminal:"), absent)).otherwise(reason)
+    return out.select("solution_key", sid.alias("solution_id"), "journey", status.alias("status"), reason.alias("reason"), "reads", "bytes", "tokens")

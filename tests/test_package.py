@@ -1,12 +1,18 @@
 """Publishing, reading back, corruption, budgets and the command line."""
 
+import hashlib
 import json
+import posixpath
+import re
 import shutil
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 from test_operators import graph  # noqa: F401
 
+from ledgerline.functions import predicates
+from ledgerline.operators import index, measures
 from ledgerline.plans import engine, package
 from ledgerline.sources import facts
 
@@ -26,14 +32,14 @@ def test_package_reads_back_and_validates(spark, published):
     rows = package.read(spark, str(folder))
     assert package.first_failure(rows, model) is None
     assert not (folder / ".lock").exists()
-    assert {r["family"] for r in rows.select("family").distinct().collect()} == {"Dependencies", "Evidence", "Graph", "Index", "Markdown", "Measures", "Table"}
+    assert {r["family"] for r in rows.select("family").distinct().collect()} == {"Dependencies", "Evidence", "Graph", "Index", "Manifest", "Markdown", "Measures", "Table"}
     assert rows.where(F.col("path").endswith(".json") & (F.col("bytes") > 96 * 1024)).isEmpty()
 
 
 def test_dependencies_come_back_as_they_were(spark, published):
     model, folder, _ = published
     schema = "ordinal bigint, scope string, source string, target string, category string, nature string, occurrence_count bigint, variants array<string>, relations array<string>, evidence array<string>"
-    stored = package.records_of(package.read(spark, str(folder)), "dependencies", schema)
+    stored = package.dependencies_of(package.read(spark, str(folder)))
     names = [x.split()[0] for x in schema.split(", ")]
     assert sorted(map(str, stored.select(names).collect())) == sorted(map(str, model.dependencies.select(names).collect()))
     with pytest.raises(Exception, match="unknown property"):
@@ -51,14 +57,110 @@ def test_pages_link_only_to_pages(spark, published):
     _, folder, _ = published
     rows = package.read(spark, str(folder)).where("family = 'Markdown'").collect()
     pages = {r["path"] for r in rows}
-    links = {x for r in rows if r["path"].startswith("pages/") for x in __import__("re").findall(r"\]\(\.\./([^)]*)\)", r["payload"])}
+    links = {posixpath.normpath(posixpath.join(posixpath.dirname(r["path"]), x)) for r in rows for x in re.findall(r"\]\(([^)]*)\)", r["payload"])}
     assert links and links <= pages
 
 
 def test_certification(spark, published):
     _, folder, digest = published
-    got = {r["journey"]: r["status"] for r in spark.read.parquet(str(folder / "generations" / digest / "certification")).collect()}
-    assert got == {"locate": "Certified", "evidence": "Certified", "reverse-impact": "Certified", "follow-flow": "NotApplicable"}
+    got = {r["journey"]: (r["status"], r["reason"], r["reads"]) for r in spark.read.parquet(str(folder / "generations" / digest / "certification")).collect()}
+    assert got == {"locate": ("Certified", None, 3), "evidence": ("Certified", None, 3), "reverse-impact": ("Certified", None, 3), "follow-flow": ("NotApplicable", "no-causal-root", 3)}
+
+
+#: Categories of the dependencies, what is done to the indexes, and what follows for a flow and for an impact.
+WALKS = [
+    (["structural-type-use"], None, ("NotApplicable", "no-causal-root"), ("NotApplicable", "no-impact-root")),
+    (["persistence"], None, ("NotApplicable", "no-causal-root"), ("Certified", None)),
+    (["http"], None, ("NotApplicable", "absent-terminal:contracts,persistence"), ("Certified", None)),
+    (["contract", "persistence"], None, ("NotApplicable", "absent-terminal:external-effects"), ("Certified", None)),
+    (["http", "contract", "persistence"], None, ("Certified", None), ("Certified", None)),
+    (["http", "contract"], "contracts", ("Failed", "missing-terminal:contracts"), ("Certified", None)),
+    (["http", "contract", "persistence"], "persistence", ("Failed", "missing-terminal:persistence"), ("Certified", None)),
+    (["http", "contract", "persistence"], "measures", ("Certified", None), ("Failed", "missing-terminal:reachable-set")),
+]
+
+
+def test_walks_through_the_graph(spark, graph):  # noqa: F811
+    """Each case is a solution of its own."""
+    rows = [(f"s{k}", "component", "c1", f"t{i}", c, "direct", 1, ["v"], ["r"], ["e1"]) for k, (categories, *_) in enumerate(WALKS) for i, c in enumerate(categories)]
+    every = F.explode(F.array(*[F.lit(f"s{k}") for k in range(len(WALKS))]))
+    graph = replace(graph, **{name: df.withColumn("solution_key", every) for name, df in graph.tables().items()})
+    dependencies = index.ordinals(spark.createDataFrame(rows, "solution_key string, scope string, source string, target string, category string, nature string, occurrence_count bigint, variants array<string>, relations array<string>, evidence array<string>"), ["solution_key"], ["target"])
+    found = measures.assemble(measures.fan(dependencies), measures.cycles(dependencies), measures.reverse_impact(dependencies), measures.gap_counts(graph.gaps))
+    stored = package.artifacts(package.Model(graph, dependencies, found))
+    for k, (_, broken, _, _) in enumerate(WALKS):
+        lost = F.replace("payload", F.lit("reachable"), F.lit("other")) if broken == "measures" else F.regexp_replace("payload", r'"ordinals":\[[^\]]*\]', '"ordinals":[]')
+        stored = stored.withColumn("payload", F.when((F.col("solution_key") == f"s{k}") & F.col("path").startswith(f"indexes/{broken}/"), lost).otherwise(F.col("payload")))
+    got = {(r["solution_key"], r["journey"]): (r["status"], r["reason"]) for r in package.certify(stored).collect()}
+    for k, (_, _, flow, impact) in enumerate(WALKS):
+        assert (got[f"s{k}", "follow-flow"], got[f"s{k}", "reverse-impact"]) == (flow, impact), WALKS[k]
+
+
+def test_budgets_of_journeys_name_what_is_exceeded(spark, published, monkeypatch):
+    _, folder, _ = published
+    rows = package.read(spark, str(folder))
+    monkeypatch.setattr(package, "JOURNEYS", {"locate": (2, 10**6), "follow-flow": (32, 1), "reverse-impact": (32, 1), "evidence": (12, 25_000)})
+    got = {r["journey"]: (r["status"], (r["reason"] or "").partition(":")[0]) for r in package.certify(rows).collect()}
+    assert got["locate"] == ("Failed", "reads-exceeded") and got["reverse-impact"] == ("Failed", "tokens-exceeded") and got["evidence"] == ("Certified", "")
+
+
+def test_exactly_one_index_of_each_kind(spark, published):
+    _, folder, _ = published
+    rows = package.read(spark, str(folder))
+    manifest = F.col("family") == "Manifest"
+    with pytest.raises(Exception, match="not-exactly-one-index"):
+        package.entry_of(rows.withColumn("payload", F.when(manifest, F.replace("payload", F.lit("indexes/runtime"), F.lit("indexes/other"))).otherwise(F.col("payload")))).collect()
+    with pytest.raises(Exception, match="not-exactly-one-index"):
+        package.entry_of(rows.unionByName(rows.where(manifest))).collect()
+
+
+def test_what_the_manifest_declares_is_read(spark, published):
+    _, folder, _ = published
+    rows = package.read(spark, str(folder))
+    told = {r["path"] for r in package.read_declared(rows).collect()}
+    assert told == {r["path"] for r in rows.where("path like '%.json' and family != 'Manifest'").collect()}
+    with pytest.raises(Exception, match="artifact-missing"):
+        package.read_declared(rows.where("path not like 'evidence/%'")).collect()
+    with pytest.raises(package.PackageError, match="unsafe-path"):
+        package.read_artifact(rows, "tables/../secret")
+
+
+def test_totals_and_digest(spark):
+    rows = spark.createDataFrame([(f"{f}/sol_{'0' * 15}{k}/{i}.json", f, "d", 3) for f in "ab" for k in range(2) for i in range(5)], "path string, family string, digest string, bytes long")
+    assert sorted(map(tuple, package.totals(rows).collect())) == [("a", 10, 30), ("b", 10, 30), ("total", 20, 60)]
+    assert sorted(map(tuple, package.solution_totals(rows).collect())) == [(f"sol_{'0' * 15}{k}", 10, 30) for k in range(2)]
+    lines = [f"{r['path']}:{r['digest']}" for r in rows.orderBy("path").collect()]
+
+    def sha(x):
+        return hashlib.sha256("\n".join(x).encode()).hexdigest()
+
+    assert tuple(package.digest_rows(rows).first()) == (sha(lines), 20)
+    runs = [f"{i}:{sha(lines[i * 6 : i * 6 + 6])}" for i in range(4)]
+    assert package.digest_rows(rows, 6).first()[0] == sha(runs)
+
+
+def test_publishing_again_keeps_the_generation(spark, published):
+    model, folder, digest = published
+    before = sorted(p.name for p in (folder / "generations" / digest / "artifacts").iterdir())
+    assert package.publish(spark, model, str(folder), ["s"]) == digest
+    assert sorted(p.name for p in (folder / "generations" / digest / "artifacts").iterdir()) == before
+    assert package.read(spark, str(folder / "generations" / digest)).count() == package.read(spark, str(folder)).count()
+
+
+def test_a_stale_lock_is_taken_over(spark, published, monkeypatch):
+    model, folder, digest = published
+    lock = folder / ".lock"
+    lock.write_text("{}")
+    monkeypatch.setattr(package, "STALE_LOCK", 0)
+    monkeypatch.setattr(package._locked, "__defaults__", (0,))
+    assert package.publish(spark, model, str(folder), ["s"]) == digest
+    assert not lock.exists()
+
+
+def test_links_go_up_and_down(spark):
+    cases = {("pages/a.md", "pages/b.md"): "b.md", ("summary/a.md", "pages/b.md"): "../pages/b.md", ("a/b/c/d.md", "a/x/y.md"): "../../x/y.md", ("a.md", "pages/b.md"): "pages/b.md", ("x/y.md", "b.md"): "../b.md"}
+    df = spark.createDataFrame(list(cases), "page string, target string")
+    assert [r[0] for r in df.select(predicates.relative_link(F.col("page"), F.col("target"))).collect()] == list(cases.values())
 
 
 @pytest.mark.parametrize("change,code", [("digest", "digest-mismatch"), ("payload", "digest-mismatch"), ("path", "shard-gap"), ("records", "record-count"), ("index", "index-mismatch"), ("page", "page-mismatch"), ("order", "table-order"), ("drive", "unsafe-path")])
