@@ -58,6 +58,20 @@ def semi_or_unknown(rows: DataFrame, allowed: DataFrame, inventory: DataFrame, o
     return rows.join(refused, on, "left_anti")
 
 
+def supported(graph: FactualGraph, reached: DataFrame, include_tests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Relations that start or end at a reached entity, once each, and the keys of all that these bring in.
+
+    Of sources that only tests have no relation comes in from outside.
+    """
+    outgoing = graph.relations.join(reached.withColumnRenamed("key", "source_key"), ["solution_key", "source_key"], "left_semi")
+    incoming = graph.relations.join(reached.withColumnRenamed("key", "target_key"), ["solution_key", "target_key"], "left_semi")
+    if not include_tests:
+        incoming = incoming.join(test_only(graph.occurrences).withColumnRenamed("key", "source_key"), ["solution_key", "source_key"], "left_anti")
+    relations = keep_first(outgoing.unionByName(incoming), ["solution_key", "key"], ["source_key", "target_key", "category"])
+    keys = reached.unionByName(incoming.select("solution_key", F.col("source_key").alias("key"))).distinct()
+    return relations, keys
+
+
 def retained(graph: FactualGraph, include_tests: bool = False) -> FactualGraph:
     """Closure along outgoing relations from the seeds, one hop of incoming support, and what these cite.
 
@@ -68,12 +82,7 @@ def retained(graph: FactualGraph, include_tests: bool = False) -> FactualGraph:
     by = ("solution_key",)
     edges = graph.relations.select("solution_key", F.col("source_key").alias("source"), F.col("target_key").alias("target")).distinct()
     reached = fixpoint.reachable(seeds(graph, include_tests).withColumnRenamed("key", "node"), edges, by).withColumnRenamed("node", "key")
-    outgoing = graph.relations.join(reached.withColumnRenamed("key", "source_key"), ["solution_key", "source_key"], "left_semi")
-    incoming = graph.relations.join(reached.withColumnRenamed("key", "target_key"), ["solution_key", "target_key"], "left_semi")
-    if not include_tests:
-        incoming = incoming.join(test_only(graph.occurrences).withColumnRenamed("key", "source_key"), ["solution_key", "source_key"], "left_anti")
-    relations = keep_first(outgoing.unionByName(incoming), ["solution_key", "key"], ["source_key", "target_key", "category"])
-    keys = reached.unionByName(incoming.select("solution_key", F.col("source_key").alias("key"))).distinct()
+    relations, keys = supported(graph, reached, include_tests)
 
     inventory = graph.sources.select("solution_key", F.col("key").alias("document_key"), "is_test")
     refused = inventory.where("is_test").select("solution_key", "document_key") if not include_tests else inventory.limit(0).select("solution_key", "document_key")
@@ -83,7 +92,7 @@ def retained(graph: FactualGraph, include_tests: bool = False) -> FactualGraph:
     proven = left.groupBy("solution_key", "key").agg(F.array_sort(F.collect_set("evidence")).alias("evidence_keys"))
     relations = relations.drop("evidence_keys").join(proven, ["solution_key", "key"]).select(graph.relations.columns)
     documents = evidence.select("solution_key", F.col("document_key").alias("key")).distinct()
-    placed = graph.occurrences.join(keys.withColumnRenamed("key", "entity_key"), ["solution_key", "entity_key"], "left_semi")
+    placed = occurrences_kept(graph.occurrences, keys, evidence.select("solution_key", "key"))
     return replace(
         graph,
         entities=graph.entities.join(keys, ["solution_key", "key"], "left_semi"),
@@ -95,6 +104,15 @@ def retained(graph: FactualGraph, include_tests: bool = False) -> FactualGraph:
     )
 
 
+def occurrences_kept(occurrences: DataFrame, keys: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Occurrences of retained entities; of those that cite evidence the ones that cite some that is retained."""
+    own = occurrences.join(keys.select("solution_key", F.col("key").alias("entity_key")), ["solution_key", "entity_key"], "left_semi")
+    # An occurrence is found again by its row, as it has no key.
+    own = own.withColumn("_row", F.xxhash64(*[c for c in own.columns if c != "evidence_keys"], F.to_json("evidence_keys")))
+    cited = own.select("solution_key", "_row", F.explode("evidence_keys").alias("key")).join(evidence.select("solution_key", "key"), ["solution_key", "key"], "left_semi").select("solution_key", "_row").distinct().withColumn("_held", F.lit(True))
+    return own.join(cited, ["solution_key", "_row"], "left").where(F.col("_held") | (F.size("evidence_keys") <= 0) | F.col("evidence_keys").isNull()).select(occurrences.columns)
+
+
 def relevant_gaps(gaps: DataFrame, keys: DataFrame) -> DataFrame:
     """Gaps that touch a retained entity, with how many; the most first."""
     touched = gaps.select("solution_key", "key", F.explode("affected_keys").alias("entity")).join(keys.select("solution_key", F.col("key").alias("entity")), ["solution_key", "entity"], "left_semi")

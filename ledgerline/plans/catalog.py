@@ -1,9 +1,12 @@
 """The registry of queries over the driver's tables, each with independent SQL.
 
-The evidence graph is mapped onto the star schema: an order is a document, a customer a
-project, its nation a component, its region a deployment unit; a line item is a relation
-of its order to a supplier, with the part as relation and the line as evidence; return flag
-and line status are category and variant; orders in status P are unconfirmed, so gaps.
+The star schema is mapped onto the evidence graph once (:func:`graph`), and the queries run the
+library's operators on it. An order is a document with one symbol, in the project of its
+customer; a supplier is a contract in a project of its own; a nation is a component and a
+region a deployment unit, which occur in the projects of their customers and suppliers.
+Projects of customers in debt are test projects. A line of an order that isn't in status P
+is a relation of the order to the supplier, proven by the line; return flag and line status
+give its category and variant. Orders in status P are gaps.
 """
 
 from __future__ import annotations
@@ -11,14 +14,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import identity, predicates
+from ledgerline.model import CATEGORIES, SCOPES, FactualGraph, ordinal
 from ledgerline.operators import fixpoint, index, lift, measures, retain
+from ledgerline.plans import package
+from ledgerline.sources import facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SOLUTION = "all"
 
 
 def query(sql: str | None = None):
@@ -37,219 +44,362 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- dependencies ---------------------------------------------------------------------------
+def joined(values: Column | str) -> Column:
+    return F.array_join(F.col(values) if isinstance(values, str) else values, ",")
 
 
-def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item with both ends of each scope."""
-    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    buyers = customer.join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("c_nation"), F.col("r_name").alias("c_region"))
-    sellers = supplier.join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("s_nation"), F.col("r_name").alias("s_region"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+# --- the graph of the tables ------------------------------------------------------------------
 
 
-LINES_SQL = """
-WITH lines AS (
-  SELECT l.*, o.o_custkey, o.o_orderstatus <> 'P' AS is_confirmed, cn.n_name AS c_nation, cr.r_name AS c_region,
-         sn.n_name AS s_nation, sr.r_name AS s_region
-  FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey),
+def _own(kind: str, *parts: Column | str) -> Column:
+    """The key of an entity named by its parts."""
+    return identity.entity_key(F.lit(SOLUTION), F.lit(kind), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+
+
+def _path(folder: str, letter: str, key: str, ending: str) -> Column:
+    return F.concat(F.lit(f"{folder}/{letter}"), F.col(key).cast("string"), F.lit(ending))
+
+
+def _project(path: Column) -> Column:
+    return F.struct(identity.project_key(F.lit(SOLUTION), path).alias("key"), path.alias("path"))
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c_custkey or s_suppkey, n_name, r_name, path and is_test of every project."""
+    place = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    customer = read(spark, sf_dir, "customer").select("c_custkey", F.lit(None).cast("long").alias("s_suppkey"), F.col("c_nationkey").alias("n_nationkey"), (F.col("c_acctbal") < 0).alias("is_test"))
+    supplier = read(spark, sf_dir, "supplier").select(F.lit(None).cast("long").alias("c_custkey"), "s_suppkey", F.col("s_nationkey").alias("n_nationkey"), F.lit(False).alias("is_test"))
+    name = F.coalesce(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+    folder = F.when(F.col("s_suppkey").isNotNull(), "suppliers/").when(F.col("is_test"), "customers/tests/").otherwise("customers/")
+    return customer.unionByName(supplier).join(place, "n_nationkey").select("c_custkey", "s_suppkey", "n_name", "r_name", "is_test", F.concat(folder, name, F.lit("/"), name, F.lit(".csproj")).alias("path"))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> FactualGraph:
+    """The evidence graph of the tables."""
+    sol = F.lit(SOLUTION)
+    projects = _projects(spark, sf_dir)
+    orders = read(spark, sf_dir, "orders").join(projects.where("c_custkey is not null").select(F.col("c_custkey").alias("o_custkey"), "path", "is_test"), "o_custkey")
+    orders = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "path", "is_test", _own("Symbol", "order-", F.col("o_orderkey").cast("string")).alias("key"), _path("orders", "o", "o_orderkey", ".cs").alias("file"))
+    suppliers = projects.where("s_suppkey is not null").select("path", _own("Contract", "supplier-", F.col("s_suppkey").cast("string")).alias("key"), _path("suppliers", "s", "s_suppkey", ".cs").alias("file"))
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    names = [orders.select("key", F.lit("Symbol").alias("kind")), suppliers.select("key", F.lit("Contract").alias("kind")), nation.select(_own("Component", F.col("n_name")).alias("key"), F.lit("Component").alias("kind")), region.select(_own("DeploymentUnit", F.col("r_name")).alias("key"), F.lit("DeploymentUnit").alias("kind"))]
+    entities = reduce(DataFrame.unionByName, names).select(sol.alias("solution_key"), "key", "kind", F.element_at(F.split("key", ":"), -1).alias("display_name"), F.lit(None).cast("string").alias("qualified_name"))
+
+    def variant(framework: Column) -> Column:
+        return F.struct(framework.alias("tfm"), F.lit("Debug").alias("configuration"), F.array().cast("array<string>").alias("symbols"), F.lit("spark").alias("environment"))
+
+    span = F.struct(*[F.lit(1).alias(c) for c in ("start_line", "start_column", "end_line", "end_column")])
+    placed = [orders.select("key", "path", "file"), suppliers.select("key", "path", "file"), projects.select(_own("Component", F.col("n_name")).alias("key"), "path", F.col("path").alias("file")), projects.select(_own("DeploymentUnit", F.col("r_name")).alias("key"), "path", F.col("path").alias("file"))]
+    occurrences = reduce(DataFrame.unionByName, placed).select(sol.alias("solution_key"), F.col("key").alias("entity_key"), _project(F.col("path")).alias("project"), variant(F.lit("any")).alias("variant"), F.col("file").alias("relative_path"), span.alias("span"), F.sha2("key", 256).alias("shape_digest"), F.array().cast("array<string>").alias("evidence_keys"))
+
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct()
+    proven = lines.join(orders.where("o_orderstatus != 'P'"), "o_orderkey")
+    category = F.when(F.col("l_returnflag") == "A", "http").when(F.col("l_returnflag") == "R", "messaging").when(F.col("l_linestatus") == "O", "persistence-store").otherwise("persistence-object")
+    target = _own("Contract", "supplier-", F.col("l_suppkey").cast("string"))
+    place = F.concat_ws("-", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    proven = proven.select("*", category.alias("category"), target.alias("target"), identity.evidence_key(F.lit("line"), place).alias("proof"), identity.relation_key(category, F.col("key"), target, place).alias("relation"))
+    relations = proven.select(sol.alias("solution_key"), F.col("relation").alias("key"), F.col("key").alias("source_key"), F.col("target").alias("target_key"), "category", F.array("proof").alias("evidence_keys"))
+    evidence = proven.select(sol.alias("solution_key"), F.col("proof").alias("key"), identity.document_key(sol, F.col("file")).alias("document_key"), variant(F.col("l_linestatus")).alias("variant"), span.alias("span"), F.sha2("proof", 256).alias("content_digest"))
+
+    asked = lines.groupBy("o_orderkey").agg(F.collect_set(target).alias("sellers"))
+    waiting = orders.where("o_orderstatus = 'P'").join(asked, "o_orderkey", "left")
+    first = F.substring("o_orderpriority", 1, 1)
+    kind = F.when(first.isin("1", "2"), "Candidate").when(first == "3", "Unknown").otherwise("OpenFrontier")
+    gaps = waiting.select(sol.alias("solution_key"), identity.gap_key(kind, F.col("key"), F.lit("pending")).alias("key"), kind.alias("kind"), F.lit("pending").alias("cause"), F.array_union(F.array("key"), F.coalesce("sellers", F.array().cast("array<string>"))).alias("affected_keys"), F.array().cast("array<string>").alias("evidence_keys"))
+    sources = orders.select(sol.alias("solution_key"), identity.document_key(sol, F.col("file")).alias("key"), F.col("file").alias("relative_path"), "is_test", F.sha2("file", 256).alias("content_digest"))
+    return FactualGraph(entities, occurrences, evidence, relations, gaps, sources)
+
+
+GRAPH_SQL = """
+WITH places AS (SELECT n_nationkey, 'entity:all:component:' || n_name AS component, 'entity:all:deploymentunit:' || r_name AS unit FROM nation JOIN region ON n_regionkey = r_regionkey),
+buyers AS (SELECT c_custkey, c_acctbal < 0 AS is_test, component, unit, 'customers/' || CASE WHEN c_acctbal < 0 THEN 'tests/' ELSE '' END || 'c' || c_custkey || '/c' || c_custkey || '.csproj' AS path FROM customer JOIN places ON c_nationkey = n_nationkey),
+sellers AS (SELECT s_suppkey, component, unit, 'suppliers/s' || s_suppkey || '/s' || s_suppkey || '.csproj' AS path, 'entity:all:contract:supplier-' || s_suppkey AS key, s_acctbal FROM supplier JOIN places ON s_nationkey = n_nationkey),
+asked AS (SELECT o.*, b.*, 'entity:all:symbol:order-' || o_orderkey AS key, 'document:all:orders/o' || o_orderkey || '.cs' AS file FROM orders o JOIN buyers b ON o_custkey = c_custkey),
+items AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem),
+facts AS (
+  SELECT a.*, i.*, s.key AS target, s.component AS s_component, s.unit AS s_unit, s.path AS s_path,
+         l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_returnflag || '-' || l_linestatus AS place,
+         CASE l_returnflag WHEN 'A' THEN 'http' WHEN 'R' THEN 'messaging' ELSE CASE l_linestatus WHEN 'O' THEN 'persistence-store' ELSE 'persistence-object' END END AS category
+  FROM items i JOIN asked a ON l_orderkey = o_orderkey JOIN sellers s ON l_suppkey = s_suppkey WHERE o_orderstatus <> 'P'),
+proven AS (
+  SELECT *, 'evidence:' || sha256('line:' || place) AS proof, 'relation:' || sha256(category || ':' || key || ':' || target || ':' || place) AS relation,
+         CASE WHEN category LIKE 'persistence%' THEN 'persistence' ELSE category END AS kind FROM facts),
 contributions AS (
-  SELECT 'document' AS scope, l_orderkey::VARCHAR AS source, l_suppkey::VARCHAR AS target, * FROM lines UNION ALL
-  SELECT 'project', o_custkey::VARCHAR, l_suppkey::VARCHAR, * FROM lines UNION ALL
-  SELECT 'component', c_nation, s_nation, * FROM lines UNION ALL
-  SELECT 'deploymentunit', c_region, s_region, * FROM lines),
+  SELECT 'document' AS scope, file AS source, 'document:all:suppliers/s' || l_suppkey || '.cs' AS target, kind AS category, l_linestatus, relation, proof FROM proven UNION ALL
+  SELECT 'project', 'project:all:' || path, 'project:all:' || s_path, kind, l_linestatus, relation, proof FROM proven WHERE NOT is_test UNION ALL
+  SELECT 'component', component, s_component, kind, l_linestatus, relation, proof FROM proven WHERE NOT is_test UNION ALL
+  SELECT 'deploymentunit', unit, s_unit, kind, l_linestatus, relation, proof FROM proven WHERE NOT is_test),
 dependencies AS (
-  SELECT scope, source, target, l_returnflag AS category, count(*) AS occurrence_count,
-         string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS variants,
-         count(DISTINCT l_partkey) AS relation_count, count(DISTINCT l_orderkey || ':' || l_linenumber) AS evidence_count
-  FROM contributions WHERE is_confirmed GROUP BY ALL)
+  SELECT scope, source, target, category, count(*) AS occurrence_count, string_agg(DISTINCT 'variant:' || l_linestatus || ':Debug:-:spark', ',' ORDER BY 'variant:' || l_linestatus || ':Debug:-:spark') AS variants,
+         count(DISTINCT relation) AS relation_count, count(DISTINCT proof) AS evidence_count
+  FROM contributions GROUP BY ALL),
+occurring AS (
+  SELECT key AS entity, 'Symbol' AS kind, path, file AS document, is_test FROM asked UNION ALL
+  SELECT key, 'Contract', path, 'document:all:suppliers/s' || s_suppkey || '.cs', false FROM sellers UNION ALL
+  SELECT component, 'Component', path, 'document:all:' || path, is_test FROM buyers UNION ALL SELECT component, 'Component', path, 'document:all:' || path, false FROM sellers UNION ALL
+  SELECT unit, 'DeploymentUnit', path, 'document:all:' || path, is_test FROM buyers UNION ALL SELECT unit, 'DeploymentUnit', path, 'document:all:' || path, false FROM sellers),
+members AS (
+  SELECT DISTINCT entity, 'document' AS scope, document AS member FROM occurring WHERE NOT is_test UNION
+  SELECT entity, 'project', 'project:all:' || path FROM occurring WHERE NOT is_test UNION
+  SELECT o.entity, CASE r.kind WHEN 'Component' THEN 'component' ELSE 'deploymentunit' END, r.entity FROM occurring o JOIN occurring r ON o.path = r.path AND r.kind IN ('Component', 'DeploymentUnit') WHERE NOT o.is_test),
+gaps AS (
+  SELECT key AS owner, kind, 'gap:' || sha256(kind || ':' || key || ':pending') AS key, l_suppkey FROM (
+    SELECT DISTINCT key, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 'Candidate' WHEN left(o_orderpriority, 1) = '3' THEN 'Unknown' ELSE 'OpenFrontier' END AS kind, l_suppkey
+    FROM asked LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P')),
+affected AS (SELECT DISTINCT key, kind, owner AS entity FROM gaps UNION SELECT key, kind, 'entity:all:contract:supplier-' || l_suppkey FROM gaps WHERE l_suppkey IS NOT NULL),
+gap_counts AS (
+  SELECT entity, count(*) FILTER (kind = 'Candidate') AS gaps_candidate, count(*) FILTER (kind = 'Unknown') AS gaps_unknown, count(*) FILTER (kind = 'OpenFrontier') AS gaps_openfrontier
+  FROM (SELECT key, kind, entity FROM affected UNION SELECT key, kind, member FROM affected JOIN members USING (entity)) GROUP BY entity),
+scoped AS (SELECT *, list_position(['document', 'project', 'component', 'deploymentunit'], scope) AS s, list_position(['project-reference', 'internal-invocation', 'structural-type-use', 'http', 'grpc', 'messaging', 'contract', 'persistence'], category) AS c FROM dependencies),
+ordered AS (SELECT *, row_number() OVER (ORDER BY s, source, target, c) - 1 AS ordinal FROM scoped)
 """
+#: A recursive term needs the keyword at the beginning.
+RECURSIVE_SQL = GRAPH_SQL.replace("WITH places", "WITH RECURSIVE places")
+
 
-SCOPE_ENDS = {"document": ("l_orderkey", "l_suppkey"), "project": ("o_custkey", "l_suppkey"), "component": ("c_nation", "s_nation"), "deploymentunit": ("c_region", "s_region")}
+def members_of(g: FactualGraph) -> DataFrame:
+    return lift.membership(g.entities, g.occurrences)
 
 
-def line_contributions(spark: SparkSession, sf_dir: str, scopes: tuple[str, ...] = tuple(SCOPE_ENDS)) -> DataFrame:
-    """Scope lifting in one pass over the joined rows: each row is unfolded into its scopes."""
-    ends = F.array(*[F.struct(F.lit(s).alias("scope"), F.col(SCOPE_ENDS[s][0]).cast("string").alias("source"), F.col(SCOPE_ENDS[s][1]).cast("string").alias("target")) for s in scopes])
-    rows = line_rows(spark, sf_dir).select(F.explode(ends).alias("ends"), F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("variant"), F.col("l_partkey").alias("relation"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("evidence"), (F.col("o_orderstatus") != "P").alias("is_confirmed"))
-    return rows.select(F.lit("all").alias("solution_key"), "ends.*", "category", "variant", "relation", "evidence", "is_confirmed")
+def contributions(g: FactualGraph) -> DataFrame:
+    return lift.contributions(g.relations, g.evidence, members_of(g), lift.project_by_document(g.occurrences))
 
 
-def line_dependencies(spark: SparkSession, sf_dir: str, scopes: tuple[str, ...] = ("component", "deploymentunit")) -> DataFrame:
-    return lift.aggregate(line_contributions(spark, sf_dir, scopes), keep_members=False)
+def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all scopes, with counts of relations and evidence."""
+    return lift.aggregate(contributions(graph(spark, sf_dir)), keep_members=False)
 
 
-@query(LINES_SQL + "SELECT source, target, category, occurrence_count, variants, relation_count, evidence_count FROM dependencies WHERE scope = 'component'")
+@query(GRAPH_SQL + "SELECT source, target, category, occurrence_count, variants, relation_count, evidence_count FROM dependencies WHERE scope = 'component'")
 def dep_component(spark, sf_dir):
-    return line_dependencies(spark, sf_dir, ("component",)).select("source", "target", "category", "occurrence_count", F.array_join("variants", ",").alias("variants"), "relation_count", "evidence_count")
+    return dependencies(spark, sf_dir).where("scope = 'component'").select("source", "target", "category", "occurrence_count", joined("variants").alias("variants"), "relation_count", "evidence_count")
 
 
-@query(LINES_SQL + "SELECT scope, source, target, category, occurrence_count FROM dependencies")
+@query(GRAPH_SQL + "SELECT scope, source, target, category, occurrence_count, variants, relation_count, evidence_count FROM dependencies")
 def dep_all_scopes(spark, sf_dir):
-    rows = line_contributions(spark, sf_dir).where("is_confirmed")
-    return rows.groupBy("scope", "source", "target", "category").agg(F.count("*").alias("occurrence_count"))
+    return dependencies(spark, sf_dir).select("scope", "source", "target", "category", "occurrence_count", joined("variants").alias("variants"), "relation_count", "evidence_count")
+
+
+@query(GRAPH_SQL + """SELECT source, target, category, count(*) AS occurrence_count, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations, string_agg(DISTINCT proof, ',' ORDER BY proof) AS evidence
+FROM contributions WHERE scope = 'document' GROUP BY ALL""")
+def dep_members(spark, sf_dir):
+    """Dependencies of documents with the relations and the evidence that they stand for."""
+    rows = lift.aggregate(contributions(graph(spark, sf_dir)).where("scope = 'document'"))
+    return rows.select("source", "target", "category", "occurrence_count", joined("relations").alias("relations"), joined("evidence").alias("evidence"))
+
+
+@query(GRAPH_SQL + "SELECT scope, source, target, category, ordinal FROM ordered")
+def dep_order(spark, sf_dir):
+    """The place of every dependency in the canonical order."""
+    rows = index.spread_ordinals(dependencies(spark, sf_dir), ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)])
+    return rows.select("scope", "source", "target", "category", "ordinal")
 
 
 FANS_SQL = """, ends AS (
-  SELECT scope, source AS entity, target AS fan_out_to, NULL AS fan_in_from, source <> target AS crosses FROM dependencies WHERE scope IN ('component', 'deploymentunit') UNION ALL
-  SELECT scope, target, NULL, source, false FROM dependencies WHERE scope IN ('component', 'deploymentunit')),
+  SELECT scope, source AS entity, target AS fan_out_to, NULL::VARCHAR AS fan_in_from, source <> target AS crosses FROM dependencies UNION ALL
+  SELECT scope, target, NULL::VARCHAR, source, false FROM dependencies),
 fans AS (
   SELECT scope, entity, count(DISTINCT fan_in_from) AS fan_in, count(DISTINCT fan_out_to) AS fan_out,
          count(*) FILTER (crosses AND scope = 'component') AS cross_component_edges FROM ends GROUP BY ALL)
 """
 
 
-def line_fans(spark, sf_dir) -> DataFrame:
-    return measures.fan(line_dependencies(spark, sf_dir))
-
-
-@query(LINES_SQL + FANS_SQL + "SELECT * FROM fans")
+@query(GRAPH_SQL + FANS_SQL + "SELECT * FROM fans")
 def fan_in_out(spark, sf_dir):
-    return line_fans(spark, sf_dir).drop("solution_key")
+    return measures.fan(dependencies(spark, sf_dir)).drop("solution_key")
 
 
-@query(LINES_SQL + FANS_SQL + "SELECT scope, entity, fan_in, fan_out FROM fans ORDER BY fan_in DESC, scope, entity LIMIT 5")
+@query(GRAPH_SQL + FANS_SQL + "SELECT scope, entity, fan_in, fan_out FROM fans ORDER BY fan_in DESC, scope, entity LIMIT 5")
 def top_fan_in(spark, sf_dir):
-    return measures.top_fan_in(line_fans(spark, sf_dir)).select("scope", "entity", "fan_in", "fan_out")
+    return measures.top_fan_in(measures.fan(dependencies(spark, sf_dir))).select("scope", "entity", "fan_in", "fan_out")
 
 
-ALL_FANS_SQL = """, named AS (
-  SELECT scope, CASE scope WHEN 'document' THEN 'order:' || source WHEN 'project' THEN 'customer:' || source ELSE source END AS source,
-         CASE WHEN scope IN ('document', 'project') THEN 'supplier:' || target ELSE target END AS target FROM dependencies),
-ends AS (
-  SELECT scope, source AS entity, target AS fan_out_to, NULL AS fan_in_from, source <> target AS crosses FROM named UNION ALL
-  SELECT scope, target, NULL, source, false FROM named),
-fans AS (
-  SELECT scope, entity, count(DISTINCT fan_in_from) AS fan_in, count(DISTINCT fan_out_to) AS fan_out,
-         count(*) FILTER (crosses AND scope = 'component') AS cross_component_edges FROM ends GROUP BY ALL)
-"""
+@query(GRAPH_SQL + "SELECT entity AS entity_key, scope, member FROM members")
+def membership(spark, sf_dir):
+    return members_of(graph(spark, sf_dir)).select("entity_key", "scope", "member")
 
 
-def all_line_fans(spark, sf_dir) -> DataFrame:
-    """Fans of all four scopes. Ends of the two large ones are named by their kind, as keys of orders, customers and suppliers are equal numbers."""
-    scope, source, target = F.col("scope"), F.col("source"), F.col("target")
-    rows = line_dependencies(spark, sf_dir, tuple(SCOPE_ENDS))
-    sources = F.when(scope == "document", F.concat(F.lit("order:"), source)).when(scope == "project", F.concat(F.lit("customer:"), source)).otherwise(source)
-    targets = F.when(scope.isin("document", "project"), F.concat(F.lit("supplier:"), target)).otherwise(target)
-    return measures.fan(rows.withColumns({"source": sources, "target": targets}))
+@query(GRAPH_SQL + "SELECT DISTINCT document AS document_key, 'project:all:' || path AS project FROM occurring WHERE NOT is_test")
+def project_by_document(spark, sf_dir):
+    return lift.project_by_document(graph(spark, sf_dir).occurrences).select("document_key", "project")
 
 
-@query(LINES_SQL + ALL_FANS_SQL + "SELECT * FROM fans")
-def fan_in_out_all(spark, sf_dir):
-    """As fan_in_out, of every scope."""
-    return all_line_fans(spark, sf_dir).drop("solution_key")
+@query(GRAPH_SQL + "SELECT * FROM gap_counts")
+def gap_counts(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return measures.gap_counts(g.gaps, members_of(g)).drop("solution_key")
 
 
-@query(LINES_SQL + ALL_FANS_SQL + "SELECT scope, entity, fan_in, fan_out FROM fans ORDER BY fan_in DESC, scope, entity LIMIT 5")
-def top_fan_in_all(spark, sf_dir):
-    """As top_fan_in, over every scope."""
-    return measures.top_fan_in(all_line_fans(spark, sf_dir)).select("scope", "entity", "fan_in", "fan_out")
+@query(GRAPH_SQL + "SELECT a.key, count(*) AS affected_retained FROM affected a JOIN sellers s ON s.key = a.entity WHERE s_acctbal > 5000 GROUP BY 1")
+def relevant_gaps(spark, sf_dir):
+    keys = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.lit(SOLUTION).alias("solution_key"), _own("Contract", "supplier-", F.col("s_suppkey").cast("string")).alias("key"))
+    return retain.relevant_gaps(graph(spark, sf_dir).gaps, keys).select("key", "affected_retained")
 
 
-@query("""
-SELECT c_custkey, n_name AS component, count(DISTINCT o_orderkey) AS documents,
-       coalesce(string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus), '') AS statuses
-FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
-def membership(spark, sf_dir):
-    own = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct("o_orderkey").alias("documents"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
-    customer = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("component"))
-    return customer.join(own, "c_custkey", "left").select("c_custkey", "component", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("statuses", F.lit("")).alias("statuses"))
+KEPT_SQL = """, kept AS (
+  SELECT 'relation' AS part, relation AS key FROM proven WHERE NOT is_test UNION ALL SELECT 'evidence', proof FROM proven WHERE NOT is_test UNION ALL
+  SELECT DISTINCT 'source', file FROM proven WHERE NOT is_test UNION ALL SELECT DISTINCT 'gap', key FROM gaps UNION ALL
+  SELECT 'entity', key FROM asked UNION ALL SELECT 'entity', key FROM sellers UNION ALL SELECT 'entity', 'entity:all:component:' || n_name FROM nation UNION ALL SELECT 'entity', 'entity:all:deploymentunit:' || r_name FROM region)
+"""
 
 
-@query("""
-SELECT o_orderkey, coalesce(p.projects, '') AS projects FROM orders LEFT JOIN (
-  SELECT c_custkey, string_agg(DISTINCT 'project:' || c_custkey, ',') AS projects FROM customer WHERE c_acctbal >= 0 GROUP BY 1) p ON o_custkey = c_custkey""")
-def project_by_document(spark, sf_dir):
-    """Customers in debt own no document, so theirs have no project."""
-    owners = read(spark, sf_dir, "customer").where("c_acctbal >= 0").groupBy("c_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("project:"), F.col("c_custkey").cast("string")))).alias("projects"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    return orders.join(owners, "c_custkey", "left").select("o_orderkey", F.array_join(F.coalesce("projects", F.array().cast("array<string>")), ",").alias("projects"))
+@query(GRAPH_SQL + KEPT_SQL + "SELECT part, key FROM kept")
+def retained(spark, sf_dir):
+    """Everything that retention keeps: relations and evidence of test projects go, and documents that nothing cites."""
+    g = retain.retained(graph(spark, sf_dir))
+    parts = {"relation": g.relations, "evidence": g.evidence, "source": g.sources, "gap": g.gaps, "entity": g.entities}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("part"), "key") for name, df in parts.items()])
 
 
-@query("""
-SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS confirmed, count(*) FILTER (o_orderstatus = 'P' AND left(o_orderpriority, 1) IN ('1', '2')) AS gaps_candidate,
-       count(*) FILTER (o_orderstatus = 'P' AND left(o_orderpriority, 1) = '3') AS gaps_unknown, count(*) FILTER (o_orderstatus = 'P' AND left(o_orderpriority, 1) NOT IN ('1', '2', '3')) AS gaps_openfrontier
-FROM orders GROUP BY 1""")
-def confirmed_vs_gap(spark, sf_dir):
-    first = F.substring("o_orderpriority", 1, 1)
-    gap = F.col("o_orderstatus") == "P"
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(~gap).alias("confirmed"), F.count_if(gap & first.isin("1", "2")).alias("gaps_candidate"), F.count_if(gap & (first == "3")).alias("gaps_unknown"), F.count_if(gap & ~first.isin("1", "2", "3")).alias("gaps_openfrontier"))
+@query(GRAPH_SQL + KEPT_SQL + """SELECT (SELECT count(*) FROM kept) AS retained, (SELECT 2 * count(*) FROM proven) + (SELECT count(*) FROM orders JOIN buyers ON o_custkey = c_custkey) * 2 + (SELECT count(DISTINCT key) FROM gaps)
+  + (SELECT count(*) FROM sellers) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) - (SELECT count(*) FROM kept) AS filtered""")
+def retention_counts(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return retain.retention_counts(g, retain.retained(g)).select("retained", "filtered")
 
 
-@query("""
-SELECT 'gap:' || o_orderkey AS key, count(DISTINCT l_suppkey) AS affected_retained
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
-WHERE o_orderstatus = 'P' AND s_acctbal > 5000 GROUP BY o_orderkey""")
-def relevant_gaps(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").cast("string").alias("entity"))
-    gaps = lines.join(orders, "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.collect_set("entity").alias("affected_keys")).select(F.lit("all").alias("solution_key"), F.concat(F.lit("gap:"), F.col("o_orderkey").cast("string")).alias("key"), "affected_keys")
-    keys = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.lit("all").alias("solution_key"), F.col("s_suppkey").cast("string").alias("key"))
-    return retain.relevant_gaps(gaps, keys).select("key", "affected_retained")
+@query(GRAPH_SQL + "SELECT entity AS key FROM occurring GROUP BY 1 HAVING bool_and(is_test)")
+def all_test_only(spark, sf_dir):
+    return retain.test_only(graph(spark, sf_dir).occurrences).select("key")
 
 
-# --- a sparse graph: each nation's dearest supplier nation -----------------------------------
+@query(GRAPH_SQL + """
+SELECT DISTINCT relation AS key FROM proven p JOIN sellers s ON s.key = p.target WHERE s_acctbal < 0 OR l_linenumber = 7""")
+def integrity_anti(spark, sf_dir):
+    """Relations of a graph from which suppliers in debt and the evidence of seventh lines are missing."""
+    g = graph(spark, sf_dir)
+    lost = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(_own("Contract", "supplier-", F.col("s_suppkey").cast("string")).alias("key"))
+    seventh = read(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(identity.evidence_key(F.lit("line"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("key"))
+    broken = FactualGraph(g.entities.join(lost, "key", "left_anti").select(g.entities.columns), g.occurrences, g.evidence.join(seventh, "key", "left_anti").select(g.evidence.columns), g.relations, g.gaps, g.sources)
+    return retain.invalid_relations(broken).select("key")
+
+
+MEASURES_SQL = FANS_SQL + """, edges AS (SELECT DISTINCT scope, source, target FROM dependencies),
+walks AS (SELECT scope, target AS entity, source AS dependent, 1 AS depth FROM edges WHERE scope IN ('component', 'deploymentunit') UNION
+  SELECT w.scope, w.entity, e.source, depth + 1 FROM walks w JOIN edges e ON e.scope = w.scope AND e.target = w.dependent WHERE depth < 25),
+impact AS (
+  SELECT scope, entity, dependent, min(depth) AS depth FROM walks WHERE entity <> dependent GROUP BY ALL UNION ALL
+  SELECT scope, target, source, 1 FROM edges WHERE scope IN ('document', 'project')),
+both_ways AS (SELECT scope, entity, dependent FROM walks SEMI JOIN (SELECT scope AS s, entity AS d, dependent AS e FROM walks) t ON t.s = scope AND t.d = dependent AND t.e = entity),
+leaders AS (SELECT scope, entity, least(entity, min(dependent)) AS leader FROM both_ways GROUP BY scope, entity),
+rings AS (SELECT scope, leader, 'cycle:' || scope || ':' || string_agg(entity, ',' ORDER BY entity) AS ring FROM leaders GROUP BY scope, leader),
+ringed AS (SELECT l.scope, l.entity, r.ring FROM leaders l JOIN rings r ON r.scope = l.scope AND r.leader = l.leader),
+told AS (SELECT scope, entity, string_agg(depth || ':' || dependent, ',' ORDER BY depth, dependent) AS reverse_impact FROM impact GROUP BY ALL)
+"""
+
 
-DEAREST_SQL = LINES_SQL + """, prices AS (SELECT c_nation, s_nation, max(l_extendedprice) AS price FROM lines WHERE c_nation <> s_nation GROUP BY ALL),
-edges AS (SELECT c_nation AS source, s_nation AS target FROM prices QUALIFY row_number() OVER (PARTITION BY c_nation ORDER BY price DESC, s_nation) = 1)
+@query(RECURSIVE_SQL + MEASURES_SQL + """SELECT f.scope, f.entity, fan_in, fan_out, cross_component_edges, coalesce(ring, '') AS cycles, coalesce(reverse_impact, '') AS reverse_impact,
+       coalesce(gaps_candidate, 0) AS gaps_candidate, coalesce(gaps_unknown, 0) AS gaps_unknown, coalesce(gaps_openfrontier, 0) AS gaps_openfrontier
+FROM fans f LEFT JOIN ringed r ON r.scope = f.scope AND r.entity = f.entity LEFT JOIN told t ON t.scope = f.scope AND t.entity = f.entity LEFT JOIN gap_counts g ON g.entity = f.entity""")
+def measures_full(spark, sf_dir):
+    """All measures of every entity of every scope."""
+    g = graph(spark, sf_dir)
+    rows = fixpoint.checkpointed(dependencies(spark, sf_dir))
+    found = measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(g.gaps, members_of(g)))
+    told = joined(F.transform("reverse_impact", lambda x: F.concat_ws(":", x["depth"], x["dependent"])))
+    return found.select("scope", "entity", "fan_in", "fan_out", "cross_component_edges", joined("cycles").alias("cycles"), told.alias("reverse_impact"), "gaps_candidate", "gaps_unknown", "gaps_openfrontier")
+
+
+# --- sparse graphs: each nation's dearest supplier nation, and dearest parts and suppliers ------
+
+DEAREST_SQL = """
+WITH RECURSIVE prices AS (
+  SELECT cn.n_name AS source, sn.n_name AS target, max(l_extendedprice) AS price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE cn.n_name <> sn.n_name GROUP BY ALL),
+edges AS (SELECT source, target FROM prices QUALIFY row_number() OVER (PARTITION BY source ORDER BY price DESC, target) = 1)
 """
-# A recursive term must come first in DuckDB's WITH.
-RECURSIVE = DEAREST_SQL.replace("WITH lines", "WITH RECURSIVE lines")
 
 
 def dearest_edges(spark, sf_dir) -> DataFrame:
-    prices = line_rows(spark, sf_dir).where("c_nation != s_nation").groupBy(F.col("c_nation").alias("source"), F.col("s_nation").alias("target")).agg(F.max("l_extendedprice").alias("price"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"), "l_extendedprice")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    nation = read(spark, sf_dir, "nation")
+    buyers = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("source"))
+    sellers = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("target"))
+    prices = lines.join(orders, "o_orderkey").join(buyers, "c_custkey").join(sellers, "s_suppkey").where("source != target").groupBy("source", "target").agg(F.max("l_extendedprice").alias("price"))
     best = retain.keep_first(prices, ["source"], [-F.col("price"), F.col("target")])
     return fixpoint.checkpointed(best.select("source", "target"))
 
 
-def dearest_dependencies(spark, sf_dir) -> DataFrame:
-    return dearest_edges(spark, sf_dir).select(F.lit("all").alias("solution_key"), F.lit("component").alias("scope"), "source", "target", F.lit("A").alias("category"), F.lit("direct").alias("nature"))
+TRADE_SQL = """
+WITH RECURSIVE prices AS (SELECT 's' || l_suppkey AS seller, 'p' || l_partkey AS part, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
+edges AS (
+  SELECT seller AS source, part AS target FROM prices QUALIFY row_number() OVER (PARTITION BY seller ORDER BY price DESC, part) = 1 UNION ALL
+  SELECT part, seller FROM prices QUALIFY row_number() OVER (PARTITION BY part ORDER BY price DESC, seller) = 1)
+"""
+
+
+def trade_edges(spark, sf_dir) -> DataFrame:
+    """Every supplier leads to its dearest part, and every part to its dearest supplier."""
+    seller, part = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    prices = read(spark, sf_dir, "lineitem").groupBy(seller.alias("seller"), part.alias("part")).agg(F.max("l_extendedprice").alias("price"))
+    ways = [retain.keep_first(prices.select(F.col(a).alias("source"), F.col(b).alias("target"), "price"), ["source"], [-F.col("price"), F.col("target")]) for a, b in (("seller", "part"), ("part", "seller"))]
+    return fixpoint.checkpointed(ways[0].unionByName(ways[1]).select("source", "target"))
+
 
+def as_dependencies(edges: DataFrame) -> DataFrame:
+    return edges.select(F.lit(SOLUTION).alias("solution_key"), F.lit("component").alias("scope"), "source", "target", F.lit("http").alias("category"), F.lit("direct").alias("nature"))
 
-def european(spark, sf_dir) -> DataFrame:
+
+def _seeds(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("node"))
 
 
-CLOSURE_SQL = """, reached AS (SELECT n_name AS node FROM nation WHERE n_regionkey = 1 UNION SELECT target FROM reached JOIN edges ON node = source)
-"""
+def _closure_sql(seeds: str) -> str:
+    return f", reached AS ({seeds} UNION SELECT target FROM reached JOIN edges ON node = source)\n"
+
 
+NATION_SEEDS = "SELECT n_name AS node FROM nation WHERE n_regionkey = 1"
+SELLER_SEEDS = "SELECT 's' || s_suppkey AS node FROM supplier WHERE s_acctbal > 5000"
 
-@query(RECURSIVE + CLOSURE_SQL + "SELECT node FROM reached")
+
+@query(DEAREST_SQL + _closure_sql(NATION_SEEDS) + "SELECT node FROM reached")
 def retention_closure(spark, sf_dir):
-    return fixpoint.reachable(european(spark, sf_dir), dearest_edges(spark, sf_dir))
+    return fixpoint.reachable(_seeds(spark, sf_dir), dearest_edges(spark, sf_dir))
+
+
+@query(TRADE_SQL + _closure_sql(SELLER_SEEDS) + "SELECT node FROM reached")
+def trade_closure(spark, sf_dir):
+    seeds = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return fixpoint.reachable(seeds, trade_edges(spark, sf_dir))
+
+
+def _relations(edges: DataFrame) -> FactualGraph:
+    """A graph of relations alone; nothing occurs anywhere."""
+    spark = edges.sparkSession
+    rows = edges.select(F.lit(SOLUTION).alias("solution_key"), F.concat_ws(">", "source", "target").alias("key"), F.col("source").alias("source_key"), F.col("target").alias("target_key"), F.lit("http").alias("category"), F.array().cast("array<string>").alias("evidence_keys"))
+    g = {name: spark.createDataFrame([], schema) for name, schema in facts.SCHEMAS.items()}
+    return FactualGraph(**(g | {"relations": rows}))
 
 
-@query(RECURSIVE + CLOSURE_SQL + ", supported AS (SELECT DISTINCT source, target FROM edges WHERE source IN (FROM reached) OR target IN (FROM reached)) SELECT source, target, target IN (FROM reached) AS target_retained FROM supported")
+@query(DEAREST_SQL + _closure_sql(NATION_SEEDS) + ", supported AS (SELECT DISTINCT source, target FROM edges WHERE source IN (FROM reached) OR target IN (FROM reached)) SELECT source, target, target IN (FROM reached) AS target_retained FROM supported")
 def incoming_support(spark, sf_dir):
-    edges = dearest_edges(spark, sf_dir)
-    reached = fixpoint.reachable(european(spark, sf_dir), edges)
-    outgoing = edges.join(reached.withColumnRenamed("node", "source"), "source", "left_semi")
-    incoming = edges.join(reached.withColumnRenamed("node", "target"), "target", "left_semi")
-    both = outgoing.unionByName(incoming).dropDuplicates(["source", "target"])
-    return both.join(reached.select(F.col("node").alias("target"), F.lit(True).alias("there")), "target", "left").select("source", "target", F.coalesce("there", F.lit(False)).alias("target_retained"))
+    g = _relations(dearest_edges(spark, sf_dir))
+    reached = fixpoint.reachable(_seeds(spark, sf_dir), dearest_edges(spark, sf_dir)).select(F.lit(SOLUTION).alias("solution_key"), F.col("node").alias("key"))
+    relations, _ = retain.supported(g, reached)
+    there = reached.select(F.col("key").alias("target_key"), F.lit(True).alias("there"))
+    return relations.join(there, "target_key", "left").select(F.col("source_key").alias("source"), F.col("target_key").alias("target"), F.coalesce("there", F.lit(False)).alias("target_retained"))
 
 
-IMPACT_SQL = """, walks AS (SELECT target AS entity, source AS dependent, 1 AS depth FROM edges UNION
-  SELECT entity, source, depth + 1 FROM walks JOIN edges ON target = dependent WHERE depth < 30),
+def _impact_sql(most: int) -> str:
+    return f""", walks AS (SELECT target AS entity, source AS dependent, 1 AS depth FROM edges UNION
+  SELECT entity, source, depth + 1 FROM walks JOIN edges ON target = dependent WHERE depth < {most}),
 impact AS (SELECT entity, dependent, min(depth) AS depth FROM walks WHERE entity <> dependent GROUP BY ALL)
 """
 
 
-@query(RECURSIVE + IMPACT_SQL + "SELECT entity, dependent, depth FROM impact")
+@query(DEAREST_SQL + _impact_sql(30) + "SELECT entity, dependent, depth FROM impact")
 def reverse_impact(spark, sf_dir):
-    return measures.reverse_impact(dearest_dependencies(spark, sf_dir)).select("entity", "dependent", "depth")
+    return measures.reverse_impact(as_dependencies(dearest_edges(spark, sf_dir))).select("entity", "dependent", "depth")
 
 
-@query(RECURSIVE + IMPACT_SQL + "SELECT entity, dependent, depth FROM impact")
+@query(TRADE_SQL + _impact_sql(300) + "SELECT entity, dependent, depth FROM impact")
+def trade_impact(spark, sf_dir):
+    return measures.reverse_impact(as_dependencies(trade_edges(spark, sf_dir))).select("entity", "dependent", "depth")
+
+
+@query(DEAREST_SQL + _impact_sql(30) + "SELECT entity, dependent, depth FROM impact")
 def reverse_impact_doubling(spark, sf_dir):
     turned = dearest_edges(spark, sf_dir).select(F.col("target").alias("source"), F.col("source").alias("target"))
     return fixpoint.depths_by_doubling(turned).where("source != target").select(F.col("source").alias("entity"), F.col("target").alias("dependent"), "depth")
@@ -258,44 +408,29 @@ def reverse_impact_doubling(spark, sf_dir):
 CYCLES_SQL = """, both_ways AS (SELECT a.entity, a.dependent FROM impact a JOIN impact b ON a.entity = b.dependent AND a.dependent = b.entity),
 members AS (SELECT entity, least(entity, min(dependent)) AS first FROM both_ways GROUP BY entity),
 cycles AS (SELECT first, 'cycle:component:' || string_agg(entity, ',' ORDER BY entity) AS cycle, count(*) AS size FROM members GROUP BY first)
-"""
+SELECT cycle, size FROM cycles"""
 
 
-@query(RECURSIVE + IMPACT_SQL + CYCLES_SQL + "SELECT cycle, size FROM cycles")
+@query(DEAREST_SQL + _impact_sql(30) + CYCLES_SQL)
 def cycles(spark, sf_dir):
-    return measures.cycles(dearest_dependencies(spark, sf_dir)).select("cycle", F.size("members").cast("long").alias("size"))
+    return measures.cycles(as_dependencies(dearest_edges(spark, sf_dir))).select("cycle", F.size("members").cast("long").alias("size"))
 
 
-@query(RECURSIVE + IMPACT_SQL + CYCLES_SQL + """, nodes AS (SELECT source AS entity FROM edges UNION SELECT target FROM edges)
-SELECT n.entity, (SELECT count(*) FROM edges WHERE target = n.entity) AS fan_in, (SELECT count(*) FROM edges WHERE source = n.entity) AS fan_out,
-       (SELECT count(*) FROM edges WHERE source = n.entity AND source <> target) AS cross_component_edges,
-       coalesce((SELECT string_agg(cycle, ',') FROM cycles JOIN members ON members.first = cycles.first WHERE members.entity = n.entity), '') AS cycles,
-       coalesce((SELECT string_agg(depth || ':' || dependent, ',' ORDER BY depth, dependent) FROM impact WHERE impact.entity = n.entity), '') AS reverse_impact,
-       coalesce((SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = n.entity AND o_orderstatus = 'P'), 0) AS gaps_unknown
-FROM nodes n""")
-def measures_full(spark, sf_dir):
-    dependencies = dearest_dependencies(spark, sf_dir)
-    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    customer = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    gaps = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    gaps = gaps.select(F.lit("all").alias("solution_key"), F.col("o_orderkey").cast("string").alias("key"), F.lit("Unknown").alias("kind"), F.array("n_name").alias("affected_keys"))
-    rows = measures.assemble(measures.fan(dependencies), measures.cycles(dependencies), measures.reverse_impact(dependencies), measures.gap_counts(gaps))
-    told = F.array_join(F.transform("reverse_impact", lambda x: F.concat_ws(":", x["depth"], x["dependent"])), ",")
-    return rows.select("entity", "fan_in", "fan_out", "cross_component_edges", F.array_join("cycles", ",").alias("cycles"), told.alias("reverse_impact"), "gaps_unknown")
+@query(TRADE_SQL + _impact_sql(300) + CYCLES_SQL)
+def trade_cycles(spark, sf_dir):
+    return measures.cycles(as_dependencies(trade_edges(spark, sf_dir))).select("cycle", F.size("members").cast("long").alias("size"))
 
 
 # --- rows: dedup, conflicts, integrity -------------------------------------------------------
 
 
-@query("SELECT user_id, bool_and(event_type = 'error') AS only_errors, count(*) AS events FROM events GROUP BY 1")
-def all_test_only(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type") == "error").alias("only_errors"), F.count("*").alias("events"))
-
-
-@query("SELECT sha256(text) AS digest, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1")
+@query("SELECT 'text:' || sha256(text) AS entity_key, 'variant:' || lang || ':-:-:-' AS variant, count(DISTINCT source) AS shapes FROM documents WHERE text IS NOT NULL GROUP BY text, lang HAVING count(DISTINCT source) > 1")
 def shape_conflict(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("digest"), "source")
-    return docs.groupBy("digest").agg(F.count_distinct("source").alias("sources")).where("sources > 1")
+    """Texts as entities, their languages as variants and their sources as shapes."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    variant = F.struct(F.col("lang").alias("tfm"), F.lit("-").alias("configuration"), F.array().cast("array<string>").alias("symbols"), F.lit("-").alias("environment"))
+    rows = docs.select(F.lit(SOLUTION).alias("solution_key"), F.concat(F.lit("text:"), F.sha2("text", 256)).alias("entity_key"), variant.alias("variant"), F.col("source").alias("shape_digest"))
+    return retain.shape_conflicts(rows).select("entity_key", identity.variant_key(F.col("variant")).alias("variant"), "shapes")
 
 
 @query("SELECT sha256(coalesce(text, '')) AS digest, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
@@ -310,14 +445,6 @@ def _counts(**found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, marks).agg(*[F.count_if(F.col("what") == name).alias(name) for name in found])
 
 
-@query("SELECT (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)) AS broken_parts, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS broken_orders")
-def integrity_anti(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
-    parts = read(spark, sf_dir, "part").where("p_size > 1").select(F.col("p_partkey").alias("l_partkey"))
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    return _counts(broken_parts=lines.join(parts, "l_partkey", "left_anti"), broken_orders=lines.join(orders, "l_orderkey", "left_anti"))
-
-
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR l.quality = 1 GROUP BY 1")
 def semi_or_anti(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -343,21 +470,35 @@ def local_handles(spark, sf_dir):
     return index.dictionary(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_name", spread=True)
 
 
+@query("""SELECT s_suppkey, 'solution:' || s_name || ':' || s_suppkey AS solution, 'project:' || s_name || ':a/b' AS project, 'document:' || s_name || ':a/b.cs' AS document, 'entity:' || s_name || ':symbol:a/b:' || s_suppkey AS entity,
+  'variant:net' || s_nationkey || ':Debug:' || CASE WHEN s_acctbal < 0 THEN '-' ELSE 'A,' || s_name END || ':linux' AS variant, 'evidence:' || sha256('call:' || s_name) AS evidence,
+  'relation:' || sha256('http:' || s_name || ':b:' || s_suppkey) AS relation, 'gap:' || sha256('Unknown:' || s_name || ':' || s_suppkey) AS gap FROM supplier""")
+def canonical_keys(spark, sf_dir):
+    name, number = F.col("s_name"), F.col("s_suppkey").cast("string")
+    symbols = F.when(F.col("s_acctbal") < 0, F.array().cast("array<string>")).otherwise(F.array(name, F.lit("A"), name))
+    variant = F.struct(F.concat(F.lit("net"), F.col("s_nationkey").cast("string")).alias("tfm"), F.lit("Debug").alias("configuration"), symbols.alias("symbols"), F.lit("linux").alias("environment"))
+    rows = read(spark, sf_dir, "supplier").withColumn("variant", variant)
+    return rows.select(
+        "s_suppkey", identity.solution_key(name, number).alias("solution"), identity.project_key(name, F.lit("a/b")).alias("project"), identity.document_key(name, F.lit("a/b.cs")).alias("document"), identity.entity_key(name, F.lit("Symbol"), number, F.lit("a/b")).alias("entity"),
+        identity.variant_key(F.col("variant")).alias("variant"), identity.evidence_key(F.lit("call"), name).alias("evidence"), identity.relation_key(F.lit("http"), name, F.lit("b"), number).alias("relation"), identity.gap_key(F.lit("Unknown"), name, number).alias("gap"),
+    )
+
+
 def _ordered_dependencies(spark, sf_dir) -> DataFrame:
-    rows = line_dependencies(spark, sf_dir, ("component",)).select("solution_key", "source", "target", "category", "occurrence_count")
-    return index.ordinals(rows, ["solution_key"], ["source", "target", "category"])
+    rows = dependencies(spark, sf_dir).where("scope = 'component'").select("solution_key", "source", "target", "category", "occurrence_count")
+    return index.ordinals(rows, ["solution_key"], ["source", "target", ordinal(F.col("category"), CATEGORIES)])
 
 
-ORDERED_SQL = LINES_SQL + ", ordered AS (SELECT *, row_number() OVER (ORDER BY source, target, category) - 1 AS ordinal FROM dependencies WHERE scope = 'component')\n"
+ORDERED_SQL = GRAPH_SQL + ", own AS (SELECT source, target, category, occurrence_count, row_number() OVER (ORDER BY source, target, c) - 1 AS ordinal FROM scoped WHERE scope = 'component')\n"
 
 
 def _index(spark, sf_dir, key: str) -> DataFrame:
     found = index.inverted(_ordered_dependencies(spark, sf_dir), key, ["solution_key"])
-    return found.select(F.col(key).alias("key"), F.array_join(found["ordinals"].cast("array<string>"), ",").alias("ordinals"), F.array_join("categories", ",").alias("categories"))
+    return found.select(F.col(key).alias("key"), joined(found["ordinals"].cast("array<string>")).alias("ordinals"), joined("categories").alias("categories"))
 
 
 def _index_sql(key: str) -> str:
-    return ORDERED_SQL + f"SELECT {key} AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM ordered GROUP BY 1"
+    return ORDERED_SQL + f"SELECT {key} AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM own GROUP BY 1"
 
 
 @query(_index_sql("source"))
@@ -370,24 +511,54 @@ def nav_incoming(spark, sf_dir):
     return _index(spark, sf_dir, "target")
 
 
-@query(ORDERED_SQL + "SELECT source AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals FROM ordered WHERE category = 'R' GROUP BY 1")
+@query(ORDERED_SQL + "SELECT source AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals FROM own WHERE category = 'messaging' GROUP BY 1")
 def nav_category(spark, sf_dir):
-    found = index.inverted(_ordered_dependencies(spark, sf_dir).where("category = 'R'"), "source", ["solution_key"])
-    return found.select(F.col("source").alias("key"), F.array_join(found["ordinals"].cast("array<string>"), ",").alias("ordinals"))
+    found = index.inverted(_ordered_dependencies(spark, sf_dir).where("category = 'messaging'"), "source", ["solution_key"])
+    return found.select(F.col("source").alias("key"), joined(found["ordinals"].cast("array<string>")).alias("ordinals"))
 
 
-@query(LINES_SQL + "SELECT source, target, category, occurrence_count FROM dependencies WHERE scope = 'component'")
-def encode_decode_roundtrip(spark, sf_dir):
-    rows = _ordered_dependencies(spark, sf_dir).drop("ordinal")
-    words = index.dictionary(rows.select("solution_key", F.col("source").alias("key")).unionByName(rows.select("solution_key", F.col("target").alias("key"))), ["solution_key"], "key")
-    for way in (index.encoded, index.decoded):
-        for column in ("source", "target"):
-            rows = way(rows, words, ["solution_key"], column)
-    return rows.select("source", "target", "category", "occurrence_count")
+def _plain_index(name: str, keys: str) -> str:
+    return f"SELECT '{name}' AS index, key, (row_number() OVER (ORDER BY key) - 1)::VARCHAR AS ordinals, '' AS categories FROM (SELECT DISTINCT key FROM ({keys}))"
+
+
+def _edge_index(name: str, key: str, where: str = "true") -> str:
+    return f"SELECT '{name}' AS index, {key} AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM ordered WHERE {where} GROUP BY {key}"
+
+
+NAVIGATION_SQL = " UNION ALL ".join([
+    _edge_index("outgoing", "source"), _edge_index("incoming", "target"), _edge_index("contracts", "target", "category IN ('contract', 'messaging')"), _edge_index("persistence", "target", "category = 'persistence'"), _edge_index("runtime", "source", "category IN ('http', 'grpc', 'messaging')"),
+    _plain_index("roots", "SELECT 'entity:all:component:' || n_name AS key FROM nation UNION ALL SELECT 'entity:all:deploymentunit:' || r_name FROM region"), _plain_index("documents", "SELECT unnest([source, target]) AS key FROM ordered WHERE scope = 'document'"), _plain_index("evidence", "SELECT proof AS key FROM proven"),
+    "SELECT 'measures', key, (row_number() OVER (ORDER BY key) - 1)::VARCHAR, CASE WHEN reached THEN 'reachable' ELSE '' END FROM (SELECT key, bool_or(reached) AS reached FROM (SELECT source AS key, false AS reached FROM ordered UNION ALL SELECT target, source <> target FROM ordered) GROUP BY key)",
+])
 
 
+@query(GRAPH_SQL + NAVIGATION_SQL)
+def navigation_indexes(spark, sf_dir):
+    """All indexes of the package, over the whole graph."""
+    g = graph(spark, sf_dir)
+    rows = fixpoint.checkpointed(index.spread_ordinals(dependencies(spark, sf_dir), ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]))
+    found = measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(g.gaps, members_of(g)))
+    out = package.index_rows(package.Model(g, rows, found))
+    return out.select("index", "key", joined(out["ordinals"].cast("array<string>")).alias("ordinals"), joined("categories").alias("categories"))
+
+
+@query(GRAPH_SQL + """, words AS (SELECT key, lower(to_base(row_number() OVER (ORDER BY key) - 1, 36)) AS handle FROM (SELECT DISTINCT unnest([source, target]) AS key FROM dependencies))
+SELECT scope, source, target, a.handle AS source_handle, b.handle AS target_handle, category, occurrence_count FROM dependencies JOIN words a ON a.key = source JOIN words b ON b.key = target""")
+def encode_decode_roundtrip(spark, sf_dir):
+    """Both ends as handles, and as what the handles stand for."""
+    rows = fixpoint.checkpointed(dependencies(spark, sf_dir).select("solution_key", "scope", "source", "target", "category", "occurrence_count"))
+    words = fixpoint.checkpointed(index.dictionary(rows.select("solution_key", F.explode(F.array("source", "target")).alias("key")), ["solution_key"], "key").select("solution_key", "key", "handle"))
+    for column in ("source", "target"):
+        rows = index.encoded(rows, words, ["solution_key"], column)
+    rows = rows.withColumns({"source_handle": F.col("source"), "target_handle": F.col("target")})
+    for column in ("source", "target"):
+        rows = index.decoded(rows, words, ["solution_key"], column)
+    return rows.drop("solution_key")
+
+
+#: A text that is larger than a shard may be has one of its own.
 SHARDS_SQL = """
-WITH RECURSIVE records AS (SELECT 'documents' AS family, doc_id, least(strlen(coalesce(text, '')), 98304)::BIGINT AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+WITH RECURSIVE records AS (SELECT 'documents' AS family, doc_id, strlen(coalesce(text, ''))::BIGINT AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
 packed AS (
   SELECT family, doc_id, size, r, size AS used, 0::BIGINT AS shard FROM records WHERE r = 1 UNION ALL
   SELECT n.family, n.doc_id, n.size, n.r, CASE WHEN p.used + n.size > 65536 THEN n.size ELSE p.used + n.size END, p.shard + (p.used + n.size > 65536)::BIGINT
@@ -397,13 +568,13 @@ ranges AS (SELECT family, shard, count(*) AS records, sum(size)::BIGINT AS bytes
 
 
 def _packed(spark, sf_dir) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id", F.least(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(index.SHARD_CEILING)).alias("size"))
-    return index.pack_shards(docs, "family", "doc_id", "size")
+    docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    return index.pack_shards(docs, "family", "doc_id", "size", ceiling=None)
 
 
-@query(SHARDS_SQL + "SELECT doc_id, size, shard FROM packed")
+@query(SHARDS_SQL + "SELECT doc_id, size, shard, size > 98304 AS oversized FROM packed")
 def shard_pack(spark, sf_dir):
-    return _packed(spark, sf_dir).select("doc_id", "size", "shard")
+    return _packed(spark, sf_dir).select("doc_id", "size", "shard", (F.col("size") > index.SHARD_CEILING).alias("oversized"))
 
 
 @query(SHARDS_SQL + "SELECT shard, records, bytes, first FROM ranges")
@@ -411,26 +582,21 @@ def shard_ranges(spark, sf_dir):
     return index.shard_ranges(_packed(spark, sf_dir), "family").select("shard", "records", "bytes", "first")
 
 
-@query(SHARDS_SQL + "SELECT r - 1 AS ordinal, shard FROM packed WHERE (r - 1) % 7 = 0")
-def shard_lookup(spark, sf_dir):
-    ranges = index.shard_ranges(_packed(spark, sf_dir), "family")
-    asked = index.spread_ordinals(read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id"), ["family"], ["doc_id"]).where("ordinal % 7 = 0")
-    return index.shard_of(asked, ranges, "family").select("ordinal", "shard")
-
-
 @query(SHARDS_SQL + "SELECT r - 1 AS ordinal, shard FROM packed")
-def shard_lookup_all(spark, sf_dir):
-    """As shard_lookup, of every document."""
+def shard_lookup(spark, sf_dir):
+    """The shard of every document's ordinal."""
     ranges = index.shard_ranges(_packed(spark, sf_dir), "family")
     asked = index.spread_ordinals(read(spark, sf_dir, "documents").select(F.lit("documents").alias("family"), "doc_id"), ["family"], ["doc_id"])
     return index.shard_of(asked, ranges, "family").select("ordinal", "shard")
 
 
-@query("SELECT 0::BIGINT AS unsorted, 0::BIGINT AS broken")
+@query(SHARDS_SQL + """SELECT (SELECT count(*) FROM (SELECT n_chars, lag(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) WHERE before >= n_chars) AS unsorted,
+ (SELECT count(*) FROM (SELECT first, coalesce(lag(first + records) OVER (ORDER BY shard), 0) AS last FROM ranges WHERE records > 1) WHERE last <> first) AS broken""")
 def sorted_check(spark, sf_dir):
-    """Both counts are of defects, which the packer and the dictionary must not make."""
-    handles = local_handles(spark, sf_dir)
-    return _counts(unsorted=index.unsorted_rows(handles, ["c_nationkey"], "ordinal", "c_name"), broken=index.broken_ranges(index.shard_ranges(_packed(spark, sf_dir), "family"), "family"))
+    """Defects counted where there are some: lengths that don't rise with the id, and ranges left open by shards of one record that are taken out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    ranges = index.shard_ranges(_packed(spark, sf_dir), "family").where("records > 1")
+    return _counts(unsorted=index.unsorted_rows(docs, ["source"], "doc_id", "n_chars"), broken=index.broken_ranges(ranges, "family"))
 
 
 # --- predicates ------------------------------------------------------------------------------
@@ -482,10 +648,15 @@ def secret_disposition(spark, sf_dir):
 # --- artifacts -------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_digest, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents")
+def _stored(spark, sf_dir) -> DataFrame:
+    """Documents as artifacts: the source is the family, the id the path."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("family"), F.format_string("%012d", "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("payload"))
+    return package.described(docs)
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents")
 def content_digest(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("content_digest"), F.octet_length(text).cast("long").alias("bytes"))
+    return _stored(spark, sf_dir).select("doc_id", "digest", "bytes")
 
 
 @query("SELECT page_id, href, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL")
@@ -501,56 +672,71 @@ costs AS (SELECT source AS journey, count(*) AS reads, sum(bytes)::BIGINT AS byt
 
 @query(COST_SQL + "SELECT * FROM costs")
 def journey_cost(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    reads = read(spark, sf_dir, "documents").select(F.col("source").alias("journey"), F.sha2(text, 256).alias("path"), F.octet_length(text).cast("long").alias("bytes")).dropDuplicates(["journey", "path"])
-    return reads.groupBy("journey").agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes")).withColumn("tokens", predicates.tokens_of_bytes(F.col("bytes")))
+    """Each source is a journey that opens its texts; equal texts are one artifact."""
+    return package.journey_costs(_stored(spark, sf_dir).select(F.col("family").alias("journey"), F.col("digest").alias("path"), "bytes"))
 
 
-@query(COST_SQL + """, ceilings(name, reads, tokens) AS (VALUES ('src0', 20, 12000), ('src1', 100, 25000), ('src2', 1000, 900000)),
-applied AS (SELECT c.*, coalesce(l.reads, 60) AS most_reads, least(coalesce(l.tokens, 40000), 200000) AS most_tokens, coalesce(l.name, 'default') AS ceiling FROM costs c LEFT JOIN ceilings l ON journey = name)
-SELECT journey, ceiling, CASE WHEN tokens = 0 THEN 'NotApplicable' WHEN reads > most_reads THEN 'Failed:reads' WHEN tokens > most_tokens THEN 'Failed:tokens' ELSE 'Certified' END AS status FROM applied""")
+@query(COST_SQL + """, limits(name, most_reads, most_tokens) AS (VALUES ('src0', 20, 12000), ('src1', 100, 25000), ('src2', 1000, 900000)),
+applied AS (SELECT c.*, coalesce(most_reads, 60) AS most_reads, coalesce(most_tokens, 40000) AS most_tokens FROM costs c LEFT JOIN limits ON journey = name)
+SELECT journey, CASE WHEN reads > most_reads OR tokens > most_tokens THEN 'Failed' ELSE 'Certified' END AS status,
+       CASE WHEN reads > most_reads THEN 'reads-exceeded:' || reads || '>' || most_reads WHEN tokens > most_tokens THEN 'tokens-exceeded:' || tokens || '>' || most_tokens END AS reason FROM applied""")
 def budget_status(spark, sf_dir):
-    ceilings = spark.createDataFrame([("src0", 20, 12000), ("src1", 100, 25000), ("src2", 1000, 900000)], "journey string, own_reads int, own_tokens int")
-    rows = journey_cost(spark, sf_dir).join(ceilings, "journey", "left")
-    reads, tokens = F.coalesce("own_reads", F.lit(60)), F.least(F.coalesce("own_tokens", F.lit(40000)), F.lit(200000))
-    status = F.when(F.col("tokens") == 0, "NotApplicable").when(F.col("reads") > reads, "Failed:reads").when(F.col("tokens") > tokens, "Failed:tokens").otherwise("Certified")
-    return rows.select("journey", F.when(F.col("own_reads").isNull(), "default").otherwise(F.col("journey")).alias("ceiling"), status.alias("status"))
+    limits = spark.createDataFrame([("src0", 20, 12000), ("src1", 100, 25000), ("src2", 1000, 900000)], "journey string, own_reads int, own_tokens int")
+    rows = journey_cost(spark, sf_dir).join(limits, "journey", "left")
+    status, reason = package.within_budget(F.col("reads"), F.col("tokens"), F.coalesce("own_reads", F.lit(60)), F.coalesce("own_tokens", F.lit(40000)))
+    return rows.select("journey", status.alias("status"), reason.alias("reason"))
 
 
 @query("SELECT coalesce(source, 'total') AS family, count(*) AS artifacts, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY GROUPING SETS ((source), ())")
 def family_rollup(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
-    return rows.rollup("source").agg(F.count("*").alias("artifacts"), F.sum("bytes").alias("bytes")).select(F.coalesce("source", F.lit("total")).alias("family"), "artifacts", "bytes")
+    return package.totals(_stored(spark, sf_dir))
 
 
-@query("""WITH parts AS (SELECT doc_id // 1000 AS part, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1)
-SELECT sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS package_digest, count(*) AS parts FROM parts""")
-def package_digest(spark, sf_dir):
-    """Two levels, so that no task joins more than a thousand lines and the last one a line per thousand."""
-    lines = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.concat_ws(":", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("line"))
+@query("""WITH solutions AS (SELECT c_nationkey, 'sol_' || lpad(lower(to_base(('0x' || substr(sha256(c_nationkey::VARCHAR), 1, 10))::BIGINT, 32)), 8, '0') || lpad(lower(to_base(('0x' || substr(sha256(c_nationkey::VARCHAR), 11, 10))::BIGINT, 32)), 8, '0') AS solution_id, strlen(c_name) AS bytes FROM customer)
+SELECT solution_id, count(*) AS artifacts, sum(bytes)::BIGINT AS bytes FROM solutions WHERE c_nationkey % 5 <> 4 GROUP BY 1""")
+def solution_rollup(spark, sf_dir):
+    """Customers as artifacts of their nations' solutions; what every fifth nation's hold is nobody's."""
+    path = F.concat(F.lit("pages/"), F.when(F.col("c_nationkey") % 5 == 4, "none").otherwise(package.solution_id(F.col("c_nationkey").cast("string"))), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".md"))
+    return package.solution_totals(read(spark, sf_dir, "customer").select(path.alias("path"), F.octet_length("c_name").cast("long").alias("bytes")))
 
-    def digest(order: str) -> DataFrame:
-        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n"), 256)
 
-    parts = lines.groupBy("part").agg(digest("doc_id").alias("digest")).select("part", F.concat_ws(":", "part", "digest").alias("line"))
-    return parts.agg(digest("part").alias("package_digest"), F.count("*").alias("parts"))
+@query("""WITH lines AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, lpad(doc_id::VARCHAR, 12, '0') || ':' || sha256(coalesce(text, '')) AS line FROM documents),
+runs AS (SELECT i // 4096 AS run, sha256(string_agg(line, chr(10) ORDER BY i)) AS digest FROM lines GROUP BY 1)
+SELECT CASE WHEN (SELECT count(*) FROM lines) <= 4096 THEN (SELECT sha256(string_agg(line, chr(10) ORDER BY i)) FROM lines) ELSE (SELECT sha256(string_agg(run || ':' || digest, chr(10) ORDER BY run)) FROM runs) END AS package_digest, (SELECT count(*) FROM lines) AS artifacts""")
+def package_digest(spark, sf_dir):
+    return package.digest_rows(_stored(spark, sf_dir))
+
+
+def _id_sql(prefix: str, key: str) -> str:
+    return f"'{prefix}_' || " + " || ".join(f"lpad(lower(to_base(('0x' || substr(sha256({key}), {at}, 10))::BIGINT, 32)), 8, '0')" for at in (1, 11))
+
+
+PAGES_SQL = RECURSIVE_SQL + MEASURES_SQL + f""", roots AS (SELECT 'entity:all:component:' || n_name AS key, n_name AS name FROM nation UNION ALL SELECT 'entity:all:deploymentunit:' || r_name, r_name FROM region),
+named AS (SELECT key, name, 'pages/' || {_id_sql("ent", "key")} || '.md' AS path FROM roots),
+two AS (SELECT * FROM dependencies WHERE scope IN ('component', 'deploymentunit')),
+lines AS (
+  SELECT 'out' AS way, source AS key, '- [' || n.name || '](' || substr(n.path, 7) || ') ' || category || ' x' || occurrence_count AS line FROM two JOIN named n ON n.key = target UNION ALL
+  SELECT 'in', target, '- [' || n.name || '](' || substr(n.path, 7) || ') ' || category || ' x' || occurrence_count FROM two JOIN named n ON n.key = source),
+texts AS (SELECT key, string_agg(line, chr(10) ORDER BY line) FILTER (way = 'out') AS outgoing, string_agg(line, chr(10) ORDER BY line) FILTER (way = 'in') AS incoming FROM lines GROUP BY key),
+measured AS (
+  SELECT f.entity AS key, '- ' || f.scope || ' fan-in=' || fan_in || ' fan-out=' || fan_out || ' cycles=' || (SELECT count(*) FROM ringed r WHERE r.scope = f.scope AND r.entity = f.entity) || ' impact=' || (SELECT count(*) FROM impact i WHERE i.scope = f.scope AND i.entity = f.entity)
+         || ' gaps=' || coalesce(gaps_candidate + gaps_unknown + gaps_openfrontier, 0) AS line FROM fans f LEFT JOIN gap_counts g ON g.entity = f.entity WHERE f.scope IN ('component', 'deploymentunit')),
+reach AS (SELECT i.entity AS key, string_agg('- ' || depth || ' [' || n.name || '](' || substr(n.path, 7) || ')', chr(10) ORDER BY depth, i.dependent) AS line FROM impact i JOIN named n ON n.key = i.dependent WHERE i.scope IN ('component', 'deploymentunit') GROUP BY 1),
+open AS (SELECT f.entity AS key, nullif(concat_ws(chr(10), CASE WHEN gaps_candidate > 0 THEN '- Candidate ' || gaps_candidate END, CASE WHEN gaps_unknown > 0 THEN '- Unknown ' || gaps_unknown END, CASE WHEN gaps_openfrontier > 0 THEN '- OpenFrontier ' || gaps_openfrontier END), '') AS line
+  FROM gap_counts g JOIN fans f ON f.entity = g.entity WHERE f.scope IN ('component', 'deploymentunit'))
+SELECT path, '# ' || name || chr(10) || chr(10) || '## Outgoing' || chr(10) || chr(10) || coalesce(outgoing, 'none') || chr(10) || chr(10) || '## Incoming' || chr(10) || chr(10) || coalesce(incoming, 'none') || chr(10) || chr(10) || '## Measures' || chr(10) || chr(10) || coalesce(m.line, 'none')
+  || chr(10) || chr(10) || '## Impact' || chr(10) || chr(10) || coalesce(r.line, 'none') || chr(10) || chr(10) || '## Gaps' || chr(10) || chr(10) || coalesce(o.line, 'none') || chr(10) AS page
+FROM named n LEFT JOIN texts t ON t.key = n.key LEFT JOIN measured m ON m.key = n.key LEFT JOIN reach r ON r.key = n.key LEFT JOIN open o ON o.key = n.key
+"""
 
 
-@query(LINES_SQL + """, own AS (SELECT source AS entity, '- to [' || target || '](' || target || '.md): ' || category || ' x' || occurrence_count AS line FROM dependencies WHERE scope = 'deploymentunit'),
-others AS (SELECT target AS entity, '- from [' || source || '](' || source || '.md): ' || category || ' x' || occurrence_count AS line FROM dependencies WHERE scope = 'deploymentunit')
-SELECT r_name AS entity, '# ' || r_name || chr(10) || chr(10) || '## Outgoing' || chr(10) || coalesce((SELECT string_agg(line, chr(10) ORDER BY line) FROM own WHERE entity = r_name), '') || chr(10) || chr(10)
- || '## Incoming' || chr(10) || coalesce((SELECT string_agg(line, chr(10) ORDER BY line) FROM others WHERE entity = r_name), '') || chr(10) AS page FROM region""")
+@query(PAGES_SQL)
 def markdown_pages(spark, sf_dir):
-    rows = line_dependencies(spark, sf_dir, ("deploymentunit",))
-
-    def lines(own: str, other: str, word: str) -> DataFrame:
-        name = predicates.escaped_markdown(F.col(other))
-        line = F.concat(F.lit(f"- {word} ["), name, F.lit("]("), F.col(other), F.lit(".md): "), "category", F.lit(" x"), F.col("occurrence_count").cast("string"))
-        return rows.groupBy(F.col(own).alias("entity")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias(word))
-
-    pages = read(spark, sf_dir, "region").select(F.col("r_name").alias("entity")).join(lines("source", "target", "to"), "entity", "left").join(lines("target", "source", "from"), "entity", "left")
-    page = F.concat(F.lit("# "), "entity", F.lit("\n\n## Outgoing\n"), F.coalesce("to", F.lit("")), F.lit("\n\n## Incoming\n"), F.coalesce("from", F.lit("")), F.lit("\n"))
-    return pages.select("entity", page.alias("page"))
+    """The pages of all components and deployment units."""
+    g = graph(spark, sf_dir)
+    rows = fixpoint.checkpointed(dependencies(spark, sf_dir).where(F.col("scope").isin("component", "deploymentunit")))
+    found = fixpoint.checkpointed(measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(g.gaps, members_of(g))))
+    return package.pages(package.Model(g, rows, found)).select("path", F.col("payload").alias("page"))
 
 
 @query()

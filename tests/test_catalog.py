@@ -40,21 +40,19 @@ def test_oracles_have_queries():
 
 def test_every_ordinal_is_looked_up(spark):
     packed = catalog.QUERIES["shard_pack"](spark, SF).orderBy("doc_id").collect()
-    rows = catalog.QUERIES["shard_lookup_all"](spark, SF).orderBy("ordinal").collect()
+    rows = catalog.QUERIES["shard_lookup"](spark, SF).orderBy("ordinal").collect()
     assert [(r["ordinal"], r["shard"]) for r in rows] == [(i, r["shard"]) for i, r in enumerate(packed)]
 
 
 def test_fans_of_every_scope(spark):
-    lines = spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/orders.parquet").where("o_orderstatus <> 'P'"), F.expr("l_orderkey = o_orderkey")).select("l_orderkey", "o_custkey", "l_suppkey").collect()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/orders.parquet").where("o_orderstatus <> 'P'"), F.expr("l_orderkey = o_orderkey")).select("l_orderkey", "l_suppkey").collect()
     out, into = defaultdict(set), defaultdict(set)
     for r in lines:
-        for scope, source in (("document", f"order:{r['l_orderkey']}"), ("project", f"customer:{r['o_custkey']}")):
-            out[scope, source].add(r["l_suppkey"])
-            into[scope, f"supplier:{r['l_suppkey']}"].add(source)
-    rows = catalog.QUERIES["fan_in_out_all"](spark, SF).collect()
-    got = {(r["scope"], r["entity"]): (r["fan_in"], r["fan_out"]) for r in rows}
-    assert {k: v for k, v in got.items() if k[0] in ("document", "project")} == {k: (len(into[k]), len(out[k])) for k in {*out, *into}}
-    small = {(r["scope"], r["entity"]): (r["fan_in"], r["fan_out"]) for r in catalog.QUERIES["fan_in_out"](spark, SF).collect()}
-    assert {k: v for k, v in got.items() if k[0] in ("component", "deploymentunit")} == small
+        source, target = f"document:all:orders/o{r['l_orderkey']}.cs", f"document:all:suppliers/s{r['l_suppkey']}.cs"
+        out[source].add(target)
+        into[target].add(source)
+    rows = catalog.QUERIES["fan_in_out"](spark, SF).collect()
+    got = {r["entity"]: (r["fan_in"], r["fan_out"]) for r in rows if r["scope"] == "document"}
+    assert got == {k: (len(into[k]), len(out[k])) for k in {*out, *into}}
     best = sorted(rows, key=lambda r: (-r["fan_in"], r["scope"], r["entity"]))[:5]
-    assert [(r["scope"], r["entity"]) for r in catalog.QUERIES["top_fan_in_all"](spark, SF).collect()] == [(r["scope"], r["entity"]) for r in best]
+    assert [(r["scope"], r["entity"]) for r in catalog.QUERIES["top_fan_in"](spark, SF).collect()] == [(r["scope"], r["entity"]) for r in best]
