@@ -61,6 +61,17 @@ def public_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), base32hex80(F.sha2(key, 256)))
 
 
+def handle_json(handle: Column) -> Column:
+    """A handle as JSON: a string and nothing else."""
+    return F.concat(F.lit('"'), handle, F.lit('"'))
+
+
+def handle_of_json(text: Column) -> Column:
+    """The handle of a JSON string; an error for numbers, objects, null and strings that are no handle."""
+    good = F.coalesce(F.rlike(text, F.lit('^"[0-9a-z]{1,6}"$')), F.lit(False))
+    return F.when(good, F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(F.raise_error(F.concat(F.lit("no handle: "), F.coalesce(text, F.lit("null")))).cast("string"))
+
+
 #: Handles have at most six characters.
 HANDLES = 36**6
 

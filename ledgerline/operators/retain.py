@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +121,12 @@ def relevant_gaps(gaps: DataFrame, keys: DataFrame) -> DataFrame:
     return gaps.join(counts, ["solution_key", "key"]).select(*gaps.columns, "affected_retained").orderBy(F.desc("affected_retained"), "key")
 
 
+def fragment_counts(fragments: list[tuple[FactualGraph, FactualGraph]]) -> DataFrame:
+    """extracted and filtered rows of every solution, summed up over fragments (each before and after retention)."""
+    rows = reduce(DataFrame.unionByName, [retention_counts(before, after) for before, after in fragments])
+    return rows.groupBy("solution_key").agg(F.sum(F.col("retained") + F.col("filtered")).alias("extracted"), F.sum("filtered").alias("filtered"))
+
+
 def retention_counts(before: FactualGraph, after: FactualGraph) -> DataFrame:
     """retained and filtered rows of a solution over all row sets."""
     def counted(graph: FactualGraph, name: str) -> DataFrame:

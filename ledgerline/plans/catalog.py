@@ -11,6 +11,7 @@ give its category and variant. Orders in status P are gaps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,7 +22,7 @@ from ledgerline.functions import identity, predicates
 from ledgerline.model import CATEGORIES, SCOPES, FactualGraph, ordinal
 from ledgerline.operators import fixpoint, index, lift, measures, retain
 from ledgerline.plans import package
-from ledgerline.sources import facts
+from ledgerline.sources import facts, lexical
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -739,9 +740,64 @@ def markdown_pages(spark, sf_dir):
     return package.pages(package.Model(g, rows, found)).select("path", F.col("payload").alias("page"))
 
 
-@query()
+_SOURCE = """using X; // {name} GetAsync("no")
+public class Part{key} : {base} {{
+  [HttpGet] public string Show{key}(int n) {{
+    client.GetAsync("/{brand}/{key}"); bus.Publish<{kind}>(m); Find{key}(
+      {size}); var s = "Find{key}(1)"; cfg.GetValue("{kind}"); return other.Show{next}({size});
+  }}
+  private void Find{key}(int n) {{ client.PutAsync(n); }}
+}}
+"""
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """Every part as a C# file of its brand's project; it calls a method of its own and one of the next part."""
+    part = read(spark, sf_dir, "part")
+    key, kind = F.col("p_partkey").cast("string"), F.regexp_replace("p_type", "[^A-Za-z]", "")
+    holes = {"name": F.col("p_name"), "key": key, "base": F.when(F.col("p_size") % 2 == 0, "ControllerBase").otherwise("Thing"), "brand": F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), "kind": kind, "size": F.col("p_size").cast("string"), "next": (F.col("p_partkey") + 1).cast("string")}
+    pieces = re.split(r"\{(\w+)\}", _SOURCE.replace("{{", "\x01").replace("}}", "\x02"))
+    content = F.concat(*[holes[x] if i % 2 else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(pieces)])
+    return part.select(F.concat(holes["brand"], F.lit("/P.csproj")).alias("project"), F.concat(F.lit("src/Part"), key, F.lit(".cs")).alias("relative_path"), content.alias("content"))
+
+
+@query("""WITH parts AS (SELECT p_partkey AS key, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '/P.csproj' AS project, regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS type, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS brand, p_size AS size, CASE WHEN p_size % 2 = 0 THEN 'ControllerBase' ELSE 'Thing' END AS base FROM part),
+made AS (SELECT *, 'public class Part' || key || ' : ' || base || ' {' AS l2, '  [HttpGet] public string Show' || key || '(int n) {' AS l3, '    client.GetAsync("/' || brand || '/' || key || '"); bus.Publish<' || type || '>(m); Find' || key || '(' AS l4,
+  '      ' || size || '); var s = "Find' || key || '(1)"; cfg.GetValue("' || type || '"); return other.Show' || (key + 1) || '(' || size || ');' AS l5, '  private void Find' || key || '(int n) { client.PutAsync(n); }' AS l7 FROM parts),
+found AS (
+  SELECT project, 'type' AS kind, 'Part' || key AS name, NULL AS owner_method, base AS detail, 2 AS line, l2 AS own, 'Part' || key AS text, 2 AS last_line, l2 AS last, ' :' AS stop, 0 AS skip FROM made UNION ALL
+  SELECT project, 'method', 'Show' || key, NULL, '[HttpGet]', 3, l3, 'Show' || key, 3, l3, '(int', 0 FROM made UNION ALL
+  SELECT project, 'method', 'Find' || key, NULL, '', 7, l7, 'Find' || key, 7, l7, '(int', 0 FROM made UNION ALL
+  SELECT project, 'call', 'GetAsync', 'Show' || key, '/' || brand || '/' || key, 4, l4, 'client.', 4, l4, '; bus', 0 FROM made UNION ALL
+  SELECT project, 'call', 'Publish', 'Show' || key, type, 4, l4, 'bus.', 4, l4, '; Find', 0 FROM made UNION ALL
+  SELECT project, 'call', 'Find' || key, 'Show' || key, '', 4, l4, 'Find', 5, l5, '; var', 0 FROM made UNION ALL
+  SELECT project, 'call', 'GetValue', 'Show' || key, type, 5, l5, 'cfg.', 5, l5, '; return', 0 FROM made UNION ALL
+  SELECT project, 'call', 'Show' || (key + 1), 'Show' || key, '', 5, l5, 'other.', 5, l5, '', strlen(l5) - 1 FROM made UNION ALL
+  SELECT project, 'call', 'PutAsync', 'Find' || key, '', 7, l7, 'client.', 7, l7, '; }', 0 FROM made)
+SELECT project, kind, name, owner_method, detail, line, strpos(own, text)::INT AS col, last_line, (CASE WHEN skip > 0 THEN skip + 1 ELSE strpos(last, stop) END)::INT AS last_col FROM found""")
 def extract_symbols(spark, sf_dir):
-    """Capitalised words of conversations as declared symbols, with their first quoted text."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    found = rows.select("conv_id", "turn", F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1)))).alias("place", "symbol"), predicates.first_literal(F.col("text")).alias("literal"))
-    return found.select("conv_id", "turn", "place", "symbol", "literal")
+    """Declarations and calls of the files, with their places."""
+    found = lexical.items(_files(spark, sf_dir)).where("kind != 'use'")
+    detail = F.coalesce("literal", "type_argument", "attributes", F.array_join("bases", ","), F.lit(""))
+    return found.select("project", "kind", "name", "owner_method", detail.alias("detail"), F.col("span.start_line").alias("line"), F.col("span.start_column").alias("col"), F.col("span.end_line").alias("last_line"), F.col("span.end_column").alias("last_col"))
+
+
+EXTRACTED_SQL = """WITH parts AS (SELECT p_partkey AS key, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS brand, regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS type FROM part),
+made AS (SELECT p.*, n.brand AS next_brand FROM parts p LEFT JOIN parts n ON n.key = p.key + 1)
+SELECT 'http' AS what, 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Show' || key AS source, 'entity:S:httpendpoint:' || brand || '/P.csproj:/' || brand || '/' || key AS target FROM made UNION ALL
+SELECT w, 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Show' || key, 'entity:S:' || e || ':' || brand || '/P.csproj:' || type FROM made, (VALUES ('messaging', 'messagechannel'), ('contract', 'contract'), ('configuration', 'configurationkey')) v(w, e) WHERE w <> 'configuration' UNION ALL
+SELECT 'configuration', 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Show' || key, 'entity:S:configurationkey:' || brand || '/P.csproj:key:' || type FROM made UNION ALL
+SELECT 'internal-invocation', 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Show' || key, 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Find' || key FROM made UNION ALL
+SELECT 'internal-invocation', 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Show' || key, 'entity:S:symbol:' || brand || '/P.csproj:Part' || (key + 1) || '.Show' || (key + 1) FROM made WHERE next_brand = brand UNION ALL
+SELECT 'unresolved-invocation', 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Show' || key, NULL FROM made WHERE next_brand <> brand UNION ALL
+SELECT 'http-destination-unresolved', 'entity:S:symbol:' || brand || '/P.csproj:Part' || key || '.Find' || key, NULL FROM made"""
+
+
+@query(EXTRACTED_SQL)
+def extract_relations(spark, sf_dir):
+    """Relations and gaps of the files, which refer to no other project."""
+    files = _files(spark, sf_dir)
+    projects = files.select("project", F.lit(None).cast("string").alias("output_type"), F.array().cast("array<string>").alias("frameworks")).distinct()
+    g = lexical.extract(files, projects, spark.createDataFrame([], "project string, target string"), "S")
+    gaps = g.gaps.select(F.col("cause").alias("what"), F.element_at("affected_keys", 1).alias("source"), F.lit(None).cast("string").alias("target"))
+    return g.relations.select(F.col("category").alias("what"), F.col("source_key").alias("source"), F.col("target_key").alias("target")).unionByName(gaps)

@@ -1,8 +1,11 @@
 """Lexical extraction of facts from C# text: an approximation by patterns, without a compiler's binding.
 
-What would need binding is not claimed: a call becomes a relation only where one declared
-method has the name, and calls that look remote but name no target become gaps. Evidence is
-qualified by its place, so equal calls in two files stay two.
+One pass per file finds declarations and calls with their places: line and column of both
+ends, the type and the method around them (by matching braces), the declared type of a
+call's receiver. All that follows is joins. What would need binding is not claimed: a call
+is resolved where one method of its name is declared in its own project, else in one that the
+project refers to; where names leave it open it becomes a gap, and so do calls that look
+remote but name no target. A name that no source declares is taken as the framework's.
 
 Input files: ``project`` (path), ``relative_path``, ``content``, and the project facts of
 :mod:`ledgerline.sources.projects`.
@@ -10,15 +13,20 @@ Input files: ``project`` (path), ``relative_path``, ``content``, and the project
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import identity, predicates
-from ledgerline.model import ENTITY_KINDS, FactualGraph
+from ledgerline.model import ENTITY_KINDS, SPAN, FactualGraph
 from ledgerline.operators import fixpoint
 from ledgerline.operators.retain import keep_first
+from ledgerline.shipping import shipped
 
 #: Names by which calls are told apart (fixed values).
 MESSAGING = ("Publish", "PublishAsync", "Subscribe", "SubscribeAsync")
@@ -26,135 +34,239 @@ SECTIONS = ("GetSection",)
 CONFIGURATION_KEYS = ("GetValue", "GetConnectionString", "Configure")
 KEYWORDS = ("if", "for", "foreach", "while", "switch", "using", "lock", "catch", "return", "nameof", "typeof", "sizeof", "default", "new", "when", "base", "this")
 BOOTSTRAP = "WebApplication.CreateBuilder("
-CONTROLLER = "ControllerBase"
+CONTROLLERS = ("ControllerBase", "Controller")
+GRPC_BASE = "ClientBase"
+CONTEXT, SET = "DbContext", "DbSet<"
 EXECUTABLES = ("Exe", "WinExe")
 
-_TYPE = r"\b(?:class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+([A-Za-z_]\w*)(?:<[^>{]*>)?(?:\s*\([^)]*\))?(?:\s*:\s*([^{;]+))?"
-_METHOD = r"((?:\[[^\]\n]*\]\s*)*)(public|private|protected|internal)((?:\s+(?:static|async|virtual|override|sealed|abstract|partial|new))*)\s+[\w<>\[\],.?\s]+?\s([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:\{|=>)"
-_CALL = r"(?:([A-Za-z_][\w.]*)\s*\.\s*)?\b([A-Za-z_]\w*)\s*(?:<\s*([\w.]+)[^>()]*>)?\s*\(([^;{]*)"
-
-
-def without_comments(source: Column) -> Column:
-    """Comments as blanks of one; strings stay."""
-    return F.regexp_replace(source, r'(?s)("(?:\\.|[^"\\\n])*")|//[^\n]*|/\*.*?\*/', "$1 ")
-
-
-def _all(text: str, pattern: str, *groups: int) -> Column:
-    """Every match's groups as structs g1, g2, ..."""
-    lists = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
-    return F.arrays_zip(*lists)
-
-
-def declared_types(files: DataFrame) -> DataFrame:
-    """project, relative_path, place, name, bases."""
-    rows = files.select("project", "relative_path", F.posexplode(_all("code", _TYPE, 1, 2)).alias("place", "m"))
-    bases = F.filter(F.transform(F.split(F.col("m.g2"), ","), lambda b: F.regexp_extract(b, r"([A-Za-z_]\w*)\s*(?:<.*)?\s*$", 1)), lambda b: b != "")
-    return rows.select("project", "relative_path", "place", F.col("m.g1").alias("name"), bases.alias("bases"))
-
-
-def declared_methods(files: DataFrame) -> DataFrame:
-    """project, relative_path, place, name, is_public, is_static, attributes."""
-    rows = files.select("project", "relative_path", F.posexplode(_all("code", _METHOD, 1, 2, 3, 4)).alias("place", "m"))
-    return rows.select("project", "relative_path", "place", F.col("m.g4").alias("name"), (F.col("m.g2") == "public").alias("is_public"), F.contains("m.g3", F.lit("static")).alias("is_static"), F.col("m.g1").alias("attributes")).where(~F.col("name").isin(*KEYWORDS))
-
-
-def calls(files: DataFrame) -> DataFrame:
-    """project, relative_path, place, receiver, name, type_argument, arguments; declarations look like calls and are left out later."""
-    rows = files.select("project", "relative_path", F.posexplode(_all("code", _CALL, 1, 2, 3, 4)).alias("place", "m"))
-    return rows.select("project", "relative_path", "place", F.col("m.g1").alias("receiver"), F.col("m.g2").alias("name"), F.when(F.col("m.g3") != "", F.col("m.g3")).alias("type_argument"), F.col("m.g4").alias("arguments")).where(~F.col("name").isin(*KEYWORDS))
+_COMMENT_OR_STRING = re.compile(r'//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.DOTALL)
+_TYPE = re.compile(r"\b(?:class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+([A-Za-z_]\w*)(?:<[^>{]*>)?(?:\s*\([^)]*\))?(?:\s*:\s*([^{;]+))?")
+_METHOD = re.compile(r"((?:\[[^\]\n]*\]\s*)*)\b(public|private|protected|internal)((?:\s+(?:static|async|virtual|override|sealed|abstract|partial|new))*)\s+(?:[\w<>\[\],.?\s]+?\s)?([A-Za-z_]\w*)\s*\(([^)]*)\)\s*(?=\{|=>|;|:|where\b)")
+_CALL = re.compile(r"(?:([A-Za-z_][\w.]*)\s*\.\s*)?\b([A-Za-z_]\w*)\s*(?:<\s*([\w.]+)[^>()]*>)?\s*\(")
+_DECLARED = re.compile(r"\b([A-Z][\w.]*(?:\s*<[^<>;(){}]*>)?)\??\s+([A-Za-z_]\w*)\s*(?=[;=,){])")
+_NAME = re.compile(r"\b[A-Z]\w+\b")
+_LITERAL = re.compile(r'\$?@?"((?:\\.|[^"\\])*)"')
+
+ITEMS = f"project string, relative_path string, kind string, name string, owner_type string, owner_method string, place int, span {SPAN}, text string, bases array<string>, attributes string, is_public boolean, is_static boolean, receiver string, receiver_type string, type_argument string, literal string"
+
+
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def plain(source: str) -> tuple[str, str]:
+    """The source with comments as blanks; and with the inside of literals as blanks too. Every sign keeps its place."""
+    code = _COMMENT_OR_STRING.sub(lambda m: _blank(m[0]) if m[0][0] == "/" else m[0], source)
+    return code, _COMMENT_OR_STRING.sub(lambda m: m[0][0] + _blank(m[0][1:-1]) + m[0][-1] if len(m[0]) > 1 else m[0], code)
+
+
+def _closed(code: str, at: int, opening: str, closing: str) -> int:
+    """The place behind the bracket that closes the one at ``at``; the end of the text where none does."""
+    depth = 0
+    for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(code, at):
+        depth += 1 if m[0] == opening else -1
+        if not depth:
+            return m.end()
+    return len(code)
+
+
+def _body(code: str, at: int) -> tuple[int, int]:
+    """From a declaration's head on: the block, or what an arrow gives, up to its end; empty for a head alone."""
+    m = re.compile(r"\{|=>|;").search(code, at)
+    if m is None or m[0] == ";":
+        return at, at
+    if m[0] == "{":
+        return m.start(), _closed(code, m.start(), "{", "}")
+    end = code.find(";", m.end())
+    return m.start(), len(code) if end < 0 else end
+
+
+def scan(source: str) -> Iterator[dict]:
+    """The declarations and calls of one file."""
+    text, code = plain(source)
+    lines = [0, *(m.end() for m in re.finditer("\n", code))]
+
+    def at(place: int) -> tuple[int, int]:
+        line = bisect_right(lines, place)
+        return line, place - lines[line - 1] + 1
+
+    def item(kind: str, name: str, start: int, end: int, **more) -> dict:
+        (line, column), (last, last_column) = at(start), at(end)
+        span = {"start_line": line, "start_column": column, "end_line": last, "end_column": last_column}
+        return {"kind": kind, "name": name, "place": start, "span": span, "text": " ".join(text[start:end].split())} | more
+
+    if BOOTSTRAP in code:
+        start = code.index(BOOTSTRAP)
+        yield item("host", BOOTSTRAP, start, start + len(BOOTSTRAP))
+    types = [(*_body(code, m.end()), m[1]) for m in _TYPE.finditer(code)]
+    # A record's name and brackets read like a method's.
+    starts = {m.start(1) for m in _TYPE.finditer(code)}
+    heads = [m for m in _METHOD.finditer(code) if m[4] not in KEYWORDS and m.start(4) not in starts]
+    methods = [(*_body(code, m.end()), m[4]) for m in heads]
+
+    def around(place: int, blocks: list[tuple[int, int, str]]) -> str | None:
+        """The innermost block's name."""
+        return max(((a, name) for a, b, name in blocks if a <= place < b), default=(0, None))[1]
+
+    for m in _TYPE.finditer(code):
+        bases = [x for part in re.split(r",(?![^<]*>)", m[2] or "") if (x := "".join(re.findall(r"([A-Za-z_]\w*)\s*(?:<.*)?\s*$", part.strip())))]
+        yield item("type", m[1], m.start(1), m.end(1), bases=bases, owner_type=around(m.start(), types), text=" ".join(m[0].split()))
+    for m in heads:
+        yield item("method", m[4], m.start(4), m.end(4), owner_type=around(m.start(4), types), attributes=" ".join(m[1].split()), is_public=m[2] == "public", is_static="static" in m[3].split(), text=" ".join(code[m.start(2) : m.end()].split()))
+
+    variables = [(m.start(), m[2], "".join(m[1].split())) for m in _DECLARED.finditer(code)]
+    for place, name, kind in variables:
+        if kind.startswith(SET) and kind.endswith(">"):
+            yield item("set", name, place, code.index(name, place + len(SET)) + len(name), owner_type=around(place, types), type_argument=kind[len(SET) : -1])
+
+    def declared(name: str, place: int) -> str | None:
+        """The type of the nearest declaration of the name, an earlier one first."""
+        own = [(p > place, abs(p - place), kind) for p, n, kind in variables if n == name]
+        return min(own)[2] if own else None
+
+    names = {m.start(4) for m in heads}
+    for m in _CALL.finditer(code):
+        before = code[: m.start()].rstrip()
+        if m[2] in KEYWORDS or m.start(2) in names or re.search(r"\bnew$", before) or (method := around(m.start(), methods)) is None:
+            continue
+        end = _closed(code, m.end() - 1, "(", ")")
+        inside = _LITERAL.search(text, m.end(), end)
+        receiver = m[1]
+        kind = declared(receiver.split(".")[-1], m.start()) or declared(receiver.split(".")[0], m.start()) if receiver else None
+        yield item("call", m[2], m.start(), end, owner_type=around(m.start(), types), owner_method=method, receiver=receiver, receiver_type=kind, type_argument=m[3], literal=inside[1] if inside else None)
+    for m in _NAME.finditer(code):
+        if (method := around(m.start(), methods)) is not None:
+            yield item("use", m[0], m.start(), m.end(), owner_type=around(m.start(), types), owner_method=method)
+
+
+def items(files: DataFrame) -> DataFrame:
+    """All declarations and calls of the files (project, relative_path, content); one pass."""
+    names = ["project", "relative_path", "kind", "name", "owner_type", "owner_method", "place", "span", "text", "bases", "attributes", "is_public", "is_static", "receiver", "receiver_type", "type_argument", "literal"]
+    kinds = [pa.string()] * 6 + [pa.int32(), pa.struct([(c, pa.int32()) for c in ("start_line", "start_column", "end_line", "end_column")]), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_()] + [pa.string()] * 4
+
+    def run(batches):
+        for batch in batches:
+            for project, path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found = [{"project": project, "relative_path": path} | x for x in scan(content or "")]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in found], k) for n, k in zip(names, kinds, strict=True)], names)
+
+    return shipped(files).select("project", "relative_path", "content").mapInArrow(run, ITEMS)
 
 
 def controllers(types: DataFrame) -> DataFrame:
-    """Names of types below ``ControllerBase``, at any depth, whatever file declares the types between."""
+    """Names of types below a controller's base, at any depth, whatever file declares the types between."""
     edges = types.select(F.explode("bases").alias("source"), F.col("name").alias("target"))
-    seeds = types.sparkSession.createDataFrame([(CONTROLLER,), ("Controller",)], "node string")
+    seeds = types.sparkSession.createDataFrame([(c,) for c in CONTROLLERS], "node string")
     return fixpoint.reachable(seeds, edges).withColumnRenamed("node", "name")
 
 
+def resolved(calls: DataFrame, methods: DataFrame, references: DataFrame) -> DataFrame:
+    """Calls with target_project and target (Type.Method), and whether a name that sources declare stays open.
+
+    The one declaration in the call's own project comes first, then the one in the projects
+    that it refers to.
+    """
+    known = methods.select("project", "name", F.concat_ws(".", "owner_type", "name").alias("full")).distinct()
+    own = known.groupBy("project", "name").agg(F.count("*").alias("own_n"), F.min("full").alias("own_full"))
+    near = references.select("project", F.col("target").alias("other")).distinct().join(known.withColumnRenamed("project", "other"), "other").groupBy("project", "name").agg(F.count("*").alias("near_n"), F.min(F.struct("other", "full")).alias("near"))
+    rows = calls.join(own, ["project", "name"], "left").join(near, ["project", "name"], "left").join(known.select("name").distinct().withColumn("is_known", F.lit(True)), "name", "left")
+    here, there = F.col("own_n") == 1, F.col("own_n").isNull() & (F.col("near_n") == 1)
+    found = rows.withColumns({"target_project": F.when(here, F.col("project")).when(there, F.col("near.other")), "target": F.when(here, F.col("own_full")).when(there, F.col("near.full"))})
+    return found.withColumn("is_open", F.coalesce("is_known", F.lit(False)) & F.col("target").isNull()).drop("own_n", "own_full", "near_n", "near", "is_known")
+
+
 def extract(files: DataFrame, facts: DataFrame, references: DataFrame, solution: str, variant: tuple = ("unknown", "Debug", [], "lexical"), include_tests: bool = False) -> FactualGraph:
     """The graph of one solution: ``files`` (project, relative_path, content), project facts and references."""
     sol = F.lit(solution)
     files = files.where(predicates.source_kind(F.col("relative_path")) == "CSharpSource")
     if not include_tests:
         files = files.where(~predicates.is_test_path(F.col("relative_path")))
-    files = fixpoint.checkpointed(files.select("project", "relative_path", "content", without_comments(F.col("content")).alias("code")))
+    found = fixpoint.checkpointed(items(files))
     own_variant = F.struct(F.lit(variant[0]).alias("tfm"), F.lit(variant[1]).alias("configuration"), F.array(*map(F.lit, variant[2])).cast("array<string>").alias("symbols"), F.lit(variant[3]).alias("environment"))
-    span = F.struct(*[F.lit(1).alias(c) for c in ("start_line", "start_column", "end_line", "end_column")])
+    top = F.struct(*[F.lit(1).alias(c) for c in ("start_line", "start_column", "end_line", "end_column")])
 
-    types, methods, called = declared_types(files), declared_methods(files), calls(files)
-    hosts = files.groupBy("project").agg(F.bool_or(F.contains("code", F.lit(BOOTSTRAP))).alias("is_host"))
-    web = types.select("project", "relative_path", "name").join(controllers(types), "name", "left_semi")
-    endpoints = methods.where("is_public").where(F.rlike("attributes", F.lit(r"\[\s*(Http\w*|Route)\b"))).join(web.select("project", "relative_path").distinct(), ["project", "relative_path"], "left_semi")
+    types, methods, calls, sets = (found.where(F.col("kind") == k).drop("kind") for k in ("type", "method", "call", "set"))
+    web = types.join(controllers(types), "name", "left_semi")
+    full = F.concat_ws(".", "owner_type", "name")
+    endpoints = methods.where("is_public").where(F.rlike("attributes", F.lit(r"\[\s*(Http\w*|Route)\b"))).join(web.select("project", F.col("name").alias("owner_type")).distinct(), ["project", "owner_type"], "left_semi")
     mains = methods.where("is_static and name = 'Main'")
+    hosts = found.where("kind = 'host'").select("project", F.lit(True).alias("is_host")).distinct()
     roots = facts.join(hosts, "project", "left").join(web.select("project").distinct().withColumn("has_web", F.lit(True)), "project", "left")
     runs = F.coalesce("is_host", F.lit(False)) | F.coalesce(F.col("output_type").isin(*EXECUTABLES), F.lit(False))
     units, parts = roots.where(runs), roots.where(runs | F.coalesce("has_web", F.lit(False)))
 
-    def entity(df: DataFrame, kind: str, name: Column, shown: Column, path: Column) -> DataFrame:
+    def entity(df: DataFrame, kind: str, name: Column, shown: Column, path: Column, span: Column = top, shape: Column | None = None) -> DataFrame:
         """An entity and where it occurs; names within a project are qualified by it."""
-        return df.select(identity.entity_key(sol, F.lit(kind), name, F.col("project")).alias("key"), F.lit(kind).alias("kind"), shown.alias("display_name"), name.alias("qualified_name"), "project", path.alias("relative_path"))
+        return df.select(identity.entity_key(sol, F.lit(kind), name, F.col("project")).alias("key"), F.lit(kind).alias("kind"), shown.alias("display_name"), name.alias("qualified_name"), "project", path.alias("relative_path"), span.alias("span"), F.sha2(name if shape is None else shape, 256).alias("shape_digest"))
 
-    file = F.col("relative_path")
+    file, span, text = F.col("relative_path"), F.col("span"), F.col("text")
     project_name = predicates.stem(F.col("project"))
-    found = [
-        entity(facts, "Project", F.col("project"), project_name, F.col("project")), entity(files, "Document", file, predicates.file_name(file), file), entity(types, "Symbol", F.col("name"), F.col("name"), file), entity(methods, "Symbol", F.col("name"), F.col("name"), file),
-        entity(endpoints, "EntryPoint", F.concat_ws("#", file, "name"), F.col("name"), file), entity(endpoints, "BoundaryOperation", F.concat_ws("#", file, "name"), F.col("name"), file), entity(mains, "EntryPoint", F.concat_ws("#", file, "name"), F.col("name"), file),
+    placed = F.concat_ws("#", file, full)
+    rows = reduce(DataFrame.unionByName, [
+        entity(facts, "Project", F.col("project"), project_name, F.col("project")), entity(files, "Document", file, predicates.file_name(file), file),
+        entity(types, "Symbol", F.col("name"), F.col("name"), file, span, text), entity(methods, "Symbol", full, F.col("name"), file, span, text),
+        entity(endpoints, "EntryPoint", placed, F.col("name"), file, span, text), entity(endpoints, "BoundaryOperation", placed, F.col("name"), file, span, text), entity(mains, "EntryPoint", placed, F.col("name"), file, span, text),
         entity(units, "DeploymentUnit", F.col("project"), project_name, F.col("project")), entity(parts, "Component", F.col("project"), project_name, F.col("project")),
-    ]
-    rows = reduce(DataFrame.unionByName, found)
-
-    def key_of(kind: str, name: Column) -> Column:
-        return identity.entity_key(sol, F.lit(kind), name, F.col("project"))
-
-    caller = key_of("Document", file)
-    literal = predicates.first_literal(F.col("arguments"))
-    place = F.concat_ws("#", file, "place")
-    # A name that one project alone declares once is taken as that method; all others stay open.
-    single = methods.groupBy("name").agg(F.count("*").alias("n"), F.first("project").alias("target_project")).where("n = 1").select("name", "target_project")
-    # A declaration's own name and bracket read like a call.
-    own = methods.select("project", "relative_path", "name", F.lit(1).alias("declared"))
-    call_counts = called.join(own.groupBy("project", "relative_path", "name").agg(F.sum("declared").alias("declared")), ["project", "relative_path", "name"], "left")
-    actual = keep_calls(call_counts)
-
-    http = actual.where(F.col("name").isin(*predicates.HTTP_METHODS))
-    messages = actual.where(F.col("name").isin(*MESSAGING))
-    config = actual.where(F.col("name").isin(*SECTIONS, *CONFIGURATION_KEYS) & literal.isNotNull())
-    target = [
-        actual.join(single, "name").select(caller.alias("source_key"), identity.entity_key(sol, F.lit("Symbol"), F.col("name"), F.col("target_project")).alias("target_key"), F.lit("internal-invocation").alias("category"), place.alias("place"), "project", file),
-        http.where(literal.isNotNull()).select(caller.alias("source_key"), key_of("HttpEndpoint", literal).alias("target_key"), F.lit("http").alias("category"), place.alias("place"), "project", file),
-        actual.where(F.rlike("receiver", F.lit(r"(?i)grpc|client$")) & F.rlike("name", F.lit("Async$")) & ~F.col("name").isin(*predicates.HTTP_METHODS, *MESSAGING)).select(caller.alias("source_key"), key_of("GrpcService", F.col("receiver")).alias("target_key"), F.lit("grpc").alias("category"), place.alias("place"), "project", file),
-        messages.where("type_argument is not null").withColumn("kind", F.explode(F.array(F.lit("messaging"), F.lit("contract")))).select(caller.alias("source_key"), F.when(F.col("kind") == "contract", key_of("Contract", F.col("type_argument"))).otherwise(key_of("MessageChannel", F.col("type_argument"))).alias("target_key"), F.col("kind").alias("category"), place.alias("place"), "project", file),
-        config.select(caller.alias("source_key"), key_of("ConfigurationKey", F.concat(F.when(F.col("name").isin(*SECTIONS), "section:").otherwise("key:"), literal)).alias("target_key"), F.lit("configuration").alias("category"), place.alias("place"), "project", file),
-        files.select("project", "relative_path", F.posexplode(F.regexp_extract_all("code", F.lit(r"DbSet<\s*([\w.]+)\s*>"), F.lit(1))).alias("place", "name")).select(caller.alias("source_key"), key_of("PersistenceObject", F.col("name")).alias("target_key"), F.lit("persistence-object").alias("category"), F.concat_ws("#", file, F.lit("set"), "place").alias("place"), "project", file),
-        type_uses(files, types).select(caller.alias("source_key"), identity.entity_key(sol, F.lit("Symbol"), F.col("name"), F.col("target_project")).alias("target_key"), F.lit("structural-type-use").alias("category"), F.concat_ws("#", file, F.lit("type"), "name").alias("place"), "project", file),
-        references.select(key_of("Project", F.col("project")).alias("source_key"), identity.entity_key(sol, F.lit("Project"), F.col("target"), F.col("target")).alias("target_key"), F.lit("project-reference").alias("category"), F.concat_ws("#", "project", "target").alias("place"), "project", F.col("project").alias("relative_path")),
-    ]
-    proven = reduce(DataFrame.unionByName, target)
-    proven = proven.withColumns({"evidence": identity.evidence_key(F.col("category"), F.col("place")), "key": identity.relation_key(F.col("category"), F.col("source_key"), F.col("target_key"), F.col("place"))})
+    ])
+
+    def key_of(kind: str, name: Column, project: Column | None = None) -> Column:
+        return identity.entity_key(sol, F.lit(kind), name, F.col("project") if project is None else project)
+
+    # A relation starts at the method around its call.
+    caller = key_of("Symbol", F.concat_ws(".", "owner_type", "owner_method"))
+    literal, receiver = F.col("literal"), F.col("receiver_type")
+    clients = types.where(F.array_contains("bases", GRPC_BASE)).select(F.col("name").alias("client")).distinct().withColumn("is_client", F.lit(True))
+    # A receiver that its own file doesn't declare may be a set that one context declares.
+    elsewhere = sets.groupBy(F.col("name").alias("member")).agg(F.min("type_argument").alias("held"), F.count_distinct("type_argument").alias("n")).where("n = 1").drop("n")
+    called = resolved(calls, methods, references).withColumn("member", F.element_at(F.split(F.coalesce("receiver", F.lit("")), r"\."), -1)).join(elsewhere, "member", "left")
+    called = called.withColumn("receiver_type", F.when(F.col("held").isNotNull() & (receiver.isNull() | ~F.contains(receiver, F.lit(SET))), F.concat(F.lit(SET), "held", F.lit(">"))).otherwise(receiver))
+    called = called.join(clients.withColumnRenamed("client", "receiver_type"), "receiver_type", "left")
+    name = F.col("name")
+    role = (
+        F.when(name.isin(*MESSAGING), F.when(F.col("type_argument").isNotNull(), "messaging").otherwise("open-message")).when(name.isin(*predicates.HTTP_METHODS), F.when(literal.isNotNull(), "http").otherwise("open-http"))
+        .when(F.col("is_client"), "grpc").when(name.isin(*SECTIONS, *CONFIGURATION_KEYS), F.when(literal.isNotNull(), "configuration").otherwise("none"))
+        .when(F.contains(receiver, F.lit(CONTEXT)) | F.contains(receiver, F.lit(SET)), "persistence").when(F.col("target").isNotNull(), "internal-invocation").when(F.col("is_open"), "open-call").otherwise("none")
+    )
+    called = fixpoint.checkpointed(called.withColumn("role", role).where("role != 'none'"))
+
+    def relation(df: DataFrame, category: str, target: Column, source: Column = caller) -> DataFrame:
+        return df.select(source.alias("source_key"), target.alias("target_key"), F.lit(category).alias("category"), "project", file, "place", "span", "text")
+
+    def of(role: str) -> DataFrame:
+        return called.where(F.col("role") == role)
+
+    held = F.regexp_extract(receiver, r"DbSet<\s*([\w.]+)\s*>", 1)
+    config = F.concat(F.when(name.isin(*SECTIONS), "section:").otherwise("key:"), literal)
+    uses = found.where("kind = 'use'").join(types.groupBy("name").agg(F.count_distinct("project").alias("n"), F.min("project").alias("target_project")).where("n = 1").drop("n"), "name").where("owner_type is null or name != owner_type")
+    refs = references.select("project", F.col("project").alias("relative_path"), F.lit(0).alias("place"), top.alias("span"), F.col("target").alias("text"))
+    proven = reduce(DataFrame.unionByName, [
+        relation(of("internal-invocation"), "internal-invocation", key_of("Symbol", F.col("target"), F.col("target_project"))), relation(of("http"), "http", key_of("HttpEndpoint", literal)), relation(of("grpc"), "grpc", key_of("GrpcService", receiver)),
+        relation(of("messaging"), "messaging", key_of("MessageChannel", F.col("type_argument"))), relation(of("messaging"), "contract", key_of("Contract", F.col("type_argument"))), relation(of("configuration"), "configuration", key_of("ConfigurationKey", config)),
+        relation(of("persistence"), "persistence-store", key_of("PersistenceStore", receiver)), relation(of("persistence"), "persistence-operation", key_of("PersistenceStore", F.concat_ws("#", receiver, name))), relation(of("persistence").where(held != ""), "persistence-object", key_of("PersistenceObject", held)),
+        relation(sets, "persistence-object", key_of("PersistenceObject", F.col("type_argument")), key_of("Symbol", F.col("owner_type"))),
+        relation(uses, "structural-type-use", key_of("Symbol", name, F.col("target_project"))), relation(refs, "project-reference", key_of("Project", F.col("text"), F.col("text")), key_of("Project", F.col("project"))),
+    ])
+    where = F.concat_ws(":", file, "place", "text")
+    proven = fixpoint.checkpointed(proven.withColumns({"evidence": identity.evidence_key(F.col("category"), where), "key": identity.relation_key(F.col("category"), F.col("source_key"), F.col("target_key"), where)}))
     relations = proven.select(sol.alias("solution_key"), "key", "source_key", "target_key", "category", F.array("evidence").alias("evidence_keys"))
-    evidence = proven.select(sol.alias("solution_key"), F.col("evidence").alias("key"), identity.document_key(sol, file).alias("document_key"), own_variant.alias("variant"), span.alias("span"), F.sha2("place", 256).alias("content_digest"))
-    open_calls = http.where(literal.isNull()).select(F.lit("Candidate").alias("kind"), F.lit("http-without-literal").alias("cause"), caller.alias("affected"), place.alias("place")).unionByName(messages.where("type_argument is null").select(F.lit("Unknown").alias("kind"), F.lit("unresolved-payload").alias("cause"), caller.alias("affected"), place.alias("place")))
-    gaps = open_calls.select(sol.alias("solution_key"), identity.gap_key(F.col("kind"), F.col("affected"), F.col("place")).alias("key"), "kind", "cause", F.array("affected").alias("affected_keys"), F.array().cast("array<string>").alias("evidence_keys"))
+
+    def evidence_of(df: DataFrame) -> DataFrame:
+        return df.select(sol.alias("solution_key"), F.col("evidence").alias("key"), identity.document_key(sol, file).alias("document_key"), own_variant.alias("variant"), "span", F.sha2("text", 256).alias("content_digest"))
+
+    causes = F.when(F.col("role") == "open-http", "http-destination-unresolved").when(F.col("role") == "open-message", "messaging-payload-unresolved").otherwise("unresolved-invocation")
+    kinds = F.when(F.col("role") == "open-http", "Candidate").otherwise("Unknown")
+    opened = called.where(F.col("role").startswith("open-")).select(kinds.alias("gap"), causes.alias("cause"), caller.alias("affected"), "project", file, "place", "span", "text", identity.evidence_key(F.lit("invocation"), where).alias("evidence"))
+    gaps = opened.select(sol.alias("solution_key"), identity.gap_key(F.col("gap"), F.col("affected"), where).alias("key"), F.col("gap").alias("kind"), "cause", F.array("affected").alias("affected_keys"), F.array("evidence").alias("evidence_keys"))
+    evidence = evidence_of(proven).unionByName(evidence_of(opened))
     # Targets that no declaration names: endpoints, channels, contracts, stores, keys.
-    named = proven.select(F.col("target_key").alias("key")).distinct().join(rows.select("key").distinct(), "key", "left_anti")
+    named = proven.select(F.col("target_key").alias("key")).unionByName(proven.select(F.col("source_key").alias("key"))).distinct().join(rows.select("key").distinct(), "key", "left_anti")
     kind = F.element_at(F.split("key", ":"), F.size(F.split(sol, ":")) + 2)
     proper = F.element_at(F.create_map(*[F.lit(x) for k in ENTITY_KINDS for x in (k.lower(), k)]), kind)
     external = named.select("key", proper.alias("kind"), F.element_at(F.split("key", ":"), -1).alias("display_name"), F.lit(None).cast("string").alias("qualified_name"))
-    entities = keep_first(rows.select("key", "kind", "display_name", "qualified_name").unionByName(external), ["key"], ["kind", "display_name"]).select(sol.alias("solution_key"), "key", "kind", "display_name", "qualified_name")
-    occurrences = rows.distinct().select(sol.alias("solution_key"), F.col("key").alias("entity_key"), F.struct(identity.project_key(sol, F.col("project")).alias("key"), F.col("project").alias("path")).alias("project"), own_variant.alias("variant"), "relative_path", span.alias("span"), F.sha2("qualified_name", 256).alias("shape_digest"), F.array().cast("array<string>").alias("evidence_keys"))
+    whole = facts.sparkSession.range(1).select(identity.entity_key(sol, F.lit("Solution"), sol).alias("key"), F.lit("Solution").alias("kind"), F.element_at(F.split(sol, ":"), -1).alias("display_name"), sol.alias("qualified_name"))
+    entities = keep_first(rows.select("key", "kind", "display_name", "qualified_name").unionByName(external).unionByName(whole), ["key"], ["kind", "display_name"]).select(sol.alias("solution_key"), "key", "kind", "display_name", "qualified_name")
+    occurrences = rows.distinct().select(sol.alias("solution_key"), F.col("key").alias("entity_key"), F.struct(identity.project_key(sol, F.col("project")).alias("key"), F.col("project").alias("path")).alias("project"), own_variant.alias("variant"), "relative_path", "span", "shape_digest", F.array().cast("array<string>").alias("evidence_keys"))
     sources = files.select(sol.alias("solution_key"), identity.document_key(sol, file).alias("key"), "relative_path", predicates.is_test_path(file).alias("is_test"), F.sha2("content", 256).alias("content_digest")).distinct()
     distinct = [keep_first(df, ["solution_key", "key"], [F.col(df.columns[2])]) for df in (evidence, relations, gaps)]
     return FactualGraph(entities, occurrences, *distinct, sources)
-
-
-def keep_calls(called: DataFrame) -> DataFrame:
-    """Calls without as many of a name as its file declares methods of it (the declarations come first in a count by name)."""
-    nth = F.row_number().over(Window.partitionBy("project", "relative_path", "name").orderBy("place"))
-    return called.withColumn("nth", nth).where(F.col("nth") > F.coalesce("declared", F.lit(0))).drop("nth", "declared")
-
-
-def type_uses(files: DataFrame, types: DataFrame) -> DataFrame:
-    """project, relative_path, name, target_project: declared types that a file names and doesn't declare."""
-    words = files.select("project", "relative_path", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\b([A-Z]\w+)\b"), F.lit(1)))).alias("name"))
-    single = types.groupBy("name").agg(F.count_distinct("project").alias("n"), F.first("project").alias("target_project")).where("n = 1").select("name", "target_project")
-    return words.join(single, "name").join(types.select("project", "relative_path", "name"), ["project", "relative_path", "name"], "left_anti")

@@ -42,13 +42,26 @@ def common_folder(paths: DataFrame, path: str = "path", by: tuple[str, ...] = ()
     return ends.select(*by, F.array_join(F.slice(one, 1, depth), "/").alias("root"))
 
 
+def open_folders(spark: SparkSession, root: str) -> list[str]:
+    """The folder and those below it, without what lies in excluded ones: these are never listed."""
+    jvm = spark.sparkContext._jvm
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    waiting, found = [start], []
+    while waiting:
+        folder = waiting.pop()
+        found.append(folder.toString())
+        waiting += [s.getPath() for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().lower() not in predicates.EXCLUDED_FOLDERS]
+    return sorted(found)
+
+
 def inventory(spark: SparkSession, root: str, include_tests: bool = False) -> DataFrame:
     """Files below a folder: relative_path, kind, is_test, admitted, and digest and bytes of those admitted.
 
     Refused files are told apart by their path alone, so their content is not read.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    files = spark.read.format("binaryFile").load(open_folders(spark, base))
     own = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     rows = files.withColumn("relative_path", predicates.relative_to(own, F.lit(base))).where(~predicates.has_excluded_folder(F.col("relative_path")))
     path = F.col("relative_path")
@@ -77,6 +90,13 @@ def project_references(projects: DataFrame) -> DataFrame:
     return found.select("project", resolved(F.concat_ws("/", predicates.folder(F.col("project")), "include")).alias("target")).distinct()
 
 
+def reference_identities(references: DataFrame, facts: DataFrame, solution: Column) -> DataFrame:
+    """project, target, its key and its frameworks for every direct reference; is_known tells whether its project file was read."""
+    known = facts.select(F.col("project").alias("target"), "frameworks", F.lit(True).alias("read"))
+    rows = references.select("project", "target").distinct().join(known, "target", "left")
+    return rows.select("project", "target", identity.project_key(solution, F.col("target")).alias("key"), F.coalesce("frameworks", F.array().cast("array<string>")).alias("frameworks"), F.coalesce("read", F.lit(False)).alias("is_known"))
+
+
 def variant_plan(facts: DataFrame) -> DataFrame:
     """(project, tfm, problem): a row per framework; ``missing-tfm`` where none is stated, ``ambiguous-tfm`` where names differ in case alone."""
     rows = facts.select("project", F.explode_outer("frameworks").alias("tfm"))

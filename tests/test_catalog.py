@@ -22,11 +22,6 @@ def test_query_equals_its_sql(spark, con, name):
     compare.assert_same(catalog.QUERIES[name](spark, SF), con, catalog.ORACLE_SQL[name])
 
 
-def test_symbols_come_from_the_text(spark):
-    rows = catalog.QUERIES["extract_symbols"](spark, SF)
-    assert rows.columns == ["conv_id", "turn", "place", "symbol", "literal"]
-    assert rows.count() > 0
-
 
 def test_entry(spark):
     rows = entry.entry(spark).collect()

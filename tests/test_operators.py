@@ -38,6 +38,20 @@ def test_handles_count_in_base36(spark):
         one(spark, identity.local_handle(F.lit(36**6)))
 
 
+def test_handles_are_json_strings(spark):
+    assert one(spark, identity.handle_of_json(identity.handle_json(F.lit("a9")))) == "a9"
+    for bad in ("7", "null", '{"a":1}', '"A"', '""', '"abcdefg"'):
+        with pytest.raises(Exception, match="no handle"):
+            one(spark, identity.handle_of_json(F.lit(bad)))
+
+
+def test_occurrences_follow_their_evidence(spark):
+    span, v, p = (1, 1, 1, 2), ("t", "D", [], "l"), ("k", "k.csproj")
+    rows = spark.createDataFrame([("s", "a", p, v, f"{i}.cs", span, "d", own) for i, own in enumerate([[], ["e1"], ["e2"], ["e1", "e2"], None])] + [("s", "b", p, v, "b.cs", span, "d", ["e1"])], OCCURRENCES)
+    kept = retain.occurrences_kept(rows, spark.createDataFrame([("s", "a")], "solution_key string, key string"), spark.createDataFrame([("s", "e1")], "solution_key string, key string"))
+    assert sorted(r["relative_path"] for r in kept.collect()) == ["0.cs", "1.cs", "3.cs", "4.cs"]
+
+
 def test_variant_key_sorts_symbols(spark):
     df = spark.createDataFrame([(("net8.0", "Debug", ["b", "a", "b"], "linux"),), (("net8.0", "Debug", [], "linux"),)], "v struct<tfm:string,configuration:string,symbols:array<string>,environment:string>")
     assert [r[0] for r in df.select(identity.variant_key(F.col("v"))).collect()] == ["variant:net8.0:Debug:a,b:linux", "variant:net8.0:Debug:-:linux"]

@@ -56,6 +56,17 @@ def test_project_files(spark, root):
     assert short(plan, root, "project", "tfm", "problem") == sorted([("A.Tests/A.Tests.csproj", None, "missing-tfm"), ("A/A.csproj", "net8.0", None), ("A/A.csproj", "net9.0", None), ("B/B.csproj", "net8.0", None)])
 
 
+def test_identities_of_references(spark, root):
+    files = projects.texts(spark, [f"{root}/A/A.csproj", f"{root}/A.Tests/A.Tests.csproj"])
+    got = projects.reference_identities(projects.project_references(files), projects.project_facts(files), F.lit("s"))
+    assert short(got, root, "project", "target", "frameworks", "is_known") == [("A.Tests/A.Tests.csproj", "A/A.csproj", ["net8.0", "net9.0"], True), ("A/A.csproj", "B/B.csproj", [], False)]
+    assert {r["key"] for r in got.collect()} == {f"project:s:{root}/{p}/{p}.csproj" for p in "AB"}
+
+
+def test_excluded_folders_are_not_listed(spark, root):
+    assert [p.removeprefix("file:").removeprefix(root) for p in projects.open_folders(spark, root)] == ["", "/A", "/A.Tests", "/B", "/B/tests"]
+
+
 def test_inventory_admits_and_digests(spark, root):
     import hashlib
 
@@ -84,11 +95,11 @@ def graph(spark, root, tmp_path_factory):
 def test_lexical_extraction(graph):
     tail = lambda k: k.split(":", 4)[4]
     kinds = {(r["kind"], tail(r["key"])) for r in graph.entities.collect()}
-    assert {("Component", "component:A/A.csproj:A/A.csproj"), ("DeploymentUnit", "deploymentunit:A/A.csproj:A/A.csproj"), ("EntryPoint", "entrypoint:A/A.csproj:A/Orders.cs#List"), ("BoundaryOperation", "boundaryoperation:A/A.csproj:A/Orders.cs#List"), ("Symbol", "symbol:B/B.csproj:Reserve")} <= kinds
+    assert {("Component", "component:A/A.csproj:A/A.csproj"), ("DeploymentUnit", "deploymentunit:A/A.csproj:A/A.csproj"), ("EntryPoint", "entrypoint:A/A.csproj:A/Orders.cs#OrdersController.List"), ("BoundaryOperation", "boundaryoperation:A/A.csproj:A/Orders.cs#OrdersController.List"), ("Symbol", "symbol:B/B.csproj:Stock.Reserve")} <= kinds
     assert not any(k == "Component" and "B.csproj" in name for k, name in kinds)
     relations = {(r["category"], tail(r["target_key"])) for r in graph.relations.collect()}
-    assert relations == {("http", "httpendpoint:A/A.csproj:/stock"), ("messaging", "messagechannel:A/A.csproj:OrderPlaced"), ("contract", "contract:A/A.csproj:OrderPlaced"), ("configuration", "configurationkey:A/A.csproj:section:Db"), ("internal-invocation", "symbol:B/B.csproj:Reserve"), ("persistence-object", "persistenceobject:B/B.csproj:Item"), ("project-reference", "project:B/B.csproj:B/B.csproj")}
-    assert sorted((r["kind"], r["cause"]) for r in graph.gaps.collect()) == [("Candidate", "http-without-literal"), ("Unknown", "unresolved-payload")]
+    assert relations == {("http", "httpendpoint:A/A.csproj:/stock"), ("messaging", "messagechannel:A/A.csproj:OrderPlaced"), ("contract", "contract:A/A.csproj:OrderPlaced"), ("configuration", "configurationkey:A/A.csproj:section:Db"), ("internal-invocation", "symbol:B/B.csproj:Stock.Reserve"), ("persistence-object", "persistenceobject:B/B.csproj:Item"), ("project-reference", "project:B/B.csproj:B/B.csproj")}
+    assert sorted((r["kind"], r["cause"]) for r in graph.gaps.collect()) == [("Candidate", "http-destination-unresolved"), ("Unknown", "messaging-payload-unresolved")]
 
 
 def test_extracted_facts_lift(graph):
@@ -96,8 +107,72 @@ def test_extracted_facts_lift(graph):
     assert ("project", "project-reference") in got and ("document", "internal-invocation") in got
 
 
+def test_tables_in_order(graph):
+    entities, occurrences = facts.in_order(graph)
+    assert (keys := [r["key"] for r in entities.collect()]) == sorted(keys)
+    assert (own := [(r["entity_key"], r["project"]["key"], r["relative_path"], tuple(r["span"])) for r in occurrences.collect()]) == sorted(own)
+
+
+def test_counts_of_fragments_add_up(graph):
+    kept = retain.retained(graph)
+    one = retain.retention_counts(graph, kept).first()
+    both = retain.fragment_counts([(graph, kept), (graph, kept)]).first()
+    assert (both["extracted"], both["filtered"]) == (2 * (one["retained"] + one["filtered"]), 2 * one["filtered"])
+
+
 def test_fragments_merge_to_the_same_graph(graph):
     both = facts.merged([graph, graph])
     for name in ("entities", "evidence", "relations", "gaps", "sources"):
         assert getattr(both, name).count() == getattr(graph, name).count()
     assert both.occurrences.count() == 2 * graph.occurrences.count()
+
+
+SHOP = {
+    "Web/Pages.cs": """public class Pages : Controller {
+  private readonly ShopDbContext ctx; private Greeter.GreeterClient greeter;
+  public Pages(ShopDbContext c) { Warm(); }
+  [Route("x")] public void Show() {
+    /* Reserve(9); */ var s = "Reserve(8)"; ctx.Items.Add(1); ctx.SaveChanges();
+    Reserve(
+      2); Twice(); Console.WriteLine(1); Near();
+    GreeterClient g = null; g.SayHello(1); var n = new Item(1);
+  }
+  private void Warm() { }
+  int field = Reserve(3);
+}
+public class Plain { [HttpGet] public void Not() { } }
+""",
+    "Data/Shop.cs": """public class ShopDbContext : DbContext { public DbSet<Item> Items { get; set; } public void Near() => Far(); void Far() { } }
+public class Item { public void Twice() { } }
+public class GreeterClient : Grpc.Core.ClientBase<GreeterClient> { }
+public class Other { public void Twice() { } public static int Reserve(int n) { return n; } }
+""",
+    "Far/Far.cs": "public class Away { public void Reserve(int n) { } public void Far() { } public void Warm() { } }",
+}
+
+
+def test_callers_places_and_open_names(spark):
+    files = spark.createDataFrame([(f"{p.split('/')[0]}/P.csproj", p, t) for p, t in SHOP.items()], "project string, relative_path string, content string")
+    projs = spark.createDataFrame([(f"{p}/P.csproj", None, []) for p in ("Web", "Data", "Far")], "project string, output_type string, frameworks array<string>")
+    refs = spark.createDataFrame([("Web/P.csproj", "Data/P.csproj")], "project string, target string")
+    made = lexical.extract(files, projs, refs, "solution:S:S.slnx")
+    tail = lambda k: k.split(":", 4)[4]
+    rows = {r["key"]: r for r in made.evidence.collect()}
+    got = {(r["category"], tail(r["source_key"]), tail(r["target_key"])) for r in made.relations.collect()}
+    web, data = "symbol:Web/P.csproj:Pages.Show", "Data/P.csproj"
+    assert {x for x in got if x[0] != "structural-type-use"} == {
+        ("internal-invocation", web, f"symbol:{data}:Other.Reserve"), ("internal-invocation", web, f"symbol:{data}:ShopDbContext.Near"), ("internal-invocation", "symbol:Web/P.csproj:Pages.Pages", "symbol:Web/P.csproj:Pages.Warm"),
+        ("persistence-store", web, "persistencestore:Web/P.csproj:DbSet<Item>"), ("persistence-operation", web, "persistencestore:Web/P.csproj:DbSet<Item>#Add"), ("persistence-object", web, "persistenceobject:Web/P.csproj:Item"),
+        ("persistence-store", web, "persistencestore:Web/P.csproj:ShopDbContext"), ("persistence-operation", web, "persistencestore:Web/P.csproj:ShopDbContext#SaveChanges"),
+        ("grpc", web, "grpcservice:Web/P.csproj:GreeterClient"), ("persistence-object", f"symbol:{data}:ShopDbContext", f"persistenceobject:{data}:Item"), ("project-reference", "project:Web/P.csproj:Web/P.csproj", f"project:{data}:{data}"),
+    }
+    assert ("structural-type-use", web, f"symbol:{data}:Item") in got and not any(s.endswith("ShopDbContext") and c == "structural-type-use" for c, s, _ in got)
+    # Twice is declared twice; Far is seen in a project alone that isn't referred to, as a method without an access word isn't found.
+    assert sorted((r["kind"], r["cause"], tail(r["affected_keys"][0])) for r in made.gaps.collect()) == [("Unknown", "unresolved-invocation", f"symbol:{data}:ShopDbContext.Near"), ("Unknown", "unresolved-invocation", web)]
+    spans = {tail(r["target_key"]): rows[r["evidence_keys"][0]] for r in made.relations.where("category = 'internal-invocation'").collect()}
+    found = spans[f"symbol:{data}:Other.Reserve"]
+    assert tuple(found["span"]) == (6, 5, 7, 9)
+    assert found["content_digest"] == __import__("hashlib").sha256(b"Reserve( 2)").hexdigest()
+    kinds = {(r["kind"], tail(r["key"])) for r in made.entities.where("kind in ('EntryPoint', 'Solution')").collect()}
+    assert kinds == {("EntryPoint", "entrypoint:Web/P.csproj:Web/Pages.cs#Pages.Show"), ("Solution", "solution:solution:S:S.slnx")}
+    assert retain.shape_conflicts(made.occurrences).isEmpty()
