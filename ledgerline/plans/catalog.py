@@ -646,6 +646,60 @@ def secret_disposition(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", predicates.disposition(F.col("text")).alias("disposition"))
 
 
+@query(PATHS_SQL + """SELECT page_id, name AS file_name, CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', -1) ELSE '' END AS extension, CASE WHEN contains(name, '.') THEN left(name, strlen(name) - strlen(split_part(name, '.', -1)) - 1) ELSE name END AS stem,
+  left(path, strlen(path) - strlen(name) - 1) AS folder, regexp_matches(lower(path), '(^|/)(\.git|\.vs|bin|obj)(/|$)') AS excluded, lower(name) LIKE '%.cs' OR lower(name) LIKE '%.csproj' OR lower(name) LIKE 'appsettings%.json' AS admitted_with_tests,
+  (lower(name) LIKE '%.cs' OR lower(name) LIKE '%.csproj' OR lower(name) LIKE 'appsettings%.json') AND NOT regexp_matches(lower(path), '(^|/)(test|tests|testes|[^/]*\.(tests|unittests|integrationtests|testes))(/|$)') AS admitted,
+  starts_with(path, 'src/Tests/') AS inside_tests, CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) END AS relative FROM named""")
+def path_facts(spark, sf_dir):
+    path = F.col("path")
+    return _paths(spark, sf_dir).select(
+        "page_id", predicates.file_name(path).alias("file_name"), predicates.extension(path).alias("extension"), predicates.stem(path).alias("stem"), predicates.folder(path).alias("folder"), predicates.has_excluded_folder(path).alias("excluded"),
+        predicates.is_admitted(path, True).alias("admitted_with_tests"), predicates.is_admitted(path).alias("admitted"), predicates.is_inside(path, F.lit("src/Tests/")).alias("inside_tests"), predicates.relative_to(path, F.lit("src")).alias("relative"),
+    )
+
+
+@query(PATHS_SQL + """, linked AS (SELECT page_id, path, 'src/Tests/x/y.md' AS target FROM named),
+steps AS (SELECT *, string_split(left(path, strlen(path) - strlen(regexp_extract(path, '[^/]*$')) - 1), '/') AS up FROM linked),
+same AS (SELECT *, CASE WHEN up[1] = 'src' AND len(up) > 1 AND up[2] = 'Tests' THEN CASE WHEN len(up) > 2 AND up[3] = 'x' THEN 3 ELSE 2 END ELSE 1 END AS n FROM steps)
+SELECT page_id, repeat('../', len(up) - n) || array_to_string(string_split(target, '/')[n + 1:], '/') AS link FROM same""")
+def relative_links(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", predicates.relative_link(F.col("path"), F.lit("src/Tests/x/y.md")).alias("link"))
+
+
+@query("""SELECT p_partkey, 'var a = "[REDACTED]"; // "secret: x"' || chr(10) || 'var b = "' || p_name || '"; /* "token=1" */ var c = "[REDACTED]"; var d = "' || p_type || '";' AS source FROM part""")
+def source_redaction(spark, sf_dir):
+    """String literals that hold a secret, but not comments."""
+    part = read(spark, sf_dir, "part")
+    source = F.concat(F.lit('var a = "password='), "p_name", F.lit('"; // "secret: x"\nvar b = "'), "p_name", F.lit('"; /* "token=1" */ var c = @"api_key: ""'), "p_type", F.lit('"""; var d = "'), "p_type", F.lit('";'))
+    return part.select("p_partkey", predicates.redacted_source(source).alias("source"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(password|secret|token|apikey|api_key)\s*[:=]') OR starts_with(text, '/') OR starts_with(text, '\\') OR contains(text, '..') OR contains(text, '\') THEN '[REDACTED]'
+  ELSE replace(replace(text, '[', '\['), ']', '\]') END AS shown, CASE WHEN contains(text, '"') THEN regexp_extract(text, '"([^"]*)"', 1) END AS literal FROM conversations""")
+def published_texts(spark, sf_dir):
+    text = F.col("text")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", predicates.escaped_markdown(predicates.published(text)).alias("shown"), predicates.first_literal(text).alias("literal"))
+
+
+@query("""SELECT DISTINCT l_linenumber AS a, l_quantity::INT - 25 AS b, l_linenumber + (l_suppkey % 3)::INT - 1 AS c, (l_partkey % 50)::INT AS d,
+  l_quantity::INT - 25 >= 1 AND l_linenumber + l_suppkey % 3 - 1 >= 1 AND l_partkey % 50 >= 1 AND (l_suppkey % 3 = 2 OR (l_suppkey % 3 = 1 AND l_partkey % 50 >= l_quantity::INT - 25)) AS valid FROM lineitem""")
+def span_checks(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("a"), (F.col("l_quantity").cast("int") - 25).alias("b"), (F.col("l_linenumber") + (F.col("l_suppkey") % 3).cast("int") - 1).alias("c"), (F.col("l_partkey") % 50).cast("int").alias("d")).distinct()
+    span = F.struct(*[F.col(x).alias(y) for x, y in zip("abcd", ("start_line", "start_column", "end_line", "end_column"), strict=True)])
+    return lines.select("*", predicates.is_valid_span(span).alias("valid"))
+
+
+FOLDERS = {"indexes": "Index", "evidence": "Evidence", "tables": "Table", "graph": "Graph", "dependencies": "Dependencies", "measures": "Measures", "certification": "Certification", "other": None}
+
+
+@query(f"""WITH folders AS (SELECT page_id, {list(FOLDERS)!r}[(page_id % {len(FOLDERS)} + 1)::INT] AS folder, {['Index', 'Evidence', 'Table', 'Graph', 'Dependencies', 'Measures', 'Certification', '']!r}[(page_id % {len(FOLDERS)} + 1)::INT] AS family FROM pages)
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'Manifest' WHEN page_id % 7 = 0 AND folder <> 'certification' THEN 'Markdown' ELSE nullif(family, '') END AS family FROM folders""")
+def artifact_families(spark, sf_dir):
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("page_id") % len(FOLDERS) + 1).cast("int"))
+    name = F.when(F.col("page_id") % 11 == 0, "manifest.json").when(F.col("page_id") % 7 == 0, "a.md").otherwise("0.json")
+    return read(spark, sf_dir, "pages").select("page_id", predicates.artifact_family(F.concat_ws("/", F.lit("x"), folder, name)).alias("family"))
+
+
 # --- artifacts -------------------------------------------------------------------------------
 
 
@@ -801,3 +855,34 @@ def extract_relations(spark, sf_dir):
     g = lexical.extract(files, projects, spark.createDataFrame([], "project string, target string"), "S")
     gaps = g.gaps.select(F.col("cause").alias("what"), F.element_at("affected_keys", 1).alias("source"), F.lit(None).cast("string").alias("target"))
     return g.relations.select(F.col("category").alias("what"), F.col("source_key").alias("source"), F.col("target_key").alias("target")).unionByName(gaps)
+
+
+# --- packages --------------------------------------------------------------------------------
+
+
+def _model(spark, sf_dir) -> package.Model:
+    """The graph with the dependencies and measures of components and deployment units."""
+    g = graph(spark, sf_dir)
+    two = lift.aggregate(contributions(g).where(F.col("scope").isin("component", "deploymentunit")), keep_members=False).withColumns({"relations": F.array().cast("array<string>"), "evidence": F.array().cast("array<string>")})
+    rows = fixpoint.checkpointed(index.spread_ordinals(two, ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]))
+    found = measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(g.gaps, members_of(g)))
+    return package.Model(g, rows, fixpoint.checkpointed(found))
+
+
+@query(GRAPH_SQL + """, two AS (SELECT * FROM dependencies WHERE scope IN ('component', 'deploymentunit')),
+known AS (SELECT key FROM asked UNION SELECT key FROM sellers UNION SELECT 'entity:all:component:' || n_name FROM nation UNION SELECT 'entity:all:deploymentunit:' || r_name FROM region)
+SELECT 'indexes/outgoing' AS folder, count(DISTINCT source) AS records FROM two UNION ALL SELECT 'indexes/incoming', count(DISTINCT target) FROM two UNION ALL
+SELECT 'indexes/contracts', count(DISTINCT target) FROM two WHERE category IN ('contract', 'messaging') UNION ALL SELECT 'indexes/persistence', count(DISTINCT target) FROM two WHERE category = 'persistence' UNION ALL
+SELECT 'indexes/runtime', count(DISTINCT source) FROM two WHERE category IN ('http', 'grpc', 'messaging') UNION ALL SELECT 'indexes/roots', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) UNION ALL SELECT 'indexes/documents', 0 UNION ALL
+SELECT 'indexes/measures', count(*) FROM (SELECT source FROM two UNION SELECT target FROM two) UNION ALL SELECT 'indexes/evidence', count(*) FROM proven UNION ALL
+SELECT 'tables/entities', (SELECT count(*) FROM known) + (SELECT count(DISTINCT file) FROM asked) UNION ALL SELECT 'tables/variants', count(DISTINCT l_linestatus) FROM proven UNION ALL SELECT 'tables/relations', count(*) FROM proven UNION ALL SELECT 'tables/evidence', count(*) FROM proven UNION ALL
+SELECT 'graph', count(*) FROM proven UNION ALL SELECT 'dependencies', count(*) FROM two UNION ALL SELECT 'measures', count(*) FROM (SELECT source FROM two UNION SELECT target FROM two) UNION ALL SELECT 'evidence', count(*) FROM proven""")
+def package_records(spark, sf_dir):
+    """What the manifest declares: the records of every folder of the package."""
+    return package.declared(package.artifacts(_model(spark, sf_dir))).select("folder", "records")
+
+
+@query("""SELECT * FROM (VALUES ('locate', 'Certified', NULL), ('evidence', 'Certified', NULL), ('reverse-impact', 'Certified', NULL), ('follow-flow', 'NotApplicable', 'absent-terminal:contracts')) v(journey, status, reason)""")
+def certification(spark, sf_dir):
+    """The four journeys: all ends are there but contracts, which the graph has none of."""
+    return package.certify(fixpoint.checkpointed(package.artifacts(_model(spark, sf_dir)))).select("journey", "status", "reason")
