@@ -41,9 +41,9 @@ from ledgerline.llm.common import MIX_1, chunks
 from ledgerline.shipping import shipped
 
 SHORT = 48
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Characters of the runs, four bytes each, and bytes of their ids.
-REMEMBERED_BYTES = 96 << 20
+REMEMBERED_BYTES = 64 << 20
 #: Words merged together, and characters of the texts whose words are.
 BLOCK = 8192
 CHUNK = 2 << 20
