@@ -646,7 +646,7 @@ def secret_disposition(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", predicates.disposition(F.col("text")).alias("disposition"))
 
 
-@query(PATHS_SQL + """SELECT page_id, name AS file_name, CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', -1) ELSE '' END AS extension, CASE WHEN contains(name, '.') THEN left(name, strlen(name) - strlen(split_part(name, '.', -1)) - 1) ELSE name END AS stem,
+@query(PATHS_SQL + r"""SELECT page_id, name AS file_name, CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', -1) ELSE '' END AS extension, CASE WHEN contains(name, '.') THEN left(name, strlen(name) - strlen(split_part(name, '.', -1)) - 1) ELSE name END AS stem,
   left(path, strlen(path) - strlen(name) - 1) AS folder, regexp_matches(lower(path), '(^|/)(\.git|\.vs|bin|obj)(/|$)') AS excluded, lower(name) LIKE '%.cs' OR lower(name) LIKE '%.csproj' OR lower(name) LIKE 'appsettings%.json' AS admitted_with_tests,
   (lower(name) LIKE '%.cs' OR lower(name) LIKE '%.csproj' OR lower(name) LIKE 'appsettings%.json') AND NOT regexp_matches(lower(path), '(^|/)(test|tests|testes|[^/]*\.(tests|unittests|integrationtests|testes))(/|$)') AS admitted,
   starts_with(path, 'src/Tests/') AS inside_tests, CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) END AS relative FROM named""")
