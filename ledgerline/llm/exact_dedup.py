@@ -62,19 +62,22 @@ def duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, hot
     told = groups.select("digest", "salt", F.xxhash64("text").alias("text_hash"), "keep_id", "group_size")
     told = checkpointed(told.withColumn("n_texts", F.count("*").over(per_digest)))
     shared = told.where("n_texts > 1").select("digest", "salt").distinct()
-    single = told.where("n_texts = 1").select("digest", "salt", "keep_id", "group_size")
+    single = told.where("n_texts = 1").select("digest", "salt", "text_hash", "keep_id", "group_size")
     narrow = rows.select("doc_id", "digest", "salt")
     if shared.isEmpty():
         found = narrow.join(single, ["digest", "salt"])
     else:
         found = narrow.join(single, ["digest", "salt"]).unionByName(_by_text(rows, groups, shared))
-    copy = F.row_number().over(Window.partitionBy("digest", "doc_id", "keep_id").orderBy("group_size"))
-    return found.select("doc_id", "digest", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (copy == 1)).alias("kept"))
+    # Rows alike share the id that stays; one of them does, the first as they are written down. It is found by an
+    # aggregation, so that many rows without an id, or with one, meet in no task.
+    found = checkpointed(found.select("doc_id", "digest", "text_hash", "keep_id", "group_size")).withColumn("row", F.monotonically_increasing_id())
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "text_hash", "keep_id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    return found.join(first, "row", "left").select("doc_id", "digest", "keep_id", "group_size", F.coalesce("first", F.lit(False)).alias("kept"))
 
 
 def _by_text(rows: DataFrame, groups: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows of digests that stand for several texts, matched to their groups by the text."""
-    return rows.join(shared, ["digest", "salt"], "left_semi").join(groups.join(shared, ["digest", "salt"], "left_semi"), ["digest", "salt", "text"]).select("doc_id", "digest", "salt", "keep_id", "group_size")
+    return rows.join(shared, ["digest", "salt"], "left_semi").join(groups.join(shared, ["digest", "salt"], "left_semi"), ["digest", "salt", "text"]).select("doc_id", "digest", "salt", F.xxhash64("text").alias("text_hash"), "keep_id", "group_size")
 
 
 def drop_duplicates(docs: DataFrame, hot: int = HOT, salts: int = SALTS) -> DataFrame:

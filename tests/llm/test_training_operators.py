@@ -184,6 +184,14 @@ def test_dedup_compares_texts_whatever_the_digest(docs, rows, digest, hot, salts
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_one_of_equal_rows_stays(spark):
+    rows = [(None, "x")] * 5 + [(7, "y")] * 4 + [(3, "y"), (7, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for digest in (exact_dedup.sha256, lambda c: F.lit("one")):
+        got = exact_dedup.duplicates(df, digest).where("kept").collect()
+        assert Counter((r["doc_id"], r["group_size"]) for r in got) == Counter([(None, 5), (7, 5), (7, 1)])
+
+
 def test_dropping_keeps_columns_of_any_name(spark, docs, rows):
     names = {"own_digest": "?", "kept_id": 1, "kept_digest": "?", "own_id": 2, "row": "?"}
     df = docs.withColumns({k: F.lit(v) for k, v in names.items()})
