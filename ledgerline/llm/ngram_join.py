@@ -17,8 +17,9 @@ and as many as its two sizes ask for beyond what can stand behind the prefixes
    bands of sizes, of which only equal and adjacent ones can hold links. Every two such blocks
    of one member meet in one task, which counts each class's links and returns a spanning
    forest of them. A pair belongs to the least common prefix member of this kind alone
-   (or, without one, to step 3), so it is verified and counted once. No key makes a task
-   larger than two blocks, and no group emits its square.
+   (or, without one, to step 3), so it is verified and counted once; sets are sent only to
+   blocks that have pairs of theirs. No key makes a task larger than two blocks, and no
+   group emits its square.
 5. Connected components by large-star and small-star steps on the links.
 
 Words have hashes of 128 bits, members of 64 and classes of 128 (of which the first half alone
@@ -274,24 +275,37 @@ class _Counter:
         return np.add.reduceat((own[k] == theirs).astype(np.int64), before)
 
 
+def block_pairs(left: tuple[np.ndarray, list[np.ndarray]], right: tuple[np.ndarray, list[np.ndarray]] | None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
+    """Every i of left with the j of right (of left itself, j < i, where right is None) that are the block's to compare.
+
+    Either side: sizes of sets, and the heavy prefix members of each that stand before the
+    block's own. Pairs that share one of those are another block's.
+    """
+    sizes, before = right or left
+    counter, apart = _Counter(before), {}
+    for i, (n, earlier) in enumerate(zip(left[0].tolist(), left[1], strict=True)):
+        if (key := earlier.tobytes()) not in apart:
+            apart[key] = counter.shared(earlier) == 0
+        theirs = sizes if right else sizes[:i]
+        some = np.flatnonzero(apart[key][: len(theirs)] & (100 * theirs >= percent * n) & (100 * n >= percent * theirs))
+        if len(some):
+            yield i, some
+
+
 def block_links(left: tuple[list[np.ndarray], list[np.ndarray]], right: tuple[list[np.ndarray], list[np.ndarray]] | None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
     """Every i of left with the j of right (of left itself, j < i, where right is None) that it is linked to.
 
-    Either side: sorted sets, and the heavy prefix members of each that stand before the block's
-    own. Pairs that share one of those are another block's.
+    Either side: sorted sets, and their earlier heavy members as for :func:`block_pairs`.
     """
-    others = right or left
-    members, before = _Counter(others[0]), _Counter(others[1])
-    apart: dict[bytes, np.ndarray] = {}
-    for i, (own, earlier) in enumerate(zip(*left, strict=True)):
-        if (key := earlier.tobytes()) not in apart:
-            apart[key] = before.shared(earlier) == 0
-        sizes = members.sizes if right else members.sizes[:i]
-        some = np.flatnonzero(apart[key][: len(sizes)] & (100 * sizes >= percent * len(own)) & (100 * len(own) >= percent * sizes))
-        if not len(some):
-            continue
+
+    def sized(side):
+        return side and (np.fromiter(map(len, side[0]), dtype=np.int64, count=len(side[0])), side[1])
+
+    members = _Counter((right or left)[0])
+    for i, some in block_pairs(sized(left), sized(right), percent):
+        own = left[0][i]
         shared = members.shared_with(own, some) if 8 * len(some) < len(members.sizes) else members.shared(own)[some]
-        linked = some[100 * shared >= percent * (len(own) + sizes[some] - shared)]
+        linked = some[100 * shared >= percent * (len(own) + members.sizes[some] - shared)]
         if len(linked):
             yield i, linked
 
@@ -379,15 +393,30 @@ def links(docs: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int
     # Pairs with a common heavy member are that member's.
     verified = checkpointed(verified.where(~F.arrays_overlap("heavy_x", "heavy_y")).select("a_x", "b_x", "a_y", "b_y", "rows_x", "rows_y"))
 
+    keys = ["member", "band_x", "block_x", "band_y", "block_y"]
     names = ["a_x", "b_x", "a_y", "b_y", "n_links"]
 
-    def compare(table: pa.Table) -> pa.Table:
+    def sides(table: pa.Table) -> tuple[np.ndarray, int, bool]:
+        """The rows with the left ones first, how many these are, and whether both sides are one block."""
         is_left = table.column("is_left").to_numpy(zero_copy_only=False)
-        order = np.concatenate((np.flatnonzero(is_left), np.flatnonzero(~is_left)))
+        return np.concatenate((np.flatnonzero(is_left), np.flatnonzero(~is_left))), int(is_left.sum()), all(table.column(f"{c}_x")[0] == table.column(f"{c}_y")[0] for c in ("band", "block"))
+
+    def lists(table: pa.Table, column: str, order: np.ndarray) -> list[np.ndarray]:
+        return [np.sort(table.column(column)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in order.tolist()]
+
+    def asked(table: pa.Table) -> pa.Table:
+        """The rows that have a pair to compare there."""
+        order, n, one_block = sides(table)
+        sizes, before = table.column("n").to_numpy()[order].astype(np.int64), lists(table, "before", order)
+        wanted = np.zeros(len(order), dtype=bool)
+        for i, some in block_pairs((sizes[:n], before[:n]), None if one_block else (sizes[n:], before[n:]), percent):
+            wanted[i] = wanted[some if one_block else some + n] = True
+        return table.take(pa.array(np.sort(order[wanted])))
+
+    def compare(table: pa.Table) -> pa.Table:
+        order, n, one_block = sides(table)
         a, b, rows = (table.column(c).to_numpy()[order] for c in ("a", "b", "rows"))
-        sets, before = ([np.sort(table.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in order.tolist()] for c in ("members", "before"))
-        n = int(is_left.sum())
-        one_block = all(table.column(f"{c}_x")[0] == table.column(f"{c}_y")[0] for c in ("band", "block"))
+        sets, before = (lists(table, c, order) for c in ("members", "before"))
         found = block_links((sets[:n], before[:n]), None if one_block else (sets[n:], before[n:]), percent)
         forest, counts = forest_and_counts(found, rows, 0 if one_block else n)
         x, y = (np.array([p[i] for p in forest], dtype=np.int64) for i in range(2))
@@ -396,8 +425,11 @@ def links(docs: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int
         parts = [pa.array(np.concatenate((edges[0], a[some])), pa.int64()), pa.array(np.concatenate((edges[1], b[some])), pa.int64()), *[pa.array([*e.tolist(), *[None] * len(some)], pa.int64()) for e in edges[2:]], pa.array([*[None] * len(x), *counts[some].tolist()], pa.int64())]
         return pa.table(parts, names)
 
-    tasks = _tasks(heavy, percent).join(members, "a").where(F.size("members") == F.col("n")).withColumn("before", F.expr("filter(heavy, h -> h < member)"))
-    keys = ["member", "band_x", "block_x", "band_y", "block_y"]
+    # Near copies share most of their heavy members, and nearly all of their pairs are the first few's. So it is told
+    # first, without the sets, which classes a block has pairs of, and their sets alone are sent there.
+    tasks = _tasks(heavy, percent).join(theirs, "a").withColumn("before", F.expr("filter(heavy, h -> h < member)")).select(*keys, "is_left", "a", "n", "before")
+    tasks = checkpointed(tasks.groupBy(*keys).applyInArrow(asked, tasks.schema))
+    tasks = tasks.join(members, "a").where(F.size("members") == F.col("n"))
     dense = checkpointed(tasks.select(*keys, "is_left", "a", "b", "rows", "members", "before").groupBy(*keys).applyInArrow(compare, ", ".join(f"{c} long" for c in names)))
     pairs = verified.select(*names[:4]).unionByName(dense.where("n_links is null").select(*names[:4]))
     ends = [verified.select(F.col(f"a_{k}").alias("a"), F.col(f"b_{k}").alias("b"), F.col(f"rows_{other}").alias("n_links")) for k, other in ("xy", "yx")]
