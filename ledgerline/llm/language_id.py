@@ -43,7 +43,7 @@ MOST_LANGUAGES = 400
 CLUSTERS = 3
 ROUNDS = 10
 #: Least accepted cosine: this share of that quantile of a language's training texts.
-REJECT_UNDER, REJECT_QUANTILE = 0.4, 0.05
+REJECT_UNDER, REJECT_QUANTILE = 0.35, 0.05
 UNDETERMINED = "und"
 
 

@@ -667,7 +667,7 @@ def test_predictions_equal_plain_ones(spark):
                 groups[max(range(len(mine)), key=lambda i: float(v @ mine[i]))].append(v)
             mine = [(m := sum(groups[i]) / len(groups[i])) / np.linalg.norm(m) if groups[i] else mine[i] for i in range(len(mine))]
         centres += [(lang, c) for c in mine]
-        cuts[lang] = 0.4 * float(np.quantile([max(float(v @ c) for c in mine) for v in own], 0.05))
+        cuts[lang] = 0.35 * float(np.quantile([max(float(v @ c) for c in mine) for v in own], 0.05))
     got = {r["doc_id"]: r for r in queries.op10_language_id(spark, SF).collect()}
     for d, _, _ in rows:
         if counts[d] is None:
