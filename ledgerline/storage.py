@@ -22,9 +22,8 @@ def scratch_folder(spark: SparkSession) -> str:
         return own.get().rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir names no folder, and this is a cluster")
-    made = tempfile.mkdtemp(prefix="ledgerline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
