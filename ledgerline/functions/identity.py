@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,11 @@ def public_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), base32hex80(F.sha2(key, 256)))
 
 
+def collisions(rows: DataFrame, public: str, key: str) -> DataFrame:
+    """Public ids that stand for several keys, with the least two of them."""
+    return rows.select(public, key).distinct().groupBy(public).agg(F.count("*").alias("keys"), F.slice(F.array_sort(F.collect_set(key)), 1, 2).alias("examples")).where("keys > 1")
+
+
 def handle_json(handle: Column) -> Column:
     """A handle as JSON: a string and nothing else."""
     return F.concat(F.lit('"'), handle, F.lit('"'))

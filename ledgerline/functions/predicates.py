@@ -100,6 +100,14 @@ def disposition(text: Column, reject_escapes: bool = True) -> Column:
     return out.otherwise("retained")
 
 
+def safety(text: Column, reject_escapes: bool = True) -> Column:
+    """status (Retained, Redacted, Rejected), reason and value of a text to be published; a rejected one has no value."""
+    reason = disposition(text, reject_escapes)
+    status = F.when(reason == "retained", "Retained").when(reason == "path-escape", "Rejected").otherwise("Redacted")
+    value = F.when(reason == "retained", text).when(reason != "path-escape", F.lit(REDACTED))
+    return F.struct(status.alias("status"), reason.alias("reason"), value.alias("value"))
+
+
 def published(text: Column) -> Column:
     return F.when(disposition(text) == "retained", text).otherwise(F.lit(REDACTED))
 

@@ -640,10 +640,11 @@ def safe_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("page_id", predicates.is_safe_relative(F.col("path")).alias("is_safe"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(password|secret|token|apikey|api_key)\\s*[:=]') THEN 'secret' WHEN starts_with(text, '/') OR starts_with(text, '\\\\') THEN 'absolute-path'
- WHEN contains(text, '..') OR contains(text, '\\') THEN 'path-escape' ELSE 'retained' END AS disposition FROM documents""")
+@query("""SELECT *, CASE disposition WHEN 'retained' THEN 'Retained' WHEN 'path-escape' THEN 'Rejected' ELSE 'Redacted' END AS status FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(password|secret|token|apikey|api_key)\\s*[:=]') THEN 'secret' WHEN starts_with(text, '/') OR starts_with(text, '\\\\') THEN 'absolute-path'
+ WHEN contains(text, '..') OR contains(text, '\\') THEN 'path-escape' ELSE 'retained' END AS disposition FROM documents)""")
 def secret_disposition(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", predicates.disposition(F.col("text")).alias("disposition"))
+    told = read(spark, sf_dir, "documents").select("doc_id", predicates.safety(F.col("text")).alias("s"))
+    return told.select("doc_id", F.col("s.reason").alias("disposition"), F.col("s.status").alias("status"))
 
 
 @query(PATHS_SQL + r"""SELECT page_id, name AS file_name, CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', -1) ELSE '' END AS extension, CASE WHEN contains(name, '.') THEN left(name, strlen(name) - strlen(split_part(name, '.', -1)) - 1) ELSE name END AS stem,

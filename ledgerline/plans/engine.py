@@ -41,7 +41,11 @@ def analyze(spark: SparkSession, folders: list[str], output: str, include_tests:
     if len(set(folders)) < len(folders):
         return Result(None, (Diagnostic("duplicate-solution", "request", "a fact folder was given twice"),))
     try:
-        graph = facts.merged([facts.load(spark, f) for f in folders]) if len(folders) > 1 else facts.load(spark, folders[0])
+        graphs = [facts.load(spark, f) for f in folders]
+        for folder, graph in zip(folders, graphs, strict=True):
+            if len(graph.entities.select("solution_key").distinct().limit(2).collect()) != 1:
+                return Result(None, (Diagnostic("not-one-solution", "request", "a fact folder holds exactly one solution", folder),))
+        graph = facts.merged(graphs) if len(graphs) > 1 else graphs[0]
         return Result(package.publish(spark, package.build_model(graph, include_tests), output, folders))
     except InvalidRelation as e:
         return Result(None, (Diagnostic("invalid-confirmed-relation", "retention", str(e)),))

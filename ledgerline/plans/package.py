@@ -68,9 +68,14 @@ def solution_id(key: Column) -> Column:
 # --- artifacts ---
 
 
+def canonical(value: Column, indented: bool = False) -> Column:
+    """JSON with the fields in their order and nulls written; on one line, or indented with line feeds."""
+    return F.to_json(value, {"ignoreNullFields": "false"} | ({"pretty": "true"} if indented else {}))
+
+
 def _records(df: DataFrame, family: str, folder: str, key: Column, value: Column, target: int = index.SHARD_BYTES) -> DataFrame:
     """Rows (solution_key, folder, family, key, json) that are packed into shards of ``target`` bytes."""
-    return df.select("solution_key", F.lit(folder).alias("folder"), F.lit(family).alias("family"), key.alias("key"), F.to_json(value, {"ignoreNullFields": "false"}).alias("json"), F.lit(target).alias("target"))
+    return df.select("solution_key", F.lit(folder).alias("folder"), F.lit(family).alias("family"), key.alias("key"), canonical(value).alias("json"), F.lit(target).alias("target"))
 
 
 def _shards(records: DataFrame) -> DataFrame:
@@ -195,7 +200,7 @@ def manifests(graph: FactualGraph, shards: DataFrame) -> DataFrame:
     listed = folders.groupBy("solution_key").agg(F.array_sort(F.collect_list(F.struct("folder", "shards", "records"))).alias("folders"))
     sid = solution_id(F.col("solution_key"))
     entries = F.array(*[F.struct(F.lit(j).alias("journey"), F.lit(f"indexes/{i}").alias("entry")) for j, i in ENTRY_INDEX.items()])
-    payload = F.to_json(F.struct(sid.alias("id"), F.col("solution_key").alias("key"), "folders", entries.alias("journeys")))
+    payload = canonical(F.struct(sid.alias("id"), F.col("solution_key").alias("key"), "folders", entries.alias("journeys")), indented=True)
     return listed.select("solution_key", F.concat(F.lit("solutions/"), sid, F.lit("/manifest.json")).alias("path"), F.lit("Manifest").alias("family"), payload.alias("payload"), F.lit(1).cast("long").alias("records"))
 
 

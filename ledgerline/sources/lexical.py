@@ -38,6 +38,8 @@ CONTROLLERS = ("ControllerBase", "Controller")
 GRPC_BASE = "ClientBase"
 CONTEXT, SET = "DbContext", "DbSet<"
 EXECUTABLES = ("Exe", "WinExe")
+#: Stands for a file without a path.
+UNKNOWN = "unknown.cs"
 
 _COMMENT_OR_STRING = re.compile(r'//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.DOTALL)
 _TYPE = re.compile(r"\b(?:class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+([A-Za-z_]\w*)(?:<[^>{]*>)?(?:\s*\([^)]*\))?(?:\s*:\s*([^{;]+))?")
@@ -200,7 +202,7 @@ def extract(files: DataFrame, facts: DataFrame, references: DataFrame, solution:
         """An entity and where it occurs; names within a project are qualified by it."""
         return df.select(identity.entity_key(sol, F.lit(kind), name, F.col("project")).alias("key"), F.lit(kind).alias("kind"), shown.alias("display_name"), name.alias("qualified_name"), "project", path.alias("relative_path"), span.alias("span"), F.sha2(name if shape is None else shape, 256).alias("shape_digest"))
 
-    file, span, text = F.col("relative_path"), F.col("span"), F.col("text")
+    file, span, text = F.coalesce("relative_path", F.lit(UNKNOWN)).alias("relative_path"), F.col("span"), F.col("text")
     project_name = predicates.stem(F.col("project"))
     placed = F.concat_ws("#", file, full)
     rows = reduce(DataFrame.unionByName, [

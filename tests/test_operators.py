@@ -38,6 +38,17 @@ def test_handles_count_in_base36(spark):
         one(spark, identity.local_handle(F.lit(36**6)))
 
 
+def test_collisions_of_public_ids(spark):
+    df = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "a"), ("y", "c"), ("y", "c")], "id string, key string")
+    assert [tuple(r) for r in identity.collisions(df, "id", "key").collect()] == [("x", 2, ["a", "b"])]
+
+
+def test_safety_of_texts(spark):
+    cases = {"token: x": ("Redacted", "secret", "[REDACTED]"), "/etc": ("Redacted", "absolute-path", "[REDACTED]"), "a/../b": ("Rejected", "path-escape", None), "plain": ("Retained", "retained", "plain")}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [tuple(r[0]) for r in df.select(predicates.safety(F.col("t"))).collect()] == list(cases.values())
+
+
 def test_handles_are_json_strings(spark):
     assert one(spark, identity.handle_of_json(identity.handle_json(F.lit("a9")))) == "a9"
     for bad in ("7", "null", '{"a":1}', '"A"', '""', '"abcdefg"'):

@@ -139,22 +139,33 @@ def test_totals_and_digest(spark):
     assert package.digest_rows(rows, 6).first()[0] == sha(runs)
 
 
-def test_publishing_again_keeps_the_generation(spark, published):
+def test_publishing_again_keeps_the_generation(spark, published, monkeypatch):
     model, folder, digest = published
     before = sorted(p.name for p in (folder / "generations" / digest / "artifacts").iterdir())
-    assert package.publish(spark, model, str(folder), ["s"]) == digest
-    assert sorted(p.name for p in (folder / "generations" / digest / "artifacts").iterdir()) == before
-    assert package.read(spark, str(folder / "generations" / digest)).count() == package.read(spark, str(folder)).count()
-
-
-def test_a_stale_lock_is_taken_over(spark, published, monkeypatch):
-    model, folder, digest = published
+    # The lock of a writer that was killed is taken over.
     lock = folder / ".lock"
     lock.write_text("{}")
-    monkeypatch.setattr(package, "STALE_LOCK", 0)
     monkeypatch.setattr(package._locked, "__defaults__", (0,))
     assert package.publish(spark, model, str(folder), ["s"]) == digest
     assert not lock.exists()
+    assert sorted(p.name for p in (folder / "generations" / digest / "artifacts").iterdir()) == before
+    assert package.read(spark, str(folder / "generations" / digest)).count() == package.read(spark, str(folder)).count()
+
+
+def test_names_of_fields_are_snake_case(spark, published):
+    _, folder, _ = published
+    for r in package.read(spark, str(folder)).where("path like '%.json'").collect():
+        waiting = [json.loads(r["payload"])]
+        while waiting:
+            x = waiting.pop()
+            waiting += x if isinstance(x, list) else x.values() if isinstance(x, dict) else []
+            assert not isinstance(x, dict) or all(re.fullmatch("[a-z][a-z0-9_]*", k) for k in x)
+        assert "\r" not in r["payload"] and (r["family"] != "Manifest" or "\n  " in r["payload"])
+
+
+def test_a_folder_holds_one_solution(spark, graph, tmp_path):  # noqa: F811
+    facts.save(replace(graph, entities=graph.entities.unionByName(graph.entities.withColumn("solution_key", F.lit("other")))), str(tmp_path / "facts"))
+    assert [d.code for d in engine.analyze(spark, [str(tmp_path / "facts")], str(tmp_path / "out")).diagnostics] == ["not-one-solution"]
 
 
 def test_links_go_up_and_down(spark):
