@@ -171,7 +171,7 @@ def artifacts(model: Model) -> DataFrame:
         _records(encoded_dependencies(model, words.where("table = 'entities'").drop("table")), "Dependencies", "dependencies", F.format_string("%012d", "ordinal"), F.struct("ordinal", "scope", "source", "target", "category", "nature", "occurrence_count", "variants", "relations", "evidence")),
         _records(m, "Measures", "measures", F.concat_ws("\x01", "scope", "entity"), F.struct("scope", "entity", "fan_in", "fan_out", "cross_component_edges", "cycles", "reverse_impact", "gaps_candidate", "gaps_unknown", "gaps_openfrontier")),
         _records(g.evidence, "Evidence", "evidence", key, F.struct("key", "document_key", "variant", "span", "content_digest"), index.EVIDENCE_SHARD_BYTES),
-        *[_records(navigation.where(F.col("index") == i), "Index", f"indexes/{i}", key, F.struct("key", "ordinals", "categories")) for i in INDEXES],
+        *[_records(navigation.where(F.col("index") == i), "Index", f"indexes/{i}", key, F.struct("key", "ordinals", "categories"), index.EVIDENCE_SHARD_BYTES) for i in INDEXES],  # a journey reads one with what it leads to
     ]
     shards = fixpoint.checkpointed(_shards(reduce(DataFrame.unionByName, records)))
     return described(shards.unionByName(manifests(g, shards)).unionByName(pages(model)).unionByName(summaries(model)))
