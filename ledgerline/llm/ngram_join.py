@@ -10,15 +10,16 @@ and as many as its two sizes ask for beyond what can stand behind the prefixes
 
 1. One pass makes each text's set digest and the sketch; equal sets are one class from here on.
 2. A second pass writes the prefixes; members that one class alone has are dropped.
-3. Members of at most ``light`` classes give pairs of compatible sizes, counted per pair and
-   verified by set intersection.
+3. Members of at most ``light`` classes give pairs of compatible sizes, counted per pair; those
+   whose signatures are near enough (:func:`difference`) are verified by set intersection.
 4. Members of more classes (large groups of near copies) give no pairs: their classes are
    dealt into blocks of at most ``BLOCK_MEMBERS`` set members and ``BLOCK_CLASSES`` classes, by
    bands of sizes, of which only equal and adjacent ones can hold links. Every two such blocks
-   of one member meet in one task, which counts each class's links and returns a spanning
+   of one member meet in one task, which tells by sizes and signatures which classes may have links,
+   and in one with these classes' sets, which counts each class's links and returns a spanning
    forest of them. A pair belongs to the least common prefix member of this kind alone
-   (or, without one, to step 3), so it is verified and counted once; sets are sent only to
-   blocks that have pairs of theirs. No key makes a task larger than two blocks, and no
+   (or, without one, to step 3), so it is verified and counted once; sets are fetched only for
+   classes that have such pairs. No key makes a task larger than two blocks, and no
    group emits its square.
 5. Connected components by large-star and small-star steps on the links.
 
@@ -49,6 +50,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Bits of the sketch for small and for large tables: 2**23 cells of 5 bytes are broadcast at most.
 SKETCH_BITS = (20, 23)
+#: Least number of a signature's counts; larger sets have one for about every 4 to 8 members.
+SIGNATURE = 64
 MOST_MATCHES = 8
 #: Expected candidates of a member that the sketch knows nothing of.
 PRIOR = 0.05
@@ -124,6 +127,29 @@ def set_digest(members: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def signature(members: np.ndarray) -> np.ndarray:
+    """How many members end in each number, modulo 256."""
+    size = max(SIGNATURE, 1 << (len(members) // 8).bit_length())
+    return np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8)
+
+
+def _folded(signatures: np.ndarray, size: int) -> np.ndarray:
+    """The shorter signatures that the same sets would have, of those along the last axis."""
+    return signatures.reshape(*signatures.shape[:-1], -1, size).sum(axis=-2, dtype=np.uint8)
+
+
+def difference(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of how many members at least a set differs from each of some others, by their signatures (rows of one length)."""
+    size = min(len(own), others.shape[1])
+    apart = _folded(others, size) - _folded(own, size)
+    return np.minimum(apart, -apart).sum(axis=1, dtype=np.int64)
+
+
+def most_difference(n: int, others: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Of how many members at most a set of n differs from linked ones of the given sizes."""
+    return n + others - 2 * -(-percent * (n + others) // (100 + percent))
+
+
 def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
     """Blocks of cells that are not all zero, compressed."""
     blocks = counts.reshape(-1, min(1 << _CELLS, len(counts)))
@@ -148,10 +174,10 @@ def _merged(packed: DataFrame, kind: str, join: Callable) -> Iterator[tuple[int,
 
 
 def _sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, a and b of every row, and the counts of the sketch's cells."""
-    names = ["doc_id", "n", "a", "b", "block", "cells"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (docs.count() // 32).bit_length()))
+    """doc_id, n, a, b and signature of every row, and the counts of the sketch's cells."""
+    names = ["doc_id", "n", "a", "b", "signature", "block", "cells"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (2 * docs.count()).bit_length()))
 
     def run(batches):
         counts = np.zeros(1 << bits, dtype=np.int64)
@@ -159,18 +185,19 @@ def _sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
             for start, texts in chunks(x.as_py() or "" for x in batch.column(1)):
                 sets = shingle_sets(texts, shingle)
                 found = np.concatenate(sets)
-                counts += np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
+                cells, times = np.unique(found >> np.uint64(64 - bits), return_counts=True)
+                counts[cells.astype(np.int64)] += times
                 digests = [set_digest(x) for x in sets]
-                nothing = [pa.nulls(len(texts), k) for k in kinds[4:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([len(x) for x in sets], kinds[1]), *[pa.array([d[i] for d in digests], pa.int64()) for i in range(2)], *nothing], names)
+                nothing = [pa.nulls(len(texts), k) for k in kinds[5:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([len(x) for x in sets], kinds[1]), *[pa.array([d[i] for d in digests], pa.int64()) for i in range(2)], pa.array([signature(x).tobytes() for x in sets], pa.binary()), *nothing], names)
         packed = _packed(counts)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(packed), k) for k in kinds[:4]], *[pa.array([x[i] for x in packed], kinds[4 + i]) for i in range(2)]], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(packed), k) for k in kinds[:5]], *[pa.array([x[i] for x in packed], kinds[5 + i]) for i in range(2)]], names)
 
-    both = checkpointed(shipped(docs).mapInArrow(run, "doc_id long, n int, a long, b long, block int, cells binary"))
+    both = checkpointed(shipped(docs).mapInArrow(run, "doc_id long, n int, a long, b long, signature binary, block int, cells binary"))
     counts = np.zeros((-(-(1 << bits) // (1 << _CELLS)), min(1 << _CELLS, 1 << bits)), dtype=np.int64)
     for block, own in _merged(both.where("block is not null").select("block", "cells"), "<i8", np.add):
         counts[block] = own
-    return both.where("block is null").select("doc_id", "n", "a", "b"), counts.reshape(-1)
+    return both.where("block is null").select("doc_id", "n", "a", "b", "signature"), counts.reshape(-1)
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int) -> DataFrame:
@@ -335,6 +362,42 @@ def forest_and_counts(links: Iterator[tuple[int, np.ndarray]], rows: np.ndarray,
     return forest, counts
 
 
+def _near(signatures: list[np.ndarray], sizes: np.ndarray, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of i and some others' numbers that gives those of them whose signatures don't rule a link out."""
+    lengths = np.fromiter(map(len, signatures), dtype=np.int64, count=len(signatures))
+    at, rows = np.zeros(len(lengths), dtype=np.int64), {}
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == length)
+        at[own], rows[length] = np.arange(len(own)), np.array([signatures[k] for k in own])
+
+    def near(i: int, some: np.ndarray) -> np.ndarray:
+        most, kept = most_difference(int(sizes[i]), sizes[some], percent), np.zeros(len(some), dtype=bool)
+        for length, own in rows.items():
+            mine = np.flatnonzero(lengths[some] == length)
+            if len(mine):
+                kept[mine] = difference(signatures[i], own[at[some[mine]]]) <= most[mine]
+        return some[kept]
+
+    return near
+
+
+def _near_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a_x, a_y, n_x, n_y) whose signatures don't rule a link out."""
+
+    def run(batches):
+        for batch in batches:
+            n_x, n_y = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            x, y = ([np.frombuffer(s.as_py(), np.uint8) for s in batch.column(k)] for k in (4, 5))
+            most = most_difference(n_x, n_y, percent)
+            kept = np.fromiter((difference(s, t[None, :])[0] <= m for s, t, m in zip(x, y, most, strict=True)), dtype=bool, count=len(x))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(kept)) for k in (0, 1)], ["a_x", "a_y"])
+
+    # Sets that share the first half of their key may have several signatures; a pair stays if any of them lets it.
+    for k in "xy":
+        pairs = pairs.join(signatures.select(F.col("a").alias(f"a_{k}"), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"signature_{k}")), [f"a_{k}", f"n_{k}"])
+    return pairs.select("a_x", "a_y", "n_x", "n_y", "signature_x", "signature_y").mapInArrow(run, "a_x long, a_y long").distinct()
+
+
 def _tasks(heavy: DataFrame, percent: int) -> DataFrame:
     """member, a, n, is_left and task (two blocks) of each class and each two blocks that may hold links of it.
 
@@ -365,10 +428,45 @@ def _tasks(heavy: DataFrame, percent: int) -> DataFrame:
     return rows.select("member", "a", "n", F.explode(F.when(F.col("fits"), alone).otherwise(F.concat(same, higher, lower))).alias("task")).select("member", "a", "n", "task.*")
 
 
-def links(docs: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
+_KEYS = ("member", "band_x", "block_x", "band_y", "block_y")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, int, bool]:
+    """The rows with the left ones first, how many these are, and whether both sides are one block."""
+    is_left = table.column("is_left").to_numpy(zero_copy_only=False)
+    return np.concatenate((np.flatnonzero(is_left), np.flatnonzero(~is_left))), int(is_left.sum()), all(table.column(f"{c}_x")[0] == table.column(f"{c}_y")[0] for c in ("band", "block"))
+
+
+def _lists(table: pa.Table, column: str, order: np.ndarray) -> list[np.ndarray]:
+    return [np.sort(table.column(column)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in order.tolist()]
+
+
+def _asked(heavy: DataFrame, theirs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The rows of :func:`_tasks`, with the earlier heavy members, that have a pair there that may be linked.
+
+    Near copies share most of their heavy members, and nearly all of their pairs are the first few's. So it is told
+    first, without the sets, which classes a block has pairs of, and their sets alone are sent there.
+    """
+
+    def asked(table: pa.Table) -> pa.Table:
+        order, n, one_block = _sides(table)
+        sizes, before = table.column("n").to_numpy()[order].astype(np.int64), _lists(table, "before", order)
+        near = _near([np.frombuffer(table.column("signature")[i].as_py(), np.uint8) for i in order.tolist()], sizes, percent)
+        wanted = np.zeros(len(order), dtype=bool)
+        for i, some in block_pairs((sizes[:n], before[:n]), None if one_block else (sizes[n:], before[n:]), percent):
+            some = near(i, some if one_block else some + n)
+            wanted[i] |= len(some) > 0
+            wanted[some] = True
+        return table.take(pa.array(np.sort(order[wanted]))).drop_columns(["signature"])
+
+    tasks = _tasks(heavy, percent).join(theirs, "a").withColumn("before", F.expr("filter(heavy, h -> h < member)")).select(*_KEYS, "is_left", "a", "n", "before")
+    return tasks.join(signatures, ["a", "n"]).select(*tasks.columns, "signature").groupBy(*_KEYS).applyInArrow(asked, tasks.schema).distinct()
+
+
+def links(docs: DataFrame, sets: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
     """Links (x_a, x_b, y_a, y_b) that connect all linked classes, and (a, b, n_links) of every linked class.
 
-    classes: a, b and rows. n_links counts the rows of the other classes that a class is linked to.
+    sets: a, n and signature of every row; classes: a, b and rows. n_links counts the rows of the other classes that a class is linked to.
     """
     postings = stored(_postings(docs, counts, shingle, percent))
     shared = postings.groupBy("member").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least != most").select("member")
@@ -378,11 +476,18 @@ def links(docs: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int
     one, two = (rare.select("member", *[F.col(c).alias(f"{c}_{k}") for c in ("a", "n", "matches")]) for k in "xy")
     compatible = (F.col("a_x") < F.col("a_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     pairs = one.join(two, "member").where(compatible).groupBy("a_x", "a_y", "n_x", "n_y", "matches_x", "matches_y").agg(F.count("*").alias("both"))
-    pairs = checkpointed(pairs.where(F.col("both") >= needed_matches(percent)).select("a_x", "a_y").distinct())
+    pairs = checkpointed(pairs.where(F.col("both") >= needed_matches(percent)).select("a_x", "a_y", "n_x", "n_y").distinct())
     heavy = checkpointed(kept.join(sizes.where(F.col("classes") > light), "member", "left_semi").select("member", "a", "n").distinct())
-    wanted = checkpointed(pairs.select(F.col("a_x").alias("a")).unionByName(pairs.select(F.col("a_y").alias("a"))).unionByName(heavy.select("a")).distinct())
-    # All by the one key a, so that the members are shuffled once; the second half of a class's key is compared beside it.
+    # Most candidates of a large table are chance ones, and more so the larger it is. Signatures tell them apart
+    # at a few hundredths of the bytes of their sets, so that what is fetched and sent grows with the links.
+    met = pairs.select(F.col("a_x").alias("a")).unionByName(pairs.select(F.col("a_y").alias("a"))).unionByName(heavy.select("a")).distinct()
+    of_a = sets.groupBy("a").agg(F.collect_set(F.struct("n", "signature")).alias("own"))
+    signatures = checkpointed(of_a.join(met, "a", "left_semi").select("a", F.explode("own").alias("own")).select("a", "own.*"))
+    pairs = checkpointed(_near_pairs(pairs, signatures, percent))
     theirs = heavy.groupBy("a").agg(F.sort_array(F.collect_set("member")).alias("heavy"))
+    tasks = checkpointed(_asked(heavy, theirs, signatures, percent))
+    wanted = checkpointed(pairs.select(F.col("a_x").alias("a")).unionByName(pairs.select(F.col("a_y").alias("a"))).unionByName(tasks.select("a")).distinct())
+    # All by the one key a, so that the members are shuffled once; the second half of a class's key is compared beside it.
     about = classes.select("a", F.col("b").alias("own_b"), "rows").join(wanted, "a", "left_semi").join(theirs, "a", "left")
     found = _members(docs, wanted, shingle).repartition("a").dropDuplicates(["a", "b"]).join(about, "a").where(F.col("b").bitwiseXOR(F.col("own_b")) == 0)
     members = checkpointed(found.select("a", "b", "members", "rows", F.coalesce("heavy", F.array().cast("array<long>")).alias("heavy")))
@@ -393,30 +498,12 @@ def links(docs: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int
     # Pairs with a common heavy member are that member's.
     verified = checkpointed(verified.where(~F.arrays_overlap("heavy_x", "heavy_y")).select("a_x", "b_x", "a_y", "b_y", "rows_x", "rows_y"))
 
-    keys = ["member", "band_x", "block_x", "band_y", "block_y"]
     names = ["a_x", "b_x", "a_y", "b_y", "n_links"]
 
-    def sides(table: pa.Table) -> tuple[np.ndarray, int, bool]:
-        """The rows with the left ones first, how many these are, and whether both sides are one block."""
-        is_left = table.column("is_left").to_numpy(zero_copy_only=False)
-        return np.concatenate((np.flatnonzero(is_left), np.flatnonzero(~is_left))), int(is_left.sum()), all(table.column(f"{c}_x")[0] == table.column(f"{c}_y")[0] for c in ("band", "block"))
-
-    def lists(table: pa.Table, column: str, order: np.ndarray) -> list[np.ndarray]:
-        return [np.sort(table.column(column)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in order.tolist()]
-
-    def asked(table: pa.Table) -> pa.Table:
-        """The rows that have a pair to compare there."""
-        order, n, one_block = sides(table)
-        sizes, before = table.column("n").to_numpy()[order].astype(np.int64), lists(table, "before", order)
-        wanted = np.zeros(len(order), dtype=bool)
-        for i, some in block_pairs((sizes[:n], before[:n]), None if one_block else (sizes[n:], before[n:]), percent):
-            wanted[i] = wanted[some if one_block else some + n] = True
-        return table.take(pa.array(np.sort(order[wanted])))
-
     def compare(table: pa.Table) -> pa.Table:
-        order, n, one_block = sides(table)
+        order, n, one_block = _sides(table)
         a, b, rows = (table.column(c).to_numpy()[order] for c in ("a", "b", "rows"))
-        sets, before = (lists(table, c, order) for c in ("members", "before"))
+        sets, before = (_lists(table, c, order) for c in ("members", "before"))
         found = block_links((sets[:n], before[:n]), None if one_block else (sets[n:], before[n:]), percent)
         forest, counts = forest_and_counts(found, rows, 0 if one_block else n)
         x, y = (np.array([p[i] for p in forest], dtype=np.int64) for i in range(2))
@@ -425,12 +512,8 @@ def links(docs: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int
         parts = [pa.array(np.concatenate((edges[0], a[some])), pa.int64()), pa.array(np.concatenate((edges[1], b[some])), pa.int64()), *[pa.array([*e.tolist(), *[None] * len(some)], pa.int64()) for e in edges[2:]], pa.array([*[None] * len(x), *counts[some].tolist()], pa.int64())]
         return pa.table(parts, names)
 
-    # Near copies share most of their heavy members, and nearly all of their pairs are the first few's. So it is told
-    # first, without the sets, which classes a block has pairs of, and their sets alone are sent there.
-    tasks = _tasks(heavy, percent).join(theirs, "a").withColumn("before", F.expr("filter(heavy, h -> h < member)")).select(*keys, "is_left", "a", "n", "before")
-    tasks = checkpointed(tasks.groupBy(*keys).applyInArrow(asked, tasks.schema))
     tasks = tasks.join(members, "a").where(F.size("members") == F.col("n"))
-    dense = checkpointed(tasks.select(*keys, "is_left", "a", "b", "rows", "members", "before").groupBy(*keys).applyInArrow(compare, ", ".join(f"{c} long" for c in names)))
+    dense = checkpointed(tasks.select(*_KEYS, "is_left", "a", "b", "rows", "members", "before").groupBy(*_KEYS).applyInArrow(compare, ", ".join(f"{c} long" for c in names)))
     pairs = verified.select(*names[:4]).unionByName(dense.where("n_links is null").select(*names[:4]))
     ends = [verified.select(F.col(f"a_{k}").alias("a"), F.col(f"b_{k}").alias("b"), F.col(f"rows_{other}").alias("n_links")) for k, other in ("xy", "yx")]
     ends.append(dense.where("n_links is not null").select(F.col("a_x").alias("a"), F.col("b_x").alias("b"), "n_links"))
@@ -442,8 +525,9 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     sets, counts = _sets(texts, shingle)
     classes = checkpointed(sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
-    pairs, partners = links(texts, classes, counts, shingle, percent, light)
+    pairs, partners = links(texts, sets.where("n > 0"), classes, counts, shingle, percent, light)
     pairs = checkpointed(pairs)
+    sets = sets.drop("signature")
     # Linked classes get numbers for the contraction; they are written down, so they stay as they are.
     ends = pairs.select(F.col("a_x").alias("a"), F.col("b_x").alias("b")).unionByName(pairs.select(F.col("a_y").alias("a"), F.col("b_y").alias("b"))).distinct()
     nodes = checkpointed(ends.withColumn("node", F.monotonically_increasing_id()))

@@ -499,6 +499,34 @@ def test_groups_of_whole_table_equal_brute_force(spark, percent, light):
     assert Counter(map(tuple, ngram_join.similar_groups(df, 3, percent, light).collect())) == brute_components(rows, 3, percent)
 
 
+def test_chance_candidates_are_not_fetched(spark, monkeypatch):
+    """With a sketch that tells no counts apart, as of a large table, texts far from alike share prefix members."""
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", (4, 4))
+    monkeypatch.setattr(ngram_join, "PRIOR", 1e-6)
+    rnd, fetched, members = random.Random(4), [], ngram_join._members
+    vocabulary = [f"w{i}" for i in range(800)]
+    rows = [(i, " ".join(rnd.sample(vocabulary, 100))) for i in range(120)]
+    rows += [(200 + i, f"{t} more") for i, t in rows[:3]]
+    monkeypatch.setattr(ngram_join, "_members", lambda docs, wanted, shingle: fetched.append(wanted.count()) or members(docs, wanted, shingle))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()}
+    assert got == {i: i - 200 if i >= 200 else i for i, _ in rows}
+    assert fetched == [6]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_signatures_never_rule_out_a_link(percent):
+    rnd = np.random.default_rng(percent)
+    for n in (1, 7, 60, 511, 512, 520, 5000):
+        own = rnd.integers(0, 2**63, n).astype(np.uint64)
+        for gone in {0, n // 20, n // 9, n // 5, n // 3}:
+            other = np.concatenate((own[gone:], rnd.integers(0, 2**63, rnd.integers(0, gone + 1)).astype(np.uint64)))
+            apart = len(np.setxor1d(own, other))
+            told = ngram_join.difference(ngram_join.signature(own), ngram_join.signature(other)[None, :])[0]
+            assert told <= apart
+            shared = len(np.intersect1d(own, other))
+            assert (100 * shared >= percent * (n + len(other) - shared)) == (apart <= ngram_join.most_difference(n, np.array([len(other)]), percent)[0])
+
+
 def test_equal_hashes_of_windows_are_confirmed(monkeypatch):
     monkeypatch.setattr("ledgerline.llm.common.sequence_hashes", lambda low, high, at, n: np.zeros(len(at), dtype=np.uint64))
     for text in ("a b c d e f g h i j", "a b c d e x a b c d e", "a a a a a a a"):
