@@ -2,13 +2,15 @@
 
 A pair is a text labelled good and one labelled bad; the model says that the good one wins with
 probability ``sigmoid(w . (x_good - x_bad))`` for the texts' features x, and w minimises the
-logistic loss of all pairs (with a small penalty) by gradient steps on the differences.
+logistic loss of all pairs (with a small penalty) by Newton's steps.
 Texts are then ranked by ``w . x`` and the threshold is a quantile of that rank: the share of
 bad ones among the labelled rows. Scores are shifted so that the quantile falls on ``CUT``.
 
-The model is fitted on at most ``PER_LABEL`` rows of either label, those with the smallest
-hash of their id, and ``PAIRS`` pairs; the driver gets their features, some 20 numbers a row
-whatever a text's length. The share of bad rows is counted over all labelled ones.
+The model is fitted on all labelled rows and all pairs of them. Their number grows with the square
+of the rows', so they aren't made: each pass gathers, by label and by cells of ``WIDTH`` of the rank, the sums of
+powers of the offset in the cell and of their products with the features, from which the loss of all pairs
+and its slope follow by a series of ``ORDERS`` terms (exact to about 1e-9). What the driver gets is these sums.
+The threshold is exact too (``common.order_statistics``).
 
 Defined results: a null or empty text has the features of no words and is scored like any
 other; labels that contradict each other for a doc_id, null labels and null ids are not
@@ -18,8 +20,10 @@ the labels is missing all scores are 0.5; repeated rows get the same result; an
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ledgerline.llm.common import Words, chunks, fold, sampled
+from ledgerline.llm.common import Words, checkpointed, chunks, fold, order_statistics
 from ledgerline.llm.repetition import covered, repeated_lines
 from ledgerline.shipping import shipped
 
 CUT = 0.3
-PER_LABEL = 2000
-PAIRS = 200_000
 PENALTY = 1e-3
 STEPS = 400
+#: Cells of the rank, and terms of the series in it.
+WIDTH, ORDERS = 0.25, 8
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 _PUNCTUATION = np.zeros(256, dtype=bool)
@@ -85,8 +89,11 @@ class RankModel:
     steepness: float
     cut: float
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -8, 8)
+
     def ranks(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights
+        return self.scaled(x) @ self.weights
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """From 0 to 1; ``cut`` at the threshold."""
@@ -95,37 +102,88 @@ class RankModel:
         return 1 / (1 + np.exp(-np.clip((self.ranks(x) - self.threshold) * self.steepness + np.log(self.cut / (1 - self.cut)), -30, 30)))
 
 
-def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, cut: float = CUT, pairs: int = PAIRS, penalty: float = PENALTY, steps: int = STEPS) -> RankModel:
-    """Bradley-Terry weights of the pairs of good and bad rows, and the rank's quantile as threshold."""
+def _sums(x: np.ndarray, w: np.ndarray) -> dict[int, np.ndarray]:
+    """Of the rows in each cell of the rank: sums of the offset's powers, of these times x, and of x's products."""
+    ranks = x @ w
+    cells = np.floor(ranks / WIDTH).astype(np.int64)
+    powers = (ranks - (cells + 0.5) * WIDTH)[:, None] ** np.arange(ORDERS)
+    order = np.argsort(cells, kind="stable")
+    out = {}
+    for own in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+        if len(own):
+            out[int(cells[own[0]])] = np.concatenate((powers[own].sum(axis=0), (powers[own].T @ x[own]).ravel(), (x[own].T @ x[own]).ravel()))
+    return out
+
+
+def _derivatives(t: np.ndarray) -> list[np.ndarray]:
+    """log(1 + exp(-t)) and its derivatives, each over its order's factorial."""
+    p = 1 / (1 + np.exp(np.clip(-t, -700, 700)))
+    out, poly = [np.logaddexp(0, -t)], np.polynomial.Polynomial([-1, 1])
+    for k in range(1, ORDERS + 1):
+        out.append(poly(p) / math.factorial(k))
+        poly = poly.deriv() * np.polynomial.Polynomial([0, 1, -1])
+    return out
+
+
+def _loss(good: dict[int, np.ndarray], bad: dict[int, np.ndarray], size: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean loss of all pairs and its slope, from the sums by cell; and its curvature, as of the cells' middles."""
+
+    def split(of: dict[int, np.ndarray]):
+        cells = np.array(sorted(of))
+        rows = np.array([of[c] for c in cells.tolist()])
+        return cells, rows[:, :ORDERS], rows[:, ORDERS : ORDERS * (size + 1)].reshape(-1, ORDERS, size), rows[:, ORDERS * (size + 1) :].reshape(-1, size, size)
+
+    b_cells, b0, b1, b2 = split(bad)
+    loss, slope, curve, pairs = 0.0, np.zeros(size), np.zeros((size, size)), 0.0
+    g_all = split(good)
+    for at in range(0, len(g_all[0]), 256):
+        g_cells, g0, g1, g2 = (x[at : at + 256] for x in g_all)
+        f = _derivatives((g_cells[:, None] - b_cells[None, :]) * WIDTH)
+        pairs += g0[:, 0].sum() * b0[:, 0].sum()
+        for k in range(ORDERS):
+            for m in range(k + 1):
+                sign = math.comb(k, m) * (-1) ** (k - m)
+                loss += sign * (g0[:, m] @ f[k] @ b0[:, k - m])
+                first = f[k + 1] * (k + 1)  # the slope's own series
+                slope += sign * (g1[:, m].T @ (first @ b0[:, k - m]) - b1[:, k - m].T @ (g0[:, m] @ first))
+        second = f[2] * 2
+        cross = g1[:, 0].T @ second @ b1[:, 0]
+        curve += np.tensordot(second @ b0[:, 0], g2, 1) + np.tensordot(g0[:, 0] @ second, b2, 1) - cross - cross.T
+    return loss / pairs, slope / pairs, curve / pairs
+
+
+def _weights(gather: Callable[[np.ndarray], tuple[dict, dict]], size: int, penalty: float, steps: int) -> np.ndarray:
+    """Newton's steps on the mean logistic loss of all pairs, halved until it falls; ``gather`` gives the sums of both labels."""
+
+    def told(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, slope, curve = _loss(*gather(w), size)
+        return loss + penalty * w @ w / 2, slope + penalty * w, curve + penalty * np.eye(size)
+
+    w = np.zeros(size)
+    now, slope, curve = told(w)
+    for _ in range(steps):
+        step, part = np.linalg.solve(curve, slope), 1.0
+        new = told(w - step)
+        while new[0] > now and part > 1e-6:
+            part /= 2
+            new = told(w - part * step)
+        if part <= 1e-6 or now - new[0] < 1e-9:
+            break
+        w, (now, slope, curve) = w - part * step, new
+    return w
+
+
+def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, cut: float = CUT, penalty: float = PENALTY, steps: int = STEPS) -> RankModel:
+    """Bradley-Terry weights of all pairs of good and bad rows, and the rank's quantile as threshold, of rows in memory."""
+    size = good.shape[1]
     if not len(good) or not len(bad):
-        size = good.shape[1]
-        return RankModel(np.zeros(size), np.ones(size), np.zeros(size), 0.0, 0.0, cut)
+        return _unknown(size, cut)
     both = np.concatenate((good, bad))
     mean, spread = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6)
     g, b = (np.clip((x - mean) / spread, -8, 8) for x in (good, bad))
-    each = len(g) * len(b)
-    chosen = np.arange(each) if each <= pairs else np.random.default_rng(0).choice(each, pairs, replace=False)
-    differences = g[chosen // len(b)] - b[chosen % len(b)]
-    # Newton's steps on the mean logistic loss of the differences, halved until the loss falls.
-    w = np.zeros(differences.shape[1])
-
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(differences @ w)).mean() + penalty * w @ w / 2)
-
-    now = loss(w)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))
-        slope = -(differences * p[:, None]).mean(axis=0) + penalty * w
-        curve = (differences * (p * (1 - p))[:, None]).T @ differences / len(differences) + penalty * np.eye(len(w))
-        step, size = np.linalg.solve(curve, slope), 1.0
-        while size > 1e-6 and loss(w - size * step) > now:
-            size /= 2
-        new = loss(w - size * step)
-        if size <= 1e-6 or now - new < 1e-9:
-            break
-        w, now = w - size * step, new
+    w = _weights(lambda w: (_sums(g, w), _sums(b, w)), size, penalty, steps)
     own, other = g @ w, b @ w
-    # The quantile of all labelled rows, of which the sample holds either label in another share.
+    # The quantile of all labelled rows, of which these may hold either label in another share.
     ranks, weights = np.concatenate((other, own)), np.concatenate((np.full(len(b), bad_share / len(b)), np.full(len(g), (1 - bad_share) / len(g))))
     order = np.argsort(ranks, kind="stable")
     reached = int(np.searchsorted(np.cumsum(weights[order]), bad_share - 1e-12))
@@ -134,6 +192,10 @@ def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, cut: float = CUT, p
     return RankModel(mean, spread, w, threshold, 1.0, cut)
 
 
+def _unknown(size: int, cut: float) -> RankModel:
+    return RankModel(np.zeros(size), np.ones(size), np.zeros(size), 0.0, 0.0, cut)
+
+
 def _feature_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` and the features of every row as an array."""
     schema = StructType([*docs.select(*keep).schema, StructField("features", ArrayType(DoubleType()))])
@@ -149,16 +211,59 @@ def _feature_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return shipped(docs).select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
 
 
+def _gathered(rows: DataFrame, model: RankModel) -> tuple[dict, dict]:
+    """The sums by cell of the good and of the bad rows, at the model's weights."""
+    size, schema = len(FEATURES), "quality int, cell long, sums array<double>"
+
+    def table(found: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.float64()))], ["quality", "cell", "sums"])
+
+    def add(batches):
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            label, x = batch.column(0).to_numpy(), model.scaled(batch.column(1).flatten().to_numpy().reshape(-1, size))
+            for quality in (0, 1):
+                for cell, own in _sums(x[label == quality], model.weights).items():
+                    held[quality, cell] = held.get((quality, cell), 0) + own
+        yield table(held)
+
+    def merge(batches):
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for quality, cell, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held[quality, cell] = held.get((quality, cell), 0) + own.values.to_numpy()
+        yield table(held)
+
+    out: tuple[dict, dict] = ({}, {})
+    for r in rows.mapInArrow(add, schema).repartition("quality", "cell").mapInArrow(merge, schema).collect():
+        out[r["quality"]][r["cell"]] = np.array(r["sums"])
+    return out[1], out[0]
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column) -> RankModel:
-    """Fit on a bounded sample of the labelled rows of ``docs`` that ``where`` admits."""
-    told = labels.where(where & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most and quality in (0, 1)").select("doc_id", "quality")
-    counts = {r["quality"]: r["n"] for r in told.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    sample = sampled(told, "quality", counts, PER_LABEL)
-    # At most twice PER_LABEL ids, and one row of each, whatever repeats.
-    found = _feature_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ("doc_id", "quality"))
-    rows = sorted((r["doc_id"], r["quality"], tuple(r["features"])) for r in found.groupBy("doc_id", "quality").agg(F.min("features").alias("features")).collect())
-    split = [np.array([x for _, q, x in rows if q == label]).reshape(-1, len(FEATURES)) for label in (1, 0)]
-    return fit(*split, counts.get(0, 0) / max(1, sum(counts.values())))
+    """Fit on all labelled rows of ``docs`` that ``where`` admits."""
+    told = labels.where(where & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    # Texts aren't shuffled: their features are, one row of each id, whatever repeats.
+    found = _feature_rows(docs.where(where & F.col("doc_id").isNotNull()).select("doc_id", "text"), ("doc_id",)).groupBy("doc_id").agg(F.min("features").alias("features"))
+    rows = checkpointed(found.join(told, "doc_id").select("quality", "features"))
+    counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    size = len(FEATURES)
+    if len(counts) < 2:
+        return _unknown(size, CUT)
+    each = [F.col("features")[k] for k in range(size)]
+    moments = rows.agg(*[F.avg(x) for x in each], *[F.stddev_pop(x) for x in each]).first()
+    model = RankModel(np.array(moments[:size]), np.maximum(np.array(moments[size:]), 1e-6), np.zeros(size), 0.0, 1.0, CUT)
+
+    model = replace(model, weights=_weights(lambda w: _gathered(rows, replace(model, weights=w)), size, PENALTY, STEPS))
+
+    def rank(batches):
+        for batch in batches:
+            ranks = model.ranks(batch.column(1).flatten().to_numpy().reshape(-1, size))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ranks), dtype=np.int32)), pa.array(ranks)], ["group", "value"])
+
+    places = (counts[0] - 1, counts[0])
+    at = order_statistics(checkpointed(rows.mapInArrow(rank, "group int, value double")), {0: places})
+    return replace(model, threshold=(at[0, places[0]] + at[0, places[1]]) / 2)
 
 
 def score(docs: DataFrame, model: RankModel) -> DataFrame:

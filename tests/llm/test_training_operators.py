@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from ledgerline.llm import bpe, components, exact_dedup, language_id, license_scan, ngram_join, packing, quality_ranker, queries, repetition, url_rules, warc_revisit
+from ledgerline.llm import bpe, common, components, exact_dedup, language_id, license_scan, ngram_join, packing, quality_ranker, queries, repetition, url_rules, warc_revisit
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -417,6 +417,40 @@ def test_ranks_order_pairs_and_the_quantile_cuts():
     assert (model.ranks(good)[:, None] > model.ranks(bad)[None, :]).mean() > 0.95
 
 
+def test_the_fit_is_that_of_all_rows_and_pairs(spark):
+    """4,200 rows of a label and 8.8 million pairs: weights at which the plain loss of all of them is flat, and the exact quantile."""
+    rnd = random.Random(5)
+    rows = [(i, i % 3 > 0, " ".join(rnd.choice(["a", "tree", "#", "12", "houses."] + ["|", "the"] * (i % 3 > 0 or rnd.random() < 0.3)) for _ in range(rnd.randint(3, 30)))) for i in range(6300)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(5)
+    model = quality_ranker.train(docs, spark.createDataFrame([(i, int(q)) for i, q, _ in rows], "doc_id long, quality int"), F.lit(True))
+    x, good = quality_ranker.features([t for _, _, t in rows]), np.array([q for _, q, _ in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.spread, np.maximum(x.std(axis=0), 1e-6))
+    z, ranks = model.scaled(x), model.ranks(x)
+    p = 1 / (1 + np.exp(ranks[good][:, None] - ranks[~good][None, :]))
+    slope = -(z[good].T @ p.sum(axis=1) - z[~good].T @ p.sum(axis=0)) / p.size + quality_ranker.PENALTY * model.weights
+    assert np.abs(slope).max() < 1e-4
+    assert model.threshold == pytest.approx(np.sort(ranks)[[2099, 2100]].mean(), abs=1e-9)
+
+
+def test_sums_by_cell_give_the_loss_of_all_pairs():
+    rnd = np.random.default_rng(3)
+    good, bad, w = rnd.normal(0.5, 1, (70, 4)), rnd.normal(0, 1, (50, 4)), np.array([3.0, -1, 0.2, 5])
+    t = (good @ w)[:, None] - (bad @ w)[None, :]
+    loss, slope, _ = quality_ranker._loss(quality_ranker._sums(good, w), quality_ranker._sums(bad, w), 4)
+    p = 1 / (1 + np.exp(t))
+    assert loss == pytest.approx(np.logaddexp(0, -t).mean(), abs=1e-9)
+    assert np.allclose(slope, -(p[:, :, None] * (good[:, None] - bad[None, :])).mean(axis=(0, 1)), atol=1e-8)
+
+
+def test_order_statistics_are_exact(spark):
+    rnd = random.Random(2)
+    rows = [(g, rnd.choice([rnd.gauss(0, 1), 0.25, rnd.random() * 1e-9])) for g in "abc" for _ in range(900)] + [("one", 4.0)]
+    values = {g: sorted(v for h, v in rows if h == g) for g in ("a", "b", "c", "one")}
+    wanted = {"a": [0, 45, 46, 899], "b": [450], "c": [300, 301], "one": [0]}
+    got = common.order_statistics(spark.createDataFrame(rows, "group string, value double"), wanted, 8)
+    assert got == {(g, k): values[g][k] for g, places in wanted.items() for k in places}
+
+
 # --- 6 ---
 
 
