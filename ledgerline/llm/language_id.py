@@ -7,9 +7,9 @@ the largest cosine (of equal ones the first in the languages' order), and is rej
 that is under the language's least accepted cosine: a share of a low quantile of its
 training texts' cosines, so a matter of distance alone that odd texts don't move.
 
-The model is fitted on at most ``PER_LANGUAGE`` texts of a language and ``SAMPLE`` in all, those
-with the smallest hash of their id; vectors have ``SIZE`` numbers whatever a text's length,
-so what the driver gets is bounded. All texts are read whole.
+The model is fitted on all texts that have a language: their counts are written down once, and each
+step of the clustering is a pass over them that gathers sums of vectors of ``SIZE`` numbers by centroid, so
+what the driver gets is bounded by the languages. The quantile is exact. All texts are read whole.
 
 Defined results: ``und`` with score 0, rejected, for a null or empty text and one without a letter;
 also for all texts where there is nothing to learn from. Rows with a null doc_id or lang are
@@ -21,9 +21,11 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,12 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ledgerline.llm.common import fold, sampled
+from ledgerline.llm.common import checkpointed, fold, order_statistics, stored
 from ledgerline.shipping import shipped
 
 SIZE = 4096
-PER_LANGUAGE = 500
-SAMPLE = 8000
 MOST_LANGUAGES = 400
 CLUSTERS = 3
 ROUNDS = 10
@@ -124,31 +124,161 @@ def fit(counts: np.ndarray, languages: list[str], clusters: int = CLUSTERS, roun
     return CentroidModel(names, idf, np.concatenate(centroids) if centroids else np.zeros((0, SIZE)), np.array(owner, dtype=int), np.array(least))
 
 
-def train(docs: DataFrame, where: Column) -> CentroidModel:
-    """Fit on a bounded sample of the rows of ``docs`` that ``where`` admits."""
-    known = docs.where(where & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    # Of different ids, so that one that repeats doesn't thin out its language's sample.
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return fit(np.zeros((0, SIZE)), [])
-    most = min(PER_LANGUAGE, SAMPLE // len(sizes))
-    ids = sampled(known, "lang", {r["lang"]: r["n"] for r in sizes}, most)
+def packed(counts: np.ndarray) -> bytes:
+    """The counts that are not zero and the steps between their places, compressed."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + counts[at].astype("<u4").tobytes(), 1)
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and counts of some rows one after the other, and where each row starts."""
+    raw = [zlib.decompress(r) for r in rows]
+    sizes = np.array([len(r) // 6 for r in raw])
+    starts = np.cumsum(sizes) - sizes
+    steps = np.concatenate([np.frombuffer(r, "<u2", n) for r, n in zip(raw, sizes.tolist(), strict=True)]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(r, "<u4", n, 2 * n) for r, n in zip(raw, sizes.tolist(), strict=True)]).astype(np.float64)
+    at = np.cumsum(steps)
+    return at - np.repeat(at[starts] - steps[starts], sizes), counts, starts
+
+
+def _runs(batches, names: list[str], idf: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some rows at a time: numbers of their languages, their packed counts, and their vectors' places, numbers and starts."""
+    number = {name: i for i, name in enumerate(names)}
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            own = batch.slice(start, 256)
+            rows = own.column(1).to_pylist()
+            at, counts, starts = unpacked(rows)
+            if idf is not None:
+                counts = np.log1p(counts) * idf[at]
+                lengths = np.sqrt(np.add.reduceat(counts * counts, starts))
+                counts = counts / np.repeat(np.maximum(lengths, 1e-12), np.diff(starts, append=len(at)))
+            yield np.array([number[x] for x in own.column(0).to_pylist()]), rows, at, counts, starts
+
+
+def _cosines(of: np.ndarray, at: np.ndarray, vector: np.ndarray, starts: np.ndarray, centres: list[np.ndarray]) -> np.ndarray:
+    """Of each row with its language's centres; -2 where a language has fewer."""
+    most, ends = max(map(len, centres)), np.diff(starts, append=len(at))
+    all_centres = np.zeros((len(centres), most, SIZE))
+    for i, own in enumerate(centres):
+        all_centres[i, : len(own)] = own
+    language = np.repeat(of, ends)
+    out = np.column_stack([np.add.reduceat(vector * all_centres[language, k, at], starts) for k in range(most)])
+    return np.where(np.arange(most) < np.array([len(c) for c in centres])[of][:, None], out, -2.0)
+
+
+def _sums(rows: DataFrame, work: Callable) -> dict[int, np.ndarray]:
+    """The sums by key of the vectors that ``work`` yields for the table's batches."""
+
+    def table(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["key", "sums"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for key, own in work(batches):
+            held[key] = held.get(key, 0) + own
+        yield table(held)
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held[key] = held.get(key, 0) + np.frombuffer(own.as_py())
+        yield table(held)
+
+    schema = "key int, sums binary"
+    return {r["key"]: np.frombuffer(bytes(r["sums"])) for r in rows.mapInArrow(add, schema).repartition("key").mapInArrow(merge, schema).collect()}
+
+
+def _centroids(rows: DataFrame, names: list[str], sizes: list[int], idf: np.ndarray, clusters: int, rounds: int) -> list[np.ndarray]:
+    """Each language's centroids as of :func:`_clusters`, by passes over the rows (lang, counts)."""
+
+    def nearest(centres: list[np.ndarray]) -> list[dict[int, np.ndarray]]:
+        """The sums of the vectors nearest to each centre, and in the last place how many."""
+        most = max(map(len, centres))
+
+        def work(batches):
+            for of, _, at, vector, starts in _runs(batches, names, idf):
+                key = of * most + np.argmax(_cosines(of, at, vector, starts, centres), axis=1)
+                each = np.repeat(key, np.diff(starts, append=len(at)))
+                for k in np.unique(key).tolist():
+                    yield k, np.append(np.bincount(at[each == k], weights=vector[each == k], minlength=SIZE), (key == k).sum())
+
+        out: list[dict[int, np.ndarray]] = [{} for _ in names]
+        for key, own in _sums(rows, work).items():
+            out[key // most][key % most] = own[:SIZE] / own[SIZE]
+        return out
+
+    def farthest(centres: list[np.ndarray]) -> dict[int, np.ndarray]:
+        """The vector of each language whose largest cosine is the least; of equal ones that of the least packed counts."""
+
+        def least(batches):
+            held: dict[int, tuple[float, bytes]] = {}
+            for of, packs, at, vector, starts in _runs(batches, names, idf):
+                cosines = np.max(_cosines(of, at, vector, starts, centres), axis=1)
+                for i, own in zip(of.tolist(), zip(cosines.tolist(), packs, strict=True), strict=True):
+                    held[i] = min(held.get(i, own), own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x[0] for x in held.values()], pa.float64()), pa.array([x[1] for x in held.values()], pa.binary())], ["key", "cosine", "counts"])
+
+        out = {}
+        for r in rows.mapInArrow(least, "key int, cosine double, counts binary").groupBy("key").agg(F.min(F.struct("cosine", "counts")).alias("best")).collect():
+            at, counts, _ = unpacked([bytes(r["best"]["counts"])])
+            out[r["key"]] = _normalised(np.log1p(np.bincount(at, weights=counts, minlength=SIZE)) * idf)
+        return out
+
+    centres = [np.zeros((1, SIZE)) for _ in names]
+    centres = [_normalised(own[0])[None, :] for own in nearest(centres)]
+    for k in range(1, clusters):
+        if any(n > k for n in sizes):
+            far = farthest(centres)
+            centres = [np.concatenate((own, far[i][None, :])) if sizes[i] > k else own for i, own in enumerate(centres)]
+    for _ in range(rounds):
+        means = nearest(centres)
+        moved = [np.array([_normalised(own[k]) if k in own else old[k] for k in range(len(old))]) for old, own in zip(centres, means, strict=True)]
+        settled = all(np.array_equal(x, y) for x, y in zip(centres, moved, strict=True))
+        centres = moved
+        if settled:
+            break
+    return centres
+
+
+def train(docs: DataFrame, where: Column, clusters: int = CLUSTERS, rounds: int = ROUNDS, reject_under: float = REJECT_UNDER) -> CentroidModel:
+    """Fit on all rows of ``docs`` that ``where`` admits and that have a language and a letter."""
+    known = docs.where(where & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
     def run(batches):
-        # As many as the sample has ids, at most: of rows that repeat an id the least counts stay.
-        held: dict[tuple[int, str], bytes] = {}
         for batch in batches:
+            # Of rows that repeat an id the least counts stay, first of a batch and then of all.
+            held: dict[tuple[int, str], bytes] = {}
             for doc_id, text, lang in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if (found := counted(text.as_py())) is not None:
-                    own = zlib.compress(found.astype("<i4").tobytes(), 1)
+                    own = packed(found)
                     held[doc_id, lang] = min(own, held.get((doc_id, lang), own))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.binary())], ["doc_id", "lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.binary())], ["doc_id", "lang", "counts"])
+
+    rows = stored(shipped(known).mapInArrow(run, "doc_id long, lang string, counts binary").groupBy("doc_id", "lang").agg(F.min("counts").alias("counts")).select("lang", "counts"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not found:
+        return fit(np.zeros((0, SIZE)), [])
+    names = sorted(r["lang"] for r in found)
+    sizes = [{r["lang"]: r["n"] for r in found}[x] for x in names]
+    rows = rows.where(F.col("lang").isin(names))
+
+    def documents(batches):
+        for _, _, at, _, _ in _runs(batches, names):
+            yield 0, np.bincount(at, minlength=SIZE).astype(np.float64)
+
+    idf = np.log((1 + sum(sizes)) / (1 + _sums(rows, documents)[0])) + 1
+    centres = _centroids(rows, names, sizes, idf, clusters, rounds)
+
+    def accepted(batches):
+        for of, _, at, vector, starts in _runs(batches, names, idf):
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.max(_cosines(of, at, vector, starts, centres), axis=1))], ["group", "value"])
 
-    # At most SAMPLE rows, each with SIZE numbers.
-    rows = shipped(docs).where(where).join(F.broadcast(ids), ["doc_id", "lang"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(run, "doc_id long, lang string, counts binary")
-    rows = sorted((r["lang"], zlib.decompress(bytes(r["counts"]))) for r in rows.groupBy("doc_id", "lang").agg(F.min("counts").alias("counts")).collect())
-    counts = np.array([np.frombuffer(c, dtype="<i4") for _, c in rows], dtype=np.float64).reshape(len(rows), SIZE)
-    return fit(counts, [lang for lang, _ in rows])
+    places = {i: (n - 1) * REJECT_QUANTILE for i, n in enumerate(sizes)}
+    cosines = order_statistics(checkpointed(rows.mapInArrow(accepted, "group int, value double")), {i: sorted({math.floor(x), math.ceil(x)}) for i, x in places.items()})
+    least = [reject_under * (cosines[i, math.floor(x)] + (cosines[i, math.ceil(x)] - cosines[i, math.floor(x)]) * (x - math.floor(x))) for i, x in places.items()]
+    return CentroidModel(names, idf, np.concatenate(centres), np.repeat(np.arange(len(names)), [len(c) for c in centres]), np.array(least))
 
 
 def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:

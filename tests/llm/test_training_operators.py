@@ -741,6 +741,26 @@ def test_predictions_equal_plain_ones(spark):
         assert got[d]["lang_pred"] == best[1] and got[d]["rejected"] == (best[0] < cuts[best[1]])
 
 
+def test_the_model_is_that_of_all_texts(spark):
+    """1,300 texts of one language and 40 of another, against the fit of all of them in memory."""
+    rnd = random.Random(6)
+    parts = {"en": ["the", "and", "house", "tree", "walking"], "de": ["der", "und", "haus", "baum", "gehen"]}
+    rows = [(i, " ".join(rnd.choices(parts[x], k=rnd.randint(2, 12))), x) for i, x in enumerate(["en"] * 1300 + ["de"] * 40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), F.lit(True))
+    told = sorted((lang, language_id.packed(language_id.counted(t)), t) for _, t, lang in rows)
+    plain = language_id.fit(np.array([language_id.counted(t) for _, _, t in told], dtype=float), [lang for lang, _, _ in told])
+    assert model.languages == plain.languages and (model.owner == plain.owner).all()
+    assert np.allclose(model.idf, plain.idf) and np.allclose(model.centroids, plain.centroids) and np.allclose(model.least, plain.least)
+
+
+@pytest.mark.parametrize("text", ["a", "naïve ΑΣ 日本 İ", "word " * 70_000])
+def test_counts_are_packed_whole(text):
+    counts = language_id.counted(text)
+    at, own, starts = language_id.unpacked([language_id.packed(counts)] * 2)
+    assert (np.bincount(at[: starts[1]], weights=own[: starts[1]], minlength=language_id.SIZE) == counts).all()
+    assert (at[starts[1] :] == at[: starts[1]]).all()
+
+
 def test_other_languages_and_random_letters_are_rejected(spark):
     sf, rnd = "/root/testdata/sf0.01", random.Random(1)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
