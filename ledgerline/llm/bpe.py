@@ -8,7 +8,7 @@ words of a run of texts at once, a row of the arrays each, in numpy. Words of mo
 
 Runs without white space are remembered once encoded, in two generations of which the elder
 is forgotten when the younger has half of ``REMEMBERED`` runs or of ``REMEMBERED_BYTES``
-bytes. So a worker holds those and what the texts at hand have, whatever the corpus: also
+bytes. More of them cost memory and save CPU time; ids are the same. So a worker holds those and what the texts at hand have, whatever the corpus: also
 one of unspaced texts, whose runs are whole texts.
 
 Defined results: null and empty texts have no ids and decode to an empty text; a text
@@ -55,13 +55,14 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 
 
 @lru_cache(maxsize=1)
-def _letters_and_numbers() -> tuple[str, str]:
-    """Bodies of character classes for the Unicode categories L and N, in the Unicode version of the tokenizers library."""
-    planes = [(a, min(a + 0x2000, sys.maxunicode + 1)) for a in range(0, sys.maxunicode + 1, 0x2000) if not 0xD800 <= a < 0xE000]
-    every = ["".join(map(chr, (c for c in range(a, b) if not 0xD800 <= c < 0xE000))) for a, b in planes]
-    runs_of = ([m[0] for part in every for m in Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(part)] for kind in "LN")
-    letters, numbers = ("".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in found) for found in runs_of)
-    return letters, numbers
+def _letters_and_numbers() -> tuple[str, ...]:
+    """Bodies of character classes for the Unicode categories L and N, in the Unicode version of the tokenizers library: up to U+FFFF, then beyond."""
+    every = ["".join(chr(c) for c in range(a, a + 0x2000) if not 0xD800 <= c < 0xE000) for a in range(0, sys.maxunicode + 1, 0x2000)]
+    out = []
+    for part in (every[:8], every[8:]):
+        runs_of = ([m[0] for plane in part for m in Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(plane)] for kind in "LN")
+        out += ["".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in found) for found in runs_of]
+    return tuple(out)
 
 
 @lru_cache(maxsize=1)
@@ -69,9 +70,13 @@ def word_pattern() -> re.Pattern:
     """Contractions, runs of letters, single numbers, runs of anything else but white space.
 
     The alternatives begin with different characters, except the last, so their order is free.
+    Characters beyond U+FFFF have classes of their own: Python tries their ranges one by one, for every
+    character that is in none, where those below are looked up.
     """
-    letters, numbers = _letters_and_numbers()
-    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+    letters, numbers, far_letters, far_numbers = _letters_and_numbers()
+    far = "\\U00010000-\\U0010ffff"
+    other, far_other = f"[^{WHITE}{letters}{numbers}{far}]", f"[^\\x00-\\uffff{far_letters}{far_numbers}]"
+    return re.compile(f"(?:[{letters}]++|(?=[{far}])[{far_letters}]++)++|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|(?=[{far}])[{far_numbers}]|(?:{other}++|(?=[{far}]){far_other}++)++")
 
 
 #: A run without white space; what :meth:`str.split` parts by, but for the four separators that it alone takes as blank.
@@ -157,7 +162,8 @@ class _Remembered(dict):
 class WordBpe:
     """Encoder and decoder for a vocabulary file with word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = remembered
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -298,7 +304,7 @@ class WordBpe:
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.now) > REMEMBERED // 2 or self.now.bytes > REMEMBERED_BYTES // 2:
+        if len(self.now) > (self.remembered or REMEMBERED) // 2 or self.now.bytes > REMEMBERED_BYTES // 2:
             self.elder, self.now = self.now, self._young()
         pieces = [self._pieces(t or "") for t in texts]
         counts = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
@@ -328,8 +334,8 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
-    return WordBpe(path)
+def encoder(path: str, remembered: int | None = None) -> WordBpe:
+    return WordBpe(path, remembered)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -98,11 +98,14 @@ class Packer:
         self.sequences += len(rooms)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, block: int = BLOCK, linear: float = 1.0, quadratic: float = 1.0 / SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """The pieces of every document; with ``keep_ids`` each also has its ids as an array."""
+def pack_documents(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, block: int = BLOCK, linear: float = 1.0, quadratic: float = 1.0 / SEQUENCE, end_id: int = END_ID, keep_ids: bool = False, remembered: int | None = None) -> DataFrame:
+    """The pieces of every document; with ``keep_ids`` each also has its ids as an array.
+
+    remembered: runs that a worker's encoder remembers, in place of ``bpe.REMEMBERED``; pieces are the same.
+    """
 
     def run(batches):
-        bpe, packer = encoder(vocabulary), Packer(most, block, linear, quadratic)
+        bpe, packer = encoder(vocabulary, remembered), Packer(most, block, linear, quadratic)
         first = TaskContext.get().partitionId() << 32
         end = end_id.to_bytes(4, "little")
 

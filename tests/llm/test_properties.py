@@ -1,6 +1,8 @@
 """Properties of the kernels that run inside tasks, on generated inputs."""
 
 import re
+import sys
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -25,6 +27,25 @@ def test_encoding_equals_the_library(texts):
         assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_words_cost_no_search_through_far_ranges():
+    """Words take about as long as with ranges up to U+FFFF alone, and far characters part where the library parts them."""
+    words, near = bpe.word_pattern(), re.compile("[^\\W\\d_]+|[\\W\\d_]")
+    text = "word, and more. " * 20_000
+
+    def least(pattern):
+        times = []
+        for _ in range(5):
+            began = time.thread_time()
+            pattern.findall(text)
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    assert least(words) < 3 * least(near)
+    for far in ("a\U00010400b\U00010428", "1\U0001d7ce2\U0001f600!\U0001f468?", "\U00020000日\U0001f600\U0001f600x", "'s\U0001f600's"):
+        assert bpe.encoder(VOCABULARY).encode(far).tolist() == LIBRARY.encode(far, add_special_tokens=False).ids
+    assert "".join(words.findall("".join(map(chr, range(0xE000, sys.maxunicode + 1))))) == "".join(c for c in map(chr, range(0xE000, sys.maxunicode + 1)) if c not in bpe.WHITE)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(st.sampled_from("abcdt<|>/w'"), min_size=1, max_size=120))
 def test_heap_and_scan_agree(word):

@@ -98,6 +98,11 @@ def test_forgetting_runs_changes_nothing(library, monkeypatch):
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_how_much_is_remembered_changes_no_piece(docs):
+    few, many = (Counter(map(tuple, packing.pack_documents(docs.coalesce(1), VOCABULARY, remembered=n).collect())) for n in (20, 1_000_000))
+    assert few == many
+
+
 def test_what_is_remembered_is_bounded_in_bytes(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 1 << 20)
     own, rnd = bpe.WordBpe(VOCABULARY), random.Random(9)
