@@ -19,6 +19,8 @@ from ledgerline.storage import scratch_folder
 
 #: Near duplicates: word shingles and Jaccard similarity in percent.
 SHINGLE, SIMILARITY = 5, 80
+#: Runs that the encoder remembers: half as usual, as the executors' heaps have grown in the stages before.
+REMEMBERED = 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that were kept: a null text is the end token alone, rows that repeat are packed each, a null id stays null, no row gives no piece."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -37,7 +37,7 @@ from tokenizers.normalizers import NFC, Lowercase
 from tokenizers.normalizers import Sequence as Normalisers
 from tokenizers.pre_tokenizers import Split
 
-from ledgerline.llm.common import MIX_1, chunks
+from ledgerline.llm.common import MIX_1, chunks, held
 from ledgerline.shipping import shipped
 
 SHORT = 48
@@ -333,9 +333,8 @@ class WordBpe:
         return self.decode_bytes(np.asarray(ids, dtype="<u4").tobytes()).decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, remembered: int | None = None) -> WordBpe:
-    return WordBpe(path, remembered)
+    return held((path, remembered), lambda: WordBpe(path, remembered))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

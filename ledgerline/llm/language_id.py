@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ledgerline.llm.common import checkpointed, fold, order_statistics, stored
+from ledgerline.llm.common import checkpointed, fold, order_statistics, release, stored
 from ledgerline.shipping import shipped
 
 SIZE = 4096
@@ -143,6 +143,7 @@ def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _runs(batches, names: list[str], idf: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """Of some rows at a time: numbers of their languages, their packed counts, and their vectors' places, numbers and starts."""
+    release()
     number = {name: i for i, name in enumerate(names)}
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -247,6 +248,7 @@ def train(docs: DataFrame, where: Column, clusters: int = CLUSTERS, rounds: int
     known = docs.where(where & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
     def run(batches):
+        release()
         for batch in batches:
             # Of rows that repeat an id the least counts stay, first of a batch and then of all.
             held: dict[tuple[int, str], bytes] = {}
@@ -289,6 +291,7 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches):
+        release()
         for batch in batches:
             told = [model.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array([x[2] for x in told], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
@@ -303,6 +306,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
 
     def run(batches):
+        release()
         for batch in batches:
             told = [model.predict(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array([x[2] for x in told], pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])

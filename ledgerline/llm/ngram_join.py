@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import MIX_1, Words, checkpointed, chunks, mixed, sequence_hashes, stored
+from ledgerline.llm.common import MIX_1, Words, checkpointed, chunks, mixed, release, sequence_hashes, stored
 from ledgerline.llm.components import connected_components
 from ledgerline.shipping import shipped
 
@@ -180,6 +180,7 @@ def _sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
     bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (2 * docs.count()).bit_length()))
 
     def run(batches):
+        release()
         counts = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for start, texts in chunks(x.as_py() or "" for x in batch.column(1)):

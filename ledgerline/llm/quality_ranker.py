@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ledgerline.llm.common import Words, checkpointed, chunks, fold, order_statistics
+from ledgerline.llm.common import Words, checkpointed, chunks, fold, order_statistics, release
 from ledgerline.llm.repetition import covered, repeated_lines
 from ledgerline.shipping import shipped
 
@@ -201,6 +201,7 @@ def _feature_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     schema = StructType([*docs.select(*keep).schema, StructField("features", ArrayType(DoubleType()))])
 
     def run(batches):
+        release()
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for start, texts in chunks(x.as_py() or "" for x in batch.column(at)):
@@ -274,6 +275,7 @@ def score(docs: DataFrame, model: RankModel) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
+        release()
         for batch in batches:
             for start, texts in chunks(x.as_py() or "" for x in batch.column(at)):
                 own = batch.slice(start, len(texts))
@@ -289,6 +291,7 @@ def ranked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = "doc_id long, held_out boolean, score double, predicted int"
 
     def run(batches):
+        release()
         for batch in batches:
             for start, texts in chunks(x.as_py() or "" for x in batch.column(2)):
                 scores = model.scores(features(texts))

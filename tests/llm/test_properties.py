@@ -3,6 +3,7 @@
 import re
 import sys
 import time
+import weakref
 from collections import defaultdict
 
 import numpy as np
@@ -46,6 +47,13 @@ def test_words_cost_no_search_through_far_ranges():
     assert "".join(words.findall("".join(map(chr, range(0xE000, sys.maxunicode + 1))))) == "".join(c for c in map(chr, range(0xE000, sys.maxunicode + 1)) if c not in bpe.WHITE)
 
 
+def test_a_worker_lets_go_of_the_encoder_for_another_operator():
+    first = weakref.ref(bpe.encoder(VOCABULARY))
+    assert bpe.encoder(VOCABULARY) is first()
+    list(language_id._runs([], []))
+    assert first() is None
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(st.sampled_from("abcdt<|>/w'"), min_size=1, max_size=120))
 def test_heap_and_scan_agree(word):
