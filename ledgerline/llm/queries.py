@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, language_id, license_scan, ngram_join, packing, quality_ranker, repetition, url_rules, warc_revisit
+from ledgerline.llm import bpe, collocations, exact_dedup, language_id, license_scan, line_dedup, ngram_join, packing, quality_ranker, repetition, url_rules, warc_revisit, whitening
 from ledgerline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -224,6 +224,55 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {_LOW} AS low FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(low, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+grams AS (
+  SELECT lang, k, unnest([array_to_string(words[i : i + k - 1], ' ') for i in range(1, len(words) - k + 2)]) AS phrase
+  FROM worded, (VALUES {", ".join(f"({k})" for k in range(1, collocations.MOST_WORDS + 1))}) sizes(k)),
+counts AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+candidates AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS words FROM counts WHERE k >= 2 AND f >= {collocations.LEAST}),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, 1000000::HUGEINT * c.f * c.f // (x.f * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(words[1 : cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(words[cut + 1 :], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+around AS (
+  SELECT lang, unnest([array_to_string(words[i : i + size - 1], ' ') for i in range(1, k - size + 2)]) AS phrase, f
+  FROM (SELECT *, unnest(range(2, k)) AS size FROM candidates)),
+longer AS (SELECT lang, phrase, max(f) AS f FROM around GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.f IS NULL OR 100 * o.f < {collocations.SHARE} * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, (SELECT sum(f) FROM counts c WHERE c.lang = ranked.lang AND k = 1)::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {collocations.TOP}
+"""
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = f"""
+WITH rows_of AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+lines AS (SELECT r, doc_id, unnest(own) AS line, generate_subscripts(own, 1) AS i FROM rows_of),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= {line_dedup.SHORTEST} GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -1)) >= {line_dedup.DOCUMENTS}),
+judged AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.first AS gone FROM keyed k LEFT JOIN shared s ON s.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -235,6 +284,9 @@ QUERIES = {
     "op8_repetition": op8_repetition,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
@@ -243,4 +295,6 @@ ORACLE_SQL = {
     "op6_ngram_join": OP6_SQL,
     "op7_url_rules": OP7_SQL,
     "op8_repetition": OP8_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_line_dedup": OP12_SQL,
 }
