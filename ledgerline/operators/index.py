@@ -15,6 +15,10 @@ from ledgerline.shipping import shipped
 SHARD_BYTES = 64 * 1024
 EVIDENCE_SHARD_BYTES = 32 * 1024
 SHARD_CEILING = 96 * 1024
+#: Numbers that one page of a list holds.
+PAGE = 1024
+#: Buckets of rows whose digests are compared before the rows.
+BUCKETS = 1024
 MOST_ROUNDS = 100
 NOTHING_OPEN = (-1, 0)
 
@@ -57,6 +61,35 @@ def inverted(rows: DataFrame, key: str, by: list[str], ordinal: str = "ordinal",
     return rows.groupBy(*by, key).agg(F.array_sort(F.collect_set(ordinal)).alias("ordinals"), F.array_sort(F.collect_set(category)).alias("categories"))
 
 
+def placed_pages(rows: DataFrame, by: list[str], order: list[str], page: int = PAGE) -> DataFrame:
+    """``rows`` with the page of each in its group's order, ``page`` rows each: a hub's list falls into several records, and no task holds it whole."""
+    return spread_ordinals(rows, by, order, "_at").withColumn("page", F.floor(F.col("_at") / page)).drop("_at")
+
+
+def coded_list(values: Column) -> Column:
+    """A page's ascending numbers as the first one and the gaps between them."""
+    n = F.size(values)
+    gaps = F.zip_with(F.slice(values, 2, F.greatest(n - 1, F.lit(0))), F.slice(values, 1, F.greatest(n - 1, F.lit(0))), lambda x, before: x - before)
+    return F.struct(F.get(values, F.lit(0)).alias("first"), gaps.alias("gaps"))
+
+
+def decoded_list(first: Column, gaps: Column) -> Column:
+    """The numbers of a page, for looking one up; whole tables decode by :func:`decoded_pages`."""
+    return F.transform(F.sequence(F.lit(0), F.size(gaps)), lambda i: first + F.aggregate(F.slice(gaps, 1, i), F.lit(0).cast("long"), lambda acc, x: acc + x))
+
+
+def decoded_pages(pages: DataFrame, by: list[str], name: str = "ordinal") -> DataFrame:
+    """(``by``, ``name``) of every number of the pages (``by``, page, first, gaps)."""
+    rows = pages.where("first is not null").select(*by, "page", F.posexplode(F.concat(F.array("first"), "gaps")).alias("_at", "_gap"))
+    return rows.select(*by, F.sum("_gap").over(Window.partitionBy(*by, "page").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+
+
+def inverted_pages(rows: DataFrame, by: list[str], ordinal: str = "ordinal", category: str = "category", page: int = PAGE) -> DataFrame:
+    """(``by``, page, first, gaps, categories): as :func:`inverted`, but a hub's list is several pages, each with its own categories."""
+    pages = placed_pages(rows, by, [ordinal], page).groupBy(*by, "page").agg(coded_list(F.array_sort(F.collect_list(ordinal))).alias("list"), F.array_sort(F.collect_set(category)).alias("categories"))
+    return pages.select(*by, "page", "list.first", "list.gaps", "categories")
+
+
 def pack_shards(records: DataFrame, family: str, key: str, size: str, target: int = SHARD_BYTES, ceiling: int | None = SHARD_CEILING) -> DataFrame:
     """Every record with the shard it goes to: in key order, a new shard begins where the target would be passed.
 
@@ -123,15 +156,21 @@ def _packed(batches: Iterator[pd.DataFrame], entries: dict, family: str, key: st
         yield current, chunk, used, shard - first
 
 
-def shard_ranges(packed: DataFrame, family: str, block: int = 4096) -> DataFrame:
-    """Each shard's records, bytes, and first ordinal; summed up within blocks of shards, and over the blocks."""
-    shards = packed.groupBy(family, "shard").agg(F.count("*").alias("records"), F.sum("size").alias("bytes")).withColumn("_block", F.floor(F.col("shard") / block))
+def sum_before(df: DataFrame, by: list[str], order: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """The sum of ``value`` over the rows before, in the order of a number; within blocks of that number, and over the blocks."""
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+
+    def before(what: str, along: str, *own: str) -> Column:
+        return F.coalesce(F.sum(what).over(Window.partitionBy(*own).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    def before(value: str, order: str, *by: str) -> Column:
-        return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_n")).select(*by, "_block", before("_n", "_block", *by).alias("_begin"))
+    return rows.join(blocks, [*by, "_block"]).withColumn(name, F.col("_begin") + before(value, order, *by, "_block")).drop("_block", "_begin")
 
-    blocks = shards.groupBy(family, "_block").agg(F.sum("records").alias("_n")).select(family, "_block", before("_n", "_block", family).alias("_begin"))
-    return shards.join(blocks, [family, "_block"]).withColumn("first", F.col("_begin") + before("records", "shard", family, "_block")).drop("_block", "_begin")
+
+def shard_ranges(packed: DataFrame, family: str, block: int = 4096) -> DataFrame:
+    """Each shard's records, bytes, and first ordinal."""
+    shards = packed.groupBy(family, "shard").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
+    return sum_before(shards, [family], "shard", "records", "first", block)
 
 
 def shard_of(ordinal_rows: DataFrame, ranges: DataFrame, family: str, bucket: int = 4096) -> DataFrame:
@@ -142,17 +181,56 @@ def shard_of(ordinal_rows: DataFrame, ranges: DataFrame, family: str, bucket: in
     return rows.join(spans, [family, "bucket"]).where("ordinal between first and last").select(family, "ordinal", "shard")
 
 
+def with_before(df: DataFrame, by: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:
+    """``value`` of the row before in each group's order (null for the first), for groups of any size.
+
+    Ordered ranges look back within themselves, and the first row of each to the last one of the range before.
+    """
+    keys = {f"_by_{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    own = list(keys)
+    ranged = checkpointed(df.withColumns({**keys, "_value": value}).repartitionByRange(*by, *own).withColumn("_range", F.spark_partition_id()))
+    last = ranged.groupBy(*by, "_range").agg(F.max_by("_value", F.struct(*own)).alias("_last"))
+    borders = last.select(*by, "_range", F.lag("_last").over(Window.partitionBy(*by).orderBy("_range")).alias("_border"))
+    within = Window.partitionBy(*by, "_range").orderBy(*own)
+    found = ranged.withColumns({"_lag": F.lag("_value").over(within), "_nth": F.row_number().over(within)}).join(borders, [*by, "_range"])
+    return found.withColumn(name, F.when(F.col("_nth") == 1, F.col("_border")).otherwise(F.col("_lag"))).select(*df.columns, name)
+
+
 def unsorted_rows(df: DataFrame, by: list[str], order: str, value: Column | str) -> DataFrame:
     """Rows whose value isn't greater than the one before."""
-    return df.withColumn("_before", F.lag(value).over(Window.partitionBy(*by).orderBy(order))).where(F.col("_before") >= (F.col(value) if isinstance(value, str) else value)).drop("_before")
+    own = F.col(value) if isinstance(value, str) else value
+    return with_before(df, by, [order], own, "_before").where(F.col("_before") >= own).drop("_before")
 
 
 def broken_ranges(ranges: DataFrame, family: str) -> DataFrame:
     """Shards that don't begin where the one before ends."""
-    ends = F.lag(F.col("first") + F.col("records")).over(Window.partitionBy(family).orderBy("shard"))
-    return ranges.withColumn("_end", F.coalesce(ends, F.lit(0))).where("_end != first").drop("_end")
+    found = with_before(ranges, [family], ["shard"], F.col("first") + F.col("records"), "_end")
+    return found.where(F.coalesce("_end", F.lit(0)) != F.col("first")).drop("_end")
+
+
+def bucket_digests(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of each bucket and a digest of them that doesn't depend on their order: sums of two hashes, which bags of equal rows share."""
+    row = F.struct(*sorted(df.columns))
+    hashed = df.select(F.xxhash64(row).alias("_h"), F.xxhash64(F.lit(1), row).alias("_g"))
+    # Sums of halves can't overflow below 2**31 rows of a bucket.
+    halves = [F.sum(part(F.col(c))).alias(f"{c}{i}") for c in ("_h", "_g") for i, part in enumerate((lambda x: F.shiftrightunsigned(x, 32), lambda x: x.bitwiseAND(0xFFFFFFFF)))]
+    return hashed.groupBy(F.pmod("_h", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("_n"), *halves)
+
+
+def differing_rows(one: DataFrame, other: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """The rows (as bags) of one alone and of the other alone: digests are compared first, and rows shuffled only of buckets whose digests differ."""
+    one = one.select(*sorted(one.columns))
+    other = other.select(one.columns)
+    a, b = bucket_digests(one, buckets), bucket_digests(other, buckets)
+    odd = [r["bucket"] for r in a.exceptAll(b).unionByName(b.exceptAll(a)).select("bucket").distinct().collect()]  # at most ``buckets``
+
+    def within(df: DataFrame) -> DataFrame:
+        row = F.struct(*df.columns)
+        return df.where(F.pmod(F.xxhash64(row), F.lit(buckets)).isin(odd)) if odd else df.limit(0)
+
+    return within(one).exceptAll(within(other)), within(other).exceptAll(within(one))
 
 
-def same_rows(one: DataFrame, other: DataFrame) -> bool:
+def same_rows(one: DataFrame, other: DataFrame, buckets: int = BUCKETS) -> bool:
     """Equal as bags of rows."""
-    return one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+    return bucket_digests(one, buckets).exceptAll(bucket_digests(other.select(one.columns), buckets)).isEmpty() and one.count() == other.count()

@@ -76,6 +76,15 @@ def aggregate(rows: DataFrame, keep_members: bool = True, by: tuple[str, ...] =
     return rows.groupBy(*by).agg(F.lit("direct").alias("nature"), F.count("*").alias("occurrence_count"), *sets)
 
 
+def cited(rows: DataFrame, by: tuple[str, ...] = DEPENDENCY) -> DataFrame:
+    """(``by``, part, key): each relation and each piece of evidence (``part`` says which) that a dependency stands for, a row each.
+
+    In this form no row grows with the busiest pair.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("key")) for c in ("relation", "evidence")])
+    return rows.where("is_confirmed").select(*by, F.explode(pairs).alias("own")).select(*by, "own.*").distinct()
+
+
 def in_order(dependencies: DataFrame) -> DataFrame:
     """Canonical order: scope and category by their place in the vocabulary, not by name."""
     return dependencies.orderBy("solution_key", ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES))

@@ -7,6 +7,10 @@ share; the pointer file that names the generation is replaced last, by an overwr
 rename, so readers see the old package or the new one. The digest covers the stored
 content and is checked when it is read. A manifest per solution names its folders, with
 their shards and records, and the index that each journey enters by.
+
+Relations, evidence and who is reached are stored once; dependencies and measures cite them by
+their places in sorted tables, in pages of bounded length with the gaps between the places. So a hub is many
+records, in the package as on the way to it.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import identity, predicates
@@ -35,7 +39,13 @@ JOURNEYS = {"locate": (8, 12_000), "follow-flow": (32, 125_000), "reverse-impact
 COMPONENT_READS = 5
 #: The index that each journey enters by (fixed values).
 ENTRY_INDEX = {"locate": "roots", "follow-flow": "outgoing", "reverse-impact": "incoming", "evidence": "evidence"}
-INDEXES = ("outgoing", "incoming", "contracts", "persistence", "runtime", "roots", "documents", "measures", "evidence")
+INDEXES = ("outgoing", "incoming", "contracts", "persistence", "runtime", "roots", "documents", "measures", "evidence", "identity")
+#: Those with keys and the places of what they lead to; the evidence index routes places to shards, the identity index ids to keys.
+NAVIGATION = INDEXES[:-2]
+#: The ordinal that the evidence journey asks for (fixed value).
+ASKED_EVIDENCE = 0
+#: Entries of a bucket of the identity index, on average.
+IDENTITIES = 200
 RUNTIME = ("http", "grpc", "messaging")
 #: Lines that one task joins for a digest.
 DIGEST_LINES = 4096
@@ -45,20 +55,40 @@ STALE_LOCK = 6 * 3600
 
 @dataclass(frozen=True)
 class Model:
-    """What is retained of a graph, with its dependencies and measures."""
+    """What is retained of a graph, with its dependencies and measures; lists that grow with a hub are rows.
+
+    members: solution_key, ordinal (of the dependency), part (relation or evidence) and key; impact:
+    solution_key, scope, entity, dependent and depth.
+    """
 
     graph: FactualGraph
     dependencies: DataFrame
+    members: DataFrame
     measures: DataFrame
+    impact: DataFrame
 
 
 def build_model(graph: FactualGraph, include_tests: bool = False) -> Model:
     kept = retain.retained(graph, include_tests)
     members = lift.membership(kept.entities, kept.occurrences, include_tests)
-    rows = lift.aggregate(lift.contributions(kept.relations, kept.evidence, members, lift.project_by_document(graph.occurrences, include_tests)))
-    rows = fixpoint.checkpointed(index.spread_ordinals(rows, ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]))
-    found = measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(kept.gaps, members))
-    return Model(kept, rows, fixpoint.checkpointed(found))
+    rows = fixpoint.checkpointed(lift.contributions(kept.relations, kept.evidence, members, lift.project_by_document(graph.occurrences, include_tests)))
+    return model_of(kept, rows, members)
+
+
+def model_of(graph: FactualGraph, contributions: DataFrame, members: DataFrame | None = None) -> Model:
+    """The model of a graph's contributions; with the entities' ``members`` gaps count for these too."""
+    found = lift.aggregate(contributions, keep_members=False)
+    order = [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]
+    rows = fixpoint.checkpointed(index.spread_ordinals(found, ["solution_key"], order))
+    cited = fixpoint.checkpointed(lift.cited(contributions).join(rows.select(*lift.DEPENDENCY, "ordinal"), list(lift.DEPENDENCY)).select("solution_key", "ordinal", "part", "key"))
+    return measured(graph, rows, cited, members)
+
+
+def measured(graph: FactualGraph, dependencies: DataFrame, cited: DataFrame, members: DataFrame | None = None) -> Model:
+    """The model of numbered dependencies and what they cite."""
+    impact = fixpoint.checkpointed(measures.reverse_impact(dependencies))
+    found = measures.assemble(measures.fan(dependencies), measures.cycles(dependencies), impact, measures.gap_counts(graph.gaps, members), lists=False)
+    return Model(graph, dependencies, cited, fixpoint.checkpointed(found), impact)
 
 
 def solution_id(key: Column) -> Column:
@@ -89,23 +119,35 @@ def _shards(records: DataFrame) -> DataFrame:
 
 
 def index_rows(model: Model) -> DataFrame:
-    """solution_key, index, key, ordinals and categories of all navigation indexes."""
+    """solution_key, index, key, page, first, gaps and categories of the indexes by key (``NAVIGATION``)."""
     rows = model.dependencies
     parts = {"outgoing": ("source", None), "incoming": ("target", None), "contracts": ("target", ("contract", "messaging")), "persistence": ("target", ("persistence",)), "runtime": ("source", RUNTIME)}
-    found = [index.inverted(rows if only is None else rows.where(F.col("category").isin(*only)), key, ["solution_key"]).select("solution_key", F.lit(name).alias("index"), F.col(key).alias("key"), "ordinals", "categories") for name, (key, only) in parts.items()]
+    edges = [(rows if only is None else rows.where(F.col("category").isin(*only))).select("solution_key", F.lit(name).alias("index"), F.col(key).alias("key"), "ordinal", "category") for name, (key, only) in parts.items()]
+    found = index.inverted_pages(reduce(DataFrame.unionByName, edges), ["solution_key", "index", "key"])
     # The others number their keys, all in one go.
-    reach = model.measures.groupBy("solution_key", F.col("entity").alias("key")).agg(F.bool_or(F.size("reverse_impact") > 0).alias("reached"))
+    reach = model.measures.groupBy("solution_key", F.col("entity").alias("key")).agg(F.bool_or(F.col("impact_count") > 0).alias("reached"))
     plain = {
         "roots": model.graph.entities.where(F.col("kind").isin(*ROOT_KINDS)).select("solution_key", "key"),
         "documents": rows.where("scope = 'document'").select("solution_key", F.explode(F.array("source", "target")).alias("key")).distinct(),
-        "evidence": model.graph.evidence.select("solution_key", "key").distinct(),
     }
     none = F.array().cast("array<string>")
     keys = [df.select("solution_key", F.lit(name).alias("index"), "key", none.alias("categories")) for name, df in plain.items()]
     keys.append(reach.select("solution_key", F.lit("measures").alias("index"), "key", F.when(F.col("reached"), F.array(F.lit("reachable"))).otherwise(none).alias("categories")))
     placed = index.spread_ordinals(reduce(DataFrame.unionByName, keys), ["solution_key", "index"], ["key"])
-    found.append(placed.select("solution_key", "index", "key", F.array("ordinal").alias("ordinals"), "categories"))
-    return reduce(DataFrame.unionByName, found)
+    plain_rows = placed.select("solution_key", "index", "key", F.lit(0).cast("long").alias("page"), F.col("ordinal").alias("first"), F.array().cast("array<bigint>").alias("gaps"), "categories")
+    return found.unionByName(plain_rows)
+
+
+def identities(words: DataFrame) -> DataFrame:
+    """solution_key, bucket, buckets, id, key and handle of every entity: one bucket holds an id, and buckets don't grow with the index."""
+    rows = words.where("table = 'entities'").select("solution_key", identity.public_id("ent", F.col("key")).alias("id"), "key", "handle")
+    counts = rows.groupBy("solution_key").agg(F.ceil(F.count("*") / IDENTITIES).cast("long").alias("buckets"))
+    return rows.join(counts, "solution_key").select("solution_key", identity_bucket(F.col("id"), F.col("buckets")).alias("bucket"), "buckets", "id", "key", "handle")
+
+
+def identity_bucket(public_id: Column, buckets: Column) -> Column:
+    """The bucket of a public id, from the 30 bits that follow its prefix."""
+    return F.conv(F.substr(public_id, F.lit(5), F.lit(6)), 32, 10).cast("long") % buckets
 
 
 def page_path(key: Column) -> Column:
@@ -129,12 +171,12 @@ def pages(model: Model) -> DataFrame:
         return rows.groupBy("solution_key", "key").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias(title))
 
     # Who is reached backward, nearest first; and gaps by kind.
-    impact = model.measures.select("solution_key", F.col("entity").alias("key"), F.explode("reverse_impact").alias("r")).select("solution_key", "key", F.col("r.depth").alias("depth"), F.col("r.dependent").alias("other")).join(linked, ["solution_key", "other"], "left")
+    impact = model.impact.select("solution_key", F.col("entity").alias("key"), "depth", F.col("dependent").alias("other")).join(linked, ["solution_key", "other"], "left")
     shown = F.when(F.col("page").isNotNull(), F.concat(F.lit("["), "other_name", F.lit("]("), predicates.relative_link(page_path(F.col("key")), F.col("page")), F.lit(")"))).otherwise(predicates.escaped_markdown(predicates.published(F.substring_index("other", ":", -1))))
     impact = impact.groupBy("solution_key", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "other", F.concat(F.lit("- "), F.col("depth").cast("string"), F.lit(" "), shown).alias("line")))), lambda x: x["line"]), "\n").alias("impact"))
     gaps = model.measures.groupBy("solution_key", F.col("entity").alias("key")).agg(*[F.max(f"gaps_{k.lower()}").alias(k) for k in GAP_KINDS])
     gaps = gaps.select("solution_key", "key", F.concat_ws("\n", *[F.when(F.col(k) > 0, F.concat(F.lit(f"- {k} "), F.col(k).cast("string"))) for k in GAP_KINDS]).alias("gaps")).where("gaps != ''")
-    told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.lit("-"), "scope", F.concat(F.lit("fan-in="), F.col("fan_in").cast("string")), F.concat(F.lit("fan-out="), F.col("fan_out").cast("string")), F.concat(F.lit("cycles="), F.size("cycles").cast("string")), F.concat(F.lit("impact="), F.size("reverse_impact").cast("string")), F.concat(F.lit("gaps="), (F.col("gaps_candidate") + F.col("gaps_unknown") + F.col("gaps_openfrontier")).cast("string"))))), "\n").alias("measured")
+    told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.lit("-"), "scope", F.concat(F.lit("fan-in="), F.col("fan_in").cast("string")), F.concat(F.lit("fan-out="), F.col("fan_out").cast("string")), F.concat(F.lit("cycles="), F.size("cycles").cast("string")), F.concat(F.lit("impact="), F.col("impact_count").cast("string")), F.concat(F.lit("gaps="), (F.col("gaps_candidate") + F.col("gaps_unknown") + F.col("gaps_openfrontier")).cast("string"))))), "\n").alias("measured")
     facts = model.measures.groupBy("solution_key", F.col("entity").alias("key")).agg(told)
     out = subjects
     for part in (lines("source", "target", "outgoing"), lines("target", "source", "incoming"), facts, impact, gaps):
@@ -152,56 +194,136 @@ def summaries(model: Model) -> DataFrame:
     counts = model.graph.entities.groupBy("solution_key").agg(F.count("*").alias("entities")).join(model.dependencies.groupBy("solution_key").agg(F.count("*").alias("dependencies")), "solution_key", "left")
     key = F.struct((-F.col("fan_in")).alias("order"), "entity", "fan_in")
     top = model.measures.where("scope = 'component'").select("solution_key", key.alias("row"))
-    best = index.ordinals(top, ["solution_key"], ["row"]).where("ordinal < 5").groupBy("solution_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.concat(F.lit("- ["), predicates.escaped_markdown(F.substring_index(r["entity"], ":", -1)), F.lit("](../"), page_path(r["entity"]), F.lit(") fan-in="), r["fan_in"].cast("string"))), "\n").alias("top"))
+    best = top.withColumn("rank", F.row_number().over(Window.partitionBy("solution_key").orderBy("row"))).where("rank <= 5").groupBy("solution_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.concat(F.lit("- ["), predicates.escaped_markdown(F.substring_index(r["entity"], ":", -1)), F.lit("](../"), page_path(r["entity"]), F.lit(") fan-in="), r["fan_in"].cast("string"))), "\n").alias("top"))
     page = F.concat(F.lit("# Summary\n\n- entities: "), F.col("entities").cast("string"), F.lit("\n- dependencies: "), F.coalesce("dependencies", F.lit(0)).cast("string"), F.lit("\n\n## Most used\n\n"), F.coalesce("top", F.lit("none")), F.lit("\n"))
     return counts.join(best, "solution_key", "left").select("solution_key", F.concat(F.lit("summary/"), solution_id(F.col("solution_key")), F.lit(".md")).alias("path"), F.lit("Markdown").alias("family"), page.alias("payload"), F.lit(1).cast("long").alias("records"))
 
 
 def artifacts(model: Model) -> DataFrame:
     """All artifacts of a package with their digests and sizes."""
-    g, m = model.graph, model.measures
+    g = model.graph
     key = F.col("key")
     variants = g.evidence.select("solution_key", identity.variant_key(F.col("variant")).alias("key")).distinct()
-    tables = {"entities": _universe(g, model.dependencies), "variants": variants, "relations": g.relations, "evidence": g.evidence}
-    words = index.dictionary(reduce(DataFrame.unionByName, [df.select("solution_key", F.lit(name).alias("table"), "key") for name, df in tables.items()]), ["solution_key", "table"], "key")
-    navigation = index_rows(model)
+    rings = model.measures.select("solution_key", F.explode("cycles").alias("key")).distinct()
+    tables = {"entities": _universe(g, model.dependencies), "variants": variants, "relations": g.relations, "evidence": g.evidence, "cycles": rings}
+    words = fixpoint.checkpointed(index.dictionary(reduce(DataFrame.unionByName, [df.select("solution_key", F.lit(name).alias("table"), "key") for name, df in tables.items()]), ["solution_key", "table"], "key"))
+    navigation = fixpoint.checkpointed(index_rows(model))
+    place = F.concat_ws("\x01", "key", F.format_string("%012d", "page"))
     records = [
         *[_records(words.where(F.col("table") == name), "Table", f"tables/{name}", key, F.struct("handle", "key")) for name in tables],
-        _records(g.relations, "Graph", "graph", key, F.struct("key", "source_key", "target_key", "category", "evidence_keys")),
-        _records(encoded_dependencies(model, words.where("table = 'entities'").drop("table")), "Dependencies", "dependencies", F.format_string("%012d", "ordinal"), F.struct("ordinal", "scope", "source", "target", "category", "nature", "occurrence_count", "variants", "relations", "evidence")),
-        _records(m, "Measures", "measures", F.concat_ws("\x01", "scope", "entity"), F.struct("scope", "entity", "fan_in", "fan_out", "cross_component_edges", "cycles", "reverse_impact", "gaps_candidate", "gaps_unknown", "gaps_openfrontier")),
+        _records(coded_relations(g.relations, words), "Graph", "graph", key, F.struct("key", "source", "target", "category", "evidence")),
+        _records(coded_dependencies(model, words), "Dependencies", "dependencies/rows", F.format_string("%012d", "ordinal"), F.struct("ordinal", "scope", "source", "target", "category", "nature", "occurrence_count", "variants", "relation_count", "evidence_count")),
+        _records(cited_pages(model, words), "Dependencies", "dependencies/pages", F.format_string("%012d-%s-%012d", "ordinal", "part", "page"), F.struct("ordinal", "part", "page", "first", "gaps")),
+        _records(coded_measures(model, words), "Measures", "measures/rows", F.concat_ws("\x01", "scope", "place"), F.struct("scope", "entity", "fan_in", "fan_out", "cross_component_edges", "cycles", "impact_count", "gaps_candidate", "gaps_unknown", "gaps_openfrontier")),
+        _records(impact_pages(model, words), "Measures", "measures/impact", F.concat_ws("\x01", "scope", "place", F.format_string("%012d", "page")), F.struct("scope", "entity", "page", "targets")),
         _records(g.evidence, "Evidence", "evidence", key, F.struct("key", "document_key", "variant", "span", "content_digest"), index.EVIDENCE_SHARD_BYTES),
-        *[_records(navigation.where(F.col("index") == i), "Index", f"indexes/{i}", key, F.struct("key", "ordinals", "categories"), index.EVIDENCE_SHARD_BYTES) for i in INDEXES],  # a journey reads one with what it leads to
+        *[_records(navigation.where(F.col("index") == i), "Index", f"indexes/{i}", place, F.struct("key", "page", "first", "gaps", "categories"), index.EVIDENCE_SHARD_BYTES) for i in NAVIGATION],  # a journey reads one with what it leads to
     ]
-    shards = fixpoint.checkpointed(_shards(reduce(DataFrame.unionByName, records)))
+    bulk = fixpoint.checkpointed(_shards(reduce(DataFrame.unionByName, records)))
+    routes = evidence_routes(bulk)
+    router = _records(routes, "Index", "indexes/evidence", F.format_string("%012d", "first"), F.struct("first", "records", "shard"), index.EVIDENCE_SHARD_BYTES)
+    shards = fixpoint.checkpointed(bulk.unionByName(_shards(router)).unionByName(_identity_shards(words)))
     return described(shards.unionByName(manifests(g, shards)).unionByName(pages(model)).unionByName(summaries(model)))
 
 
+def evidence_routes(shards: DataFrame) -> DataFrame:
+    """solution_key, first, records and shard: which evidence, by its place in the sorted table, each evidence shard holds."""
+    rows = shards.where(F.col("family") == "Evidence").select("solution_key", F.col("path").alias("shard"), "records", predicates.stem(F.col("path")).cast("long").alias("nth"))
+    return index.sum_before(rows, ["solution_key"], "nth", "records", "first").select("solution_key", "first", "records", "shard")
+
+
+def _identity_shards(words: DataFrame) -> DataFrame:
+    """A shard for every bucket of ids, also one without any."""
+    rows = identities(words)
+    every = rows.groupBy("solution_key").agg(F.max("buckets").alias("buckets")).select("solution_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"))
+    held = rows.groupBy("solution_key", "bucket").agg(F.array_sort(F.collect_list(F.struct("id", canonical(F.struct("id", "key", "handle")).alias("json")))).alias("all"))
+    shards = every.join(held, ["solution_key", "bucket"], "left").withColumn("all", F.coalesce("all", F.array().cast(held.schema["all"].dataType)))
+    path = F.concat(F.lit("indexes/identity/"), solution_id(F.col("solution_key")), F.format_string("/%06d.json", F.col("bucket")))
+    return shards.select("solution_key", path.alias("path"), F.lit("Index").alias("family"), F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["json"]), ","), F.lit("]")).alias("payload"), F.size("all").cast("long").alias("records"))
+
+
 def described(rows: DataFrame) -> DataFrame:
     """Artifact rows with the digest and the bytes of their payload."""
     return rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
 
 
-def encoded_dependencies(model: Model, words: DataFrame) -> DataFrame:
-    """Dependencies with the handles of the entity table (solution_key, key, handle) for both ends."""
-    words = words.select("solution_key", "key", "handle")
+def _table(words: DataFrame, name: str) -> DataFrame:
+    return words.where(F.col("table") == name).select("solution_key", "key", "handle", "ordinal")
+
+
+def coded_relations(relations: DataFrame, words: DataFrame) -> DataFrame:
+    """Relations with the handles of their ends and the places of their evidence."""
+    rows = relations.select("solution_key", "key", F.col("source_key").alias("source"), F.col("target_key").alias("target"), "category")
+    for column in ("source", "target"):
+        rows = index.encoded(rows, _table(words, "entities").drop("ordinal"), ["solution_key"], column)
+    own = relations.select("solution_key", F.col("key").alias("relation"), F.explode("evidence_keys").alias("key")).join(_table(words, "evidence"), ["solution_key", "key"])
+    proofs = own.groupBy("solution_key", F.col("relation").alias("key")).agg(F.array_sort(F.collect_set("ordinal")).alias("evidence"))
+    return rows.join(proofs, ["solution_key", "key"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<bigint>")))
+
+
+def coded_dependencies(model: Model, words: DataFrame) -> DataFrame:
+    """Dependencies with the handles of both ends and of the variants."""
     rows = model.dependencies
     for column in ("source", "target"):
-        rows = index.encoded(rows, words, ["solution_key"], column)
-    return rows
+        rows = index.encoded(rows, _table(words, "entities").drop("ordinal"), ["solution_key"], column)
+    own = rows.select("solution_key", "ordinal", F.explode("variants").alias("key")).join(_table(words, "variants").withColumnRenamed("ordinal", "place"), ["solution_key", "key"])
+    variants = own.groupBy("solution_key", "ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "handle"))), lambda x: x["handle"]).alias("variants"))
+    return rows.drop("variants").join(variants, ["solution_key", "ordinal"], "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<string>")))
+
+
+def cited_pages(model: Model, words: DataFrame) -> DataFrame:
+    """solution_key, ordinal, part, page, first and gaps: the relations and the evidence of every dependency, by their places."""
+    places = words.where(F.col("table").isin("relations", "evidence")).select("solution_key", F.when(F.col("table") == "relations", "relation").otherwise("evidence").alias("part"), "key", F.col("ordinal").alias("place"))
+    rows = model.members.join(places, ["solution_key", "part", "key"], "left")
+    missing = F.raise_error(F.concat(F.lit("A dependency cites what isn't retained: "), F.col("key"))).cast("long")
+    by = ["solution_key", "ordinal", "part"]
+    pages = index.placed_pages(rows.select(*by, F.coalesce("place", missing).alias("place")), by, ["place"])
+    return pages.groupBy(*by, "page").agg(index.coded_list(F.array_sort(F.collect_list("place"))).alias("list")).select(*by, "page", "list.*")
+
+
+def coded_measures(model: Model, words: DataFrame) -> DataFrame:
+    """Measures with the handles of the entity and of its cycles; ``place`` is the entity's key."""
+    rows = model.measures.withColumn("place", F.col("entity"))
+    own = rows.select("solution_key", "scope", "place", F.explode("cycles").alias("key")).join(_table(words, "cycles"), ["solution_key", "key"])
+    rings = own.groupBy("solution_key", "scope", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "handle"))), lambda x: x["handle"]).alias("cycles"))
+    rows = rows.drop("cycles").join(rings, ["solution_key", "scope", "place"], "left").withColumn("cycles", F.coalesce("cycles", F.array().cast("array<string>")))
+    return index.encoded(rows, _table(words, "entities").drop("ordinal"), ["solution_key"], "entity")
+
+
+def impact_pages(model: Model, words: DataFrame) -> DataFrame:
+    """solution_key, scope, place, entity, page and targets: who reaches an entity, nearest first, in pages."""
+    entities = _table(words, "entities").drop("ordinal")
+    rows = model.impact.withColumns({"place": F.col("entity"), "name": F.col("dependent")})
+    for column in ("entity", "dependent"):
+        rows = index.encoded(rows, entities, ["solution_key"], column)
+    by = ["solution_key", "scope", "place", "entity"]
+    pages = index.placed_pages(rows, by, ["depth", "name"])
+    targets = F.transform(F.array_sort(F.collect_list(F.struct("depth", "name", "dependent"))), lambda x: F.struct(x["depth"].alias("depth"), x["dependent"].alias("entity")))
+    return pages.groupBy(*by, "page").agg(targets.alias("targets"))
+
+
+def _folder_of(path: Column) -> Column:
+    return F.regexp_replace(path, "/sol_[^/]*/[^/]*$", "")
 
 
 def manifests(graph: FactualGraph, shards: DataFrame) -> DataFrame:
-    """A manifest per solution: every index, also one without an entry, and the other folders, with shards and records; the journeys' entries."""
-    counts = shards.select("solution_key", F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.when(F.col("path").rlike("^(indexes|tables)/"), F.split_part("path", F.lit("/"), F.lit(2)))).alias("folder"), "records")
+    """Two manifests per solution: one with every index, also one without an entry, and the journeys' entries; beside it one with the other folders."""
+    counts = shards.select("solution_key", _folder_of(F.col("path")).alias("folder"), "records")
     counts = counts.groupBy("solution_key", "folder").agg(F.count("*").alias("shards"), F.sum("records").alias("records"))
     wanted = graph.entities.select("solution_key").distinct().select("solution_key", F.explode(F.array(*[F.lit(f"indexes/{i}") for i in INDEXES])).alias("folder"))
     folders = wanted.join(counts, ["solution_key", "folder"], "full").select("solution_key", "folder", F.coalesce("shards", F.lit(0)).alias("shards"), F.coalesce("records", F.lit(0)).alias("records"))
-    listed = folders.groupBy("solution_key").agg(F.array_sort(F.collect_list(F.struct("folder", "shards", "records"))).alias("folders"))
+    is_index = F.col("folder").startswith("indexes/")
+    listed = folders.groupBy("solution_key", is_index.alias("main")).agg(F.array_sort(F.collect_list(F.struct("folder", "shards", "records"))).alias("folders"))
     sid = solution_id(F.col("solution_key"))
     entries = F.array(*[F.struct(F.lit(j).alias("journey"), F.lit(f"indexes/{i}").alias("entry")) for j, i in ENTRY_INDEX.items()])
+    entries = F.when(F.col("main"), entries).otherwise(F.slice(entries, 1, 0))
     payload = canonical(F.struct(sid.alias("id"), F.col("solution_key").alias("key"), "folders", entries.alias("journeys")), indented=True)
-    return listed.select("solution_key", F.concat(F.lit("solutions/"), sid, F.lit("/manifest.json")).alias("path"), F.lit("Manifest").alias("family"), payload.alias("payload"), F.lit(1).cast("long").alias("records"))
+    return listed.select("solution_key", F.concat(F.lit("solutions/"), sid, F.when(F.col("main"), "/manifest.json").otherwise("/folders/manifest.json")).alias("path"), F.lit("Manifest").alias("family"), payload.alias("payload"), F.lit(1).cast("long").alias("records"))
+
+
+def main_manifests(rows: DataFrame) -> DataFrame:
+    """The manifests that journeys begin with."""
+    return rows.where((F.col("family") == "Manifest") & ~F.col("path").endswith("/folders/manifest.json"))
 
 
 MANIFEST = "id string, key string, folders array<struct<folder:string,shards:bigint,records:bigint>>, journeys array<struct<journey:string,entry:string>>"
@@ -228,7 +350,7 @@ def read_declared(rows: DataFrame) -> DataFrame:
 
 def entry_of(rows: DataFrame) -> DataFrame:
     """solution_key, journey and entry (a folder) of every journey: an error unless a solution has exactly one manifest, and it exactly one folder of each index."""
-    told = rows.where("family = 'Manifest'").select("solution_key", _manifest().alias("m"))
+    told = main_manifests(rows).select("solution_key", _manifest().alias("m"))
     n = F.aggregate(F.array(*[F.lit(f"indexes/{i}") for i in INDEXES]), F.lit(True), lambda ok, i: ok & (F.size(F.filter("m.folders", lambda f: f["folder"] == i)) == 1))
     several = told.groupBy("solution_key").agg(F.count("*").alias("manifests"), F.first("m").alias("m"))
     checked = several.withColumn("m", F.when((F.col("manifests") == 1) & n, F.col("m")).otherwise(F.raise_error(F.concat(F.lit("not-exactly-one-index: "), "solution_key")).cast(told.schema["m"].dataType)))
@@ -454,9 +576,10 @@ def read_artifact(rows: DataFrame, path: str) -> str:
     return found[0][0]
 
 
-def records_of(rows: DataFrame, folder: str, schema: str) -> DataFrame:
-    """The records of a folder's shards, strictly parsed: a record with another set of keys is an error."""
-    parsed = rows.where(F.col("path").startswith(folder + "/")).select("solution_key", "path", F.posexplode(F.from_json("payload", "array<string>")).alias("place", "record"))
+def records_of(rows: DataFrame, folder: str | list[str], schema: str) -> DataFrame:
+    """The records of the shards of a folder, or of some, strictly parsed: a record with another set of keys is an error."""
+    within = [F.col("path").startswith(f + "/") for f in ([folder] if isinstance(folder, str) else folder)]
+    parsed = rows.where(reduce(Column.__or__, within)).select("solution_key", "path", F.posexplode(F.from_json("payload", "array<string>")).alias("place", "record"))
     names = [x.strip().split(" ")[0] for x in _fields(schema)]
     extra = F.size(F.array_except(F.json_object_keys("record"), F.array(*map(F.lit, names)))) > 0
     checked = F.when(extra, F.raise_error(F.concat(F.lit("unknown property in "), "path")).cast("string")).otherwise(F.col("record"))
@@ -475,10 +598,41 @@ def _fields(schema: str) -> list[str]:
     return [*out, own]
 
 
+NAVIGATED = "key string, page bigint, first bigint, gaps array<bigint>, categories array<string>"
+
+
+def index_records(rows: DataFrame, names: tuple[str, ...] = NAVIGATION) -> DataFrame:
+    """The records of some indexes by key, with the name of each (``index``)."""
+    found = records_of(rows, [f"indexes/{i}" for i in names], NAVIGATED)
+    return found.withColumn("index", F.split_part("path", F.lit("/"), F.lit(2)))
+
+
 def locate(rows: DataFrame, name: str, key: str) -> DataFrame:
-    """The entry of one key in an index: path, ordinals and categories."""
-    found = records_of(rows, f"indexes/{name}", "key string, ordinals array<bigint>, categories array<string>")
-    return found.where(F.col("key") == key).select("path", "ordinals", "categories")
+    """The entry of one key in an index, a row for each of its pages: path, ordinals and categories."""
+    found = index_records(rows, (name,)).where(F.col("key") == key)
+    return found.select("path", index.decoded_list(F.col("first"), F.col("gaps")).alias("ordinals"), "categories")
+
+
+def identity_path(rows: DataFrame, solution: str, public_id: str) -> str:
+    """The one artifact that may know an id, by the manifest and the id alone."""
+    known = json.loads(read_artifact(rows, f"solutions/{solution}/manifest.json"))
+    buckets = next(f["shards"] for f in known["folders"] if f["folder"] == "indexes/identity")
+    return f"indexes/identity/{solution}/{int(public_id[4:10], 32) % max(buckets, 1):06d}.json"
+
+
+def locate_identity(rows: DataFrame, solution: str, public_id: str) -> dict | None:
+    """The id, key and handle of a public id (None: unknown); two artifacts are read, whatever the index's size."""
+    for known in json.loads(read_artifact(rows, identity_path(rows, solution, public_id))):
+        if known["id"] == public_id:
+            return known
+    return None
+
+
+def evidence_shards(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """solution_key, ordinal, shard and router: the shard that holds each asked (solution_key, ordinal), and the artifact that routes there."""
+    routes = records_of(rows, "indexes/evidence", "first bigint, records bigint, shard string")
+    found = index.shard_of(asked, routes.select("solution_key", F.struct("shard", F.col("path").alias("router")).alias("shard"), "first", "records"), "solution_key")
+    return found.select("solution_key", "ordinal", "shard.*")
 
 
 # --- validation and certification ---
@@ -497,23 +651,23 @@ def first_failure(rows: DataFrame, model: Model | None = None) -> PackageError |
         ("table-order", "content", _unsorted_tables(rows)),
         ("duplicate-key", "content", records_of(rows, "tables", "handle string, key string").groupBy("solution_key", F.split_part("path", F.lit("/"), F.lit(2)).alias("table"), "key").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1")),
         ("unretained-evidence", "content", _unretained(rows)),
+        ("short-list", "content", _short_lists(rows)),
     ]
     if model is not None:
-        own = index_rows(model).select(F.col("index").alias("i"), "solution_key", "key", "ordinals", "categories")
-        stored = records_of(rows, "indexes", "key string, ordinals array<bigint>, categories array<string>").withColumn("i", F.split_part("path", F.lit("/"), F.lit(2))).select("i", "solution_key", "key", "ordinals", "categories")
-        checks += [("index-mismatch", "rehydrate", own.exceptAll(stored)), ("index-mismatch", "rehydrate", stored.exceptAll(own))]
-        made = pages(model).unionByName(summaries(model)).select("path", F.sha2("payload", 256).alias("digest"))
-        held = rows.where("family = 'Markdown'").select("path", "digest")
-        checks += [("page-mismatch", "rehydrate", made.exceptAll(held)), ("page-mismatch", "rehydrate", held.exceptAll(made))]
-        for code, made, held in (
+        names = ["index", "solution_key", "key", "page", "first", "gaps", "categories"]
+        markdown = rows.where("family = 'Markdown'").select("path", "digest")
+        compared = [
+            ("index-mismatch", index_rows(model).select(*names), index_records(rows).select(*names)),
+            ("page-mismatch", pages(model).unionByName(summaries(model)).select("path", F.sha2("payload", 256).alias("digest")), markdown),
             ("dependency-mismatch", model.dependencies, dependencies_of(rows)),
-            ("measure-mismatch", model.measures, records_of(rows, "measures", MEASURE)),
-            ("relation-mismatch", model.graph.relations, records_of(rows, "graph", RELATION)),
-            ("evidence-mismatch", model.graph.evidence, records_of(rows, "evidence", f"key string, document_key string, variant {VARIANT}, span {SPAN}, content_digest string")),
-        ):
-            names = [c for c in held.columns if c not in ("path", "place")]
-            made, held = made.select(*names), held.select(*names)
-            checks += [(code, "rehydrate", made.exceptAll(held)), (code, "rehydrate", held.exceptAll(made))]
+            ("dependency-mismatch", model.members, cited_of(rows)),
+            ("measure-mismatch", model.measures, measures_of(rows)),
+            ("measure-mismatch", model.impact, impact_of(rows)),
+            ("relation-mismatch", model.graph.relations, relations_of(rows)),
+            ("evidence-mismatch", model.graph.evidence, records_of(rows, "evidence", PROOF).drop("path", "place")),
+        ]
+        for code, made, held in compared:
+            checks += [(code, "rehydrate", bad) for bad in index.differing_rows(made.select(*held.columns), held)]
     # Checks of one stage are one job; a later stage may take for granted what the ones before have seen.
     stages = list(dict.fromkeys(stage for _, stage, _ in checks))
     for stage in stages:
@@ -524,29 +678,86 @@ def first_failure(rows: DataFrame, model: Model | None = None) -> PackageError |
     return None
 
 
-DEPENDENCY = "ordinal bigint, scope string, source string, target string, category string, nature string, occurrence_count bigint, variants array<string>, relations array<string>, evidence array<string>"
-MEASURE = "scope string, entity string, fan_in bigint, fan_out bigint, cross_component_edges bigint, cycles array<string>, reverse_impact array<struct<depth:int,dependent:string>>, gaps_candidate bigint, gaps_unknown bigint, gaps_openfrontier bigint"
-RELATION = "key string, source_key string, target_key string, category string, evidence_keys array<string>"
+DEPENDENCY = "ordinal bigint, scope string, source string, target string, category string, nature string, occurrence_count bigint, variants array<string>, relation_count bigint, evidence_count bigint"
+CITED = "ordinal bigint, part string, page bigint, first bigint, gaps array<bigint>"
+MEASURE = "scope string, entity string, fan_in bigint, fan_out bigint, cross_component_edges bigint, cycles array<string>, impact_count bigint, gaps_candidate bigint, gaps_unknown bigint, gaps_openfrontier bigint"
+IMPACT = "scope string, entity string, page bigint, targets array<struct<depth:int,entity:string>>"
+RELATION = "key string, source string, target string, category string, evidence array<bigint>"
+PROOF = f"key string, document_key string, variant {VARIANT}, span {SPAN}, content_digest string"
+
+
+def words_of(rows: DataFrame, name: str) -> DataFrame:
+    """solution_key, key, handle and ordinal of a stored table."""
+    return records_of(rows, f"tables/{name}", "handle string, key string").select("solution_key", "key", "handle", F.conv("handle", 36, 10).cast("long").alias("ordinal"))
+
+
+def _decoded_lists(rows: DataFrame, words: DataFrame, by: list[str], column: str) -> DataFrame:
+    """``rows`` with the handles of a short list replaced by their keys."""
+    own = rows.select("solution_key", *by, F.explode(column).alias("handle")).join(words.select("solution_key", "key", "handle"), ["solution_key", "handle"], "left")
+    lists = own.groupBy("solution_key", *by).agg(F.array_sort(F.collect_list(F.coalesce("key", F.raise_error(F.concat(F.lit("corrupt handle "), F.col("handle"))).cast("string")))).alias("_list"))
+    return rows.join(lists, ["solution_key", *by], "left").withColumn(column, F.coalesce("_list", F.array().cast("array<string>"))).drop("_list")
 
 
 def dependencies_of(rows: DataFrame) -> DataFrame:
-    """The stored dependencies with their ends decoded by the entity table."""
-    words = records_of(rows, "tables/entities", "handle string, key string").select("solution_key", "key", "handle")
-    out = records_of(rows, "dependencies", DEPENDENCY)
+    """The stored dependencies with their ends and variants decoded."""
+    words = words_of(rows, "entities").drop("ordinal")
+    out = records_of(rows, "dependencies/rows", DEPENDENCY).drop("path", "place")
     for column in ("source", "target"):
         out = index.decoded(out, words, ["solution_key"], column)
+    return _decoded_lists(out, words_of(rows, "variants"), ["ordinal"], "variants")
+
+
+def cited_of(rows: DataFrame) -> DataFrame:
+    """solution_key, ordinal, part and key: the stored relations and evidence of every dependency."""
+    tables = words_of(rows, "relations").withColumn("part", F.lit("relation")).unionByName(words_of(rows, "evidence").withColumn("part", F.lit("evidence")))
+    placed = index.decoded_pages(records_of(rows, "dependencies/pages", CITED).drop("path", "place"), ["solution_key", "ordinal", "part"], "at")
+    found = placed.join(tables.select("solution_key", "part", F.col("ordinal").alias("at"), "key"), ["solution_key", "part", "at"], "left")
+    lost = F.raise_error(F.concat(F.lit("corrupt place "), F.col("at").cast("string"))).cast("string")
+    return found.select("solution_key", "ordinal", "part", F.coalesce("key", lost).alias("key"))
+
+
+def measures_of(rows: DataFrame) -> DataFrame:
+    out = index.decoded(records_of(rows, "measures/rows", MEASURE).drop("path", "place"), words_of(rows, "entities").drop("ordinal"), ["solution_key"], "entity")
+    return _decoded_lists(out, words_of(rows, "cycles"), ["scope", "entity"], "cycles")
+
+
+def impact_of(rows: DataFrame) -> DataFrame:
+    """solution_key, scope, entity, dependent and depth, as stored."""
+    words = words_of(rows, "entities").drop("ordinal")
+    out = records_of(rows, "measures/impact", IMPACT).select("solution_key", "scope", "entity", F.explode("targets").alias("t")).select("solution_key", "scope", "entity", F.col("t.entity").alias("dependent"), F.col("t.depth").alias("depth"))
+    for column in ("entity", "dependent"):
+        out = index.decoded(out, words, ["solution_key"], column)
     return out
 
 
+def relations_of(rows: DataFrame) -> DataFrame:
+    words = words_of(rows, "entities").drop("ordinal")
+    out = records_of(rows, "graph", RELATION).select("solution_key", "key", F.col("source").alias("source_key"), F.col("target").alias("target_key"), "category", "evidence")
+    for column in ("source_key", "target_key"):
+        out = index.decoded(out, words, ["solution_key"], column)
+    proofs = out.select("solution_key", "key", F.explode("evidence").alias("at")).join(words_of(rows, "evidence").select("solution_key", F.col("ordinal").alias("at"), F.col("key").alias("proof")), ["solution_key", "at"])
+    lists = proofs.groupBy("solution_key", "key").agg(F.array_sort(F.collect_list("proof")).alias("evidence_keys"))
+    return out.drop("evidence").join(lists, ["solution_key", "key"], "left").withColumn("evidence_keys", F.coalesce("evidence_keys", F.array().cast("array<string>")))
+
+
 def _unretained(rows: DataFrame) -> DataFrame:
     """Dependencies that cite evidence which the package doesn't hold."""
-    cited = records_of(rows, "dependencies", DEPENDENCY).select("solution_key", "path", F.explode("evidence").alias("key"))
-    return cited.join(records_of(rows, "evidence", f"key string, document_key string, variant {VARIANT}, span {SPAN}, content_digest string").select("solution_key", "key"), ["solution_key", "key"], "left_anti")
+    cited = index.decoded_pages(records_of(rows, "dependencies/pages", CITED).where("part = 'evidence'").drop("path", "place"), ["solution_key", "ordinal"], "at")
+    known = words_of(rows, "evidence").join(records_of(rows, "evidence", PROOF).select("solution_key", "key"), ["solution_key", "key"], "left_semi")
+    lost = cited.join(known.select("solution_key", F.col("ordinal").alias("at")), ["solution_key", "at"], "left_anti")
+    return lost.select(F.concat_ws(" ", F.lit("dependency"), F.col("ordinal").cast("string")).alias("key"))
+
+
+def _short_lists(rows: DataFrame) -> DataFrame:
+    """Dependencies whose pages hold more or fewer places than they count."""
+    pages = records_of(rows, "dependencies/pages", CITED).groupBy("solution_key", "ordinal").agg(*[F.sum(F.when(F.col("part") == p, F.size("gaps") + 1).otherwise(0)).alias(f"own_{p}") for p in ("relation", "evidence")])
+    both = records_of(rows, "dependencies/rows", DEPENDENCY).join(pages, ["solution_key", "ordinal"], "full")
+    return both.where(~(F.col("relation_count").eqNullSafe(F.col("own_relation")) & F.col("evidence_count").eqNullSafe(F.col("own_evidence")))).select(F.concat_ws(" ", F.lit("dependency"), F.col("ordinal").cast("string")).alias("key"))
 
 
 def _undeclared(rows: DataFrame) -> DataFrame:
     """Folders whose shards or records aren't as many as the manifest says."""
-    own = rows.where(F.col("path").endswith(".json") & (F.col("family") != "Manifest")).select("solution_key", F.regexp_replace("path", "/sol_[^/]*/[^/]*$", "").alias("folder"), "records")
+    own = rows.where(F.col("path").endswith(".json") & (F.col("family") != "Manifest")).select("solution_key", _folder_of(F.col("path")).alias("folder"), "records")
     own = own.groupBy("solution_key", "folder").agg(F.count("*").alias("own_shards"), F.sum("records").alias("own_records"))
     both = own.join(declared(rows), ["solution_key", "folder"], "full")
     return both.where(~(F.coalesce("own_shards", F.lit(0)).eqNullSafe(F.col("shards")) & F.coalesce("own_records", F.lit(0)).eqNullSafe(F.col("records")))).select(F.col("folder").alias("path"))
@@ -560,7 +771,7 @@ def _shard_gaps(rows: DataFrame) -> DataFrame:
 
 def _unsorted_tables(rows: DataFrame) -> DataFrame:
     table = records_of(rows, "tables", "handle string, key string").withColumn("stream", predicates.folder(F.col("path")))
-    return index.unsorted_rows(table.withColumn("at", F.struct("path", "place")), ["stream"], "at", "key")
+    return index.with_before(table, ["stream"], ["path", "place"], F.col("key"), "before").where("before >= key")
 
 
 def journey_costs(opened: DataFrame, by: tuple[str, ...] = ("journey",)) -> DataFrame:
@@ -577,7 +788,7 @@ def within_budget(reads: Column, tokens: Column, most_reads: Column, most_tokens
 
 def _navigation(rows: DataFrame) -> DataFrame:
     """Of each solution what its indexes say: entries, categories, and whether they lead anywhere; one row."""
-    entries = records_of(rows, "indexes", "key string, ordinals array<bigint>, categories array<string>").withColumn("i", F.split_part("path", F.lit("/"), F.lit(2)))
+    entries = index_records(rows).withColumnRenamed("index", "i")
 
     def where(name: str, *more: Column) -> Column:
         found = F.col("i") == name
@@ -588,10 +799,10 @@ def _navigation(rows: DataFrame) -> DataFrame:
     def has(*categories: str) -> Column:
         return F.arrays_overlap("categories", F.array(*map(F.lit, categories)))
 
-    leads = F.size("ordinals") > 0
+    leads = F.col("first").isNotNull()
     causal = ("http", "grpc", "messaging", "contract")
     flags = {
-        "roots": where("roots"), "proofs": where("evidence"), "measured": where("measures"), "reached": where("measures", has("reachable")),
+        "roots": where("roots"), "measured": where("measures"), "reached": where("measures", has("reachable")),
         "causal": where("outgoing", has(*causal)), "out_contract": where("outgoing", has("contract")), "out_persistence": where("outgoing", has("persistence")), "out_external": where("outgoing", has(*RUNTIME)),
         "contract_leads": where("contracts", has("contract"), leads), "persistence_leads": where("persistence", has("persistence"), leads), "impact": where("incoming", has(*causal, "persistence")),
     }
@@ -603,26 +814,30 @@ def certify(rows: DataFrame) -> DataFrame:
     """solution_key, solution_id, journey, status, reason, reads, bytes and tokens of the four journeys of every solution.
 
     Each is told from the artifacts that it opens: its solution's manifest, the shards of the
-    indexes it reads, and where it ends (the first root's page; the shard that holds the first
-    piece of evidence). Of a flow's ends one that the dependencies have and the index doesn't
+    indexes it reads, and where it ends (the first root's page; the shard that the evidence index routes
+    the asked ordinal to). Of a flow's ends one that the dependencies have and the index doesn't
     lead to fails before one that they lack makes the journey inapplicable.
     """
     sid = solution_id(F.col("solution_key"))
-    told = rows.where("family = 'Manifest'").select("solution_key").join(_navigation(rows), "solution_key", "left")
+    told = main_manifests(rows).select("solution_key").join(_navigation(rows), "solution_key", "left")
     entries = entry_of(rows)
-    folder = F.regexp_replace("path", "/sol_[^/]*/[^/]*$", "")
     more = {"follow-flow": ("indexes/contracts", "indexes/persistence"), "reverse-impact": ("indexes/measures",)}
     others = F.create_map(*[x for j in JOURNEYS for x in (F.lit(j), F.array(*map(F.lit, more.get(j, ()))).cast("array<string>"))])
     wanted = entries.select("solution_key", "journey", F.explode(F.concat(F.array("entry"), F.element_at(others, F.col("journey")))).alias("folder"))
-    shards = rows.where(F.col("path").endswith(".json")).select("solution_key", folder.alias("folder"), "path", "bytes")
+    shards = rows.where(F.col("path").endswith(".json")).select("solution_key", _folder_of(F.col("path")).alias("folder"), "path", "bytes")
     is_first = F.col("path").endswith("/000000.json")
-    # A walk through the graph reads whole indexes; the other two the shard that begins them.
-    indexes = wanted.join(shards, ["solution_key", "folder"]).where(F.col("journey").isin("follow-flow", "reverse-impact") | is_first).select("solution_key", "journey", "path", "bytes")
-    whole = rows.where("family = 'Manifest'").select("solution_key", F.explode(F.array(*map(F.lit, JOURNEYS))).alias("journey"), "path", "bytes")
-    page = told.where("root is not null").select("solution_key", F.lit("locate").alias("journey"), page_path(F.col("root")).alias("path")).join(rows.select("path", "bytes"), "path").select("solution_key", "journey", "path", "bytes")
-    proof = shards.where((F.col("folder") == "evidence") & is_first).select("solution_key", F.lit("evidence").alias("journey"), "path", "bytes")
+    # A walk through the graph reads whole indexes, locating the shard that begins one, and evidence what routes to it.
+    walks = F.col("journey").isin("follow-flow", "reverse-impact") | ((F.col("journey") == "locate") & is_first)
+    indexes = wanted.join(shards, ["solution_key", "folder"]).where(walks).select("solution_key", "journey", "path", "bytes")
+    whole = main_manifests(rows).select("solution_key", F.explode(F.array(*map(F.lit, JOURNEYS))).alias("journey"), "path", "bytes")
+    page = told.where("root is not null").select("solution_key", F.lit("locate").alias("journey"), page_path(F.col("root")).alias("path")).join(rows.select("solution_key", "path", "bytes"), ["solution_key", "path"]).select("solution_key", "journey", "path", "bytes")
+    asked = told.select("solution_key", F.lit(ASKED_EVIDENCE).cast("long").alias("ordinal"))
+    route = evidence_shards(rows, asked).select("solution_key", F.lit("evidence").alias("journey"), "shard", "router")
+    proof = route.select("solution_key", "journey", F.explode(F.array("router", "shard")).alias("path")).join(shards.select("solution_key", "path", "bytes"), ["solution_key", "path"]).select("solution_key", "journey", "path", "bytes")
     costs = journey_costs(reduce(DataFrame.unionByName, (whole, indexes, page, proof)), ("solution_key", "journey"))
-    ends = page.unionByName(proof).select("solution_key", "journey", F.lit(True).alias("ends")).distinct()
+    ends = page.unionByName(proof.where(F.col("path").startswith("evidence/"))).select("solution_key", "journey", F.lit(True).alias("ends")).distinct()
+    routed = records_of(rows, "indexes/evidence", "first bigint, records bigint, shard string").select("solution_key", F.lit(True).alias("proofs")).distinct()
+    told = told.join(routed, "solution_key", "left")
     out = entries.select("solution_key", "journey").join(costs, ["solution_key", "journey"]).join(ends, ["solution_key", "journey"], "left").join(told, "solution_key")
 
     def flag(name: str) -> Column:
