@@ -5,8 +5,9 @@
 2. Each task counts a key once a document before anything is shuffled; then distinct documents are
    counted per key, by (key, document) first, so that a line which a third of all documents share is
    spread over all tasks.
-3. Keys of ``documents`` documents and more are joined back to their lines, a join that adaptive execution splits
-   where a key is hot, and each text gets the places of the lines that it loses.
+3. Keys of ``documents`` documents and more are joined back to their lines, and each text gets the places of the lines
+   that it loses. Hot keys, each more than a ``HOT``-th of what all such keys count (so fewer than ``HOT`` of them, which
+   bounds their broadcast), get salts: their lines meet in many tasks.
 4. Texts are put together again from the places that stay, in their order.
 
 A text is known by its id and hash, as what goes depends on these alone. Defined results: a null or
@@ -20,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import whole_text
+from ledgerline.llm.common import checkpointed, whole_text
 
 SHORTEST = 10
 DOCUMENTS = 2
+HOT = 512
+SALTS = 64
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEXT = ("doc_id", "text_low", "text_high")
@@ -48,11 +51,21 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 
 
 def shared_keys(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """low, high, first and known of the keys in ``documents`` documents: the least id that has them (``known``: there is one)."""
+    """low, high, documents and first of the keys in ``documents`` documents: their number, and the least id."""
     once = lines.groupBy(*_KEY, "doc_id").agg(F.lit(1).alias("one"))
-    # Nulls aren't counted by a minimum, but a document they are.
+    # Nulls aren't seen by a minimum, but a document they are.
     counted = once.groupBy(*_KEY).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
-    return counted.where(F.col("documents") >= documents).select(*_KEY, "first")
+    return counted.where(F.col("documents") >= documents)
+
+
+def with_first(lines: DataFrame, shared: DataFrame, hot: int = HOT, salts: int = SALTS) -> DataFrame:
+    """The lines whose key is shared, with the first document of it."""
+    total = shared.agg(F.sum("documents")).first()[0] or 0
+    is_hot = F.col("documents") * hot > total
+    keys = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0)))).select(*_KEY, "salt", "first")
+    marked = lines.join(F.broadcast(shared.where(is_hot).select(*_KEY, F.lit(True).alias("hot"))), list(_KEY), "left")
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "text_low"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    return marked.withColumn("salt", spread).drop("hot").join(keys, [*_KEY, "salt"])
 
 
 def drop_shared_lines(docs: DataFrame, shortest: int = SHORTEST, documents: int = DOCUMENTS) -> DataFrame:
@@ -60,7 +73,7 @@ def drop_shared_lines(docs: DataFrame, shortest: int = SHORTEST, documents: int
     low, high = _hashes("text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs["text"]).alias("text")).withColumns({"text_low": low, "text_high": high})
     lines = lines_of(rows, shortest)
-    gone = lines.join(shared_keys(lines, documents), list(_KEY)).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    gone = with_first(lines, checkpointed(shared_keys(lines, documents))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     places = gone.groupBy(*_TEXT).agg(F.collect_set("place").alias("gone"))
     # Nulls are equal here: an id that is missing is told apart by its flag.
     key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_low", "text_high"]
