@@ -75,23 +75,31 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.unionByName(supplier).join(place, "n_nationkey").select("c_custkey", "s_suppkey", "n_name", "r_name", "is_test", F.concat(folder, name, F.lit("/"), name, F.lit(".csproj")).alias("path"))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> FactualGraph:
-    """The evidence graph of the tables."""
+def graph(spark: SparkSession, sf_dir: str, by_region: bool = False) -> FactualGraph:
+    """The evidence graph of the tables: one solution, or one for each region.
+
+    A region's solution has the orders of its customers with their relations and gaps, and the projects of these; all
+    suppliers, nations and regions are in each.
+    """
     sol = F.lit(SOLUTION)
+    regions = F.array(*[F.lit(r[0]) for r in read(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]) if by_region else F.array(sol)
+    own = F.col("r_name") if by_region else sol
     projects = _projects(spark, sf_dir)
-    orders = read(spark, sf_dir, "orders").join(projects.where("c_custkey is not null").select(F.col("c_custkey").alias("o_custkey"), "path", "is_test"), "o_custkey")
-    orders = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "path", "is_test", _own("Symbol", "order-", F.col("o_orderkey").cast("string")).alias("key"), _path("orders", "o", "o_orderkey", ".cs").alias("file"))
-    suppliers = projects.where("s_suppkey is not null").select("path", _own("Contract", "supplier-", F.col("s_suppkey").cast("string")).alias("key"), _path("suppliers", "s", "s_suppkey", ".cs").alias("file"))
+    orders = read(spark, sf_dir, "orders").join(projects.where("c_custkey is not null").select(F.col("c_custkey").alias("o_custkey"), "path", "is_test", own.alias("solution")), "o_custkey")
+    orders = orders.select("solution", "o_orderkey", "o_orderstatus", "o_orderpriority", "path", "is_test", _own("Symbol", "order-", F.col("o_orderkey").cast("string")).alias("key"), _path("orders", "o", "o_orderkey", ".cs").alias("file"))
+    suppliers = projects.where("s_suppkey is not null").select(F.explode(regions).alias("solution"), "path", _own("Contract", "supplier-", F.col("s_suppkey").cast("string")).alias("key"), _path("suppliers", "s", "s_suppkey", ".cs").alias("file"))
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    names = [orders.select("key", F.lit("Symbol").alias("kind")), suppliers.select("key", F.lit("Contract").alias("kind")), nation.select(_own("Component", F.col("n_name")).alias("key"), F.lit("Component").alias("kind")), region.select(_own("DeploymentUnit", F.col("r_name")).alias("key"), F.lit("DeploymentUnit").alias("kind"))]
-    entities = reduce(DataFrame.unionByName, names).select(sol.alias("solution_key"), "key", "kind", F.element_at(F.split("key", ":"), -1).alias("display_name"), F.lit(None).cast("string").alias("qualified_name"))
+    every = F.explode(regions).alias("solution")
+    names = [orders.select("solution", "key", F.lit("Symbol").alias("kind")), suppliers.select("solution", "key", F.lit("Contract").alias("kind")), nation.select(every, _own("Component", F.col("n_name")).alias("key"), F.lit("Component").alias("kind")), region.select(every, _own("DeploymentUnit", F.col("r_name")).alias("key"), F.lit("DeploymentUnit").alias("kind"))]
+    entities = reduce(DataFrame.unionByName, names).select(F.col("solution").alias("solution_key"), "key", "kind", F.element_at(F.split("key", ":"), -1).alias("display_name"), F.lit(None).cast("string").alias("qualified_name"))
 
     def variant(framework: Column) -> Column:
         return F.struct(framework.alias("tfm"), F.lit("Debug").alias("configuration"), F.array().cast("array<string>").alias("symbols"), F.lit("spark").alias("environment"))
 
     span = F.struct(*[F.lit(1).alias(c) for c in ("start_line", "start_column", "end_line", "end_column")])
-    placed = [orders.select("key", "path", "file"), suppliers.select("key", "path", "file"), projects.select(_own("Component", F.col("n_name")).alias("key"), "path", F.col("path").alias("file")), projects.select(_own("DeploymentUnit", F.col("r_name")).alias("key"), "path", F.col("path").alias("file"))]
-    occurrences = reduce(DataFrame.unionByName, placed).select(sol.alias("solution_key"), F.col("key").alias("entity_key"), _project(F.col("path")).alias("project"), variant(F.lit("any")).alias("variant"), F.col("file").alias("relative_path"), span.alias("span"), F.sha2("key", 256).alias("shape_digest"), F.array().cast("array<string>").alias("evidence_keys"))
+    holders = projects.select("*", F.explode(F.when(F.col("s_suppkey").isNotNull(), regions).otherwise(F.array(own))).alias("solution"))
+    placed = [orders.select("solution", "key", "path", "file"), suppliers.select("solution", "key", "path", "file"), holders.select("solution", _own("Component", F.col("n_name")).alias("key"), "path", F.col("path").alias("file")), holders.select("solution", _own("DeploymentUnit", F.col("r_name")).alias("key"), "path", F.col("path").alias("file"))]
+    occurrences = reduce(DataFrame.unionByName, placed).select(F.col("solution").alias("solution_key"), F.col("key").alias("entity_key"), _project(F.col("path")).alias("project"), variant(F.lit("any")).alias("variant"), F.col("file").alias("relative_path"), span.alias("span"), F.sha2("key", 256).alias("shape_digest"), F.array().cast("array<string>").alias("evidence_keys"))
 
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct()
     proven = lines.join(orders.where("o_orderstatus != 'P'"), "o_orderkey")
@@ -99,15 +107,15 @@ def graph(spark: SparkSession, sf_dir: str) -> FactualGraph:
     target = _own("Contract", "supplier-", F.col("l_suppkey").cast("string"))
     place = F.concat_ws("-", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
     proven = proven.select("*", category.alias("category"), target.alias("target"), identity.evidence_key(F.lit("line"), place).alias("proof"), identity.relation_key(category, F.col("key"), target, place).alias("relation"))
-    relations = proven.select(sol.alias("solution_key"), F.col("relation").alias("key"), F.col("key").alias("source_key"), F.col("target").alias("target_key"), "category", F.array("proof").alias("evidence_keys"))
-    evidence = proven.select(sol.alias("solution_key"), F.col("proof").alias("key"), identity.document_key(sol, F.col("file")).alias("document_key"), variant(F.col("l_linestatus")).alias("variant"), span.alias("span"), F.sha2("proof", 256).alias("content_digest"))
+    relations = proven.select(F.col("solution").alias("solution_key"), F.col("relation").alias("key"), F.col("key").alias("source_key"), F.col("target").alias("target_key"), "category", F.array("proof").alias("evidence_keys"))
+    evidence = proven.select(F.col("solution").alias("solution_key"), F.col("proof").alias("key"), identity.document_key(F.col("solution"), F.col("file")).alias("document_key"), variant(F.col("l_linestatus")).alias("variant"), span.alias("span"), F.sha2("proof", 256).alias("content_digest"))
 
     asked = lines.groupBy("o_orderkey").agg(F.collect_set(target).alias("sellers"))
     waiting = orders.where("o_orderstatus = 'P'").join(asked, "o_orderkey", "left")
     first = F.substring("o_orderpriority", 1, 1)
     kind = F.when(first.isin("1", "2"), "Candidate").when(first == "3", "Unknown").otherwise("OpenFrontier")
-    gaps = waiting.select(sol.alias("solution_key"), identity.gap_key(kind, F.col("key"), F.lit("pending")).alias("key"), kind.alias("kind"), F.lit("pending").alias("cause"), F.array_union(F.array("key"), F.coalesce("sellers", F.array().cast("array<string>"))).alias("affected_keys"), F.array().cast("array<string>").alias("evidence_keys"))
-    sources = orders.select(sol.alias("solution_key"), identity.document_key(sol, F.col("file")).alias("key"), F.col("file").alias("relative_path"), "is_test", F.sha2("file", 256).alias("content_digest"))
+    gaps = waiting.select(F.col("solution").alias("solution_key"), identity.gap_key(kind, F.col("key"), F.lit("pending")).alias("key"), kind.alias("kind"), F.lit("pending").alias("cause"), F.array_union(F.array("key"), F.coalesce("sellers", F.array().cast("array<string>"))).alias("affected_keys"), F.array().cast("array<string>").alias("evidence_keys"))
+    sources = orders.select(F.col("solution").alias("solution_key"), identity.document_key(F.col("solution"), F.col("file")).alias("key"), F.col("file").alias("relative_path"), "is_test", F.sha2("file", 256).alias("content_digest"))
     return FactualGraph(entities, occurrences, evidence, relations, gaps, sources)
 
 
@@ -519,28 +527,29 @@ def nav_category(spark, sf_dir):
 
 
 def _plain_index(name: str, keys: str) -> str:
-    return f"SELECT '{name}' AS index, key, (row_number() OVER (ORDER BY key) - 1)::VARCHAR AS ordinals, '' AS categories FROM (SELECT DISTINCT key FROM ({keys}))"
+    return f"SELECT '{name}' AS index, key, 0 AS page, (row_number() OVER (ORDER BY key) - 1)::VARCHAR AS ordinals, '' AS categories FROM (SELECT DISTINCT key FROM ({keys}))"
 
 
 def _edge_index(name: str, key: str, where: str = "true") -> str:
-    return f"SELECT '{name}' AS index, {key} AS key, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM ordered WHERE {where} GROUP BY {key}"
+    placed = f"SELECT *, (row_number() OVER (PARTITION BY {key} ORDER BY ordinal) - 1) // {index.PAGE} AS page FROM ordered WHERE {where}"
+    return f"SELECT '{name}' AS index, {key} AS key, page, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM ({placed}) GROUP BY {key}, page"
 
 
 NAVIGATION_SQL = " UNION ALL ".join([
     _edge_index("outgoing", "source"), _edge_index("incoming", "target"), _edge_index("contracts", "target", "category IN ('contract', 'messaging')"), _edge_index("persistence", "target", "category = 'persistence'"), _edge_index("runtime", "source", "category IN ('http', 'grpc', 'messaging')"),
-    _plain_index("roots", "SELECT 'entity:all:component:' || n_name AS key FROM nation UNION ALL SELECT 'entity:all:deploymentunit:' || r_name FROM region"), _plain_index("documents", "SELECT unnest([source, target]) AS key FROM ordered WHERE scope = 'document'"), _plain_index("evidence", "SELECT proof AS key FROM proven"),
-    "SELECT 'measures', key, (row_number() OVER (ORDER BY key) - 1)::VARCHAR, CASE WHEN reached THEN 'reachable' ELSE '' END FROM (SELECT key, bool_or(reached) AS reached FROM (SELECT source AS key, false AS reached FROM ordered UNION ALL SELECT target, source <> target FROM ordered) GROUP BY key)",
+    _plain_index("roots", "SELECT 'entity:all:component:' || n_name AS key FROM nation UNION ALL SELECT 'entity:all:deploymentunit:' || r_name FROM region"), _plain_index("documents", "SELECT unnest([source, target]) AS key FROM ordered WHERE scope = 'document'"),
+    "SELECT 'measures', key, 0, (row_number() OVER (ORDER BY key) - 1)::VARCHAR, CASE WHEN reached THEN 'reachable' ELSE '' END FROM (SELECT key, bool_or(reached) AS reached FROM (SELECT source AS key, false AS reached FROM ordered UNION ALL SELECT target, source <> target FROM ordered) GROUP BY key)",
 ])
 
 
 @query(GRAPH_SQL + NAVIGATION_SQL)
 def navigation_indexes(spark, sf_dir):
-    """All indexes of the package, over the whole graph."""
+    """All indexes by key of the package, over the whole graph; a hub's list comes in pages."""
     g = graph(spark, sf_dir)
     rows = fixpoint.checkpointed(index.spread_ordinals(dependencies(spark, sf_dir), ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]))
-    found = measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(g.gaps, members_of(g)))
-    out = package.index_rows(package.Model(g, rows, found))
-    return out.select("index", "key", joined(out["ordinals"].cast("array<string>")).alias("ordinals"), joined("categories").alias("categories"))
+    out = package.index_rows(package.measured(g, rows, rows.limit(0), members_of(g)))
+    ordinals = F.transform(index.decoded_list(F.col("first"), F.col("gaps")), lambda x: x.cast("string"))
+    return out.select("index", "key", "page", joined(ordinals).alias("ordinals"), joined("categories").alias("categories"))
 
 
 @query(GRAPH_SQL + """, words AS (SELECT key, lower(to_base(row_number() OVER (ORDER BY key) - 1, 36)) AS handle FROM (SELECT DISTINCT unnest([source, target]) AS key FROM dependencies))
@@ -768,18 +777,20 @@ def _id_sql(prefix: str, key: str) -> str:
 
 
 PAGES_SQL = RECURSIVE_SQL + MEASURES_SQL + f""", roots AS (SELECT 'entity:all:component:' || n_name AS key, n_name AS name FROM nation UNION ALL SELECT 'entity:all:deploymentunit:' || r_name, r_name FROM region),
-named AS (SELECT key, name, 'pages/' || {_id_sql("ent", "key")} || '.md' AS path FROM roots),
-two AS (SELECT * FROM dependencies WHERE scope IN ('component', 'deploymentunit')),
+files AS (SELECT DISTINCT unnest([source, target]) AS key FROM dependencies WHERE scope = 'document'),
+subjects AS (SELECT * FROM roots UNION ALL SELECT key, CASE WHEN key LIKE 'document:all:orders/%' THEN regexp_extract(key, '/(o[0-9]+)\\.cs$', 1) ELSE substr(key, 14) END FROM files),
+named AS (SELECT key, name, 'pages/' || {_id_sql("ent", "key")} || '.md' AS path FROM subjects),
+two AS (SELECT * FROM dependencies WHERE scope <> 'project'),
 lines AS (
   SELECT 'out' AS way, source AS key, '- [' || n.name || '](' || substr(n.path, 7) || ') ' || category || ' x' || occurrence_count AS line FROM two JOIN named n ON n.key = target UNION ALL
   SELECT 'in', target, '- [' || n.name || '](' || substr(n.path, 7) || ') ' || category || ' x' || occurrence_count FROM two JOIN named n ON n.key = source),
 texts AS (SELECT key, string_agg(line, chr(10) ORDER BY line) FILTER (way = 'out') AS outgoing, string_agg(line, chr(10) ORDER BY line) FILTER (way = 'in') AS incoming FROM lines GROUP BY key),
 measured AS (
   SELECT f.entity AS key, '- ' || f.scope || ' fan-in=' || fan_in || ' fan-out=' || fan_out || ' cycles=' || (SELECT count(*) FROM ringed r WHERE r.scope = f.scope AND r.entity = f.entity) || ' impact=' || (SELECT count(*) FROM impact i WHERE i.scope = f.scope AND i.entity = f.entity)
-         || ' gaps=' || coalesce(gaps_candidate + gaps_unknown + gaps_openfrontier, 0) AS line FROM fans f LEFT JOIN gap_counts g ON g.entity = f.entity WHERE f.scope IN ('component', 'deploymentunit')),
-reach AS (SELECT i.entity AS key, string_agg('- ' || depth || ' [' || n.name || '](' || substr(n.path, 7) || ')', chr(10) ORDER BY depth, i.dependent) AS line FROM impact i JOIN named n ON n.key = i.dependent WHERE i.scope IN ('component', 'deploymentunit') GROUP BY 1),
+         || ' gaps=' || coalesce(gaps_candidate + gaps_unknown + gaps_openfrontier, 0) AS line FROM fans f LEFT JOIN gap_counts g ON g.entity = f.entity WHERE f.scope <> 'project'),
+reach AS (SELECT i.entity AS key, string_agg('- ' || depth || ' [' || n.name || '](' || substr(n.path, 7) || ')', chr(10) ORDER BY depth, i.dependent) AS line FROM impact i JOIN named n ON n.key = i.dependent WHERE i.scope <> 'project' GROUP BY 1),
 open AS (SELECT f.entity AS key, nullif(concat_ws(chr(10), CASE WHEN gaps_candidate > 0 THEN '- Candidate ' || gaps_candidate END, CASE WHEN gaps_unknown > 0 THEN '- Unknown ' || gaps_unknown END, CASE WHEN gaps_openfrontier > 0 THEN '- OpenFrontier ' || gaps_openfrontier END), '') AS line
-  FROM gap_counts g JOIN fans f ON f.entity = g.entity WHERE f.scope IN ('component', 'deploymentunit'))
+  FROM gap_counts g JOIN fans f ON f.entity = g.entity WHERE f.scope <> 'project')
 SELECT path, '# ' || name || chr(10) || chr(10) || '## Outgoing' || chr(10) || chr(10) || coalesce(outgoing, 'none') || chr(10) || chr(10) || '## Incoming' || chr(10) || chr(10) || coalesce(incoming, 'none') || chr(10) || chr(10) || '## Measures' || chr(10) || chr(10) || coalesce(m.line, 'none')
   || chr(10) || chr(10) || '## Impact' || chr(10) || chr(10) || coalesce(r.line, 'none') || chr(10) || chr(10) || '## Gaps' || chr(10) || chr(10) || coalesce(o.line, 'none') || chr(10) AS page
 FROM named n LEFT JOIN texts t ON t.key = n.key LEFT JOIN measured m ON m.key = n.key LEFT JOIN reach r ON r.key = n.key LEFT JOIN open o ON o.key = n.key
@@ -788,11 +799,10 @@ FROM named n LEFT JOIN texts t ON t.key = n.key LEFT JOIN measured m ON m.key =
 
 @query(PAGES_SQL)
 def markdown_pages(spark, sf_dir):
-    """The pages of all components and deployment units."""
+    """The pages of all roots and of all documents with a dependency."""
     g = graph(spark, sf_dir)
-    rows = fixpoint.checkpointed(dependencies(spark, sf_dir).where(F.col("scope").isin("component", "deploymentunit")))
-    found = fixpoint.checkpointed(measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(g.gaps, members_of(g))))
-    return package.pages(package.Model(g, rows, found)).select("path", F.col("payload").alias("page"))
+    rows = fixpoint.checkpointed(dependencies(spark, sf_dir))
+    return package.pages(package.measured(g, rows, rows.limit(0), members_of(g))).select("path", F.col("payload").alias("page"))
 
 
 _SOURCE = """using X; // {name} GetAsync("no")
@@ -861,29 +871,113 @@ def extract_relations(spark, sf_dir):
 # --- packages --------------------------------------------------------------------------------
 
 
-def _model(spark, sf_dir) -> package.Model:
-    """The graph with the dependencies and measures of components and deployment units."""
-    g = graph(spark, sf_dir)
-    two = lift.aggregate(contributions(g).where(F.col("scope").isin("component", "deploymentunit")), keep_members=False).withColumns({"relations": F.array().cast("array<string>"), "evidence": F.array().cast("array<string>")})
-    rows = fixpoint.checkpointed(index.spread_ordinals(two, ["solution_key"], [ordinal(F.col("scope"), SCOPES), "source", "target", ordinal(F.col("category"), CATEGORIES)]))
-    found = measures.assemble(measures.fan(rows), measures.cycles(rows), measures.reverse_impact(rows), measures.gap_counts(g.gaps, members_of(g)))
-    return package.Model(g, rows, fixpoint.checkpointed(found))
+#: Each region's solution after retention: dependencies in their order, impact, rings and all keys.
+SOLUTIONS_SQL = RECURSIVE_SQL + """, held AS (SELECT * EXCLUDE (file), split_part(unit, ':', 4) AS sol, replace(file, ':all:', ':' || split_part(unit, ':', 4) || ':') AS file FROM proven WHERE NOT is_test),
+parts AS (
+  SELECT sol, 'document' AS scope, file AS source, 'document:' || sol || ':suppliers/s' || l_suppkey || '.cs' AS target, kind AS category, relation FROM held UNION ALL
+  SELECT sol, 'project', 'project:all:' || path, 'project:all:' || s_path, kind, relation FROM held UNION ALL
+  SELECT sol, 'component', component, s_component, kind, relation FROM held UNION ALL SELECT sol, 'deploymentunit', unit, s_unit, kind, relation FROM held),
+counted AS (SELECT sol, scope, source, target, category, count(*) AS occurrence_count, count(DISTINCT relation) AS cited FROM parts GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY sol ORDER BY list_position(['document', 'project', 'component', 'deploymentunit'], scope), source, target,
+  list_position(['project-reference', 'internal-invocation', 'structural-type-use', 'http', 'grpc', 'messaging', 'contract', 'persistence'], category)) - 1 AS ordinal FROM counted),
+pairs AS (SELECT DISTINCT sol, scope, source, target FROM numbered),
+ends AS (SELECT sol, scope, source AS entity FROM pairs UNION SELECT sol, scope, target FROM pairs),
+walks AS (SELECT sol, scope, target AS entity, source AS dependent, 1 AS depth FROM pairs WHERE scope IN ('component', 'deploymentunit') UNION
+  SELECT w.sol, w.scope, w.entity, e.source, depth + 1 FROM walks w JOIN pairs e ON e.sol = w.sol AND e.scope = w.scope AND e.target = w.dependent WHERE depth < 25),
+impact AS (SELECT sol, scope, entity, dependent, min(depth) AS depth FROM walks WHERE entity <> dependent GROUP BY ALL UNION ALL SELECT sol, scope, target, source, 1 FROM pairs WHERE scope IN ('document', 'project')),
+both_ways AS (SELECT sol, scope, entity, dependent FROM walks SEMI JOIN (SELECT sol AS l, scope AS s, entity AS d, dependent AS e FROM walks) t ON t.l = sol AND t.s = scope AND t.d = dependent AND t.e = entity),
+ringed AS (SELECT sol, scope, entity, least(entity, min(dependent)) AS leader FROM both_ways GROUP BY sol, scope, entity),
+known AS (
+  SELECT split_part(unit, ':', 4) AS sol, key FROM asked UNION SELECT r_name, s.key FROM region, sellers s UNION SELECT r.r_name, 'entity:all:component:' || n_name FROM region r, nation UNION
+  SELECT r.r_name, 'entity:all:deploymentunit:' || q.r_name FROM region r, region q UNION SELECT sol, entity FROM ends),
+""" + f"""ids AS (SELECT r_name AS sol, {_id_sql("sol", "r_name")} AS id FROM region),
+listed AS (
+  SELECT sol, 'outgoing' AS name, source AS key, ordinal, category FROM numbered UNION ALL SELECT sol, 'incoming', target, ordinal, category FROM numbered UNION ALL
+  SELECT sol, 'contracts', target, ordinal, category FROM numbered WHERE category IN ('contract', 'messaging') UNION ALL SELECT sol, 'persistence', target, ordinal, category FROM numbered WHERE category = 'persistence' UNION ALL
+  SELECT sol, 'runtime', source, ordinal, category FROM numbered WHERE category IN ('http', 'grpc', 'messaging')),
+paged AS (SELECT *, (row_number() OVER (PARTITION BY sol, name, key ORDER BY ordinal) - 1) // {index.PAGE} AS page FROM listed),
+gapped AS (SELECT *, ordinal - lag(ordinal) OVER (PARTITION BY sol, name, key, page ORDER BY ordinal) AS gap FROM paged),
+plain AS (
+  SELECT r_name AS sol, 'roots' AS name, key, false AS reached FROM region, (SELECT 'entity:all:component:' || n_name AS key FROM nation UNION ALL SELECT 'entity:all:deploymentunit:' || r_name FROM region) UNION ALL
+  SELECT DISTINCT sol, 'documents', entity, false FROM ends WHERE scope = 'document' UNION ALL
+  SELECT sol, 'measures', entity, bool_or(i) FROM (SELECT sol, entity, false AS i FROM ends UNION ALL SELECT sol, entity, true FROM impact) GROUP BY sol, entity),
+entries AS (
+  SELECT sol, 'indexes/' || name AS folder, key, page, '{{"key":"' || key || '","page":' || page || ',"first":' || min(ordinal) || ',"gaps":[' || coalesce(string_agg(gap::VARCHAR, ',' ORDER BY ordinal) FILTER (gap IS NOT NULL), '')
+         || '],"categories":[' || string_agg(DISTINCT '"' || category || '"', ',' ORDER BY '"' || category || '"') || ']}}' AS record FROM gapped GROUP BY sol, name, key, page UNION ALL
+  SELECT sol, 'indexes/' || name, key, 0, '{{"key":"' || key || '","page":0,"first":' || (row_number() OVER (PARTITION BY sol, name ORDER BY key) - 1) || ',"gaps":[],"categories":[' || CASE WHEN reached THEN '"reachable"' ELSE '' END || ']}}' FROM plain UNION ALL
+  SELECT sol, 'evidence', proof, 0, '{{"key":"' || proof || '","document_key":"' || file || '","variant":{{"tfm":"' || l_linestatus || '","configuration":"Debug","symbols":[],"environment":"spark"}},"span":{{"start_line":1,"start_column":1,"end_line":1,"end_column":1}},"content_digest":"' || sha256(proof) || '"}}' FROM held),
+sized AS (SELECT sol, folder, row_number() OVER w AS i, strlen(record) AS size, sum(strlen(record)) OVER w AS upto FROM entries WINDOW w AS (PARTITION BY sol, folder ORDER BY key, page)),
+cuts AS (
+  SELECT DISTINCT sol, folder, 0 AS n, 1::BIGINT AS start, 0::HUGEINT AS base FROM sized UNION ALL
+  SELECT c.sol, c.folder, n + 1, z.i, z.upto - z.size FROM cuts c JOIN sized z ON z.sol = c.sol AND z.folder = c.folder AND z.upto > c.base + {index.EVIDENCE_SHARD_BYTES} AND z.upto - z.size <= c.base + {index.EVIDENCE_SHARD_BYTES}),
+whole AS (SELECT sol, folder, count(*) AS records, sum(size) AS bytes FROM sized GROUP BY ALL),
+laid AS (
+  SELECT c.*, coalesce(lead(start) OVER w, w.records + 1) - start AS records, coalesce(lead(base) OVER w, w.bytes) - base + coalesce(lead(start) OVER w, w.records + 1) - start + 1 AS bytes
+  FROM cuts c JOIN whole w ON w.sol = c.sol AND w.folder = c.folder WINDOW w AS (PARTITION BY c.sol, c.folder ORDER BY n)),
+routes AS (SELECT sol, n + 1 AS i, '{{"first":' || (start - 1) || ',"records":' || records || ',"shard":"evidence/' || id || '/' || lpad(n::VARCHAR, 6, '0') || '.json"}}' AS record FROM laid JOIN ids USING (sol) WHERE folder = 'evidence'),
+routed AS (SELECT sol, i, strlen(record) AS size, sum(strlen(record)) OVER (PARTITION BY sol ORDER BY i) AS upto FROM routes),
+turns AS (
+  SELECT DISTINCT sol, 0 AS n, 0::HUGEINT AS base FROM routed UNION ALL
+  SELECT t.sol, n + 1, z.upto - z.size FROM turns t JOIN routed z ON z.sol = t.sol AND z.upto > t.base + {index.EVIDENCE_SHARD_BYTES} AND z.upto - z.size <= t.base + {index.EVIDENCE_SHARD_BYTES}),
+folders AS (
+  SELECT sol, folder, count(*) AS shards, sum(records)::BIGINT AS records FROM laid WHERE folder <> 'evidence' GROUP BY ALL UNION ALL
+  SELECT sol, 'indexes/evidence', (SELECT count(*) FROM turns t WHERE t.sol = r.sol), count(*) FROM routed r GROUP BY sol UNION ALL
+  SELECT sol, 'indexes/identity', ceil(count(*) / {package.IDENTITIES})::BIGINT, count(*) FROM known GROUP BY sol)
+"""
 
 
-@query(GRAPH_SQL + """, two AS (SELECT * FROM dependencies WHERE scope IN ('component', 'deploymentunit')),
-known AS (SELECT key FROM asked UNION SELECT key FROM sellers UNION SELECT 'entity:all:component:' || n_name FROM nation UNION SELECT 'entity:all:deploymentunit:' || r_name FROM region)
-SELECT 'indexes/outgoing' AS folder, count(DISTINCT source) AS records FROM two UNION ALL SELECT 'indexes/incoming', count(DISTINCT target) FROM two UNION ALL
-SELECT 'indexes/contracts', count(DISTINCT target) FROM two WHERE category IN ('contract', 'messaging') UNION ALL SELECT 'indexes/persistence', count(DISTINCT target) FROM two WHERE category = 'persistence' UNION ALL
-SELECT 'indexes/runtime', count(DISTINCT source) FROM two WHERE category IN ('http', 'grpc', 'messaging') UNION ALL SELECT 'indexes/roots', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) UNION ALL SELECT 'indexes/documents', 0 UNION ALL
-SELECT 'indexes/measures', count(*) FROM (SELECT source FROM two UNION SELECT target FROM two) UNION ALL SELECT 'indexes/evidence', count(*) FROM proven UNION ALL
-SELECT 'tables/entities', (SELECT count(*) FROM known) + (SELECT count(DISTINCT file) FROM asked) UNION ALL SELECT 'tables/variants', count(DISTINCT l_linestatus) FROM proven UNION ALL SELECT 'tables/relations', count(*) FROM proven UNION ALL SELECT 'tables/evidence', count(*) FROM proven UNION ALL
-SELECT 'graph', count(*) FROM proven UNION ALL SELECT 'dependencies', count(*) FROM two UNION ALL SELECT 'measures', count(*) FROM (SELECT source FROM two UNION SELECT target FROM two) UNION ALL SELECT 'evidence', count(*) FROM proven""")
-def package_records(spark, sf_dir):
-    """What the manifest declares: the records of every folder of the package."""
-    return package.declared(package.artifacts(_model(spark, sf_dir))).select("folder", "records")
+def _model(spark, sf_dir) -> package.Model:
+    """The model of every region's solution, as the library builds it: retained, all four scopes, with all that is cited."""
+    return package.build_model(facts.stored(graph(spark, sf_dir, by_region=True)))
 
 
-@query("""SELECT * FROM (VALUES ('locate', 'Certified', NULL), ('evidence', 'Certified', NULL), ('reverse-impact', 'Certified', NULL), ('follow-flow', 'NotApplicable', 'absent-terminal:contracts')) v(journey, status, reason)""")
+@query(SOLUTIONS_SQL + f""", cited AS (SELECT sol, ceil(cited / {index.PAGE})::BIGINT AS pages FROM numbered),
+reached AS (SELECT sol, scope, entity, ceil(count(*) / {index.PAGE})::BIGINT AS pages FROM impact GROUP BY ALL)
+SELECT sol AS solution_key, folder, records FROM folders UNION ALL SELECT sol, 'tables/entities', count(*) FROM known GROUP BY sol UNION ALL SELECT sol, 'tables/variants', count(DISTINCT l_linestatus) FROM held GROUP BY sol UNION ALL
+SELECT sol, 'tables/cycles', count(DISTINCT (scope, leader)) FROM ringed GROUP BY sol UNION ALL SELECT sol, unnest(['tables/relations', 'tables/evidence', 'graph', 'evidence']), count(*) FROM held GROUP BY sol UNION ALL
+SELECT sol, 'dependencies/rows', count(*) FROM numbered GROUP BY sol UNION ALL SELECT sol, 'dependencies/pages', 2 * sum(pages)::BIGINT FROM cited GROUP BY sol UNION ALL
+SELECT sol, 'measures/rows', count(*) FROM ends GROUP BY sol UNION ALL SELECT sol, 'measures/impact', sum(pages)::BIGINT FROM reached GROUP BY sol""")
+def package_records(spark, sf_dir):
+    """What the manifests declare: the records of every folder of every solution of the package."""
+    return package.declared(package.artifacts(_model(spark, sf_dir))).select("solution_key", "folder", "records")
+
+
+@query(SOLUTIONS_SQL + f""", manifest AS (
+  SELECT f.sol, strlen('{{' || chr(10) || '  "id" : "' || any_value(id) || '",' || chr(10) || '  "key" : "' || f.sol || '",' || chr(10) || '  "folders" : [ '
+    || string_agg('{{' || chr(10) || '    "folder" : "' || folder || '",' || chr(10) || '    "shards" : ' || shards || ',' || chr(10) || '    "records" : ' || records || chr(10) || '  }}', ', ' ORDER BY folder) || ' ],' || chr(10) || '  "journeys" : [ '
+    || '{", ".join('{' + chr(10) + f'    "journey" : "{j}",' + chr(10) + f'    "entry" : "indexes/{i}"' + chr(10) + '  }' for j, i in package.ENTRY_INDEX.items())}' || ' ]' || chr(10) || '}}') AS bytes
+  FROM folders f JOIN ids USING (sol) GROUP BY f.sol),
+first_root AS (SELECT sol, min(key) AS root FROM plain WHERE name = 'roots' GROUP BY sol),
+edges_of AS (
+  SELECT n.sol, 'out' AS way, '- [' || split_part(target, ':', 4) || '](' || {_id_sql("ent", "target")} || '.md) ' || category || ' x' || occurrence_count AS line FROM numbered n JOIN first_root f ON f.sol = n.sol AND source = root UNION ALL
+  SELECT n.sol, 'in', '- [' || split_part(source, ':', 4) || '](' || {_id_sql("ent", "source")} || '.md) ' || category || ' x' || occurrence_count FROM numbered n JOIN first_root f ON f.sol = n.sol AND target = root),
+edge_text AS (SELECT sol, string_agg(line, chr(10) ORDER BY line) FILTER (way = 'out') AS outgoing, string_agg(line, chr(10) ORDER BY line) FILTER (way = 'in') AS incoming FROM edges_of GROUP BY sol),
+impact_text AS (SELECT i.sol, count(*) AS n, string_agg('- ' || depth || ' [' || split_part(dependent, ':', 4) || '](' || {_id_sql("ent", "dependent")} || '.md)', chr(10) ORDER BY depth, dependent) AS line FROM impact i JOIN first_root f ON f.sol = i.sol AND entity = root GROUP BY i.sol),
+gap_owners AS (SELECT DISTINCT split_part(a.unit, ':', 4) AS sol, f.key, f.kind, f.entity FROM affected f JOIN gaps g ON g.key = f.key JOIN asked a ON a.key = g.owner),
+root_gaps AS (
+  SELECT o.sol, count(DISTINCT key) FILTER (kind = 'Candidate') AS candidate, count(DISTINCT key) FILTER (kind = 'Unknown') AS unknown, count(DISTINCT key) FILTER (kind = 'OpenFrontier') AS frontier
+  FROM gap_owners o JOIN first_root f ON f.sol = o.sol JOIN members m ON m.entity = o.entity AND m.member = f.root GROUP BY o.sol),
+root_fans AS (SELECT f.sol, root, count(DISTINCT source) FILTER (target = root) AS fan_in, count(DISTINCT target) FILTER (source = root) AS fan_out FROM first_root f JOIN pairs p ON p.sol = f.sol AND (source = root OR target = root) GROUP BY ALL),
+page AS (
+  SELECT f.sol, strlen('# ' || split_part(f.root, ':', 4) || chr(10) || chr(10) || '## Outgoing' || chr(10) || chr(10) || coalesce(outgoing, 'none') || chr(10) || chr(10) || '## Incoming' || chr(10) || chr(10) || coalesce(incoming, 'none') || chr(10) || chr(10) || '## Measures' || chr(10) || chr(10)
+    || coalesce('- component fan-in=' || fan_in || ' fan-out=' || fan_out || ' cycles=' || (SELECT count(*) FROM ringed r WHERE r.sol = f.sol AND r.entity = f.root) || ' impact=' || coalesce(i.n, 0) || ' gaps=' || coalesce(candidate + unknown + frontier, 0), 'none')
+    || chr(10) || chr(10) || '## Impact' || chr(10) || chr(10) || coalesce(i.line, 'none') || chr(10) || chr(10) || '## Gaps' || chr(10) || chr(10)
+    || coalesce(CASE WHEN fan_in IS NOT NULL THEN nullif(concat_ws(chr(10), CASE WHEN candidate > 0 THEN '- Candidate ' || candidate END, CASE WHEN unknown > 0 THEN '- Unknown ' || unknown END, CASE WHEN frontier > 0 THEN '- OpenFrontier ' || frontier END), '') END, 'none') || chr(10)) AS bytes
+  FROM first_root f LEFT JOIN edge_text e ON e.sol = f.sol LEFT JOIN impact_text i ON i.sol = f.sol LEFT JOIN root_fans a ON a.sol = f.sol LEFT JOIN root_gaps g ON g.sol = f.sol),
+opened AS (
+  SELECT sol, unnest({list(package.JOURNEYS)!r}) AS journey, bytes FROM manifest UNION ALL
+  SELECT sol, 'locate', bytes FROM laid WHERE folder = 'indexes/roots' AND n = 0 UNION ALL SELECT sol, 'locate', bytes FROM page UNION ALL
+  SELECT sol, 'follow-flow', bytes FROM laid WHERE folder IN ('indexes/outgoing', 'indexes/contracts', 'indexes/persistence') UNION ALL SELECT sol, 'reverse-impact', bytes FROM laid WHERE folder IN ('indexes/incoming', 'indexes/measures') UNION ALL
+  SELECT sol, 'evidence', bytes FROM laid WHERE folder = 'evidence' AND n = 0 UNION ALL SELECT sol, 'evidence', sum(size) + count(*) + 1 FROM routed WHERE upto <= {index.EVIDENCE_SHARD_BYTES} GROUP BY sol),
+costs AS (SELECT sol, journey, count(*) AS reads, sum(bytes)::BIGINT AS bytes, ceil(sum(bytes) / 4.0)::BIGINT AS tokens FROM opened GROUP BY ALL),
+limits(journey, most_reads, most_tokens) AS (VALUES {", ".join(f"('{j}', {package.COMPONENT_READS if j == 'locate' else r}, {t})" for j, (r, t) in package.JOURNEYS.items())}),
+has AS (SELECT sol, list(DISTINCT category) AS found FROM numbered GROUP BY sol),
+absent AS (SELECT sol, concat_ws(',', CASE WHEN NOT list_contains(found, 'contract') THEN 'contracts' END, CASE WHEN NOT list_contains(found, 'persistence') THEN 'persistence' END, CASE WHEN NOT list_has_any(found, ['http', 'grpc', 'messaging']) THEN 'external-effects' END) AS ends FROM has)
+SELECT c.sol AS solution_key, c.journey, reads, bytes, tokens,
+       CASE WHEN c.journey = 'follow-flow' AND ends <> '' THEN 'NotApplicable' WHEN reads > most_reads OR tokens > most_tokens THEN 'Failed' ELSE 'Certified' END AS status,
+       CASE WHEN c.journey = 'follow-flow' AND NOT list_has_any(found, ['http', 'grpc', 'messaging', 'contract']) THEN 'no-causal-root' WHEN c.journey = 'follow-flow' AND ends <> '' THEN 'absent-terminal:' || ends
+            WHEN reads > most_reads THEN 'reads-exceeded:' || reads || '>' || most_reads WHEN tokens > most_tokens THEN 'tokens-exceeded:' || tokens || '>' || most_tokens END AS reason
+FROM costs c JOIN limits USING (journey) JOIN has h ON h.sol = c.sol JOIN absent a ON a.sol = c.sol""")
 def certification(spark, sf_dir):
-    """The four journeys: all ends are there but contracts, which the graph has none of."""
-    return package.certify(fixpoint.checkpointed(package.artifacts(_model(spark, sf_dir)))).select("journey", "status", "reason")
+    """The four journeys of every region's solution: what each opens and costs, and whether it holds."""
+    return package.certify(fixpoint.checkpointed(package.artifacts(_model(spark, sf_dir)))).select("solution_key", "journey", "status", "reason", "reads", "bytes", "tokens")
