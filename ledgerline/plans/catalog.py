@@ -82,14 +82,14 @@ def graph(spark: SparkSession, sf_dir: str, by_region: bool = False) -> FactualG
     suppliers, nations and regions are in each.
     """
     sol = F.lit(SOLUTION)
-    regions = F.array(*[F.lit(r[0]) for r in read(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]) if by_region else F.array(sol)
+    regions = F.array(*[F.lit(r[0]) for r in read(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]) if by_region else None
     own = F.col("r_name") if by_region else sol
+    every = (F.explode(regions) if by_region else sol).alias("solution")
     projects = _projects(spark, sf_dir)
     orders = read(spark, sf_dir, "orders").join(projects.where("c_custkey is not null").select(F.col("c_custkey").alias("o_custkey"), "path", "is_test", own.alias("solution")), "o_custkey")
     orders = orders.select("solution", "o_orderkey", "o_orderstatus", "o_orderpriority", "path", "is_test", _own("Symbol", "order-", F.col("o_orderkey").cast("string")).alias("key"), _path("orders", "o", "o_orderkey", ".cs").alias("file"))
-    suppliers = projects.where("s_suppkey is not null").select(F.explode(regions).alias("solution"), "path", _own("Contract", "supplier-", F.col("s_suppkey").cast("string")).alias("key"), _path("suppliers", "s", "s_suppkey", ".cs").alias("file"))
+    suppliers = projects.where("s_suppkey is not null").select(every, "path", _own("Contract", "supplier-", F.col("s_suppkey").cast("string")).alias("key"), _path("suppliers", "s", "s_suppkey", ".cs").alias("file"))
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    every = F.explode(regions).alias("solution")
     names = [orders.select("solution", "key", F.lit("Symbol").alias("kind")), suppliers.select("solution", "key", F.lit("Contract").alias("kind")), nation.select(every, _own("Component", F.col("n_name")).alias("key"), F.lit("Component").alias("kind")), region.select(every, _own("DeploymentUnit", F.col("r_name")).alias("key"), F.lit("DeploymentUnit").alias("kind"))]
     entities = reduce(DataFrame.unionByName, names).select(F.col("solution").alias("solution_key"), "key", "kind", F.element_at(F.split("key", ":"), -1).alias("display_name"), F.lit(None).cast("string").alias("qualified_name"))
 
@@ -97,7 +97,7 @@ def graph(spark: SparkSession, sf_dir: str, by_region: bool = False) -> FactualG
         return F.struct(framework.alias("tfm"), F.lit("Debug").alias("configuration"), F.array().cast("array<string>").alias("symbols"), F.lit("spark").alias("environment"))
 
     span = F.struct(*[F.lit(1).alias(c) for c in ("start_line", "start_column", "end_line", "end_column")])
-    holders = projects.select("*", F.explode(F.when(F.col("s_suppkey").isNotNull(), regions).otherwise(F.array(own))).alias("solution"))
+    holders = projects.select("*", (F.explode(F.when(F.col("s_suppkey").isNotNull(), regions).otherwise(F.array(own))) if by_region else sol).alias("solution"))
     placed = [orders.select("solution", "key", "path", "file"), suppliers.select("solution", "key", "path", "file"), holders.select("solution", _own("Component", F.col("n_name")).alias("key"), "path", F.col("path").alias("file")), holders.select("solution", _own("DeploymentUnit", F.col("r_name")).alias("key"), "path", F.col("path").alias("file"))]
     occurrences = reduce(DataFrame.unionByName, placed).select(F.col("solution").alias("solution_key"), F.col("key").alias("entity_key"), _project(F.col("path")).alias("project"), variant(F.lit("any")).alias("variant"), F.col("file").alias("relative_path"), span.alias("span"), F.sha2("key", 256).alias("shape_digest"), F.array().cast("array<string>").alias("evidence_keys"))
 
