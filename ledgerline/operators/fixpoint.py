@@ -1,10 +1,9 @@
 """Fixpoints over edge tables: closures, minimum depths and strongly connected components.
 
-Two ways, chosen by a count of the edges and equal in their results. A graph of at most
-``IN_ONE_TASK`` edges is solved group by group, each in one task, whose memory that bound
-limits. A larger one takes rounds of joins; each cuts its lineage with a reliable
-checkpoint, and only counts come back to the driver. Nothing is collected. Nulls are no
-nodes.
+Rounds of joins; each cuts its lineage with a reliable checkpoint, and only counts come back to the driver.
+Nothing is collected. Nulls are no nodes. Chains and rings of any length take a logarithm of rounds: a node with a single way on
+is jumped over, by tables of its 1st, 2nd, 4th, 8th ... follower. What is left then needs as many rounds as it is deep.
+The whole closure of a graph of few edges is the one thing whose sources some tasks share, each with all edges.
 """
 
 from __future__ import annotations
@@ -22,15 +21,18 @@ from ledgerline.shipping import shipped
 from ledgerline.storage import checkpointed
 
 MOST_ROUNDS = 1000
-#: Edges and seeds of a graph that is solved without rounds, and edges of one whose whole closure is.
-IN_ONE_TASK = 1_000_000
+#: Edges of a graph that tasks are given whole for its closure.
 CLOSURE_IN_ONE_TASK = 5_000
+#: Rounds of a search after which nodes with a single way on are jumped over.
+PATIENCE = 8
+#: A pass over the nodes with a single way on goes on while it takes away one edge in so many.
+WORTH = 10
 #: Tasks that share the sources of such a closure.
 SHARES = 16
 #: Frontiers that are kept apart before they are written as one.
 PARTS = 16
-#: Rounds of taking out nodes that have no edge in or out.
-TRIMS = 8
+#: Rounds of taking out nodes that have no edge in or out, before chains are contracted.
+TRIMS = 2
 
 
 class _Parts:
@@ -79,42 +81,6 @@ class _Graph:
             depth[frontier] = n
         return depth
 
-    def components(self) -> np.ndarray:
-        """The number of each node's strongly connected component (Tarjan's, without recursion)."""
-        n, first, after = len(self.names), self.first.tolist(), self.next.tolist()
-        index, low, own = [-1] * n, [0] * n, [-1] * n
-        stack, count, found = [], 0, 0
-        for start in range(n):
-            if index[start] >= 0:
-                continue
-            work = [(start, first[start])]
-            index[start] = low[start] = count
-            count += 1
-            stack.append(start)
-            while work:
-                node, at = work.pop()
-                if at < first[node + 1]:
-                    work.append((node, at + 1))
-                    to = after[at]
-                    if index[to] < 0:
-                        index[to] = low[to] = count
-                        count += 1
-                        stack.append(to)
-                        work.append((to, first[to]))
-                    elif own[to] < 0:
-                        low[node] = min(low[node], index[to])
-                    continue
-                if low[node] == index[node]:
-                    while True:
-                        member = stack.pop()
-                        own[member] = found
-                        if member == node:
-                            break
-                    found += 1
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-        return np.array(own, dtype=np.int64)
-
 
 def _in_one_task(edges: DataFrame, by: tuple[str, ...], solve: Callable[[pa.Table, _Graph], dict], columns: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
     """``solve`` on each group's edges; it returns the result's columns beside ``by``."""
@@ -136,28 +102,55 @@ def _plain(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return checkpointed(edges.select(*by, "source", "target").where("source is not null and target is not null").distinct())
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = (), in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def _jumps(edges: DataFrame, by: tuple[str, ...]) -> tuple[list[DataFrame], list[DataFrame], DataFrame] | None:
+    """Followers of the nodes with a single edge out (``single``): None where there is no such node.
+
+    Tables (``by``, node, to) of the 1st, 2nd, 4th ... follower, or the end of the way where it comes
+    sooner; the same of the rows alone that lead to a single node again; and (``by``, node) of those on rings. They are
+    as many as the logarithm of the longest way: once the set of followers stays the same, it is the rings.
+    """
+    single = checkpointed(edges.groupBy(*by, F.col("source").alias("node")).agg(F.count("*").alias("n"), F.min("target").alias("to")).where("n = 1").drop("n"))
+    if single.isEmpty():
+        return None
+    domain = single.select(*by, F.col("node").alias("to"))
+    tables, inside, before = [single], [], None
+    while True:
+        inside.append(checkpointed(tables[-1].join(domain, [*by, "to"], "left_semi").select(*by, "node", "to")))
+        image = checkpointed(inside[-1].select(*by, F.col("to").alias("node")).distinct())
+        n = image.count()
+        if n in (0, before):
+            return tables, inside, image
+        before = n
+        further = tables[-1].select(*by, F.col("node").alias("to"), F.col("to").alias("further"))
+        tables.append(checkpointed(tables[-1].join(further, [*by, "to"], "left").select(*by, "node", F.coalesce("further", "to").alias("to"))))
+
+
+def _along(marks: DataFrame, tables: list[DataFrame], by: tuple[str, ...]) -> DataFrame:
+    """``marks`` (``by``, node and more) with all that follow their nodes by the tables."""
+    more = [c for c in marks.columns if c not in (*by, "node")]
+    for table in tables:
+        marks = checkpointed(marks.unionByName(marks.join(table, [*by, "node"]).select(*by, F.col("to").alias("node"), *more)).distinct())
+    return marks
+
+
+def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Nodes (``by`` columns and ``node``) reached from ``seeds`` along ``edges`` (``by``, source, target), seeds included.
 
-    In rounds it is semi-naive: each follows the edges of the nodes new in the round before.
+    Semi-naive: a round follows the edges of the nodes new in the round before; in a long search also all of the way
+    that a node with a single edge begins.
     """
     key = [*by, "node"]
     start = checkpointed(seeds.select(*key).where("node is not null").distinct())
     plain = _plain(edges, by)
-    if plain.count() + start.count() <= in_one_task:
-        kind = dict(plain.dtypes)["source"]
-
-        def walk(table: pa.Table, graph: _Graph) -> dict:
-            first = table.filter(pc.is_null(table.column("source"))).column("target").combine_chunks()
-            known = pc.index_in(first, value_set=graph.names)
-            there = graph.depths(known.drop_null().to_numpy().astype(np.int64)) >= 0
-            return {"node": pa.concat_arrays([graph.names.filter(pa.array(there)), first.filter(pc.is_null(known))])}
-
-        return checkpointed(_in_one_task(plain.unionByName(start.select(*by, F.lit(None).cast(kind).alias("source"), F.col("node").cast(kind).alias("target"))), by, walk, {"node": kind}))
     steps = plain.select(*by, F.col("source").alias("node"), F.col("target").alias("next"))
-    seen, frontier = _Parts(start), start
-    for _ in range(MOST_ROUNDS):
-        frontier = checkpointed(frontier.join(steps, key).select(*by, F.col("next").alias("node")).distinct().join(seen.whole(), key, "left_anti"))
+    seen, frontier, jumps = _Parts(start), start, None
+    for turn in range(MOST_ROUNDS):
+        if turn == PATIENCE:
+            jumps = _jumps(plain, by)
+        new = frontier.join(steps, key).select(*by, F.col("next").alias("node")).distinct()
+        if jumps:
+            new = _along(checkpointed(new), jumps[0], by)
+        frontier = checkpointed(new.join(seen.whole(), key, "left_anti"))
         if frontier.isEmpty():
             return seen.whole()
         seen.add(frontier)
@@ -235,68 +228,126 @@ def _trimmed(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return edges
 
 
-def _components_in_one_task(plain: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(``by``, node, component) of the nodes on cycles."""
-    kind = dict(plain.dtypes)["source"]
-
-    def solve(table: pa.Table, graph: _Graph) -> dict:
-        own = graph.components()
-        size = np.bincount(own, minlength=1)
-        loops = np.zeros(len(own), dtype=bool)
-        loops[graph.source[graph.source == graph.target]] = True
-        kept = np.flatnonzero((size[own] > 1) | loops)
-        nodes = graph.names.take(pa.array(kept))
-        least = pa.table({"of": pa.array(own[kept]), "node": nodes}).group_by("of").aggregate([("node", "min")])
-        named = least.column("node_min").take(pc.index_in(pa.array(own[kept]), value_set=least.column("of").combine_chunks()))
-        return {"node": nodes, "component": named.combine_chunks()}
+def _rings(image: DataFrame, steps: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(``by``, node, label) of the nodes on rings of single ways, each named by its least node."""
+    key = [*by, "node"]
+    own = checkpointed(steps.join(image, key, "left_semi").select(*key, "to", F.col("node").alias("label")))
+    while not own.isEmpty():
+        further = own.select(*by, F.col("node").alias("to"), F.col("to").alias("further"), F.col("label").alias("other"))
+        new = checkpointed(own.join(further, [*by, "to"]).select(*key, F.col("further").alias("to"), F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved")))
+        own = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    return own.select(*key, "label")
 
-    return checkpointed(_in_one_task(plain, by, solve, {"node": kind, "component": kind}))
 
+def _contracted(rest: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, tuple] | None:
+    """``rest`` without the nodes that have a single way on, edges to them leading to the end of that way; and what is needed to name them later.
 
-def strong_components(edges: DataFrame, by: tuple[str, ...] = (), in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    Such a node is on a cycle with the end of its way if it is on a way from it, so once the others are named, by where
+    the ways are entered.
+    """
+    found = _jumps(rest, by)
+    if found is None:
+        return None
+    tables, inside, image = found
+    ends = tables[-1].join(image.withColumnRenamed("node", "to"), [*by, "to"], "left_anti")
+    single = tables[0].select(*by, F.col("node").alias("source"))
+    others = rest.join(single, [*by, "source"], "left_anti")
+    entries = checkpointed(others.join(ends.select(*by, F.col("node").alias("target"), F.col("to").alias("end")), [*by, "target"]).select(*by, "source", F.col("target").alias("node"), "end"))
+    kept = others.join(tables[0].select(*by, F.col("node").alias("target")), [*by, "target"], "left_anti").select(*by, "source", "target")
+    new = checkpointed(kept.unionByName(entries.where("source != end").select(*by, "source", F.col("end").alias("target"))).distinct())
+    return new, (entries, inside, _rings(image, tables[0], by))
+
+
+def _named(labels: DataFrame, event: tuple, by: tuple[str, ...]) -> DataFrame:
+    """``labels`` (``by``, node, label) of the others with those of the nodes that a contraction took away."""
+    entries, inside, rings = event
+    at = labels.select(*by, F.col("node").alias("source"), F.col("label").alias("from_label"))
+    to = labels.select(*by, F.col("node").alias("end"), "label")
+    hit = entries.join(at, [*by, "source"], "left").join(to, [*by, "end"], "left").where((F.col("source") == F.col("end")) | (F.col("from_label") == F.col("label")))
+    hit = checkpointed(hit.select(*by, "node", "end", F.coalesce("label", "end").alias("label"), F.col("label").isNull().alias("alone")))
+    out = labels.unionByName(rings)
+    if not hit.isEmpty():
+        marks = _along(checkpointed(hit.select(*by, "node", "label").distinct()), inside, by)
+        out = out.unionByName(marks).unionByName(hit.where("alone").select(*by, F.col("end").alias("node"), "label").distinct())
+    return checkpointed(out)
+
+
+def _turned(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return edges.select(*by, F.col("target").alias("source"), F.col("source").alias("target"))
+
+
+def _shrunk(rest: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, list[tuple]]:
+    """``rest`` trimmed and contracted, by single ways on and single ways in, as long as that takes a good part of it."""
+    events, idle = [], 0
+    n = rest.count()
+    while n and idle < 2:
+        before = n
+        rest = _trimmed(rest, by)
+        if found := _contracted(rest, by):
+            rest = found[0]
+            events.append(found[1])
+        # A component is one of the turned edges as well, so the other direction is next.
+        rest = _turned(rest, by)
+        n = rest.count()
+        idle = idle + 1 if (before - n) * WORTH < before else 0
+    return rest, events
+
+
+def _coloured(rest: DataFrame, by: tuple[str, ...], turn: int) -> tuple[DataFrame, DataFrame]:
+    """Some components (``by``, node, label) of ``rest``, and the edges that are left without them and between colours."""
+    key = [*by, "node"]
+    kind = dict(rest.dtypes)["source"]
+    nodes = rest.select(*by, F.col("source").alias("node")).unionByName(rest.select(*by, F.col("target").alias("node"))).distinct()
+    priority = F.concat(F.lpad(F.hex(F.xxhash64("node", F.lit(turn))), 16, "0"), F.lit(":"), F.col("node").cast("string"))
+    first = checkpointed(nodes.withColumn("colour", priority))
+    colours = first
+    for _ in range(MOST_ROUNDS):
+        spread = rest.join(colours.withColumnRenamed("node", "source"), [*by, "source"]).select(*by, F.col("target").alias("node"), "colour", F.lit(None).cast("string").alias("own"))
+        both = colours.withColumn("own", F.col("colour")).unionByName(spread)
+        new = checkpointed(both.groupBy(*key).agg(F.min("colour").alias("colour"), F.max("own").alias("own")))
+        colours = new.select(*key, "colour")
+        if new.where("colour != own").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"colours have not settled after {MOST_ROUNDS} rounds")
+    coloured = rest.join(colours.select(*by, F.col("node").alias("source"), F.col("colour").alias("from")), [*by, "source"]).join(colours.select(*by, F.col("node").alias("target"), F.col("colour").alias("to")), [*by, "target"])
+    # Within one colour only: no component has two.
+    inner = checkpointed(coloured.where(F.col("from") == F.col("to")).select(*by, "source", "target"))
+    roots = first.join(colours, [*key, "colour"], "left_semi").select(*key)
+    own = reachable(roots, _turned(inner, by), by).join(colours, key)
+    named = own.groupBy(*by, "colour").agg(F.min("node").alias("label"), F.count("*").alias("n"))
+    own = checkpointed(own.join(named, [*by, "colour"]).select(*key, "label", "n"))
+    left = inner.join(own.select(*by, F.col("node").alias("source")), [*by, "source"], "left_anti").join(own.select(*by, F.col("node").alias("target")), [*by, "target"], "left_anti")
+    return own.where("n > 1").select(*key, F.col("label").cast(kind).alias("label")), checkpointed(left)
+
+
+def strong_components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(``by``, node, component): nodes of cycles, the component named by its least node; a lone node only with a loop.
 
-    Colouring: every node has a random priority; the first one that reaches a node spreads
-    forward to it as its colour, and the nodes of a colour that reach that one backward are
-    its component. Found components are taken out, edges between colours with them, and the
-    rest goes on with new priorities until it fits one task. So a chain of components falls
-    into ever shorter pieces: the rounds grow with its logarithm. An error where they don't settle.
+    Contraction first: nodes with a single way on, or in, are taken away with all of their chain or ring, in a logarithm
+    of rounds, and named when the others are. What is left is coloured: every node has a random priority; the first one that
+    reaches a node spreads forward to it as its colour, and the nodes of a colour that reach that one
+    backward are its component. Found components are taken out, edges between colours with them, and the rest is
+    contracted again. An error where it doesn't settle.
     """
     key = [*by, "node"]
-    rest = plain = _plain(edges, by)
-    found = None
+    plain = _plain(edges, by)
+    rest, events = plain.where("source != target"), []
+    labels = plain.limit(0).select(*by, F.col("source").alias("node"), F.col("source").alias("label"))
     for turn in range(MOST_ROUNDS):
-        if turn or plain.count() > in_one_task:
-            rest = _trimmed(rest.where("source != target"), by)
-        if rest.count() <= in_one_task:
-            last = _components_in_one_task(rest, by)
-            found = last if found is None else found.unionByName(last)
+        rest, new = _shrunk(rest, by)
+        events += new
+        if rest.isEmpty():
             break
-        kind = dict(rest.dtypes)["source"]
-        nodes = rest.select(*by, F.col("source").alias("node")).unionByName(rest.select(*by, F.col("target").alias("node"))).distinct()
-        priority = F.concat(F.lpad(F.hex(F.xxhash64("node", F.lit(turn))), 16, "0"), F.lit(":"), F.col("node").cast("string"))
-        first = checkpointed(nodes.withColumn("colour", priority))
-        colours = first
-        for _ in range(MOST_ROUNDS):
-            spread = rest.join(colours.withColumnRenamed("node", "source"), [*by, "source"]).select(*by, F.col("target").alias("node"), "colour", F.lit(None).cast("string").alias("own"))
-            both = colours.withColumn("own", F.col("colour")).unionByName(spread)
-            new = checkpointed(both.groupBy(*key).agg(F.min("colour").alias("colour"), F.max("own").alias("own")))
-            colours = new.select(*key, "colour")
-            if new.where("colour != own").isEmpty():
-                break
-        else:
-            raise RuntimeError(f"colours have not settled after {MOST_ROUNDS} rounds")
-        coloured = rest.join(colours.select(*by, F.col("node").alias("source"), F.col("colour").alias("from")), [*by, "source"]).join(colours.select(*by, F.col("node").alias("target"), F.col("colour").alias("to")), [*by, "target"])
-        # Within one colour only: no component has two.
-        inner = checkpointed(coloured.where(F.col("from") == F.col("to")).select(*by, "source", "target"))
-        roots = first.join(colours, [*key, "colour"], "left_semi").select(*key)
-        own = reachable(roots, inner.select(*by, F.col("target").alias("source"), F.col("source").alias("target")), by, in_one_task).join(colours, key)
-        named = own.groupBy(*by, "colour").agg(F.min("node").alias("component"), F.count("*").alias("n"))
-        own = checkpointed(own.join(named, [*by, "colour"]).select(*key, "component", "n"))
-        several = own.where("n > 1").select(*key, F.col("component").cast(kind).alias("component"))
-        found = several if found is None else found.unionByName(several)
-        rest = checkpointed(inner.join(own.select(*by, F.col("node").alias("source")), [*by, "source"], "left_anti").join(own.select(*by, F.col("node").alias("target")), [*by, "target"], "left_anti"))
+        found, rest = _coloured(rest, by, turn)
+        labels = labels.unionByName(found)
     else:
         raise RuntimeError(f"components have not settled after {MOST_ROUNDS} rounds")
+    for event in reversed(events):
+        labels = _named(labels, event, by)
+    least = labels.groupBy(*by, "label").agg(F.min("node").alias("component"))
+    found = labels.join(least, [*by, "label"]).select(*key, "component")
     loops = plain.where("source = target").select(*by, F.col("source").alias("node"), F.col("source").alias("component"))
-    return found.unionByName(loops.join(found.select(*key), key, "left_anti"))
+    return checkpointed(found.unionByName(loops.join(found.select(*key), key, "left_anti")))

@@ -160,14 +160,14 @@ def brute_depths(pairs):
     return out
 
 
-@pytest.mark.parametrize("in_one_task", [0, 10**6])
-def test_both_ways_of_fixpoints_equal_brute_force(spark, in_one_task):
-    rnd = random.Random(8)
-    graphs = {s: {(f"n{rnd.randrange(8)}", f"n{rnd.randrange(8)}") for _ in range(11)} for s in ("one", "two")}
+@pytest.mark.parametrize("in_one_task,seed,nodes,pairs", [(0, 8, 8, 11), (10**6, 8, 8, 11), (10**6, 1, 20, 22), (10**6, 2, 9, 30)])
+def test_fixpoints_equal_brute_force(spark, in_one_task, seed, nodes, pairs):
+    rnd = random.Random(seed)
+    graphs = {s: {(f"n{rnd.randrange(nodes)}", f"n{rnd.randrange(nodes)}") for _ in range(pairs)} for s in ("one", "two")}
     rows = [(s, a, b) for s, pairs in graphs.items() for a, b in pairs] + [("one", None, "n1"), ("one", "n1", None)]
     df = spark.createDataFrame(rows, "s string, source string, target string")
     starts = [("one", "n0"), ("two", "n3"), ("two", "alone"), ("three", "n1"), ("one", None)]
-    got = {tuple(r) for r in fixpoint.reachable(spark.createDataFrame(starts, "s string, node string"), df, ("s",), in_one_task).collect()}
+    got = {tuple(r) for r in fixpoint.reachable(spark.createDataFrame(starts, "s string, node string"), df, ("s",)).collect()}
     paths = {s: brute_depths(pairs) for s, pairs in graphs.items()}
     assert got == {(s, n) for s, n in starts if n} | {(s, b) for s, n in starts for (a, b) in paths.get(s, ()) if a == n}
     for most in (None, 2):
@@ -175,13 +175,13 @@ def test_both_ways_of_fixpoints_equal_brute_force(spark, in_one_task):
         assert len(found) == len({tuple(r)[:3] for r in found})
         assert {tuple(r) for r in found} == {(s, a, b, d) for s, own in paths.items() for (a, b), d in own.items() if most is None or d <= most}
     sets = {}
-    for r in fixpoint.strong_components(df, ("s",), in_one_task).collect():
+    for r in fixpoint.strong_components(df, ("s",)).collect():
         sets.setdefault((r["s"], r["component"]), set()).add(r["node"])
     assert {(s, frozenset(m)) for (s, c), m in sets.items()} == {(s, m) for s, pairs in graphs.items() for m in brute_components(pairs)}
     assert all(c == min(m) for (_, c), m in sets.items())
     without = df.drop("s").where("source is not null")
     assert fixpoint.depths(without, in_one_task=in_one_task).count() == len(brute_depths({(a, b) for _, a, b in rows if a and b}))
-    assert fixpoint.strong_components(without.limit(0), in_one_task=in_one_task).isEmpty()
+    assert fixpoint.strong_components(without.limit(0)).isEmpty()
 
 
 def chain(n):
@@ -194,13 +194,32 @@ def test_a_long_chain_of_cycles(spark):
     assert {tuple(r) for r in got.collect()} == {(f"n{i:05d}", f"n{i - i % 2:05d}") for i in range(3000)}
 
 
-def test_rounds_on_a_chain_of_cycles(spark, monkeypatch):
-    df = spark.createDataFrame(chain(7), "source string, target string")
-    got = fixpoint.strong_components(df, in_one_task=8)
-    assert {tuple(r) for r in got.collect()} == {(f"n{i:05d}", f"n{i - i % 2:05d}") for i in range(14)}
+@pytest.fixture
+def checkpoints(monkeypatch):
+    """How many checkpoints are made: a few a round."""
+    made = []
+    own = fixpoint.checkpointed
+    monkeypatch.setattr(fixpoint, "checkpointed", lambda df: made.append(1) or own(df))
+    return made
+
+
+def test_rounds_grow_with_the_logarithm_of_chains_and_rings(spark, checkpoints):
+    n = 10_000
+    numbers = spark.range(n).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    ring = numbers.withColumn("target", F.col("target") % n)
+    found = fixpoint.strong_components(ring.unionByName(numbers.select((F.col("source") + n).alias("source"), (F.col("target") + n).alias("target"))))
+    assert tuple(found.agg(F.count("*"), F.min("node"), F.max("node"), F.max("component")).first()) == (n, 0, n - 1, 0)
+    assert len(checkpoints) < 110
+    checkpoints.clear()
+    assert fixpoint.reachable(spark.createDataFrame([(7,)], "node long"), numbers).count() == n - 6
+    assert len(checkpoints) < 110
+
+
+def test_what_does_not_settle_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "MOST_ROUNDS", 1)
-    with pytest.raises(RuntimeError, match="have not settled"):
-        fixpoint.strong_components(df, in_one_task=0)
+    df = spark.createDataFrame([(i, j) for i in range(6) for j in range(6) if i != j], "source long, target long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        fixpoint.strong_components(df)
 
 
 # --- retention and lifting on one small graph ---
