@@ -868,6 +868,58 @@ def extract_relations(spark, sf_dir):
     return g.relations.select(F.col("category").alias("what"), F.col("source_key").alias("source"), F.col("target_key").alias("target")).unionByName(gaps)
 
 
+_STORE = """public partial class Store{key} : ShopContext {{
+  public DbSet<Shared> Rows {{ get; set; }}
+  public class Line<T> {{
+    public void Add{key}(T item) {{ Count{key}(1); }}
+    private int Count{key}(int n) => n;
+  }}
+  public void Send{key}(GreeterClient greeter) {{
+    greeter.SayHello(1); Rows.Add(1); var x = new Shared(1); Open{key}(2);
+  }}
+  public void Open{key}(int a) {{ }}
+  public void Open{key}(string a) {{ }}
+}}
+"""
+_MORE = "public partial class Store{key} {{ public void More{key}() {{ Open{key}(3); }} }}\n"
+_SHARED = "public record Shared(int Id);\npublic class GreeterClient : Grpc.Core.ClientBase<GreeterClient> {{ }}\n// {key}\n"
+
+
+def _filled(template: str, key: Column) -> Column:
+    parts = template.replace("{{", "\x01").replace("}}", "\x02").split("{key}")
+    return F.concat(*[x for i, part in enumerate(parts) for x in ([key] if i else []) + [F.lit(part.replace("\x01", "{").replace("\x02", "}"))]])
+
+
+def _stores(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two files of every supplier in its nation's project, and one of every region in its own; nations refer to their region."""
+    supplier, nation, region = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    key, own = F.col("s_suppkey").cast("string"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))
+    place = F.concat(F.lit("R"), F.col("r_regionkey").cast("string"))
+    files = [supplier.select(F.concat(own, F.lit("/P.csproj")).alias("project"), F.concat(own, F.lit("/Store"), key, F.lit(ending)).alias("relative_path"), _filled(text, key).alias("content")) for ending, text in ((".cs", _STORE), (".More.cs", _MORE))]
+    files.append(region.select(F.concat(place, F.lit("/P.csproj")).alias("project"), F.concat(place, F.lit("/Shared.cs")).alias("relative_path"), _filled(_SHARED, F.col("r_regionkey").cast("string")).alias("content")))
+    references = nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit("/P.csproj")).alias("project"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string"), F.lit("/P.csproj")).alias("target"))
+    return reduce(DataFrame.unionByName, files), references
+
+
+@query("""WITH stores AS (SELECT s_suppkey AS k, 'N' || s_nationkey || '/P.csproj' AS p, 'R' || n_regionkey || '/P.csproj' AS q FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+sent AS (SELECT *, 'entity:S:symbol:' || p || ':Store' || k || '.Send' || k AS sender FROM stores)
+SELECT 'grpc' AS what, sender AS source, 'entity:S:grpcservice:' || p || ':GreeterClient' AS target FROM sent UNION ALL
+SELECT 'persistence-store', sender, 'entity:S:persistencestore:' || p || ':DbSet<Shared>' FROM sent UNION ALL SELECT 'persistence-operation', sender, 'entity:S:persistencestore:' || p || ':DbSet<Shared>#Add' FROM sent UNION ALL
+SELECT 'persistence-object', sender, 'entity:S:persistenceobject:' || p || ':Shared' FROM sent UNION ALL SELECT 'persistence-object', 'entity:S:symbol:' || p || ':Store' || k, 'entity:S:persistenceobject:' || p || ':Shared' FROM sent UNION ALL
+SELECT 'structural-type-use', sender, 'entity:S:symbol:' || q || ':Shared' FROM sent UNION ALL SELECT 'internal-invocation', sender, 'entity:S:symbol:' || p || ':Store' || k || '.Open' || k FROM sent UNION ALL
+SELECT 'internal-invocation', 'entity:S:symbol:' || p || ':Line.Add' || k, 'entity:S:symbol:' || p || ':Line.Count' || k FROM stores UNION ALL
+SELECT 'internal-invocation', 'entity:S:symbol:' || p || ':Store' || k || '.More' || k, 'entity:S:symbol:' || p || ':Store' || k || '.Open' || k FROM stores UNION ALL
+SELECT 'project-reference', 'entity:S:project:N' || n_nationkey || '/P.csproj:N' || n_nationkey || '/P.csproj', 'entity:S:project:R' || n_regionkey || '/P.csproj:R' || n_regionkey || '/P.csproj' FROM nation""")
+def extract_stores(spark, sf_dir):
+    """Relations and gaps of partial, nested and generic types, records, overloads, a set and a client; five projects declare one type's name."""
+    files, references = _stores(spark, sf_dir)
+    projects = files.select("project").unionByName(references.select("project")).unionByName(references.select(F.col("target").alias("project"))).distinct()
+    projects = projects.select("project", F.lit(None).cast("string").alias("output_type"), F.array().cast("array<string>").alias("frameworks"))
+    g = lexical.extract(files, projects, references, "S")
+    gaps = g.gaps.select(F.col("cause").alias("what"), F.element_at("affected_keys", 1).alias("source"), F.lit(None).cast("string").alias("target"))
+    return g.relations.select(F.col("category").alias("what"), F.col("source_key").alias("source"), F.col("target_key").alias("target")).unionByName(gaps)
+
+
 # --- packages --------------------------------------------------------------------------------
 
 

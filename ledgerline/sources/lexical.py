@@ -13,8 +13,10 @@ Input files: ``project`` (path), ``relative_path``, ``content``, and the project
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,6 +49,7 @@ _METHOD = re.compile(r"((?:\[[^\]\n]*\]\s*)*)\b(public|private|protected|interna
 _CALL = re.compile(r"(?:([A-Za-z_][\w.]*)\s*\.\s*)?\b([A-Za-z_]\w*)\s*(?:<\s*([\w.]+)[^>()]*>)?\s*\(")
 _DECLARED = re.compile(r"\b([A-Z][\w.]*(?:\s*<[^<>;(){}]*>)?)\??\s+([A-Za-z_]\w*)\s*(?=[;=,){])")
 _NAME = re.compile(r"\b[A-Z]\w+\b")
+_BODY = re.compile(r"\{|=>|;")
 _LITERAL = re.compile(r'\$?@?"((?:\\.|[^"\\])*)"')
 
 ITEMS = f"project string, relative_path string, kind string, name string, owner_type string, owner_method string, place int, span {SPAN}, text string, bases array<string>, attributes string, is_public boolean, is_static boolean, receiver string, receiver_type string, type_argument string, literal string"
@@ -62,29 +65,75 @@ def plain(source: str) -> tuple[str, str]:
     return code, _COMMENT_OR_STRING.sub(lambda m: m[0][0] + _blank(m[0][1:-1]) + m[0][-1] if len(m[0]) > 1 else m[0], code)
 
 
-def _closed(code: str, at: int, opening: str, closing: str) -> int:
-    """The place behind the bracket that closes the one at ``at``; the end of the text where none does."""
-    depth = 0
-    for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(code, at):
-        depth += 1 if m[0] == opening else -1
-        if not depth:
-            return m.end()
-    return len(code)
+def _brackets(code: str) -> dict[int, int]:
+    """Of each opening brace and bracket the place behind the one that closes it, in one pass; the end of the text where none does."""
+    out, open_ = {}, {"{": [], "(": []}
+    for m in re.finditer(r"[{}()]", code):
+        if (own := open_.get(m[0])) is not None:
+            own.append(m.start())
+            out[m.start()] = len(code)
+        elif own := open_["{" if m[0] == "}" else "("]:
+            out[own.pop()] = m.end()
+    return out
 
 
-def _body(code: str, at: int) -> tuple[int, int]:
+def _body(code: str, at: int, closed: dict[int, int]) -> tuple[int, int]:
     """From a declaration's head on: the block, or what an arrow gives, up to its end; empty for a head alone."""
-    m = re.compile(r"\{|=>|;").search(code, at)
+    m = _BODY.search(code, at)
     if m is None or m[0] == ";":
         return at, at
     if m[0] == "{":
-        return m.start(), _closed(code, m.start(), "{", "}")
+        return m.start(), closed[m.start()]
     end = code.find(";", m.end())
     return m.start(), len(code) if end < 0 else end
 
 
+class _Scopes:
+    """The innermost of some blocks at any place: places where it changes, found in one sweep over their ends."""
+
+    def __init__(self, blocks: list[tuple[int, int, str]]):
+        self.places, self.names = [-1], [None]
+        starts, open_ = defaultdict(list), []
+        for begin, end, name in blocks:
+            if begin < end:
+                starts[begin].append((end, name))
+        for place in sorted({x for begin, end, _ in blocks if begin < end for x in (begin, end)}):
+            for end, name in starts.get(place, ()):
+                heapq.heappush(open_, (-place, end, name))
+            while open_ and open_[0][1] <= place:
+                heapq.heappop(open_)
+            self.places.append(place)
+            self.names.append(open_[0][2] if open_ else None)
+
+    def at(self, place: int) -> str | None:
+        return self.names[bisect_right(self.places, place) - 1]
+
+
+class _Declared:
+    """The type of the nearest declaration of a name, an earlier one first."""
+
+    def __init__(self, variables: list[tuple[int, str, str]]):
+        self.by_name: dict[str, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
+        for place, name, kind in variables:  # in the text's order
+            self.by_name[name][0].append(place)
+            self.by_name[name][1].append(kind)
+
+    def at(self, name: str, place: int) -> str | None:
+        if name not in self.by_name:
+            return None
+        places, kinds = self.by_name[name]
+        return kinds[max(bisect_right(places, place) - 1, 0)]
+
+
+def _is_made(code: str, place: int) -> bool:
+    """Whether ``new`` stands before the place."""
+    while place and code[place - 1].isspace():
+        place -= 1
+    return code.endswith("new", 0, place) and not (place > 3 and (code[place - 4].isalnum() or code[place - 4] == "_"))
+
+
 def scan(source: str) -> Iterator[dict]:
-    """The declarations and calls of one file."""
+    """The declarations and calls of one file, in a few passes over its text; each place is looked up by halving."""
     text, code = plain(source)
     lines = [0, *(m.end() for m in re.finditer("\n", code))]
 
@@ -100,45 +149,38 @@ def scan(source: str) -> Iterator[dict]:
     if BOOTSTRAP in code:
         start = code.index(BOOTSTRAP)
         yield item("host", BOOTSTRAP, start, start + len(BOOTSTRAP))
-    types = [(*_body(code, m.end()), m[1]) for m in _TYPE.finditer(code)]
+    closed = _brackets(code)
+    declared_types = list(_TYPE.finditer(code))
+    types = _Scopes([(*_body(code, m.end(), closed), m[1]) for m in declared_types])
     # A record's name and brackets read like a method's.
-    starts = {m.start(1) for m in _TYPE.finditer(code)}
+    starts = {m.start(1) for m in declared_types}
     heads = [m for m in _METHOD.finditer(code) if m[4] not in KEYWORDS and m.start(4) not in starts]
-    methods = [(*_body(code, m.end()), m[4]) for m in heads]
+    methods = _Scopes([(*_body(code, m.end(), closed), m[4]) for m in heads])
 
-    def around(place: int, blocks: list[tuple[int, int, str]]) -> str | None:
-        """The innermost block's name."""
-        return max(((a, name) for a, b, name in blocks if a <= place < b), default=(0, None))[1]
-
-    for m in _TYPE.finditer(code):
+    for m in declared_types:
         bases = [x for part in re.split(r",(?![^<]*>)", m[2] or "") if (x := "".join(re.findall(r"([A-Za-z_]\w*)\s*(?:<.*)?\s*$", part.strip())))]
-        yield item("type", m[1], m.start(1), m.end(1), bases=bases, owner_type=around(m.start(), types), text=" ".join(m[0].split()))
+        yield item("type", m[1], m.start(1), m.end(1), bases=bases, owner_type=types.at(m.start()), text=" ".join(m[0].split()))
     for m in heads:
-        yield item("method", m[4], m.start(4), m.end(4), owner_type=around(m.start(4), types), attributes=" ".join(m[1].split()), is_public=m[2] == "public", is_static="static" in m[3].split(), text=" ".join(code[m.start(2) : m.end()].split()))
+        yield item("method", m[4], m.start(4), m.end(4), owner_type=types.at(m.start(4)), attributes=" ".join(m[1].split()), is_public=m[2] == "public", is_static="static" in m[3].split(), text=" ".join(code[m.start(2) : m.end()].split()))
 
     variables = [(m.start(), m[2], "".join(m[1].split())) for m in _DECLARED.finditer(code)]
     for place, name, kind in variables:
         if kind.startswith(SET) and kind.endswith(">"):
-            yield item("set", name, place, code.index(name, place + len(SET)) + len(name), owner_type=around(place, types), type_argument=kind[len(SET) : -1])
-
-    def declared(name: str, place: int) -> str | None:
-        """The type of the nearest declaration of the name, an earlier one first."""
-        own = [(p > place, abs(p - place), kind) for p, n, kind in variables if n == name]
-        return min(own)[2] if own else None
+            yield item("set", name, place, code.index(name, place + len(SET)) + len(name), owner_type=types.at(place), type_argument=kind[len(SET) : -1])
 
+    declared = _Declared(variables)
     names = {m.start(4) for m in heads}
     for m in _CALL.finditer(code):
-        before = code[: m.start()].rstrip()
-        if m[2] in KEYWORDS or m.start(2) in names or re.search(r"\bnew$", before) or (method := around(m.start(), methods)) is None:
+        if m[2] in KEYWORDS or m.start(2) in names or _is_made(code, m.start()) or (method := methods.at(m.start())) is None:
             continue
-        end = _closed(code, m.end() - 1, "(", ")")
+        end = closed[m.end() - 1]
         inside = _LITERAL.search(text, m.end(), end)
         receiver = m[1]
-        kind = declared(receiver.split(".")[-1], m.start()) or declared(receiver.split(".")[0], m.start()) if receiver else None
-        yield item("call", m[2], m.start(), end, owner_type=around(m.start(), types), owner_method=method, receiver=receiver, receiver_type=kind, type_argument=m[3], literal=inside[1] if inside else None)
+        kind = declared.at(receiver.split(".")[-1], m.start()) or declared.at(receiver.split(".")[0], m.start()) if receiver else None
+        yield item("call", m[2], m.start(), end, owner_type=types.at(m.start()), owner_method=method, receiver=receiver, receiver_type=kind, type_argument=m[3], literal=inside[1] if inside else None)
     for m in _NAME.finditer(code):
-        if (method := around(m.start(), methods)) is not None:
-            yield item("use", m[0], m.start(), m.end(), owner_type=around(m.start(), types), owner_method=method)
+        if (method := methods.at(m.start())) is not None:
+            yield item("use", m[0], m.start(), m.end(), owner_type=types.at(m.start()), owner_method=method)
 
 
 def items(files: DataFrame) -> DataFrame:
@@ -178,6 +220,19 @@ def resolved(calls: DataFrame, methods: DataFrame, references: DataFrame) -> Dat
     return found.withColumn("is_open", F.coalesce("is_known", F.lit(False)) & F.col("target").isNull()).drop("own_n", "own_full", "near_n", "near", "is_known")
 
 
+def resolved_types(uses: DataFrame, types: DataFrame, references: DataFrame) -> DataFrame:
+    """Uses with target_project, the project whose type they name, and is_open, where several projects leave it open.
+
+    A type of the own project comes first, then one of a project that it refers to. A name that neither declares is no use
+    of a type: without a reference there is no way to it.
+    """
+    known = types.select("project", "name").distinct()
+    near = references.select("project", F.col("target").alias("other")).distinct().join(known.withColumnRenamed("project", "other"), "other").groupBy("project", "name").agg(F.count("*").alias("near_n"), F.min("other").alias("near"))
+    rows = uses.join(known.withColumn("is_own", F.lit(True)), ["project", "name"], "left").join(near, ["project", "name"], "left").where("is_own or near is not null")
+    target = F.when(F.col("is_own"), F.col("project")).when(F.col("near_n") == 1, F.col("near"))
+    return rows.withColumn("target_project", target).withColumn("is_open", target.isNull()).drop("is_own", "near_n", "near")
+
+
 def extract(files: DataFrame, facts: DataFrame, references: DataFrame, solution: str, variant: tuple = ("unknown", "Debug", [], "lexical"), include_tests: bool = False) -> FactualGraph:
     """The graph of one solution: ``files`` (project, relative_path, content), project facts and references."""
     sol = F.lit(solution)
@@ -240,7 +295,9 @@ def extract(files: DataFrame, facts: DataFrame, references: DataFrame, solution:
 
     held = F.regexp_extract(receiver, r"DbSet<\s*([\w.]+)\s*>", 1)
     config = F.concat(F.when(name.isin(*SECTIONS), "section:").otherwise("key:"), literal)
-    uses = found.where("kind = 'use'").join(types.groupBy("name").agg(F.count_distinct("project").alias("n"), F.min("project").alias("target_project")).where("n = 1").drop("n"), "name").where("owner_type is null or name != owner_type")
+    named_types = found.where("kind = 'use'").where("owner_type is null or name != owner_type")
+    named_types = fixpoint.checkpointed(resolved_types(named_types, types, references))
+    uses = named_types.where("not is_open")
     refs = references.select("project", F.col("project").alias("relative_path"), F.lit(0).alias("place"), top.alias("span"), F.col("target").alias("text"))
     proven = reduce(DataFrame.unionByName, [
         relation(of("internal-invocation"), "internal-invocation", key_of("Symbol", F.col("target"), F.col("target_project"))), relation(of("http"), "http", key_of("HttpEndpoint", literal)), relation(of("grpc"), "grpc", key_of("GrpcService", receiver)),
@@ -258,7 +315,8 @@ def extract(files: DataFrame, facts: DataFrame, references: DataFrame, solution:
 
     causes = F.when(F.col("role") == "open-http", "http-destination-unresolved").when(F.col("role") == "open-message", "messaging-payload-unresolved").otherwise("unresolved-invocation")
     kinds = F.when(F.col("role") == "open-http", "Candidate").otherwise("Unknown")
-    opened = called.where(F.col("role").startswith("open-")).select(kinds.alias("gap"), causes.alias("cause"), caller.alias("affected"), "project", file, "place", "span", "text", identity.evidence_key(F.lit("invocation"), where).alias("evidence"))
+    open_types = named_types.where("is_open").select(F.lit("Unknown").alias("gap"), F.lit("unresolved-type-use").alias("cause"), caller.alias("affected"), "project", file, "place", "span", "text", identity.evidence_key(F.lit("type-use"), where).alias("evidence"))
+    opened = called.where(F.col("role").startswith("open-")).select(kinds.alias("gap"), causes.alias("cause"), caller.alias("affected"), "project", file, "place", "span", "text", identity.evidence_key(F.lit("invocation"), where).alias("evidence")).unionByName(open_types)
     gaps = opened.select(sol.alias("solution_key"), identity.gap_key(F.col("gap"), F.col("affected"), where).alias("key"), F.col("gap").alias("kind"), "cause", F.array("affected").alias("affected_keys"), F.array("evidence").alias("evidence_keys"))
     evidence = evidence_of(proven).unionByName(evidence_of(opened))
     # Targets that no declaration names: endpoints, channels, contracts, stores, keys.

@@ -176,3 +176,41 @@ def test_callers_places_and_open_names(spark):
     kinds = {(r["kind"], tail(r["key"])) for r in made.entities.where("kind in ('EntryPoint', 'Solution')").collect()}
     assert kinds == {("EntryPoint", "entrypoint:Web/P.csproj:Web/Pages.cs#Pages.Show"), ("Solution", "solution:solution:S:S.slnx")}
     assert retain.shape_conflicts(made.occurrences).isEmpty()
+
+
+def test_a_large_file_is_scanned_in_linear_time():
+    import time
+
+    method = "  [HttpGet] public string Show{k}(Item item) {{\n    /* note {k} */ var x = client.GetAsync(\"/a/{k}\"); Show{j}(new Item(1)); cfg.GetValue(\"k\"); return x;\n  }}\n"
+    body = "".join(method.format(k=k, j=k + 1) for k in range(22_000))
+    source = f"public class Big : ControllerBase {{\n{body}}}\n"
+    assert len(source) > 3_000_000
+    began = time.process_time()
+    found = list(lexical.scan(source))
+    spent = time.process_time() - began
+    small = f"public class Big : ControllerBase {{\n{''.join(method.format(k=k, j=k + 1) for k in range(2_200))}}}\n"
+    began = time.process_time()
+    few = list(lexical.scan(small))
+    assert spent < 40 * max(time.process_time() - began, 0.05)
+    calls = [x for x in found if x["kind"] == "call"]
+    assert len(calls) == 10 * len([x for x in few if x["kind"] == "call"]) == 3 * 22_000
+    assert all(x["owner_type"] == "Big" for x in calls) and [x["owner_method"] for x in calls[::3]] == [f"Show{k}" for k in range(22_000)]
+
+
+def test_a_type_that_several_projects_declare_is_the_referred_ones(spark):
+    uses = "public class A { public void Go() { Twin t = null; Lone l = null; Far f = null; } }"
+    files = spark.createDataFrame([("A/P", "A/a.cs", uses), ("C/P", "C/c.cs", uses.replace("class A", "class C")), ("B1/P", "B1/b.cs", "public class Twin { } public class Lone { }"), ("B2/P", "B2/b.cs", "public class Twin { }"), ("D/P", "D/d.cs", "public class Far { }")], "project string, relative_path string, content string")
+    projs = spark.createDataFrame([(p, None, []) for p in ("A/P", "B1/P", "B2/P", "C/P", "D/P")], "project string, output_type string, frameworks array<string>")
+    refs = spark.createDataFrame([("A/P", "B1/P"), ("C/P", "B1/P"), ("C/P", "B2/P")], "project string, target string")
+    made = lexical.extract(files, projs, refs, "S")
+    got = {(r["source_key"][len("entity:S:symbol:") :], r["target_key"][len("entity:S:symbol:") :]) for r in made.relations.where("category = 'structural-type-use'").collect()}
+    assert got == {("A/P:A.Go", "B1/P:Twin"), ("A/P:A.Go", "B1/P:Lone"), ("C/P:C.Go", "B1/P:Lone")}
+    assert [(r["cause"], r["affected_keys"]) for r in made.gaps.collect()] == [("unresolved-type-use", ["entity:S:symbol:C/P:C.Go"])]
+
+
+def test_the_innermost_block_and_the_nearest_declaration():
+    scopes = lexical._Scopes([(0, 100, "a"), (10, 50, "b"), (20, 30, "c"), (60, 60, "none"), (70, 120, "d")])
+    assert [scopes.at(x) for x in (0, 9, 10, 19, 20, 29, 30, 49, 50, 60, 70, 99, 100, 119, 120)] == ["a", "a", "b", "b", "c", "c", "b", "b", "a", "a", "d", "d", "d", "d", None]
+    declared = lexical._Declared([(5, "x", "A"), (20, "x", "B"), (30, "y", "C")])
+    assert [declared.at("x", p) for p in (1, 5, 19, 20, 99)] == ["A", "A", "A", "B", "B"] and declared.at("y", 1) == "C" and declared.at("z", 1) is None
+    assert lexical._is_made("var x = new  Item(1)", 13) and not lexical._is_made("renew Item(1)", 6) and lexical._is_made("new A()", 4)
