@@ -507,6 +507,8 @@ def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | N
         certified = spark.read.parquet(f"{staged}/certification")
         if failed := certified.where("status = 'Failed'").orderBy("solution_key", "journey").take(1):
             raise PackageError("journey-certification", "certification", f"{failed[0]['journey']}: {failed[0]['reason']}")
+        if failure := certified_failure(rows, certification_artifacts(certified)):
+            raise failure
         pointer = json.dumps({"generation": digest, "path": f"generations/{digest}"}, sort_keys=True)
         sizes = certification_artifacts(certified).select("family", "bytes").unionByName(rows.select("family", "bytes"))
         check_budget(sizes.unionByName(spark.createDataFrame([("Manifest", len(pointer))], "family string, bytes long")), names or [])
@@ -544,6 +546,16 @@ def certification_artifacts(certified: DataFrame) -> DataFrame:
     return described(rows.select("solution_key", F.concat(F.lit("certification/"), "solution_id", F.lit(".json")).alias("path"), F.lit("Certification").alias("family"), "payload", F.lit(len(JOURNEYS)).cast("long").alias("records")))
 
 
+def certified_failure(rows: DataFrame, certification: DataFrame) -> PackageError | None:
+    """What is wrong with the files of the certification, beside the artifacts it is about: one per solution, of all journeys, sound."""
+    journeys = F.size(F.from_json("payload", "array<string>"))
+    odd = certification.where((predicates.artifact_family(F.col("path")) != "Certification") | (journeys != len(JOURNEYS)) | (F.col("digest") != F.sha2("payload", 256)) | F.contains("payload", F.lit("C:/")) | ~predicates.is_safe_relative(F.col("path")))
+    own = rows.unionByName(certification.select(rows.columns)).groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    lost = main_manifests(rows).select("solution_key").join(certification.select("solution_key"), "solution_key", "left_anti")
+    found = odd.select("path").unionByName(own.select("path")).unionByName(lost.select(F.col("solution_key").alias("path"))).orderBy("path").take(1)
+    return PackageError("certification-invalid", "certification", str(found[0]["path"]), found[0]["path"]) if found else None
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The artifacts that the pointer names; an error where the digest isn't that of the content."""
     base = folder.rstrip("/")

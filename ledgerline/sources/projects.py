@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import identity, predicates
 
 
-def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path and content of whole text files; a byte order mark is left out."""
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def texts(spark: SparkSession, paths: str | list[str], names: str = "*") -> DataFrame:
+    """path and content of whole text files whose names fit; a byte order mark is left out."""
+    rows = spark.read.option("pathGlobFilter", names).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return rows.select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("path"), F.regexp_replace("content", "^﻿", "").alias("content"))
 
 
@@ -75,6 +75,19 @@ def source_rows(files: DataFrame, solution: Column) -> DataFrame:
     return files.where("admitted").select(solution.alias("solution_key"), identity.document_key(solution, F.col("relative_path")).alias("key"), "relative_path", "is_test", "content_digest")
 
 
+def owned_files(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """``files`` (path and more) with the project in the nearest folder above them; files below no project are left out.
+
+    A file meets the projects of its own ancestors' folders alone, by equality.
+    """
+    parts = F.split(predicates.folder(F.col("path")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    homes = projects.select("project", predicates.folder(F.col("project")).alias("home")).distinct()
+    found = files.select("path", F.explode(above).alias("home")).join(homes, "home")
+    best = found.groupBy("path").agg(F.max_by("project", F.struct(F.length("home"), "project")).alias("project"))
+    return files.join(best, "path")
+
+
 def project_facts(projects: DataFrame) -> DataFrame:
     """project, output_type and frameworks of project files (path, content)."""
     xml = plain_xml(F.col("content"))

@@ -307,3 +307,30 @@ def test_command_line(spark, graph, tmp_path, capsys):  # noqa: F811
     assert capsys.readouterr().err.startswith("code=pointer-missing stage=open cause=")
     assert engine.main(["analyze", "--facts", "a", "--facts", "a", "--output", "x"]) == engine.REJECTED
     assert engine.main(["unknown"]) == engine.USAGE
+    assert engine.main(["analyze", "--facts", "a", "--solution", "b", "--output", "x"]) == engine.USAGE
+    assert [engine._name_of(k) for k in ("solution:Shop:pitstop/Shop.sln", "plain")] == ["Shop", "plain"]
+
+
+TREE = {
+    "Shop.slnx": '<Solution><Project Path="Web/Web.csproj" /><Project Path="Data/Data.csproj" /></Solution>',
+    "Web/Web.csproj": '<Project><PropertyGroup><OutputType>Exe</OutputType><TargetFramework>net8.0</TargetFramework></PropertyGroup><ItemGroup><ProjectReference Include="..\\Data\\Data.csproj" /></ItemGroup></Project>',
+    "Data/Data.csproj": "<Project><PropertyGroup><TargetFramework>net8.0</TargetFramework></PropertyGroup></Project>",
+    "Web/Pages/Home.cs": "public class Home : ControllerBase { [HttpGet] public void Show() { Save(1); client.GetAsync(\"/stock\"); } }",
+    "Data/Store.cs": "public class Store { public void Save(int n) { } }",
+    "Other/Lost.cs": "public class Lost { public void Gone() { Save(2); } }", "Web/obj/Made.cs": "public class Made { }",
+}
+
+
+def test_a_solution_is_analysed_from_its_files(spark, tmp_path, capsys):
+    for name, text in TREE.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    solution = str(tmp_path / "in" / "Shop.slnx")
+    assert engine.main(["analyze", "--solution", solution, "--output", str(tmp_path / "out")]) == engine.OK, capsys.readouterr().err
+    rows = package.read(spark, str(tmp_path / "out"))
+    got = {(r["scope"], r["source"].split(":", 3)[-1], r["target"].split(":", 3)[-1], r["category"]) for r in package.dependencies_of(rows).collect()}
+    assert ("project", "Shop.slnx:Web/Web.csproj", "Shop.slnx:Data/Data.csproj", "internal-invocation") in got and ("project", "Shop.slnx:Web/Web.csproj", "Shop.slnx:Data/Data.csproj", "project-reference") in got
+    documents = {s for scope, s, *_ in got if scope == "document"}
+    assert "Shop.slnx:Web/Pages/Home.cs" in documents and not any("Lost" in d or "Made" in d for d in documents)
+    assert engine.main(["analyze", "--solution", str(tmp_path / "none.sln"), "--output", str(tmp_path / "x")]) == engine.REJECTED
+    assert capsys.readouterr().err.startswith("code=solution-unreadable stage=request")
