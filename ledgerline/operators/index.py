@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -217,18 +218,32 @@ def bucket_digests(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return hashed.groupBy(F.pmod("_h", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("_n"), *halves)
 
 
-def differing_rows(one: DataFrame, other: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """The rows (as bags) of one alone and of the other alone: digests are compared first, and rows shuffled only of buckets whose digests differ."""
-    one = one.select(*sorted(one.columns))
-    other = other.select(one.columns)
-    a, b = bucket_digests(one, buckets), bucket_digests(other, buckets)
-    odd = [r["bucket"] for r in a.exceptAll(b).unionByName(b.exceptAll(a)).select("bucket").distinct().collect()]  # at most ``buckets``
+def differing_rows(pairs: list[tuple[DataFrame, DataFrame]], buckets: int = BUCKETS) -> list[tuple[DataFrame, DataFrame]]:
+    """Of each pair of tables the rows (as bags) of one alone and of the other alone.
 
-    def within(df: DataFrame) -> DataFrame:
-        row = F.struct(*df.columns)
-        return df.where(F.pmod(F.xxhash64(row), F.lit(buckets)).isin(odd)) if odd else df.limit(0)
-
-    return within(one).exceptAll(within(other)), within(other).exceptAll(within(one))
+    Digests of all pairs are compared first, in one job, and rows shuffled only of buckets whose digests differ: equal
+    tables shuffle a row for each bucket.
+    """
+    pairs = [(one.select(*sorted(one.columns)), other.select(*sorted(one.columns))) for one, other in pairs]
+    told = [bucket_digests(df, buckets).withColumns({"_pair": F.lit(i), "_side": F.lit(side)}) for i, pair in enumerate(pairs) for side, df in enumerate(pair)]
+    both = reduce(DataFrame.unionByName, told)
+    digest = F.struct(*[c for c in both.columns if c not in ("bucket", "_pair", "_side")])
+    odd = both.groupBy("_pair", "bucket").agg(F.count("*").alias("sides"), F.min(digest).alias("least"), F.max(digest).alias("most")).where("sides < 2 or least != most")
+    found: dict[int, list[int]] = {}
+    for r in odd.select("_pair", "bucket").collect():  # at most ``buckets`` of each pair
+        found.setdefault(r["_pair"], []).append(r["bucket"])
+
+    def within(df: DataFrame, own: list[int]) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(buckets)).isin(own))
+
+    out = []
+    for i, (one, other) in enumerate(pairs):
+        if i in found:
+            one, other = within(one, found[i]), within(other, found[i])
+            out.append((one.exceptAll(other), other.exceptAll(one)))
+        else:
+            out.append((one.limit(0), other.limit(0)))
+    return out
 
 
 def same_rows(one: DataFrame, other: DataFrame, buckets: int = BUCKETS) -> bool:

@@ -678,8 +678,8 @@ def first_failure(rows: DataFrame, model: Model | None = None) -> PackageError |
             ("relation-mismatch", model.graph.relations, relations_of(rows)),
             ("evidence-mismatch", model.graph.evidence, records_of(rows, "evidence", PROOF).drop("path", "place")),
         ]
-        for code, made, held in compared:
-            checks += [(code, "rehydrate", bad) for bad in index.differing_rows(made.select(*held.columns), held)]
+        found = index.differing_rows([(made.select(*held.columns), held) for _, made, held in compared])
+        checks += [(code, "rehydrate", bad) for (code, *_), sides in zip(compared, found, strict=True) for bad in sides]
     # Checks of one stage are one job; a later stage may take for granted what the ones before have seen.
     stages = list(dict.fromkeys(stage for _, stage, _ in checks))
     for stage in stages:

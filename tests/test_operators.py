@@ -315,6 +315,31 @@ def test_corrupt_handles_are_an_error(spark):
         index.decoded(spark.createDataFrame([("s", "zz")], "solution_key string, source string"), words, ["solution_key"], "source").collect()
 
 
+def test_rows_that_differ_are_found_by_digests(spark):
+    one = spark.createDataFrame([(i, f"v{i}", [i, i + 1]) for i in range(500)] + [(3, "v3", [3, 4])], "a long, b string, c array<long>")
+    same, less = one.repartition(7), one.where("a != 77").withColumn("b", F.when(F.col("a") == 400, "other").otherwise(F.col("b")))
+    once = one.dropDuplicates()
+    found = [[sorted(r["a"] for r in side.collect()) for side in pair] for pair in index.differing_rows([(one, same.select("c", "b", "a")), (one, less), (one, once), (one.limit(0), one.limit(0))], 16)]
+    assert found == [[[], []], [[77, 400], [400]], [[3], []], [[], []]]
+    assert index.same_rows(one, same) and not index.same_rows(one, once) and not index.same_rows(one, less)
+
+
+def test_lists_come_in_pages_and_back(spark):
+    rows = spark.createDataFrame([("s", k, n, c) for k, own in (("hub", range(0, 5000, 7)), ("leaf", [3])) for n, c in ((n, f"c{n % 2}") for n in own)], "s string, key string, ordinal long, category string")
+    pages = index.inverted_pages(rows, ["s", "key"], page=100)
+    told = sorted((r["key"], r["page"], r["first"], len(r["gaps"]) + 1, tuple(r["categories"])) for r in pages.collect())
+    assert told == [("hub", k, 700 * k, min(100, 715 - 100 * k), ("c0", "c1")) for k in range(8)] + [("leaf", 0, 3, 1, ("c1",))]
+    assert index.same_rows(index.decoded_pages(pages, ["s", "key"]), rows.select("s", "key", "ordinal"))
+    whole = {(r["key"], n) for r in pages.select("key", index.decoded_list(F.col("first"), F.col("gaps")).alias("own")).collect() for n in r["own"]}
+    assert whole == {(r["key"], r["ordinal"]) for r in rows.collect()}
+
+
+def test_the_row_before_is_found_across_ranges(spark):
+    df = spark.createDataFrame([("s", i, i * 2) for i in range(1000)] + [("t", 5, 1)], "s string, at long, v long").repartition(5)
+    found = index.with_before(df, ["s"], ["at"], F.col("v"), "before")
+    assert {(r["s"], r["at"]): r["before"] for r in found.collect()} == {("s", i): 2 * i - 2 if i else None for i in range(1000)} | {("t", 5): None}
+
+
 def test_unsorted_rows_are_found(spark):
     df = spark.createDataFrame([("s", 0, "a"), ("s", 1, "c"), ("s", 2, "b"), ("s", 3, "b")], "solution_key string, ordinal long, key string")
     assert [r["ordinal"] for r in index.unsorted_rows(df, ["solution_key"], "ordinal", "key").orderBy("ordinal").collect()] == [2, 3]
