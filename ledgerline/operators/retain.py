@@ -100,7 +100,7 @@ def retained(graph: FactualGraph, include_tests: bool = False) -> FactualGraph:
         occurrences=placed,
         evidence=evidence,
         relations=relations,
-        gaps=relevant_gaps(graph.gaps, keys).drop("affected_retained"),
+        gaps=touched_gaps(graph.gaps, keys).drop("affected_retained"),
         sources=graph.sources.join(documents, ["solution_key", "key"], "left_semi"),
     )
 
@@ -114,11 +114,16 @@ def occurrences_kept(occurrences: DataFrame, keys: DataFrame, evidence: DataFram
     return own.join(cited, ["solution_key", "_row"], "left").where(F.col("_held") | (F.size("evidence_keys") <= 0) | F.col("evidence_keys").isNull()).select(occurrences.columns)
 
 
-def relevant_gaps(gaps: DataFrame, keys: DataFrame) -> DataFrame:
-    """Gaps that touch a retained entity, with how many; the most first."""
+def touched_gaps(gaps: DataFrame, keys: DataFrame) -> DataFrame:
+    """Gaps that touch a retained entity, with how many."""
     touched = gaps.select("solution_key", "key", F.explode("affected_keys").alias("entity")).join(keys.select("solution_key", F.col("key").alias("entity")), ["solution_key", "entity"], "left_semi")
     counts = touched.groupBy("solution_key", "key").agg(F.count("*").alias("affected_retained"))
-    return gaps.join(counts, ["solution_key", "key"]).select(*gaps.columns, "affected_retained").orderBy(F.desc("affected_retained"), "key")
+    return gaps.join(counts, ["solution_key", "key"]).select(*gaps.columns, "affected_retained")
+
+
+def relevant_gaps(gaps: DataFrame, keys: DataFrame) -> DataFrame:
+    """As :func:`touched_gaps`, the most first: for who shows them, as a sort of all is no part of retention."""
+    return touched_gaps(gaps, keys).orderBy(F.desc("affected_retained"), "key")
 
 
 def fragment_counts(fragments: list[tuple[FactualGraph, FactualGraph]]) -> DataFrame:

@@ -249,7 +249,9 @@ def test_retention(spark, graph):
     assert keys(kept.entities) == ["c1", "c2", "far", "m1", "m2", "up"]
     assert keys(kept.relations) == ["r1", "r2", "rc", "ru"]
     assert keys(kept.evidence) == ["e1", "e2", "eu"]
-    assert [r["key"] for r in kept.gaps.collect()] == ["g1", "g2"]
+    assert keys(kept.gaps) == ["g1", "g2"]
+    shown = retain.relevant_gaps(graph.gaps, kept.entities.select("solution_key", "key")).collect()
+    assert [(r["key"], r["affected_retained"]) for r in shown] == [("g1", 2), ("g2", 1)]
     assert keys(kept.sources) == ["document:s:A/m1.cs", "document:s:B/m2.cs"]
     counts = retain.retention_counts(graph, kept).first()
     assert counts["retained"] == 6 + 4 + 3 + 2 + 2
