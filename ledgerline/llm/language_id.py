@@ -13,10 +13,9 @@ what the driver gets is bounded by the languages. The quantile is exact. All tex
 
 Defined results: ``und`` with score 0, rejected, for a null or empty text and one without a letter;
 also for all texts where there is nothing to learn from. Rows with a null doc_id or lang are
-not learned from, nor those of a lang that is not among the ``MOST_LANGUAGES`` most frequent
-ones (ties by name); of rows that share an id and lang the one with the least counts is;
-repeated rows get the same result; an empty table gives an empty result; other
-columns are not read.
+not learned from; of rows that share an id and lang the one with the least counts is. Every language is learned,
+however rare; a model over ``MODEL_BYTES`` is an error. Repeated rows get the same result; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,9 +38,14 @@ from ledgerline.llm.common import checkpointed, fold, order_statistics, release,
 from ledgerline.shipping import shipped
 
 SIZE = 4096
-MOST_LANGUAGES = 400
+#: Bytes of a model's centroids that a worker holds; a model with more is an error (some 10,000 languages).
+MODEL_BYTES = 1 << 30
+#: Texts whose vectors are multiplied with all centroids at once.
+TOGETHER = 64
 CLUSTERS = 3
 ROUNDS = 10
+#: Tasks that share the parts of one sum.
+SALTS = 16
 #: Least accepted cosine: this share of that quantile of a language's training texts.
 REJECT_UNDER, REJECT_QUANTILE = 0.35, 0.05
 UNDETERMINED = "und"
@@ -85,15 +89,25 @@ class CentroidModel:
     owner: np.ndarray
     least: np.ndarray
 
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, cosine and whether it is rejected, of each text."""
+        out: list[tuple[str, float, bool]] = [(UNDETERMINED, 0.0, True)] * len(texts)
+        if not self.languages:
+            return out
+        for start in range(0, len(texts), TOGETHER):
+            found = [(start + i, c) for i, t in enumerate(texts[start : start + TOGETHER]) if (c := counted(t)) is not None]
+            if not found:
+                continue
+            cosines = _normalised(np.log1p(np.array([c for _, c in found])) * self.idf) @ self.centroids.T
+            best = np.argmax(cosines, axis=1)
+            scores = np.clip(cosines[np.arange(len(found)), best], 0.0, 1.0)
+            far = scores < self.least[self.owner[best]]
+            for (i, _), k, score, rejected in zip(found, best.tolist(), scores.tolist(), far.tolist(), strict=True):
+                out[i] = self.languages[self.owner[k]], score, rejected
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, cosine and whether the text is rejected."""
-        counts = counted(text)
-        if counts is None or not self.languages:
-            return UNDETERMINED, 0.0, True
-        cosines = self.centroids @ _normalised(np.log1p(counts) * self.idf)
-        k = int(np.argmax(cosines))
-        score = float(min(1.0, max(0.0, cosines[k])))
-        return self.languages[self.owner[k]], score, bool(score < self.least[self.owner[k]])
+        return self.predict_all([text])[0]
 
 
 def _clusters(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -157,15 +171,21 @@ def _runs(batches, names: list[str], idf: np.ndarray | None = None) -> Iterator[
             yield np.array([number[x] for x in own.column(0).to_pylist()]), rows, at, counts, starts
 
 
-def _cosines(of: np.ndarray, at: np.ndarray, vector: np.ndarray, starts: np.ndarray, centres: list[np.ndarray]) -> np.ndarray:
-    """Of each row with its language's centres; -2 where a language has fewer."""
-    most, ends = max(map(len, centres)), np.diff(starts, append=len(at))
-    all_centres = np.zeros((len(centres), most, SIZE))
+def _stacked(centres: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All languages' centres in one table (language, centre, place), and how many each has; made once a task."""
+    out = np.zeros((len(centres), max(map(len, centres)), SIZE))
     for i, own in enumerate(centres):
-        all_centres[i, : len(own)] = own
-    language = np.repeat(of, ends)
+        out[i, : len(own)] = own
+    return out, np.array([len(c) for c in centres])
+
+
+def _cosines(of: np.ndarray, at: np.ndarray, vector: np.ndarray, starts: np.ndarray, stacked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each row with its language's centres; -2 where a language has fewer."""
+    all_centres, sizes = stacked
+    most = all_centres.shape[1]
+    language = np.repeat(of, np.diff(starts, append=len(at)))
     out = np.column_stack([np.add.reduceat(vector * all_centres[language, k, at], starts) for k in range(most)])
-    return np.where(np.arange(most) < np.array([len(c) for c in centres])[of][:, None], out, -2.0)
+    return np.where(np.arange(most) < sizes[of][:, None], out, -2.0)
 
 
 def _sums(rows: DataFrame, work: Callable) -> dict[int, np.ndarray]:
@@ -188,7 +208,9 @@ def _sums(rows: DataFrame, work: Callable) -> dict[int, np.ndarray]:
         yield table(held)
 
     schema = "key int, sums binary"
-    return {r["key"]: np.frombuffer(bytes(r["sums"])) for r in rows.mapInArrow(add, schema).repartition("key").mapInArrow(merge, schema).collect()}
+    # Two levels, so that a key's sum doesn't wait for one task to read the parts of all others.
+    parts = rows.mapInArrow(add, schema).withColumn("salt", F.spark_partition_id() % SALTS).repartition("key", "salt").select("key", "sums").mapInArrow(merge, schema)
+    return {r["key"]: np.frombuffer(bytes(r["sums"])) for r in parts.repartition("key").mapInArrow(merge, schema).collect()}
 
 
 def _centroids(rows: DataFrame, names: list[str], sizes: list[int], idf: np.ndarray, clusters: int, rounds: int) -> list[np.ndarray]:
@@ -199,8 +221,9 @@ def _centroids(rows: DataFrame, names: list[str], sizes: list[int], idf: np.ndar
         most = max(map(len, centres))
 
         def work(batches):
+            stacked = _stacked(centres)
             for of, _, at, vector, starts in _runs(batches, names, idf):
-                key = of * most + np.argmax(_cosines(of, at, vector, starts, centres), axis=1)
+                key = of * most + np.argmax(_cosines(of, at, vector, starts, stacked), axis=1)
                 each = np.repeat(key, np.diff(starts, append=len(at)))
                 for k in np.unique(key).tolist():
                     yield k, np.append(np.bincount(at[each == k], weights=vector[each == k], minlength=SIZE), (key == k).sum())
@@ -215,8 +238,9 @@ def _centroids(rows: DataFrame, names: list[str], sizes: list[int], idf: np.ndar
 
         def least(batches):
             held: dict[int, tuple[float, bytes]] = {}
+            stacked = _stacked(centres)
             for of, packs, at, vector, starts in _runs(batches, names, idf):
-                cosines = np.max(_cosines(of, at, vector, starts, centres), axis=1)
+                cosines = np.max(_cosines(of, at, vector, starts, stacked), axis=1)
                 for i, own in zip(of.tolist(), zip(cosines.tolist(), packs, strict=True), strict=True):
                     held[i] = min(held.get(i, own), own)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x[0] for x in held.values()], pa.float64()), pa.array([x[1] for x in held.values()], pa.binary())], ["key", "cosine", "counts"])
@@ -259,12 +283,14 @@ def train(docs: DataFrame, where: Column, clusters: int = CLUSTERS, rounds: int
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.binary())], ["doc_id", "lang", "counts"])
 
     rows = stored(shipped(known).mapInArrow(run, "doc_id long, lang string, counts binary").groupBy("doc_id", "lang").agg(F.min("counts").alias("counts")).select("lang", "counts"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    most = MODEL_BYTES // (8 * SIZE * clusters)
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
     if not found:
         return fit(np.zeros((0, SIZE)), [])
-    names = sorted(r["lang"] for r in found)
-    sizes = [{r["lang"]: r["n"] for r in found}[x] for x in names]
-    rows = rows.where(F.col("lang").isin(names))
+    if len(found) > most:
+        raise ValueError(f"a model of more than {most} languages is larger than {MODEL_BYTES} bytes")
+    names = sorted(found)
+    sizes = [found[x] for x in names]
 
     def documents(batches):
         for _, _, at, _, _ in _runs(batches, names):
@@ -274,8 +300,9 @@ def train(docs: DataFrame, where: Column, clusters: int = CLUSTERS, rounds: int
     centres = _centroids(rows, names, sizes, idf, clusters, rounds)
 
     def accepted(batches):
+        stacked = _stacked(centres)
         for of, _, at, vector, starts in _runs(batches, names, idf):
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.max(_cosines(of, at, vector, starts, centres), axis=1))], ["group", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.max(_cosines(of, at, vector, starts, stacked), axis=1))], ["group", "value"])
 
     places = {i: (n - 1) * REJECT_QUANTILE for i, n in enumerate(sizes)}
     cosines = order_statistics(checkpointed(rows.mapInArrow(accepted, "group int, value double")), {i: sorted({math.floor(x), math.ceil(x)}) for i, x in places.items()})
@@ -293,7 +320,7 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
     def run(batches):
         release()
         for batch in batches:
-            told = [model.predict(t.as_py()) for t in batch.column(at)]
+            told = model.predict_all(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array([x[2] for x in told], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     return shipped(docs).mapInArrow(run, schema)
@@ -308,7 +335,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     def run(batches):
         release()
         for batch in batches:
-            told = [model.predict(t.as_py()) for t in batch.column(2)]
+            told = model.predict_all(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array([x[2] for x in told], pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return shipped(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

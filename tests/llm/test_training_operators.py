@@ -776,10 +776,16 @@ def test_other_languages_and_random_letters_are_rejected(spark):
     assert language_id.identify(docs.where("lang is not null and length(text) > 20"), model).where("rejected").isEmpty()
 
 
-def test_rare_languages_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
-    df = spark.createDataFrame([(i, f"text {i} abc", lang) for i, lang in enumerate(["en", "en", "de", "de", "xx"])], "doc_id long, text string, lang string")
-    assert language_id.train(df, F.lit(True)).languages == ["de", "en"]
+def test_a_thousand_languages_are_learned(spark, monkeypatch):
+    texts = {f"l{i:04d}": "".join(chr(0x4E00 + i * 12 + k % 12) + (" " if k % 5 == 4 else "") for k in range(40)) for i in range(1000)}
+    df = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True), rounds=1)
+    assert model.languages == sorted(texts)
+    told = model.predict_all(list(texts.values()))
+    assert [t[0] for t in told] == list(texts) and not any(t[2] for t in told)
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 8 * language_id.SIZE * language_id.CLUSTERS * 999)
+    with pytest.raises(ValueError, match="999 languages"):
+        language_id.train(df, F.lit(True))
 
 
 def test_far_vectors_are_rejected():
