@@ -181,7 +181,7 @@ judged AS (
   SELECT s.*, (SELECT arg_max(r.name, length(r.name)) FROM rules r WHERE (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)) AS rule
   FROM split s)
 SELECT page_id, j.host, j.path, rule,
-       coalesce(r.verdict, CASE WHEN regexp_matches(lower(j.host || j.path), '(^|[^0-9a-z])({"|".join(url_rules.UNWANTED)})([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(r.verdict, CASE WHEN regexp_matches(translate(j.host || j.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^0-9a-z])({"|".join(w.replace(" ", "[^0-9a-z]+") for w in url_rules.PATTERN_WORDS)})([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN rules r ON r.name = j.rule
 """
 

@@ -55,16 +55,23 @@ def site_rule(verdict: str, name: str) -> Rule:
     return Rule(name, verdict, rf"(?:[^/]*\.)?{re.escape(host)}{'' if slash else '(?:/|$)'}{re.escape(rest)}", tuple(whole), True)
 
 
-def word_rule(verdict: str, word: str) -> Rule:
-    """URLs that hold a word between other signs than letters and numbers, in any case."""
-    return Rule(word, verdict, rf"(?i)(?:.*[^0-9a-z])?{re.escape(word)}(?:[^0-9a-z]|$)", (word.lower(),))
+def word_rule(verdict: str, words: str) -> Rule:
+    """URLs that hold some words, with other signs than letters and numbers between and around them, in any case of A-Z.
+
+    Case is ASCII's alone: a letter such as the long s is none of a token's, so it must be none of the expression's.
+    """
+    expression = "[^0-9a-z]+".join(map(re.escape, words.split()))
+    return Rule(words, verdict, rf"(?ai)(?:.*[^0-9a-z])?{expression}(?:[^0-9a-z]|$)", tuple(words.lower().split()))
 
 
 #: Site rules (fixed values).
 SITES = (site_rule("block", "com/en/"), site_rule("allow", "example.com/en/7"), site_rule("allow", "net/de/"), site_rule("block", "example.net/de/8"), site_rule("block", "org/es/"))
 #: Words of sites that hold no text worth learning from (fixed values).
 UNWANTED = ("adult", "betting", "casino", "escort", "poker", "porn", "slots", "torrent", "viagra", "xxx")
-PATTERNS = tuple(word_rule("block", w) for w in UNWANTED)
+#: Words that say so together only (fixed values).
+UNWANTED_TOGETHER = ("buy essay online", "cgi bin", "download free crack", "keyword spam", "link farm", "mail order bride", "payday loan", "wp login php")
+PATTERN_WORDS = UNWANTED + UNWANTED_TOGETHER
+PATTERNS = tuple(word_rule("block", w) for w in PATTERN_WORDS)
 
 
 def tokens_of(host: str, path: str) -> set[str]:

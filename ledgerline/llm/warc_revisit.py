@@ -15,8 +15,9 @@ update. Payloads are not moved; the result refers to the response's record.
 Defined results: equal seconds are not earlier; of several responses in one second the one
 with the largest record id counts, and of several with one record id the one with the
 largest content (validators, then headers); a null or empty url, or a null time, has no earlier
-response; a null record id stays null; repeated rows are resolved alike; an empty table gives
-an empty result; other columns are not read.
+response; a capture that doesn't say whether it is a revisit (null) counts as a response; a revisit's null record id
+stays null, and a response without a record id isn't one, as nothing could refer to it: the latest with an id
+before it answers; repeated rows are resolved alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def merged_headers(response: Column, revisit: Column, permitted: tuple[str, ...]
 
 def resolve_revisits(captures: DataFrame, bucket: int = BUCKET, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
     """record_id, canonical, response_id, outcome, headers and payload_digest of every revisit."""
-    rows = captures.select("record_id", "captured_at", "is_revisit", "etag", "last_modified", "payload_digest", "headers", canonical_url(F.col("url")).alias("canonical"))
+    rows = captures.select("record_id", "captured_at", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), "etag", "last_modified", "payload_digest", "headers", canonical_url(F.col("url")).alias("canonical"))
     asked = rows.where("is_revisit").join(latest_earlier(rows, bucket), ["canonical", "captured_at"], "left")
     answers = rows.where("not is_revisit and record_id is not null").select(F.col("record_id").alias("response_id"), F.struct(*[F.col(c).alias(f"their_{c}") for c in ANSWER]).alias("answer"), F.struct(*ANSWER[:3], F.array_sort(F.map_entries("headers"))).alias("order"))
     answers = answers.groupBy("response_id").agg(F.max_by("answer", "order").alias("answer")).select("response_id", "answer.*")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import collocations, line_dedup, queries, whitening
+from ledgerline.llm import collocations, line_dedup, queries, url_rules, warc_revisit, whitening
 
 SCHEMA = "doc_id long, text string, lang string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -224,3 +224,31 @@ def test_the_query_covers_every_vector(spark):
     x = np.array([r["whitened"] for r in sorted(got, key=lambda r: r["vec_id"])])
     y = white[np.argsort(ids), 31]
     assert np.allclose(x, y * np.sign(x @ y), atol=1e-8)
+
+
+# --- captures and URLs that leave something open ---
+
+
+def test_captures_with_nulls(spark):
+    """No word on being a revisit: a response; no record id: no response that a revisit could take."""
+    rows = [(1, "http://a/x", 10, False), (None, "http://a/x", 20, False), (2, "http://a/x", 30, True), (3, "http://b/x", 10, None), (4, "http://b/x", 20, True), (None, "http://c/x", 10, False), (5, "http://c/x", 20, True), (None, "http://a/x", 40, True)]
+    captures = spark.createDataFrame([(i, u, t, r, "tag", None, None, {"ETag": "tag"}) for i, u, t, r in rows], warc_revisit.CAPTURES)
+    found = {(r["record_id"], r["canonical"]): (r["response_id"], r["outcome"]) for r in warc_revisit.resolve_revisits(captures).collect()}
+    assert found == {(2, "a/x"): (1, "resolved"), (4, "b/x"): (3, "resolved"), (5, "c/x"): (None, "no earlier response"), (None, "a/x"): (1, "resolved")}
+
+
+def test_rules_of_several_words_are_filed_under_the_rarest(spark):
+    urls = ["http://a.com/x/Payday-LOAN/1", "http://a.com/loan/payday", "http://loan.com/payday_loan.html", "http://a.com/caſino", "http://a.com/casıno", "http://a.com/CASINO", "http://a.com/paydayloan", "http://wp.a.com/wp/login.php", *[f"http://a.com/loan/{i}" for i in range(9)], None, "nothing"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    counts = url_rules.token_counts(pages, url_rules.PATTERNS)
+    assert counts["loan"] > counts["payday"] > counts["php"] == 1
+    index = url_rules.RuleIndex(url_rules.PATTERNS, counts)
+    names = {t: {url_rules.PATTERNS[k].name for k in own} for t, own in index.filed.items()}
+    assert "payday loan" in names["payday"] and "payday loan" not in names.get("loan", ()) and "wp login php" in names["login"]
+    got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in url_rules.filter_urls(pages).collect()}
+    blocked = {0: "payday loan", 2: "payday loan", 5: "casino", 7: "wp login php"}
+    assert got == {i: ("block", blocked[i]) if i in blocked else ("allow", None) for i in range(len(urls))}
+    plain = re.compile("|".join(f"(?:^|[^0-9a-z]){'[^0-9a-z]+'.join(p.split())}(?:[^0-9a-z]|$)" for p in url_rules.PATTERN_WORDS))
+    for i, url in enumerate(urls):
+        host, path = url_rules.host_and_path(url)
+        assert bool(plain.search((host + path).translate(LOWER))) == (i in blocked)
