@@ -12,6 +12,7 @@ give its category and variant. Orders in status P are gaps.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,7 +23,8 @@ from ledgerline.functions import identity, predicates
 from ledgerline.model import CATEGORIES, SCOPES, FactualGraph, ordinal
 from ledgerline.operators import fixpoint, index, lift, measures, retain
 from ledgerline.plans import package
-from ledgerline.sources import facts, lexical
+from ledgerline.sources import artifact_files, facts, lexical
+from ledgerline.storage import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -983,17 +985,29 @@ def _model(spark, sf_dir) -> package.Model:
     return package.build_model(facts.stored(graph(spark, sf_dir, by_region=True)))
 
 
-@query(SOLUTIONS_SQL + f""", cited AS (SELECT sol, ceil(cited / {index.PAGE})::BIGINT AS pages FROM numbered),
+PACKAGE_SQL = SOLUTIONS_SQL + f""", cited AS (SELECT sol, ceil(cited / {index.PAGE})::BIGINT AS pages FROM numbered),
 reached AS (SELECT sol, scope, entity, ceil(count(*) / {index.PAGE})::BIGINT AS pages FROM impact GROUP BY ALL)
 SELECT sol AS solution_key, folder, records FROM folders UNION ALL SELECT sol, 'tables/entities', count(*) FROM known GROUP BY sol UNION ALL SELECT sol, 'tables/variants', count(DISTINCT l_linestatus) FROM held GROUP BY sol UNION ALL
 SELECT sol, 'tables/cycles', count(DISTINCT (scope, leader)) FROM ringed GROUP BY sol UNION ALL SELECT sol, unnest(['tables/relations', 'tables/evidence', 'graph', 'evidence']), count(*) FROM held GROUP BY sol UNION ALL
 SELECT sol, 'dependencies/rows', count(*) FROM numbered GROUP BY sol UNION ALL SELECT sol, 'dependencies/pages', 2 * sum(pages)::BIGINT FROM cited GROUP BY sol UNION ALL
-SELECT sol, 'measures/rows', count(*) FROM ends GROUP BY sol UNION ALL SELECT sol, 'measures/impact', sum(pages)::BIGINT FROM reached GROUP BY sol""")
+SELECT sol, 'measures/rows', count(*) FROM ends GROUP BY sol UNION ALL SELECT sol, 'measures/impact', sum(pages)::BIGINT FROM reached GROUP BY sol"""
+
+
+@query(PACKAGE_SQL)
 def package_records(spark, sf_dir):
     """What the manifests declare: the records of every folder of every solution of the package."""
     return package.declared(package.artifacts(_model(spark, sf_dir))).select("solution_key", "folder", "records")
 
 
+@query(f"SELECT * FROM ({PACKAGE_SQL}) WHERE records > 0")
+def package_files(spark, sf_dir):
+    """The package of every region's solution written as a file for each artifact, and the records that the files read back hold."""
+    folder = f"{scratch_folder(spark)}/files-{uuid.uuid4().hex}"
+    artifact_files.write(package.artifacts(_model(spark, sf_dir)), folder)
+    held = artifact_files.read(spark, folder).where("path like '%.json' and family != 'Manifest'")
+    return held.groupBy("solution_key", package.folder_of(F.col("path")).alias("folder")).agg(F.sum(F.json_array_length("payload")).cast("long").alias("records")).where("records > 0")
+
+
 @query(SOLUTIONS_SQL + f""", manifest AS (
   SELECT f.sol, strlen('{{' || chr(10) || '  "id" : "' || any_value(id) || '",' || chr(10) || '  "key" : "' || f.sol || '",' || chr(10) || '  "folders" : [ '
     || string_agg('{{' || chr(10) || '    "folder" : "' || folder || '",' || chr(10) || '    "shards" : ' || shards || ',' || chr(10) || '    "records" : ' || records || chr(10) || '  }}', ', ' ORDER BY folder) || ' ],' || chr(10) || '  "journeys" : [ '

@@ -64,7 +64,7 @@ def solution_graph(spark: SparkSession, path: str, include_tests: bool = False)
     return told["name"], lexical.extract(files, own, references, told["key"], include_tests=include_tests)
 
 
-def analyze_solutions(spark: SparkSession, paths: list[str], output: str, include_tests: bool = False) -> Result:
+def analyze_solutions(spark: SparkSession, paths: list[str], output: str, include_tests: bool = False, form: str = "parquet") -> Result:
     """Publish the graphs of solution files as one package."""
     if not paths:
         return Result(None, (Diagnostic("no-solutions", "request", "no solution was given"),))
@@ -80,13 +80,13 @@ def analyze_solutions(spark: SparkSession, paths: list[str], output: str, includ
             return Result(None, (Diagnostic(e.code, e.stage, e.cause, e.artifact),))
         names.append(name)
         graphs.append(facts.stored(graph))
-    return _published(spark, graphs, names, output, include_tests)
+    return _published(spark, graphs, names, output, include_tests, form)
 
 
-def _published(spark: SparkSession, graphs: list[FactualGraph], names: list[str], output: str, include_tests: bool) -> Result:
+def _published(spark: SparkSession, graphs: list[FactualGraph], names: list[str], output: str, include_tests: bool, form: str) -> Result:
     try:
         graph = facts.merged(graphs) if len(graphs) > 1 else graphs[0]
-        return Result(package.publish(spark, package.build_model(graph, include_tests), output, names))
+        return Result(package.publish(spark, package.build_model(graph, include_tests), output, names, form))
     except InvalidRelation as e:
         return Result(None, (Diagnostic("invalid-confirmed-relation", "retention", str(e)),))
     except package.PackageError as e:
@@ -99,7 +99,7 @@ def _name_of(solution_key: str) -> str:
     return parts[1] if len(parts) > 2 and parts[0] == "solution" else solution_key
 
 
-def analyze(spark: SparkSession, folders: list[str], output: str, include_tests: bool = False) -> Result:
+def analyze(spark: SparkSession, folders: list[str], output: str, include_tests: bool = False, form: str = "parquet") -> Result:
     """Publish the graphs of the fact folders as one package."""
     if not folders:
         return Result(None, (Diagnostic("no-solutions", "request", "no fact folder was given"),))
@@ -111,7 +111,7 @@ def analyze(spark: SparkSession, folders: list[str], output: str, include_tests:
         if len(keys) != 1:
             return Result(None, (Diagnostic("not-one-solution", "request", "a fact folder holds exactly one solution", folder),))
         names.append(_name_of(keys[0][0]))
-    return _published(spark, graphs, names, output, include_tests)
+    return _published(spark, graphs, names, output, include_tests, form)
 
 
 def validate(spark: SparkSession, folder: str) -> Result:
@@ -134,6 +134,7 @@ def main(args: list[str] | None = None) -> int:
     given.add_argument("--facts", action="append")
     one.add_argument("--output", required=True)
     one.add_argument("--include-tests", action="store_true")
+    one.add_argument("--form", choices=sorted(package.FORMS), default="parquet")
     two = commands.add_parser("validate")
     two.add_argument("--package", required=True)
     try:
@@ -144,9 +145,9 @@ def main(args: list[str] | None = None) -> int:
     if found.command == "validate":
         result = validate(spark, found.package)
     elif found.solution:
-        result = analyze_solutions(spark, found.solution, found.output, found.include_tests)
+        result = analyze_solutions(spark, found.solution, found.output, found.include_tests, found.form)
     else:
-        result = analyze(spark, found.facts, found.output, found.include_tests)
+        result = analyze(spark, found.facts, found.output, found.include_tests, found.form)
     for d in result.diagnostics:
         print(d.line(), file=sys.stderr)
     if not result.diagnostics:

@@ -2,8 +2,8 @@
 
 A package is a table of artifacts (path, family, payload, records, digest). Bulk families
 are packed in key order into shards of bounded size, so no row gathers more than a shard.
-It is stored as Parquet under ``generations/<digest>`` of a folder that all executors
-share; the pointer file that names the generation is replaced last, by an overwriting
+It is stored under ``generations/<digest>`` of a folder that all executors
+share, as Parquet or as a file for each artifact; the pointer file that names the generation is replaced last, by an overwriting
 rename, so readers see the old package or the new one. The digest covers the stored
 content and is checked when it is read. A manifest per solution names its folders, with
 their shards and records, and the index that each journey enters by.
@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 from ledgerline.functions import identity, predicates
 from ledgerline.model import CATEGORIES, GAP_KINDS, ROOT_KINDS, SCOPES, SPAN, VARIANT, FactualGraph, ordinal
 from ledgerline.operators import fixpoint, index, lift, measures, retain
+from ledgerline.sources import artifact_files
+from ledgerline.storage import checkpointed
 
 POINTER = "manifest.json"
+#: How artifacts are stored, with the file that a finished folder has.
+FORMS = {"parquet": "_SUCCESS", "files": artifact_files.COMMITTED}
 #: Ceilings by a word of the solution's name: artifacts and bytes; and those of any other (fixed values).
 CEILINGS = (("eshop", 1500, 64 << 20), ("pitstop", 750, 25 << 20))
 DEFAULT_CEILING = (1500, 96 << 20)
@@ -302,13 +306,13 @@ def impact_pages(model: Model, words: DataFrame) -> DataFrame:
     return pages.groupBy(*by, "page").agg(targets.alias("targets"))
 
 
-def _folder_of(path: Column) -> Column:
+def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, "/sol_[^/]*/[^/]*$", "")
 
 
 def manifests(graph: FactualGraph, shards: DataFrame) -> DataFrame:
     """Two manifests per solution: one with every index, also one without an entry, and the journeys' entries; beside it one with the other folders."""
-    counts = shards.select("solution_key", _folder_of(F.col("path")).alias("folder"), "records")
+    counts = shards.select("solution_key", folder_of(F.col("path")).alias("folder"), "records")
     counts = counts.groupBy("solution_key", "folder").agg(F.count("*").alias("shards"), F.sum("records").alias("records"))
     wanted = graph.entities.select("solution_key").distinct().select("solution_key", F.explode(F.array(*[F.lit(f"indexes/{i}") for i in INDEXES])).alias("folder"))
     folders = wanted.join(counts, ["solution_key", "folder"], "full").select("solution_key", "folder", F.coalesce("shards", F.lit(0)).alias("shards"), F.coalesce("records", F.lit(0)).alias("records"))
@@ -483,9 +487,23 @@ def _holds(spark: SparkSession, base: str, owner: str) -> bool:
         held.close()
 
 
-def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | None = None) -> str:
+def _put(rows: DataFrame, folder: str, form: str) -> None:
+    if form == "files":
+        artifact_files.write(rows, folder)
+    else:
+        rows.write.parquet(folder)
+
+
+def _held(spark: SparkSession, folder: str, form: str) -> DataFrame:
+    return artifact_files.read(spark, folder) if form == "files" else spark.read.parquet(folder)
+
+
+def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | None = None, form: str = "parquet") -> str:
     """Store, read back, validate and certify a generation, then point to it; older ones go. Returns its digest.
 
+    As ``files`` each artifact is a file at its path below ``artifacts``, and each solution's certification one below
+    ``certified``; they are read back once, and what was read is validated.
+
     The budget is checked early on the artifacts, and again on all that will be committed. One
     writer at a time: the lock file is created exclusively, looked at again before the pointer
     is replaced, and removed at the end. A generation that is there already, with the content that
@@ -497,8 +515,13 @@ def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | N
     owner = _locked(spark, base)
     staged = f"{base}/staging-{uuid.uuid4().hex}"
     try:
-        artifacts(model).write.parquet(f"{staged}/artifacts")
-        rows = spark.read.parquet(f"{staged}/artifacts")
+        for status in fs.listStatus(Path(base)):
+            if status.getPath().getName().startswith("staging-"):
+                fs.delete(status.getPath(), True)  # of a writer that was stopped
+        _put(artifacts(model), f"{staged}/artifacts", form)
+        rows = _held(spark, f"{staged}/artifacts", form)
+        if form == "files":
+            rows = checkpointed(rows)
         check_budget(rows, names or [])
         digest = package_digest(rows)
         if failure := first_failure(rows, model):
@@ -509,12 +532,14 @@ def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | N
             raise PackageError("journey-certification", "certification", f"{failed[0]['journey']}: {failed[0]['reason']}")
         if failure := certified_failure(rows, certification_artifacts(certified)):
             raise failure
-        pointer = json.dumps({"generation": digest, "path": f"generations/{digest}"}, sort_keys=True)
+        if form == "files":
+            artifact_files.write(certification_artifacts(certified), f"{staged}/certified")
+        pointer = json.dumps({"generation": digest, "path": f"generations/{digest}"} | ({"form": form} if form != "parquet" else {}), sort_keys=True)
         sizes = certification_artifacts(certified).select("family", "bytes").unionByName(rows.select("family", "bytes"))
         check_budget(sizes.unionByName(spark.createDataFrame([("Manifest", len(pointer))], "family string, bytes long")), names or [])
         target = f"{base}/generations/{digest}"
         fs.mkdirs(Path(f"{base}/generations"))
-        if not _has_digest(spark, target, digest):
+        if not _has_digest(spark, target, digest, form):
             fs.delete(Path(target), True)
             if not fs.rename(Path(staged), Path(target)):
                 raise PackageError("generation-not-moved", "commit", target)
@@ -531,12 +556,13 @@ def publish(spark: SparkSession, model: Model, folder: str, names: list[str] | N
             fs.delete(Path(f"{base}/.lock"), False)
 
 
-def _has_digest(spark: SparkSession, generation: str, digest: str) -> bool:
-    """Whether the folder holds the artifacts that its digest names, and their certification."""
+def _has_digest(spark: SparkSession, generation: str, digest: str, form: str) -> bool:
+    """Whether the folder holds the artifacts that its digest names, in this form, and their certification."""
     fs, Path = _fs(spark, generation)
-    if not fs.exists(Path(f"{generation}/artifacts/_SUCCESS")) or not fs.exists(Path(f"{generation}/certification/_SUCCESS")):
+    wanted = [f"artifacts/{FORMS[form]}", "certification/_SUCCESS", *([f"certified/{FORMS[form]}"] if form == "files" else [])]
+    if not all(fs.exists(Path(f"{generation}/{w}")) for w in wanted):
         return False
-    return package_digest(described(spark.read.parquet(f"{generation}/artifacts"))) == digest
+    return package_digest(described(_held(spark, f"{generation}/artifacts", form))) == digest
 
 
 def certification_artifacts(certified: DataFrame) -> DataFrame:
@@ -556,31 +582,53 @@ def certified_failure(rows: DataFrame, certification: DataFrame) -> PackageError
     return PackageError("certification-invalid", "certification", str(found[0]["path"]), found[0]["path"]) if found else None
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The artifacts that the pointer names; an error where the digest isn't that of the content."""
+def opened(spark: SparkSession, folder: str) -> tuple[str, str, str]:
+    """Where the artifacts are that the pointer names, or a generation by itself: their folder, its digest and its form."""
     base = folder.rstrip("/")
     fs, Path = _fs(spark, base)
-    if not fs.exists(Path(f"{base}/{POINTER}")) and fs.exists(Path(f"{base}/artifacts/_SUCCESS")):
-        # A generation by itself, whose name is its digest.
-        rows = spark.read.parquet(f"{base}/artifacts")
-        if package_digest(described(rows)) != base.rpartition("/")[2]:
-            raise PackageError("digest-mismatch", "open", "the content is not what was published")
-        return rows
+    if not fs.exists(Path(f"{base}/{POINTER}")):
+        for form, done in FORMS.items():
+            if fs.exists(Path(f"{base}/artifacts/{done}")):
+                return f"{base}/artifacts", base.rpartition("/")[2], form
     try:
         pointer = json.loads(spark.read.text(f"{base}/{POINTER}", wholetext=True).first()[0])
     except Exception as e:
         raise PackageError("pointer-missing", "open", str(e)[:200]) from e
-    if set(pointer) != {"generation", "path"} or not pointer["path"].startswith("generations/") or ".." in pointer["path"]:
+    if set(pointer) - {"form"} != {"generation", "path"} or not pointer["path"].startswith("generations/") or ".." in pointer["path"] or pointer.get("form", "parquet") not in FORMS:
         raise PackageError("pointer-invalid", "open", json.dumps(pointer))
-    rows = spark.read.parquet(f"{base}/{pointer['path']}/artifacts")
-    if package_digest(described(rows)) != pointer["generation"]:
+    return f"{base}/{pointer['path']}/artifacts", pointer["generation"], pointer.get("form", "parquet")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """The artifacts that the pointer names; an error where the digest isn't that of the content."""
+    place, digest, form = opened(spark, folder)
+    rows = _held(spark, place, form)
+    if package_digest(described(rows)) != digest:
         raise PackageError("digest-mismatch", "open", "the content is not what was published")
     return rows
 
 
+def read_one(spark: SparkSession, folder: str, path: str) -> str:
+    """The payload at a path of the package, which is compared with its own digest alone: of files this one is opened."""
+    place, _, form = opened(spark, folder)
+    if not _is_inside(path):
+        raise PackageError("unsafe-path", "read", path, path)
+    rows = artifact_files.read(spark, place, path) if form == "files" else spark.read.parquet(place).where(F.col("path") == path)
+    found = rows.select("payload", (F.sha2("payload", 256) == F.col("digest")).alias("sound")).take(1)
+    if not found:
+        raise PackageError("artifact-missing", "read", path, path)
+    if not found[0]["sound"]:
+        raise PackageError("digest-mismatch", "read", path, path)
+    return found[0]["payload"]
+
+
+def _is_inside(path: str) -> bool:
+    return not (path.startswith("/") or "\\" in path or ":" in path or not {"", ".", ".."}.isdisjoint(path.split("/")))
+
+
 def read_artifact(rows: DataFrame, path: str) -> str:
     """The payload at a path, which may not leave the package."""
-    if path.startswith("/") or "\\" in path or ":" in path or not {"", ".", ".."}.isdisjoint(path.split("/")):
+    if not _is_inside(path):
         raise PackageError("unsafe-path", "read", path, path)
     found = rows.where(F.col("path") == path).select("payload").take(1)
     if not found:
@@ -769,7 +817,7 @@ def _short_lists(rows: DataFrame) -> DataFrame:
 
 def _undeclared(rows: DataFrame) -> DataFrame:
     """Folders whose shards or records aren't as many as the manifest says."""
-    own = rows.where(F.col("path").endswith(".json") & (F.col("family") != "Manifest")).select("solution_key", _folder_of(F.col("path")).alias("folder"), "records")
+    own = rows.where(F.col("path").endswith(".json") & (F.col("family") != "Manifest")).select("solution_key", folder_of(F.col("path")).alias("folder"), "records")
     own = own.groupBy("solution_key", "folder").agg(F.count("*").alias("own_shards"), F.sum("records").alias("own_records"))
     both = own.join(declared(rows), ["solution_key", "folder"], "full")
     return both.where(~(F.coalesce("own_shards", F.lit(0)).eqNullSafe(F.col("shards")) & F.coalesce("own_records", F.lit(0)).eqNullSafe(F.col("records")))).select(F.col("folder").alias("path"))
@@ -836,7 +884,7 @@ def certify(rows: DataFrame) -> DataFrame:
     more = {"follow-flow": ("indexes/contracts", "indexes/persistence"), "reverse-impact": ("indexes/measures",)}
     others = F.create_map(*[x for j in JOURNEYS for x in (F.lit(j), F.array(*map(F.lit, more.get(j, ()))).cast("array<string>"))])
     wanted = entries.select("solution_key", "journey", F.explode(F.concat(F.array("entry"), F.element_at(others, F.col("journey")))).alias("folder"))
-    shards = rows.where(F.col("path").endswith(".json")).select("solution_key", _folder_of(F.col("path")).alias("folder"), "path", "bytes")
+    shards = rows.where(F.col("path").endswith(".json")).select("solution_key", folder_of(F.col("path")).alias("folder"), "path", "bytes")
     is_first = F.col("path").endswith("/000000.json")
     # A walk through the graph reads whole indexes, locating the shard that begins one, and evidence what routes to it.
     walks = F.col("journey").isin("follow-flow", "reverse-impact") | ((F.col("journey") == "locate") & is_first)

@@ -273,6 +273,33 @@ def test_changed_content_is_refused_on_opening(spark, published, tmp_path):
     assert [d.code for d in engine.validate(spark, str(copy)).diagnostics] == ["digest-mismatch"]
 
 
+def test_a_package_of_files(spark, published, tmp_path):
+    model, stored, digest = published
+    folder = tmp_path / "files"
+    (folder / "staging-stopped" / "artifacts").mkdir(parents=True)
+    assert package.publish(spark, model, str(folder), ["s"], "files") == digest
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == ["generations", "manifest.json"]
+    rows, kept = package.read(spark, str(folder)), package.read(spark, str(stored))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, kept.select(rows.columns).collect()))
+    assert engine.validate(spark, str(folder)).digest == engine.validate(spark, str(folder / "generations" / digest)).digest == digest
+    artifacts = folder / "generations" / digest / "artifacts"
+    page = kept.where("family = 'Markdown'").first()
+    assert (artifacts / page["path"]).read_text() == page["payload"] == package.read_one(spark, str(folder), page["path"]) == package.read_one(spark, str(stored), page["path"])
+    told = [json.loads(p.read_text()) for p in (folder / "generations" / digest / "certified" / "certification").glob("*.json")]
+    assert [sorted(j["journey"] for j in t) for t in told] == [sorted(package.JOURNEYS)]
+    with pytest.raises(package.PackageError, match="artifact-missing"):
+        package.read_one(spark, str(folder), "solutions/none.json")
+    with pytest.raises(package.PackageError, match="unsafe-path"):
+        package.read_one(spark, str(folder), "../manifest.json")
+    # The same again keeps what is there; other content is found, by the file and by the package.
+    before = (artifacts / page["path"]).stat().st_mtime_ns
+    assert package.publish(spark, model, str(folder), ["s"], "files") == digest and (artifacts / page["path"]).stat().st_mtime_ns == before
+    (artifacts / page["path"]).write_text(page["payload"] + " ")
+    with pytest.raises(package.PackageError, match="digest-mismatch"):
+        package.read_one(spark, str(folder), page["path"])
+    assert [d.code for d in engine.validate(spark, str(folder)).diagnostics] == ["digest-mismatch"]
+
+
 def test_a_lock_keeps_other_writers_out(spark, published):
     model, folder, digest = published
     (folder / ".lock").touch()
@@ -303,6 +330,8 @@ def test_command_line(spark, graph, tmp_path, capsys):  # noqa: F811
     digest = capsys.readouterr().out.strip()
     assert engine.main(["validate", "--package", str(tmp_path / "out")]) == engine.OK
     assert capsys.readouterr().out.strip() == digest
+    assert engine.main(["analyze", "--facts", str(tmp_path / "facts"), "--output", str(tmp_path / "files"), "--form", "files"]) == engine.OK
+    assert capsys.readouterr().out.strip() == digest and package.opened(spark, str(tmp_path / "files"))[2] == "files"
     assert engine.main(["validate", "--package", str(tmp_path / "nothing")]) == engine.INVALID
     assert capsys.readouterr().err.startswith("code=pointer-missing stage=open cause=")
     assert engine.main(["analyze", "--facts", "a", "--facts", "a", "--output", "x"]) == engine.REJECTED
