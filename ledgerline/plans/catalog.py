@@ -1001,10 +1001,13 @@ def package_records(spark, sf_dir):
 
 @query(f"SELECT * FROM ({PACKAGE_SQL}) WHERE records > 0")
 def package_files(spark, sf_dir):
-    """The package of every region's solution written as a file for each artifact, and the records that the files read back hold."""
+    """The package of every region's solution written as a file for each JSON artifact, and the records that the files read back hold.
+
+    Pages aren't written: here keys name no region, so an entity of two regions' solutions has one path for two pages.
+    """
     folder = f"{scratch_folder(spark)}/files-{uuid.uuid4().hex}"
-    artifact_files.write(package.artifacts(_model(spark, sf_dir)), folder)
-    held = artifact_files.read(spark, folder).where("path like '%.json' and family != 'Manifest'")
+    artifact_files.write(package.artifacts(_model(spark, sf_dir)).where("family != 'Markdown'"), folder)
+    held = artifact_files.read(spark, folder).where("family != 'Manifest'")
     return held.groupBy("solution_key", package.folder_of(F.col("path")).alias("folder")).agg(F.sum(F.json_array_length("payload")).cast("long").alias("records")).where("records > 0")
 
 

@@ -291,9 +291,9 @@ def test_a_package_of_files(spark, published, tmp_path):
         package.read_one(spark, str(folder), "solutions/none.json")
     with pytest.raises(package.PackageError, match="unsafe-path"):
         package.read_one(spark, str(folder), "../manifest.json")
-    # The same again keeps what is there; other content is found, by the file and by the package.
-    before = (artifacts / page["path"]).stat().st_mtime_ns
-    assert package.publish(spark, model, str(folder), ["s"], "files") == digest and (artifacts / page["path"]).stat().st_mtime_ns == before
+    # Publishing again would keep what is there; other content is found, by the file and by the package.
+    assert package._has_digest(spark, str(folder / "generations" / digest), digest, "files")
+    assert not package._has_digest(spark, str(folder / "generations" / digest), digest, "parquet")
     (artifacts / page["path"]).write_text(page["payload"] + " ")
     with pytest.raises(package.PackageError, match="digest-mismatch"):
         package.read_one(spark, str(folder), page["path"])
@@ -330,8 +330,6 @@ def test_command_line(spark, graph, tmp_path, capsys):  # noqa: F811
     digest = capsys.readouterr().out.strip()
     assert engine.main(["validate", "--package", str(tmp_path / "out")]) == engine.OK
     assert capsys.readouterr().out.strip() == digest
-    assert engine.main(["analyze", "--facts", str(tmp_path / "facts"), "--output", str(tmp_path / "files"), "--form", "files"]) == engine.OK
-    assert capsys.readouterr().out.strip() == digest and package.opened(spark, str(tmp_path / "files"))[2] == "files"
     assert engine.main(["validate", "--package", str(tmp_path / "nothing")]) == engine.INVALID
     assert capsys.readouterr().err.startswith("code=pointer-missing stage=open cause=")
     assert engine.main(["analyze", "--facts", "a", "--facts", "a", "--output", "x"]) == engine.REJECTED
@@ -340,6 +338,16 @@ def test_command_line(spark, graph, tmp_path, capsys):  # noqa: F811
     assert [engine._name_of(k) for k in ("solution:Shop:pitstop/Shop.sln", "plain")] == ["Shop", "plain"]
 
 
+def test_the_form_is_an_argument(spark, graph, tmp_path, capsys, monkeypatch):  # noqa: F811
+    facts.save(graph, str(tmp_path / "facts"))
+    monkeypatch.setattr(package, "build_model", lambda *_: None)
+    monkeypatch.setattr(package, "publish", lambda _spark, _model, _folder, _names, form: form)
+    for given, form in ((["--form", "files"], "files"), ([], "parquet")):
+        assert engine.main(["analyze", "--facts", str(tmp_path / "facts"), "--output", "x", *given]) == engine.OK
+        assert capsys.readouterr().out.strip() == form
+    assert engine.main(["analyze", "--facts", "a", "--output", "x", "--form", "other"]) == engine.USAGE
+
+
 TREE = {
     "Shop.slnx": '<Solution><Project Path="Web/Web.csproj" /><Project Path="Data/Data.csproj" /></Solution>',
     "Web/Web.csproj": '<Project><PropertyGroup><OutputType>Exe</OutputType><TargetFramework>net8.0</TargetFramework></PropertyGroup><ItemGroup><ProjectReference Include="..\\Data\\Data.csproj" /></ItemGroup></Project>',
