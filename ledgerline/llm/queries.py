@@ -17,6 +17,9 @@ VOCABULARY = "word_bpe_49k.json"
 PACKING_REMEMBERED = 1_200_000
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), remembered=PACKING_REMEMBERED)
 
@@ -38,12 +41,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _template_rows() -> str:
-    return ", ".join(f"({k}, '{t.label}', [{', '.join(repr(w) for w in t.words)}])" for k, t in enumerate(license_scan.TEMPLATES))
+    return ", ".join(f"({k}, '{t.label}', [{', '.join(repr(w) for w in t.words)}], {len(t.sequence)})" for k, t in enumerate(license_scan.TEMPLATES))
 
 
 OP3_SQL = f"""
-WITH templates(template, label, own) AS (VALUES {_template_rows()}),
-texts AS (SELECT doc_id, text, lower(coalesce(text, '')) AS low FROM documents),
+WITH templates(template, label, own, length) AS (VALUES {_template_rows()}),
+texts AS (SELECT doc_id, text, {_LOW} AS low FROM documents),
 docs AS (SELECT doc_id, text, low, list_filter(regexp_split_to_array(low, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM texts),
 places AS (
   SELECT doc_id, text, low, words,
@@ -56,7 +59,9 @@ matches AS (
   SELECT doc_id, text, list(DISTINCT label) AS found, max(overlap / len(own)) AS best
   FROM (SELECT l.doc_id, l.text, t.label, t.own,
                len(list_intersect(t.own, regexp_split_to_array(l.line, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))) AS overlap
-        FROM lines l, templates t) WHERE overlap >= {license_scan.THRESHOLD} * len(own) - 1e-9
+        FROM lines l, templates t UNION ALL
+        SELECT d.doc_id, d.text, t.label, t.own, list_max([len(list_intersect(t.own, d.words[i : i + t.length - 1])) for i in range(1, len(d.words) + 1) if list_contains(t.own, d.words[i])])
+        FROM docs d, templates t WHERE len(list_intersect(t.own, d.words)) >= {license_scan.THRESHOLD} * len(t.own) - 1e-9) WHERE overlap >= {license_scan.THRESHOLD} * len(own) - 1e-9
   GROUP BY doc_id, text),
 labelled AS (
   SELECT p.*, list_filter(['apache', 'gpl', 'mit'], lambda x: len(CASE x WHEN 'mit' THEN mit WHEN 'apache' THEN apache ELSE gpl END) > 0) AS base,
@@ -143,7 +148,6 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
-_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 #: Words are numbered, so that sets of three are compared as numbers.
 OP6_SQL = f"""

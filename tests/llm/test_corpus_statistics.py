@@ -7,11 +7,13 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import compare
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import collocations, line_dedup, queries, url_rules, warc_revisit, whitening
+from ledgerline.llm import collocations, license_scan, line_dedup, queries, url_rules, warc_revisit, whitening
 
 SCHEMA = "doc_id long, text string, lang string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -252,3 +254,18 @@ def test_rules_of_several_words_are_filed_under_the_rarest(spark):
     for i, url in enumerate(urls):
         host, path = url_rules.host_and_path(url)
         assert bool(plain.search((host + path).translate(LOWER))) == (i in blocked)
+
+
+def test_license_sql_knows_runs_of_words_and_letters_of_ascii(spark):
+    notice = license_scan.TEMPLATES[5].sequence + license_scan.TEMPLATES[1].sequence
+    texts = [
+        "\n".join(notice), " ".join(notice), "\n\n".join(" ".join(notice[k : k + 3]).upper() for k in range(0, len(notice), 3)), " x ".join(license_scan.TEMPLATES[7].sequence),
+        "Released\nunder the\nMİT License", "released under\nthe mit Åicense", "PerKission İ is", "Released under\nlicense", "Licensed\nunder CC BY-NC\n4.0", "MIT\nLicense", "", None,
+        f"{'the of a ' * 300}\n{' '.join(notice[:4])}\n{' '.join(notice[4:])}",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (1, " ".join(notice))], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = license_scan.scan_licenses(docs, wrapped=True).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    compare.assert_same(got, con, queries.OP3_SQL)
+    assert {r["labels"] for r in got.collect()} >= {"bsd,mit", "cc-by-nc", "mit", ""}
