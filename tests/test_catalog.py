@@ -51,3 +51,11 @@ def test_fans_of_every_scope(spark):
     assert got == {k: (len(into[k]), len(out[k])) for k in {*out, *into}}
     best = sorted(rows, key=lambda r: (-r["fan_in"], r["scope"], r["entity"]))[:5]
     assert [(r["scope"], r["entity"]) for r in catalog.QUERIES["top_fan_in"](spark, SF).collect()] == [(r["scope"], r["entity"]) for r in best]
+
+
+def test_files_are_scanned_by_many_tasks(spark):
+    """A table of a single row group is one task's as it is read; each of its rows is a file to be scanned."""
+    files = catalog._files(spark, "/root/testdata/sf0.001")
+    tasks = files.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > spark.sparkContext.defaultParallelism
+    assert files.count() == files.select("relative_path").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
