@@ -381,3 +381,15 @@ def test_chunked_packing_equals_one_stream(spark, seed):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_are_given_with_one_shuffle(spark):
+    """Sorted ranges number their rows as they are stored: no window, which would shuffle them all again."""
+    rows = spark.range(5000).select(F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("by"), (F.col("id") * 7919 % 5003).alias("n"), F.when(F.col("id") % 11 != 0, F.col("id") % 5).alias("m"))
+    order = [F.col("m") * 2, "n"]
+    for few in (True, False):
+        placed = index.spread_ordinals(rows, ["by"], order, few=few)
+        assert "row_number" not in placed._jdf.queryExecution().optimizedPlan().toString()
+        assert placed.columns == [*rows.columns, "ordinal"]
+        want = index.ordinals(rows.withColumn("o", order[0]), ["by"], ["o", "n"]).drop("o")
+        assert placed.exceptAll(want).isEmpty() and want.exceptAll(placed).isEmpty()
