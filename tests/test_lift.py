@@ -62,3 +62,15 @@ def test_dependencies_shuffle_no_digest_for_each_scope(spark):
     rows = catalog.dependencies(spark, "/root/testdata/sf0.001")
     assert "relation" not in lift.counted(*catalog._facts(catalog.graph(spark, "/root/testdata/sf0.001")), distinct=False).columns
     assert rows.columns == [*lift.DEPENDENCY, "nature", "occurrence_count", "variants"]
+
+
+def test_membership_keeps_partitions_where_rows_are_repeated(spark):
+    """The joins that rows come out of several times are dealt among all of the session's partitions, and repeats are removed once."""
+    place = [("a", "p1", "a.cs"), ("a", "p1", "b.cs"), ("a", "p1", "b.cs"), ("C", "p1", "C"), ("C", "p2", "C"), ("lost", "p1", "x.cs")]
+    occurrences = spark.createDataFrame([("s", e, (p, f"{p}/x.csproj"), ("n", "Debug", [], "x"), path, None, "d", []) for e, p, path in place], facts.SCHEMAS["occurrences"])
+    entities = spark.createDataFrame([("s", "a", "Symbol", "a", None), ("s", "a", "Symbol", "a", None), ("s", "C", "Component", "C", None)], facts.SCHEMAS["entities"])
+    found = lift.membership(entities, occurrences)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 2 and plan.count("Aggregate [solution_key") <= 2
+    want = [("a", "document", "document:s:a.cs"), ("a", "document", "document:s:b.cs"), ("a", "project", "p1"), ("a", "component", "C"), ("C", "document", "document:s:C"), ("C", "project", "p1"), ("C", "project", "p2"), ("C", "component", "C")]
+    assert sorted(found.select("entity_key", "scope", "member").collect()) == sorted(want)
