@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.identity import packed, unpacked
 from ledgerline.model import SCOPES
-from ledgerline.operators import lift
+from ledgerline.operators import lift, measures
 from ledgerline.plans import catalog
 from ledgerline.sources import facts
 
@@ -74,3 +74,11 @@ def test_membership_keeps_partitions_where_rows_are_repeated(spark):
     assert plan.count("RepartitionByExpression") >= 2 and plan.count("Aggregate [solution_key") <= 2
     want = [("a", "document", "document:s:a.cs"), ("a", "document", "document:s:b.cs"), ("a", "project", "p1"), ("a", "component", "C"), ("C", "document", "document:s:C"), ("C", "project", "p1"), ("C", "project", "p2"), ("C", "component", "C")]
     assert sorted(found.select("entity_key", "scope", "member").collect()) == sorted(want)
+
+
+def test_gaps_are_counted_by_packed_keys(spark):
+    gaps = spark.createDataFrame([("s", f"gap:{'0f' * 32}", "Unknown", "c", ["a", "a", "b"], []), ("s", "g", "Candidate", "c", ["a"], [])], facts.SCHEMAS["gaps"])
+    members = spark.createDataFrame([("s", "a", "project", "p"), ("s", "b", "project", "p")], "solution_key string, entity_key string, scope string, member string")
+    found = measures.gap_counts(gaps, members)
+    assert "unhex" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["entity"]: (r["gaps_candidate"], r["gaps_unknown"]) for r in found.collect()} == {"a": (1, 1), "b": (0, 1), "p": (1, 1)}
