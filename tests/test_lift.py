@@ -82,3 +82,45 @@ def test_gaps_are_counted_by_packed_keys(spark):
     found = measures.gap_counts(gaps, members)
     assert "unhex" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["entity"]: (r["gaps_candidate"], r["gaps_unknown"]) for r in found.collect()} == {"a": (1, 1), "b": (0, 1), "p": (1, 1)}
+
+
+def _plan(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_no_digest_is_computed_for_a_null_check(spark):
+    """Keys of evidence are digests: a null check of them, pushed down to the scan, would compute each several times."""
+    g = catalog.graph(spark, "/root/testdata/sf0.001")
+    for rows in (lift.counted(*catalog._facts(g), distinct=False), lift.linked(*catalog._facts(g))):
+        assert "sha2(" in _plan(rows) and not [line for line in _plan(rows).splitlines() if "Filter" in line and "sha2(" in line]
+
+
+def test_null_evidence_proves_nothing(spark):
+    g = _graph(spark)
+    ends = (lift.membership(g["entities"], g["occurrences"]), lift.project_by_document(g["occurrences"]))
+    null = spark.createDataFrame([("s", "r9", "a", "b", "messaging", [None])], facts.SCHEMAS["relations"])
+    proof = spark.createDataFrame([("s", None, "document:s:a.cs", ("n", "Debug", [], "x"), None, "d")], facts.SCHEMAS["evidence"])
+    relations, evidence = g["relations"].unionByName(null), g["evidence"].unionByName(proof)
+    for distinct in (False, True):
+        assert "messaging" not in {r["category"] for r in lift.counted(relations, evidence, *ends, distinct=distinct).collect()}
+    assert "messaging" not in {r["category"] for r in lift.contributions(relations, evidence, *ends).collect()}
+
+
+def test_linked_pairs_are_those_of_the_dependencies(spark):
+    g = _graph(spark)
+    ends = (g["relations"], g["evidence"], lift.membership(g["entities"], g["occurrences"]), lift.project_by_document(g["occurrences"]))
+    for scopes in (SCOPES, ("document",), ("component", "project")):
+        pairs = lift.linked(*ends, scopes=scopes)
+        want = lift.counted(*ends, scopes=scopes).groupBy("solution_key", "scope", "source", "target").agg(F.count("*").alias("rows"))
+        assert sorted(pairs.collect()) == sorted(want.select(pairs.columns).collect()) != []
+    # One aggregation, of contributions without variants.
+    assert _plan(lift.linked(*ends)).splitlines()[0].startswith("Aggregate") and "tfm" not in _plan(lift.linked(*ends))
+
+
+def test_members_are_made_once_for_both_ends(spark):
+    """The lookup of sources and that of targets read a stored table; an occurrence is dealt once for all scopes."""
+    members = catalog._facts(catalog.graph(spark, "/root/testdata/sf0.001"), ("component",))[2]
+    assert members.inputFiles() and {r["scope"] for r in members.collect()} == {"component"}
+    g = _graph(spark)
+    plan = _plan(lift.membership(g["entities"], g["occurrences"]))
+    assert "Union" not in plan and plan.count("relative_path") > 0
