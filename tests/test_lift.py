@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.identity import packed, unpacked
 from ledgerline.model import SCOPES
-from ledgerline.operators import lift, measures
+from ledgerline.operators import fixpoint, lift, measures
 from ledgerline.plans import catalog
 from ledgerline.sources import facts
 
@@ -124,3 +124,14 @@ def test_members_are_made_once_for_both_ends(spark):
     g = _graph(spark)
     plan = _plan(lift.membership(g["entities"], g["occurrences"]))
     assert "Union" not in plan and plan.count("relative_path") > 0
+
+
+def test_rounds_are_kept_as_tables_and_edges_once(spark, monkeypatch):
+    """What a fixpoint keeps is compressed, and the first frontier of a closure is its edges, not a copy of them."""
+    made = []
+    own = fixpoint.checkpointed
+    monkeypatch.setattr(fixpoint, "checkpointed", lambda df: made.append(own(df)) or made[-1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    found = fixpoint.depths(edges, in_one_task=0)
+    assert sorted(tuple(r) for r in found.select("source", "target", "depth").collect()) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+    assert all(df.inputFiles() and df.inputFiles()[0].endswith(".zstd.parquet") for df in made) and len(made) == 3
