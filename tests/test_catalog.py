@@ -59,3 +59,10 @@ def test_files_are_scanned_by_many_tasks(spark):
     tasks = files.select(F.spark_partition_id().alias("task")).distinct().count()
     assert tasks > spark.sparkContext.defaultParallelism
     assert files.count() == files.select("relative_path").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_outgoing_index_has_all_scopes(spark):
+    rows = {(r["source"], r["ordinal"]) for r in catalog.QUERIES["dep_order"](spark, SF).collect()}
+    found = catalog.QUERIES["nav_outgoing"](spark, SF).collect()
+    assert {(r["key"], int(x)) for r in found for x in r["ordinals"].split(",")} == rows
+    assert {":".join(r["key"].split(":")[:3:2]) for r in found} >= {"entity:component", "entity:deploymentunit"} and {r["key"].split(":")[0] for r in found} == {"entity", "document", "project"}
