@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions.identity import packed, unpacked
+from ledgerline.functions.identity import packed, unpacked, variant_key
 from ledgerline.model import SCOPES
 from ledgerline.operators import fixpoint, lift, measures
 from ledgerline.plans import catalog
@@ -135,3 +135,24 @@ def test_rounds_are_kept_as_tables_and_edges_once(spark, monkeypatch):
     found = fixpoint.depths(edges, in_one_task=0)
     assert sorted(tuple(r) for r in found.select("source", "target", "depth").collect()) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
     assert all(df.inputFiles() and df.inputFiles()[0].endswith(".zstd.parquet") for df in made) and len(made) == 3
+
+
+def test_relations_with_their_evidence_are_lifted_without_a_join_of_digests(spark):
+    g = _graph(spark)
+    ends = (lift.membership(g["entities"], g["occurrences"]), lift.project_by_document(g["occurrences"]))
+    proofs = g["evidence"].select("solution_key", F.col("key").alias("evidence"), "document_key", variant_key(F.col("variant")).alias("variant"))
+    cited = g["relations"].select("solution_key", F.col("key").alias("relation"), "source_key", "target_key", "category", F.explode(F.array_distinct("evidence_keys")).alias("evidence"))
+    proven = cited.join(proofs, ["solution_key", "evidence"])
+    for scopes in (SCOPES, ("document",), ("component", "project")):
+        for distinct in (False, True):
+            want = lift.counted(g["relations"], g["evidence"], *ends, scopes=scopes, distinct=distinct)
+            assert sorted(map(str, lift.counted_proven(proven, *ends, scopes=scopes, distinct=distinct).select(want.columns).collect())) == sorted(map(str, want.collect())) != []
+        want = lift.linked(g["relations"], g["evidence"], *ends, scopes=scopes)
+        assert sorted(lift.linked_proven(proven, *ends, scopes=scopes).select(want.columns).collect()) == sorted(want.collect())
+        want = lift.packed_contributions(g["relations"], g["evidence"], *ends, scopes=scopes)
+        assert sorted(map(str, lift.proven_contributions(proven, *ends, scopes=scopes).select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_tables_relations_need_no_digest_to_find_their_evidence(spark):
+    for rows in (catalog.dependencies(spark, "/root/testdata/sf0.001"), catalog._fans(spark, "/root/testdata/sf0.001")):
+        assert "sha2(" not in _plan(rows)
