@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import identity, predicates
 from ledgerline.model import ENTITIES, EVIDENCE, GAPS, OCCURRENCES, RELATIONS, SOURCES, FactualGraph
+from ledgerline import storage
 from ledgerline.operators import fixpoint, index, lift, measures, retain
+from ledgerline.plans import package
 
 
 def edges(spark, pairs, scope="component"):
@@ -393,3 +395,41 @@ def test_places_are_given_with_one_shuffle(spark):
         assert placed.columns == [*rows.columns, "ordinal"]
         want = index.ordinals(rows.withColumn("o", order[0]), ["by"], ["o", "n"]).drop("o")
         assert placed.exceptAll(want).isEmpty() and want.exceptAll(placed).isEmpty()
+
+
+def test_split_closures_and_cycles_equal_whole_ones(spark):
+    """Edges that lead no further are told apart first: ways through the middle, loops, ends alone and two groups."""
+    draw = random.Random(1)
+    inner = {(f"n{draw.randrange(8)}", f"n{draw.randrange(8)}") for _ in range(14)}
+    outer = {(f"s{i}", f"t{draw.randrange(9)}") for i in range(30)} | {(f"s{i}", f"n{i % 8}") for i in range(5)} | {(f"n{i}", "t0") for i in range(3)} | {("l", "l")}
+    edges = spark.createDataFrame([(g, a, b) for g in "xy" for a, b in sorted(inner | outer)], "g string, source string, target string")
+    edges = storage.stored(edges)
+    for most in (None, 2):
+        whole = fixpoint.depths(edges, ("g",), most, 10**3)
+        own = fixpoint.depths(edges, ("g",), most, 0, unique=True, split_over=3)
+        assert sorted(own.select(whole.columns).collect()) == sorted(whole.collect()) != []
+    whole = fixpoint.strong_components(edges, ("g",), split_over=10**6)
+    assert sorted(fixpoint.strong_components(edges, ("g",), unique=True, split_over=3).select(whole.columns).collect()) == sorted(whole.collect()) != []
+
+
+def test_edges_that_lead_no_further_are_not_shuffled_each_round(spark, monkeypatch):
+    made = []
+    own = fixpoint.checkpointed
+    monkeypatch.setattr(fixpoint, "checkpointed", lambda df: made.append(own(df)) or made[-1])
+    edges = storage.stored(spark.range(200).select(F.concat(F.lit("s"), "id").alias("source"), F.concat(F.lit("t"), F.col("id") % 7).alias("target")))
+    found = fixpoint.depths(edges, in_one_task=0, unique=True, split_over=10)
+    assert found.count() == 200 and max(df.count() for df in made) < 200
+
+
+def test_hub_pages_beside_short_lists(spark):
+    """Keys with more rows than a page fall into pages; the others' lists are gathered once for all indexes."""
+    rows = spark.range(40).select(F.lit("s").alias("solution_key"), F.lit("document").alias("scope"), F.concat(F.lit("a"), F.least(F.col("id") % 9, F.lit(4)).cast("string")).alias("source"), F.concat(F.lit("b"), (F.col("id") % 20).cast("string")).alias("target"), F.when(F.col("id") % 2 == 0, "http").otherwise("persistence").alias("category"), F.col("id").alias("ordinal"))
+    for key, own in (("source", {"outgoing": None, "runtime": ("http",)}), ("target", {"incoming": None, "persistence": ("persistence",)})):
+        named = [(rows if only is None else rows.where(F.col("category").isin(*only))).select("solution_key", F.lit(name).alias("index"), F.col(key).alias("key"), "ordinal", "category") for name, only in own.items()]
+        want = index.inverted_pages(named[0].unionByName(named[1]), ["solution_key", "index", "key"], page=3)
+        found = package._edge_pages(rows, key, own, page=3)
+        assert sorted(map(str, decoded_rows(found))) == sorted(map(str, decoded_rows(want)))
+
+
+def decoded_rows(pages):
+    return [(r["index"], r["key"], r["page"], r["first"], r["gaps"], r["categories"]) for r in pages.collect()]
